@@ -134,9 +134,9 @@ def parse_tags(b: bytes) -> tuple[dict[str, str], int, int, bool | None]:
 def parse(b: bytes | None) -> dict:
     """All that is known of one recording; null or bytes without frames give zero frames.
 
-    A frame counts if another one like it, or the end, follows it; else the
-    reader moves on byte by byte (``resyncs`` counts such gaps, ``skipped`` the
-    bytes) until two frames in a row are alike.
+    A frame counts where the one before it ended, if it is like the first.
+    Elsewhere the reader moves on byte by byte (``resyncs`` counts such gaps,
+    ``skipped`` the bytes) to a frame that another like it, or the end, follows.
     """
     b = b or b""
     tags, at, end, tag_crc = parse_tags(b)
@@ -144,12 +144,13 @@ def parse(b: bytes | None) -> dict:
     first: Header | None = None
     rates: set[int] = set()
     checks: list[int] = []
-    gap = False
+    gap, in_step = False, False
     while at + 4 <= end:
         h = Header.parse(b, at)
         if h and (first is None or h.alike(first)) and at + h.size <= end:
             n = Header.parse(b, at + h.size)
-            if at + h.size + 4 > end or (n and n.alike(h)):
+            if in_step or at + h.size + 4 > end or (n and n.alike(h)):
+                in_step = True
                 if gap:
                     out["resyncs"] += 1
                     gap = False
@@ -167,7 +168,7 @@ def parse(b: bytes | None) -> dict:
                     checks.append(at)
                 at += h.size
                 continue
-        gap = True
+        gap, in_step = True, False
         sync = b.find(b"\xff", at + 1, end)
         out["skipped"] += (sync if sync >= 0 else end) - at
         at = sync if sync >= 0 else end
