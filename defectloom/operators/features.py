@@ -97,7 +97,14 @@ def project_features(df: DataFrame, wanted: list[str], medians: dict[str, float]
 def correlations(df: DataFrame, columns: list[str], label: str | None = None) -> DataFrame:
     """Rows (a, b, r) for each pair of columns, and with the label: |Pearson|, all in one pass; null on a constant column."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]] + ([(c, label) for c in columns] if label else [])
-    one = df.agg(*[F.abs(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+
+    def pearson(a: str, b: str) -> Column:
+        # the built-in divides by zero where a column is constant
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        return F.abs(F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))))
+
+    one = df.agg(*[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
 
 
