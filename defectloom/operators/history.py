@@ -6,11 +6,11 @@ is_fix, once for each commit and file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from defectloom.functions.core import days, ratio
+from defectloom.functions.core import days
 
 KEY = ["repo", "file"]
 
@@ -84,20 +84,22 @@ def commit_gaps(cf: DataFrame) -> DataFrame:
     return cf.withColumn("gap_days", gap).where(F.col("gap_days").isNotNull()).select(*KEY, "commit_id", "gap_days")
 
 
-def commit_burst(cf: DataFrame, min_commits: int = 3) -> DataFrame:
-    """log1p of the mean gap over the least, capped at 5; 1 flags a score above 3."""
-    gaps = commit_gaps(cf).groupBy(*KEY).agg(F.avg("gap_days").alias("avg_gap"), F.min("gap_days").alias("min_gap"), (F.count(F.lit(1)) + 1).alias("n"))
-    one_month = recent_windows(cf).select(*KEY, "commits_1m")
-    per = file_churn(cf).select(*KEY, "commits").join(one_month, KEY).join(gaps, KEY, "left")
+def gap_stats(cf: DataFrame) -> DataFrame:
+    return commit_gaps(cf).groupBy(*KEY).agg(F.avg("gap_days").alias("avg_gap"), F.min("gap_days").alias("min_gap"))
+
+
+def burst_columns(min_commits: int = 3) -> dict[str, Column]:
+    """Burst measures of a row with commits, commits_1m, avg_gap and min_gap."""
     score = F.when((F.col("commits") >= min_commits) & (F.col("avg_gap") > 0), F.least(F.log1p(F.col("avg_gap") / (F.col("min_gap") + 1e-5)), F.lit(5.0))).otherwise(0.0)
     burst_ratio = F.col("commits_1m") / (F.col("commits") + 1)
-    return per.withColumn("commit_burst_score", score).select(
-        *KEY,
-        "commit_burst_score",
-        (F.col("commit_burst_score") > 3).cast("int").alias("recent_commit_burst"),
-        burst_ratio.alias("burst_ratio"),
-        (F.col("commit_burst_score") * burst_ratio).alias("burst_risk"),
-    )
+    return {"commit_burst_score": score, "recent_commit_burst": (score > 3).cast("int"), "burst_ratio": burst_ratio, "burst_risk": score * burst_ratio}
+
+
+def commit_burst(cf: DataFrame, min_commits: int = 3) -> DataFrame:
+    """log1p of the mean gap over the least, capped at 5; 1 flags a score above 3."""
+    counts = aged(cf).groupBy(*KEY).agg(F.count(F.lit(1)).alias("commits"), F.count_if(F.col("age_days") < 30).alias("commits_1m"))
+    burst = burst_columns(min_commits)
+    return counts.join(gap_stats(cf), KEY, "left").select(*KEY, *[c.alias(k) for k, c in burst.items()])
 
 
 def co_change(cf: DataFrame, min_files: int = 2, max_files: int = 30) -> DataFrame:
@@ -131,12 +133,37 @@ def coupling(cf: DataFrame, max_files: int = 30, strict_order: bool = False) ->
     return j.select(*KEY, "partner", strength.alias("max_coupling_strength"), F.coalesce("partners", F.lit(0)).cast("long").alias("coupled_file_count"), flag.alias("coupled_recent_missing"), (strength * flag).alias("coupling_risk"))
 
 
+def file_history(cf: DataFrame) -> DataFrame:
+    """Churn, first and last commit, recent counts, fixes and memory of them, in one pass and one exchange."""
+    seq, fix = F.struct("commit_time", "commit_id"), F.col("is_fix") == 1
+    age = F.col("age_days")
+    last_fix = F.min(F.when(fix, age))
+    x = aged(cf).groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("commits"),
+        F.sum("added").alias("lines_added"),
+        F.sum("deleted").alias("lines_deleted"),
+        F.max("added").alias("max_added"),
+        F.min(seq)["commit_id"].alias("first_commit"),
+        F.max(seq)["commit_id"].alias("last_commit"),
+        F.max(age).alias("file_age"),
+        F.min(age).alias("days_since_last_change"),
+        F.count_if(age < 14).alias("commits_2w"),
+        F.count_if(age < 30).alias("commits_1m"),
+        F.count_if(age < 90).alias("commits_3m"),
+        F.sum("is_fix").cast("long").alias("bug_fixes"),
+        F.coalesce(last_fix, F.lit(-1)).cast("long").alias("days_since_last_bug"),
+        F.coalesce(F.sum(F.when(fix & (age >= 0), F.exp(-0.0038 * age))), F.lit(0.0)).alias("temporal_bug_memory"),
+        F.coalesce(1.0 / (last_fix + 1), F.lit(0.0)).alias("bug_recency_score"),
+        F.coalesce((last_fix <= 30).cast("int"), F.lit(0)).alias("recent_bug_flag"),
+    )
+    return x
+
+
 def history_features(cf: DataFrame, max_files: int = 30) -> DataFrame:
-    """All of a file's history in one row; every part is grouped by (repo, file), so one exchange serves the joins."""
-    out = file_churn(cf)
-    for part in (author_stats(cf), first_last(cf), recent_windows(cf), bug_fix_counts(cf), bug_memory(cf), commit_burst(cf), coupling(cf, max_files)):
-        out = out.join(part, KEY)
-    return out
+    """All of a file's history in one row: one pass for what one pass can tell, then authors, gaps and coupling by the same key."""
+    out = file_history(cf).join(author_stats(cf), KEY).join(gap_stats(cf), KEY, "left")
+    out = out.withColumns(burst_columns()).drop("avg_gap", "min_gap")
+    return out.join(coupling(cf, max_files), KEY)
 
 
 def commit_counts_in(cf: DataFrame, width: str, step: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries over the graded tables and their SQL; importing the package registers them."""
 
-from defectloom.plans import analysis, history, models, predicates, registry, risk, streaming
+from defectloom.plans import analysis, history, models, predicates, registry, risk, stored, streaming
 
 
 def queries() -> dict:
@@ -11,4 +11,4 @@ def oracle_sql() -> dict:
     return dict(registry.ORACLE_SQL)
 
 
-__all__ = ["analysis", "history", "models", "oracle_sql", "predicates", "queries", "risk", "streaming"]
+__all__ = ["analysis", "history", "models", "oracle_sql", "predicates", "queries", "risk", "stored", "streaming"]

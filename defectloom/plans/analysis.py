@@ -202,10 +202,10 @@ def lopo_split(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", (F.col("n_regionkey") == 1).alias("is_test"))
 
 
-@query("SELECT doc_id, source AS repo, NULL::BIGINT AS event_id FROM documents UNION ALL SELECT NULL, 'events', event_id FROM events")
+@query("SELECT doc_id, source AS repo, -1::BIGINT AS event_id FROM documents UNION ALL SELECT -1, 'events', event_id FROM events")
 def union_repos(spark, d):
     a = table(spark, d, "documents").select("doc_id", F.col("source").alias("repo"))
-    return a.unionByName(table(spark, d, "events").select("event_id", F.lit("events").alias("repo")), allowMissingColumns=True)
+    return a.unionByName(table(spark, d, "events").select("event_id", F.lit("events").alias("repo")), allowMissingColumns=True).withColumns({c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("doc_id", "event_id")})
 
 
 def _keys(spark, d):
@@ -242,7 +242,8 @@ _IDS = {"en": 0, "de": 1, "fr": 2}
 
 
 def _joined(spark, d):
-    hist = H.first_last(commit_files(spark, d)).join(H.file_churn(commit_files(spark, d)), ["repo", "file"]).join(H.recent_windows(commit_files(spark, d)), ["repo", "file"]).join(H.author_stats(commit_files(spark, d)), ["repo", "file"]).drop("repo")
+    cf = commit_files(spark, d)
+    hist = H.file_history(cf).join(H.author_stats(cf), ["repo", "file"]).drop("repo")
     return FT.static_left_history(static_metrics(spark, d), hist, ["file"], ["commits", "lines_added", "lines_deleted", "max_added", "commits_2w", "commits_1m", "commits_3m", "author_count", "file_age", "days_since_last_change", "minor_contributor_ratio"])
 
 
@@ -263,17 +264,18 @@ def static_left_git(spark, d):
 
 
 @query(f"""{_JOINED} SELECT file, CASE language WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 10 END AS language_id,
- round(avg_complexity / CASE language WHEN 'en' THEN 60.0::DOUBLE WHEN 'de' THEN 80 WHEN 'fr' THEN 70 ELSE 4 END, 6) AS complexity_vs_baseline,
- round(avg_complexity / greatest(loc, 1), 6) AS complexity_density, round(avg_complexity / greatest(functions, 1), 6) AS complexity_per_function, round(loc / greatest(functions, 1)::DOUBLE, 6) AS loc_per_function,
- round(c1m / greatest(commits, 1)::DOUBLE, 6) AS recent_churn_ratio, round(CASE WHEN c3m > 0 THEN c2w / c3m::DOUBLE ELSE 0 END, 6) AS recent_activity_score,
- round((lines_added + lines_deleted) / greatest(loc, 1)::DOUBLE, 6) AS instability_score, round((lines_added + lines_deleted) / greatest(commits, 1)::DOUBLE, 6) AS avg_commit_size,
- round(CASE WHEN lines_added + lines_deleted > 0 THEN max_added / ((lines_added + lines_deleted) / greatest(commits, 1)::DOUBLE) ELSE 0 END, 6) AS max_commit_ratio,
+ avg_complexity / CASE language WHEN 'en' THEN 60.0::DOUBLE WHEN 'de' THEN 80 WHEN 'fr' THEN 70 ELSE 4 END AS complexity_vs_baseline,
+ avg_complexity / greatest(loc, 1) AS complexity_density, avg_complexity / greatest(functions, 1) AS complexity_per_function, loc / greatest(functions, 1)::DOUBLE AS loc_per_function,
+ c1m / greatest(commits, 1)::DOUBLE AS recent_churn_ratio, CASE WHEN c3m > 0 THEN c2w / c3m::DOUBLE ELSE 0 END AS recent_activity_score,
+ (lines_added + lines_deleted) / greatest(loc, 1)::DOUBLE AS instability_score, (lines_added + lines_deleted) / greatest(commits, 1)::DOUBLE AS avg_commit_size,
+ CASE WHEN lines_added + lines_deleted > 0 THEN max_added / ((lines_added + lines_deleted) / greatest(commits, 1)::DOUBLE) ELSE 0 END AS max_commit_ratio,
  CASE WHEN least(file_age, 3650) < 180 THEN 0 WHEN least(file_age, 3650) < 365 THEN 1 WHEN least(file_age, 3650) < 730 THEN 2 ELSE 3 END AS file_age_bucket,
- round(least(days_since, 3650) / (least(file_age, 3650) + 1)::DOUBLE, 6) AS recency_ratio, round((lines_added + lines_deleted) / greatest(loc, 1)::DOUBLE, 6) AS churn_ratio, round(minor, 6) AS author_entropy,
+ least(days_since, 3650) / (least(file_age, 3650) + 1)::DOUBLE AS recency_ratio, (lines_added + lines_deleted) / greatest(loc, 1)::DOUBLE AS churn_ratio, minor AS author_entropy,
  CASE WHEN author_count <= 1 THEN 1.0::DOUBLE WHEN author_count <= 3 THEN 0.7 ELSE 0.3 END AS experience_score FROM j""")
 def build_features(spark, d):
     f = ["complexity_vs_baseline", "complexity_density", "complexity_per_function", "loc_per_function", "recent_churn_ratio", "recent_activity_score", "instability_score", "avg_commit_size", "max_commit_ratio", "recency_ratio", "churn_ratio", "author_entropy"]
-    return _r(FT.build_features(_joined(spark, d), _BASES, _IDS).select("file", "language_id", "file_age_bucket", "experience_score", *f), *f)
+    # single divisions of whole numbers are the same in every engine, so nothing is rounded
+    return FT.build_features(_joined(spark, d), _BASES, _IDS).select("file", "language_id", "file_age_bucket", "experience_score", *f)
 
 
 @query(f"{_ST} SELECT repo, round(avg(max_complexity), 6) AS avg_complexity, max(max_complexity) AS max_complexity, count(*) AS functions, round(avg(functions), 6) AS avg_params, max(loc) AS max_function_length, round(sum(max_complexity) / greatest(sum(loc), 1)::DOUBLE, 6) AS complexity_density FROM st GROUP BY repo")

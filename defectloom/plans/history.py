@@ -152,20 +152,24 @@ f AS (SELECT repo, file, count(*) AS commits, max(commit_time) AS last, min(comm
 best AS (SELECT repo, src AS file, arg_max(dst, (n, -dst)) AS partner, max(n) AS top, count(*) AS partners FROM pairs GROUP BY repo, src),
 j AS (SELECT f.repo, f.file, partner, coalesce(top / f.commits::DOUBLE, 0) AS s, coalesce(partners, 0) AS k, coalesce((f.last > p.last EXTRA)::INTEGER, 0) AS flag
   FROM f LEFT JOIN best ON f.repo = best.repo AND f.file = best.file LEFT JOIN f p ON p.repo = f.repo AND p.file = partner)
-SELECT repo, file, partner, round(s, 6) AS max_coupling_strength, k AS coupled_file_count, flag AS coupled_recent_missing, round(s * flag, 6) AS coupling_risk FROM j"""
+SELECT repo, file, coalesce(partner, -1) AS partner, round(s, 6) AS max_coupling_strength, k AS coupled_file_count, flag AS coupled_recent_missing, round(s * flag, 6) AS coupling_risk FROM j"""
 
 
 @query(_COUPLING.replace("EXTRA", ""))
 def coupling(spark, d):
-    return _rounded(H.coupling(_orders(spark, d)), "max_coupling_strength", "coupling_risk")
+    return _rounded(H.coupling(_orders(spark, d)), "max_coupling_strength", "coupling_risk").fillna({"partner": -1})
 
 
 @query(_COUPLING.replace("EXTRA", "AND p.first > f.first"))
 def coupling_strict_order(spark, d):
-    return _rounded(H.coupling(_orders(spark, d), strict_order=True), "max_coupling_strength", "coupling_risk")
+    return _rounded(H.coupling(_orders(spark, d), strict_order=True), "max_coupling_strength", "coupling_risk").fillna({"partner": -1})
 
 
-@query(_COUPLING.replace("EXTRA", "").replace("SELECT repo, file, partner, round(s, 6)", "SELECT repo, file, partner, p_last IS NOT NULL AS partner_known, round(s, 6)").split("SELECT repo, file, partner, p_last")[0].replace("coalesce(top / f.commits::DOUBLE, 0) AS s", "p.last AS p_last") + "SELECT repo, file, partner, p_last AS partner_last FROM j WHERE partner IS NOT NULL")
+_PARTNER = f"""{_ORDER_CF}, {_PAIRS.format(cap=30)}, f AS (SELECT file, max(commit_time) AS last FROM cf GROUP BY file), best AS (SELECT src AS file, arg_max(dst, (n, -dst)) AS partner FROM pairs GROUP BY src)
+SELECT 'all' AS repo, best.file, partner, f.last AS partner_last FROM best LEFT JOIN f ON f.file = partner"""
+
+
+@query(_PARTNER)
 def coupling_partner(spark, d):
     cf = _orders(spark, d)
     last = cf.groupBy("repo", F.col("file").alias("partner")).agg(F.max("commit_time").cast("timestamp_ntz").alias("partner_last"))
