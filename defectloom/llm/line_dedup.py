@@ -55,7 +55,7 @@ def hot_lines(lines: DataFrame, hot_share: float, buckets: int = 65_536) -> Data
 
 
 def drop_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 10, hot_share: float = 0.001) -> DataFrame:
-    """Rows (_d, _t, runs): for each document that loses lines, the dropped positions as sorted runs (start, len)."""
+    """Rows (_d, _t, _runs): for each document that loses lines, the dropped positions as sorted runs (start, len)."""
     lines = written(line_hashes(docs, id_col, text, min_chars), "lines")
     hot = written(hot_lines(lines, hot_share), "hot-lines")
     from_hot = lines.join(F.broadcast(hot), ["h1", "h2"]).where(F.col("_d") != F.col("first")).select("_d", "_t", "pos")
@@ -66,11 +66,11 @@ def drop_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_c
     # positions less their rank are equal within a run; rows alike in id and text count once
     rank = F.dense_rank().over(Window.partitionBy("_d", "_t").orderBy("pos"))
     runs = dropped.withColumn("island", F.col("pos") - rank).groupBy("_d", "_t", "island").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + 1).alias("len"))
-    return runs.groupBy("_d", "_t").agg(F.sort_array(F.collect_list(F.struct("start", "len"))).cast(_RUNS).alias("runs"))
+    return runs.groupBy("_d", "_t").agg(F.sort_array(F.collect_list(F.struct("start", "len"))).cast(_RUNS).alias("_runs"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 10, hot_share: float = 0.001) -> DataFrame:
-    """``docs`` with columns n_lines, n_dropped, drop_runs (the compressed bitmap) and kept_text added.
+    """``docs`` with columns n_lines, n_dropped, drop_runs (the compressed bitmap) and kept_text added, in place of any of these names.
 
     A line's key has no ASCII white space at its ends and A to Z in lower case.
     Keys of at least ``min_chars`` code points that stand in two or more
@@ -80,9 +80,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     after all others; rows alike in id and text are treated alike. An empty
     table gives no rows.
     """
+    docs = docs.drop("n_lines", "n_dropped", "drop_runs", "kept_text")
     runs = drop_runs(docs, id_col, text, min_chars, hot_share).hint("shuffle_hash")
     joined = docs.withColumns(_named(docs, id_col, text)).join(runs, ["_d", "_t"], "left").drop("_d", "_t")
-    out = joined.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).withColumn("drop_runs", F.coalesce("runs", F.array().cast(_RUNS)))
+    out = joined.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).withColumn("drop_runs", F.coalesce("_runs", F.array().cast(_RUNS)))
     n = F.size("_lines")
     starts = F.concat(F.array(F.lit(0)), F.transform("drop_runs", lambda r: r["start"] + r["len"]))
     ends = F.concat(F.transform("drop_runs", lambda r: r["start"]), F.array(n))

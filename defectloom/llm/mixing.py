@@ -191,7 +191,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     as often as all of them together.
     """
     copies = mix(docs, id_col=id_col, text=text, source=source, **options)
-    total = copies.groupBy("id", "fingerprint").agg(F.sum("copies").alias("_copies")).where(F.col("_copies") > 0)
+    total = copies.groupBy(F.col("id").alias("_i"), F.col("fingerprint").alias("_f")).agg(F.sum("copies").alias("_copies")).where(F.col("_copies") > 0)
     keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_fingerprint": F.xxhash64(F.col(text), F.col(source))})
-    joined = keyed.join(total, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_fingerprint") == F.col("fingerprint"))).dropDuplicates(["_id", "_fingerprint"])
+    joined = keyed.join(total, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_fingerprint") == F.col("_f"))).dropDuplicates(["_id", "_fingerprint"])
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(c) for c in docs.columns])

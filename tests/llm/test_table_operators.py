@@ -226,8 +226,9 @@ def test_mixing(spark):
         assert abs(taken[s] - target[s]) <= longest + 1
     again = mixing.mix(df.repartition(7)).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
-    out = mixing.mixed(df)
-    assert out.columns == df.columns and out.count() == sum(r["copies"] for r in got)
+    clashing = df.withColumns({"id": F.lit(1), "fingerprint": F.lit(1), "copies": F.lit(1)})
+    out = mixing.mixed(clashing)
+    assert out.columns == clashing.columns and out.count() == sum(r["copies"] for r in got)
     assert mixing.mix(df.limit(0)).count() == 0
     assert sum(r["copies"] for r in mixing.mix(df.where("text is null")).collect()) == 0
 
@@ -268,6 +269,8 @@ def test_lines(spark):
     for share in (0.001, 0.05, 1.0):  # all hot, some hot, none hot
         out = line_dedup.dedup_lines(df, hot_share=share).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("h"))
         assert Counter(map(tuple, out.collect())) == Counter(plain_lines(rows))
+    clashing = df.withColumns({c: F.lit(1) for c in ("runs", "n_lines", "pos", "h1", "first")})
+    assert line_dedup.dedup_lines(clashing).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256)).count() == len(rows)
     runs = line_dedup.dedup_lines(df).select("n_dropped", "drop_runs").collect()
     assert all(sum(x["len"] for x in r["drop_runs"]) == r["n_dropped"] for r in runs)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
