@@ -113,10 +113,10 @@ def author_level(contributions: Column, commits: Column) -> Column:
 
 
 def pr_risk(files: DataFrame, key: str = "pr") -> DataFrame:
-    """Rows (pr, risk, level) to one risk for each pull request, by the author's level."""
+    """Rows (pr, risk, level) to one risk for each pull request, by the author's level; to ten places, so that bands do not hang on the order of sums."""
     per = files.groupBy(key).agg(F.avg("risk").alias("_mean"), F.max("level").alias("level"), F.count_if(F.col("risk") > 0.7).alias("high_risk_files"))
     factor = F.when(F.col("level") == "SENIOR", 0.9).when(F.col("level") == "JUNIOR", 1.2).otherwise(1.0)
-    risk = F.least(F.col("_mean"), F.lit(0.95)) * factor
+    risk = F.round(F.least(F.col("_mean"), F.lit(0.95)) * factor, 10)
     return per.select(key, "high_risk_files", risk.alias("pr_risk"), F.when(risk >= 0.8, "HIGH").when(risk >= 0.6, "MEDIUM").otherwise("LOW").alias("pr_level"))
 
 

@@ -454,12 +454,11 @@ def _authors(spark, d):
 
 @query(f"""WITH {_PRF}, au AS (SELECT c_custkey, CASE WHEN c_acctbal > 1000 AND n > 50 THEN 'SENIOR' WHEN c_acctbal > 100 AND n > 10 THEN 'MEDIUM' WHEN n > 0 THEN 'JUNIOR' ELSE 'NEW' END AS level FROM (SELECT c_custkey, c_acctbal, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2)),
 g AS (SELECT pr, avg(risk) AS a, count(*) FILTER (WHERE risk > 0.7) AS h, max(level) AS level FROM pr1 JOIN orders ON pr = o_orderkey JOIN au ON c_custkey = o_custkey GROUP BY pr),
-s AS (SELECT pr, h, least(a, 0.95) * CASE level WHEN 'SENIOR' THEN 0.9 WHEN 'JUNIOR' THEN 1.2 ELSE 1 END AS r FROM g)
-SELECT pr, h AS high_risk_files, round(r, 10) AS pr_risk, CASE WHEN r >= 0.8 THEN 'HIGH' WHEN r >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS pr_level FROM s""")
+s AS (SELECT pr, h, round(least(a, 0.95) * CASE level WHEN 'SENIOR' THEN 0.9 WHEN 'JUNIOR' THEN 1.2 ELSE 1 END, 10) AS r FROM g)
+SELECT pr, h AS high_risk_files, r AS pr_risk, CASE WHEN r >= 0.8 THEN 'HIGH' WHEN r >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS pr_level FROM s""")
 def pr_risk(spark, d):
     by = table(spark, d, "orders").select(F.col("o_orderkey").alias("pr"), F.col("o_custkey").alias("author")).join(_authors(spark, d), "author").select("pr", "level")
-    # means of few short decimals have ties at six places
-    return K.pr_risk(_pr_files(spark, d).join(by, "pr")).withColumn("pr_risk", F.round("pr_risk", 10))
+    return K.pr_risk(_pr_files(spark, d).join(by, "pr"))
 
 
 # ---- checks
