@@ -37,8 +37,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training windows."""
-    return packing.pack(docs)
+    """The pieces of training windows; the cache of text pieces is small, as executors have run other stages before."""
+    return packing.pack(docs, cache_entries=200_000)
 
 
 STAGES = [("language", known_language), ("line_dedup", unique_lines), ("near_dedup", one_of_each), ("mixing", mixed_sources), ("packing", packed)]
