@@ -27,15 +27,18 @@ def encoded_lengths(docs: DataFrame, tokenizer: str, text: str = "text", cache_e
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = bpe.encoder(tokenizer, cache_entries)
         for batch in batches:
-            lengths = pa.array([len(b) // 4 for b in encode.encode_many([t or "" for t in batch.column(0).to_pylist()])], pa.int64())
-            counts = lengths.value_counts()
+            lengths: list[int] = []
+            for at in range(0, batch.num_rows, 512):
+                part = batch.column(0).slice(at, 512).to_pylist()
+                lengths += [len(b) // 4 for b in encode.encode_many([t or "" for t in part])]
+            counts = pa.array(lengths, pa.int64()).value_counts()
             yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], ["length", "n_docs"])
 
     part = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "length long, n_docs long")
     return part.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def length_report(histogram: DataFrame, bucket: int = 4096) -> DataFrame:
+def length_report(histogram: DataFrame, bucket: int = 512) -> DataFrame:
     """Suffix sums over a histogram (length, n_docs), for the limit of each row's length.
 
     Returns per length: n_docs, n_tokens (theirs), docs_ge and tokens_ge (of
