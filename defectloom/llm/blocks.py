@@ -9,20 +9,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from defectloom.llm.common import checkpointed
 
-def block_pairs(members: DataFrame, group: list[str], member: Column, weight: Column, max_rows: int, max_weight: int) -> DataFrame:
+
+def block_pairs(members: DataFrame, group: list[str], member: Column, weight: Column, max_rows: int, max_weight: int, broadcast_groups: int = 100_000) -> DataFrame:
     """``members`` with bi and bj added: each pair of a group's members meets in exactly one (group, bi, bj), or in its own block.
 
     A group is dealt into as few blocks as hold ``max_rows`` rows and
     ``max_weight`` each on average; a member goes to every pair that its block
     is in, so groups of one block, nearly all, are not repeated. ``own`` is the
-    member's block.
+    member's block. Groups of several blocks, of which there is at most one for
+    ``max_rows`` rows or ``max_weight``, are broadcast up to ``broadcast_groups``
+    and joined by a shuffle beyond that; so members are not shuffled by group.
     """
-    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w")).where("_n > 1")
+    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w"))
     blocks = F.greatest(F.ceil(F.col("_n") / max_rows), F.ceil(F.col("_w") / max_weight)).cast("int")
-    dealt = members.join(sizes, group).withColumn("_k", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(3), member), F.col("_k")).cast("int"))
+    large = checkpointed(sizes.select(*group, blocks.alias("_k")).where("_k > 1"))
+    few = large.count() <= broadcast_groups
+    joined = members.join(F.broadcast(large) if few else large, group, "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    dealt = joined.withColumn("own", F.pmod(F.xxhash64(F.lit(3), member), F.col("_k")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda o: F.struct(F.least(o, "own").alias("bi"), F.greatest(o, "own").alias("bj")))
-    return dealt.withColumn("_p", F.explode(pairs)).withColumns({"bi": F.col("_p.bi"), "bj": F.col("_p.bj")}).drop("_p", "_k", "_n", "_w")
+    return dealt.withColumn("_p", F.explode(pairs)).withColumns({"bi": F.col("_p.bi"), "bj": F.col("_p.bj")}).drop("_p", "_k")
 
 
 def streamed(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
