@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from defectloom.llm import language_id, line_dedup, minhash_dedup, mixing, packing
-from defectloom.llm.common import shared_dir, table
+from defectloom.llm.common import new_folder, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +48,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/defectloom/pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:

@@ -27,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new name in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/defectloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this application's operators wrote to the shared folder; results that still read it must be stored first."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/defectloom/{sc.applicationId}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows in the shared folder, with no lineage: lost executors cost a reread."""
     shared_dir(df.sparkSession)
@@ -36,7 +48,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as Parquet in the shared folder, read again: smaller than a checkpoint, with pruned columns."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/defectloom/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from defectloom.llm import bpe
-from defectloom.llm.common import shared_dir
+from defectloom.llm.common import new_folder
 
 FOOTER = struct.Struct("<QQQQQQI8s")
 MAGIC = b"DLSSTAB1"
@@ -315,5 +315,5 @@ def token_tables(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
     record, repeated rows too; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/defectloom/sst-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark, "sst")
     return read_tables(spark, folder, write_tables(docs, folder, tokenizer, end_id, id_col, text))

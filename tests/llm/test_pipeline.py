@@ -33,3 +33,15 @@ def test_stages(spark, tmp_path):
 def test_odd_tables(spark, rows):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+
+
+def test_clean_removes_what_was_written(spark):
+    from pathlib import Path
+
+    from defectloom.llm import common
+
+    kept = common.written(spark.range(3), "x")
+    folder = Path(common.new_folder(spark, "y").removeprefix("file:").replace("//", "/", 1)).parent
+    assert kept.count() == 3 and any(folder.iterdir())
+    common.clean(spark)
+    assert not folder.exists()
