@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from defectloom.functions.core import ratio
 
 
 def variance_screen(df: DataFrame, columns: list[str]) -> DataFrame:

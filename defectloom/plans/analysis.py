@@ -12,11 +12,10 @@ from defectloom.operators import metrics as M
 from defectloom.operators import quality as Q
 from defectloom.operators import ranking as R
 from defectloom.operators import reports as RP
-from defectloom.operators import risk as K
-from defectloom.plans.bindings import COMMIT_FILES, LABELLED, PART_FILES, PATHS, SCORED, STATIC, commit_files, labelled, part_files, scored, static_metrics, table, url_paths
+from defectloom.plans.bindings import COMMIT_FILES, LABELLED, PATHS, SCORED, STATIC, commit_files, labelled, scored, static_metrics, table, url_paths
 from defectloom.plans.registry import query
 
-_SC, _LB, _ST, _CS, _PT, _CF = (f"WITH {x}" for x in (SCORED, LABELLED, STATIC, PART_FILES, PATHS, COMMIT_FILES))
+_SC, _LB, _ST, _PT, _CF = (f"WITH {x}" for x in (SCORED, LABELLED, STATIC, PATHS, COMMIT_FILES))
 
 
 def _r(df, *names):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from defectloom.functions.core import r6
-from defectloom.operators import history as H
 from defectloom.operators import metrics as M
 from defectloom.operators import quality as Q
 from defectloom.operators import ranking as R
