@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,24 @@ def meeting_groups(classes: DataFrame, k: int, percent: int) -> DataFrame:
     return rare.join(pivots, "v").select("pivot", "rep").distinct()
 
 
+@lru_cache(maxsize=8)
+def least_shared(k: int, percent: int, tail: float = 1e-7) -> np.ndarray:
+    """For each union of at most 2k retained values, the least number shared that is no rarer than ``tail`` at the wanted similarity.
+
+    Of the union's values a binomial number is shared; the chance to be under
+    the bound is at most ``tail``.
+    """
+    t = percent / 100
+    least = np.zeros(2 * k + 1)
+    for union in range(1, 2 * k + 1):
+        chance, x = 0.0, -1
+        while chance <= tail:
+            x += 1
+            chance += math.comb(union, x) * t**x * (1 - t) ** (union - x)
+        least[union] = x
+    return least
+
+
 def _near_enough(values: np.ndarray, offsets: np.ndarray, n: np.ndarray, k: int, percent: int) -> np.ndarray:
     """Matrix of pairs whose union-sketch estimate does not rule the similarity out."""
     m, kept = len(n), np.diff(offsets)
@@ -169,10 +188,8 @@ def _near_enough(values: np.ndarray, offsets: np.ndarray, n: np.ndarray, k: int,
         own = values[offsets[i] : offsets[i + 1]]
         below[i] = np.searchsorted(own, np.minimum(last[i], last), side="right")
     union = below + below.T - shared
-    t = percent / 100
     exact = (n <= k)[:, None] & (n <= k)[None, :]
-    slack = np.where(exact, 0, 4 * np.sqrt(t * (1 - t) / np.maximum(union, 1)))
-    ok = (shared > 0) & (shared + 1e-6 >= (t - slack) * union)
+    ok = (shared > 0) & (shared + 1e-6 >= np.where(exact, percent / 100 * union, least_shared(k, percent)[union.astype(np.int64)]))
     ok &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
     np.fill_diagonal(ok, False)
     return ok

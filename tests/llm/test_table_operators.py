@@ -123,6 +123,24 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("percent", "few"), [(85, 37), (80, 34)])
+def test_near_duplicates_with_unlucky_sketches(spark, percent, few):
+    """A pair at the threshold whose smallest 50 hashes share far less than the whole sets do."""
+    pool = [f"u{i}" for i in range(1000)]
+    order = np.argsort([int(minhash_dedup.shingle_sets([w.encode()], 1)[0][0]) for w in pool])
+    pool = [pool[i] for i in order]
+    shared, total = pool[:few], 10 * percent
+    alone = pool[few : few + 2 * (48 - few)]
+    rest = pool[few + len(alone) :]
+    shared = shared + rest[: total - few]
+    own = alone + rest[total - few :]
+    texts = [" ".join(shared + own[i::2]) for i in (0, 1)]
+    a, b = (plain_sets(t, 1) for t in texts)
+    assert 100 * len(a & b) == percent * len(a | b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in minhash_dedup.near_duplicates(df, 1, percent).collect()} == {0}
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(i, i + 1) for i in range(300, 360)] + [(5, 5)]
