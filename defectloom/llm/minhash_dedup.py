@@ -13,6 +13,10 @@
 4. For those left the full sets are read again, and exact similarity links
    them. A block returns a spanning forest of its links, not its pairs.
 5. Links make components; the smallest id names each.
+
+A document is an id with a set: rows of one id, or without id, that differ in
+their sets are different documents. Classes carry numbers of their own, so
+that classes of one id stay apart.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from defectloom.llm.blocks import Forest, block_pairs, column, lists, streamed
@@ -104,6 +109,14 @@ def _slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[p
         yield batch.slice(int(a), int(b - a))
 
 
+def _fingerprints(sets: list[np.ndarray]) -> list[pa.Array]:
+    """The columns n, f1, f2: set sizes and two fingerprints of each set."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    f1 = np.array([int(s.sum()) for s in sets], dtype=np.int64)
+    f2 = np.array([int(_mix(s.view(np.uint64) ^ np.uint64(_BASE)).sum().view(np.int64)) if len(s) else 0 for s in sets], dtype=np.int64)
+    return [pa.array(n), pa.array(f1), pa.array(f2)]
+
+
 def sketches(docs: DataFrame, words: int, k: int, id_col: str, text: str) -> DataFrame:
     """Rows (id, n, f1, f2, sketch): set size, two fingerprints of the set, its k smallest hashes."""
 
@@ -111,13 +124,10 @@ def sketches(docs: DataFrame, words: int, k: int, id_col: str, text: str) -> Dat
         for batch in batches:
             for part in _slices(batch, 1) if batch.num_rows else ():
                 sets = shingle_sets([t or b"" for t in part.column(1).to_pylist()], words)
-                n = np.array([len(s) for s in sets], dtype=np.int64)
-                f1 = np.array([int(s.sum()) for s in sets], dtype=np.int64)
-                f2 = np.array([int(_mix(s.view(np.uint64) ^ np.uint64(_BASE)).sum().view(np.int64)) if len(s) else 0 for s in sets], dtype=np.int64)
                 kept = [s[:k] for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept) if kept else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(f1), pa.array(f2), sketch], ["id", "n", "f1", "f2", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *_fingerprints(sets), sketch], ["id", "n", "f1", "f2", "sketch"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.encode(F.col(text), "UTF-8").alias("t"))
     return rows.mapInArrow(run, "id long, n long, f1 long, f2 long, sketch array<long>")
@@ -272,17 +282,29 @@ def linked(members: DataFrame, percent: int, block_rows: int, block_weight: int)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text: str, broadcast_ids: int) -> DataFrame:
-    """Rows (rep, n, set) of the documents whose ids are in ``wanted`` (rep)."""
+    """Rows (id, n, f1, f2, set) of the documents in ``wanted`` (id, n, f1, f2), and of others that share an id with one.
+
+    Of the rows without id, which may be many, only those in ``wanted`` come, each once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 1) if batch.num_rows else ():
                 sets = shingle_sets([t or b"" for t in part.column(1).to_pylist()], words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "n", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *_fingerprints(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "f1", "f2", "set"])
+
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.encode(F.col(text), "UTF-8").alias("t"))
+
+    def read(ids: DataFrame) -> DataFrame:
+        few = ids.count() <= broadcast_ids
+        return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, n long, f1 long, f2 long, set binary").where("n > 0")
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("rep"), F.encode(F.col(text), "UTF-8").alias("t"))
-    few = wanted.count() <= broadcast_ids
-    return rows.join(F.broadcast(wanted) if few else wanted, "rep", "left_semi").mapInArrow(run, "rep long, n long, set binary").where("n > 0")
+    found = read(wanted.select("id").where(F.col("id") != _LAST).distinct())
+    nameless = wanted.where(F.col("id") == _LAST).drop("id")
+    if nameless.take(1):
+        alone = rows.where(F.col("id") == _LAST).mapInArrow(run, found.schema).join(nameless, ["n", "f1", "f2"], "left_semi").dropDuplicates(["n", "f1", "f2"])
+        found = found.unionByName(alone)
+    return found
 
 
 def near_duplicates(
@@ -300,46 +322,87 @@ def near_duplicates(
 
     Two documents are linked if their sets' intersection has at least
     ``percent`` hundredths of their union. ``component_id`` is the smallest id
-    that links lead to, ``kept`` tells whether it is the row's own. A null text
-    is empty; a document without words is linked with nothing. Rows of one id
-    are one document; a null id counts as the largest. An empty table gives no rows. The list of documents to read again is
-    broadcast up to ``broadcast_ids`` ids and joined by a shuffle beyond that.
+    that links lead to, ``kept`` tells whether the row's document is the one of
+    that id (of several, or of none with an id, the smallest set fingerprint).
+    A null text is empty; a document without words is linked with nothing. Rows
+    of one id and one set are one document; a null id counts as the largest. An
+    empty table gives no rows. The list of documents to read again is broadcast
+    up to ``broadcast_ids`` ids and joined by a shuffle beyond that.
     """
+    return _judged(docs, words, percent, k, id_col, text, block_rows, block_weight, broadcast_ids).drop("f1", "f2")
+
+
+def _judged(docs: DataFrame, words: int, percent: int, k: int, id_col: str, text: str, block_rows: int, block_weight: int, broadcast_ids: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with the sets' fingerprints f1 and f2."""
     base = written(sketches(docs, words, k, id_col, text), "sketches")
-    classes = written(base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    whole = base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
+    classes = written(whole.withColumn("rep", F.monotonically_increasing_id()), "classes")
     groups = meeting_groups(classes, k, percent).join(classes.select("rep", "n", "sketch"), "rep")
-    near = written(promising(groups, k, percent, block_rows), "promising")
-    sets = written(_full_sets(docs, near.select("rep").distinct(), words, id_col, text, broadcast_ids), "sets")
-    edges = linked(near.join(sets, "rep"), percent, block_rows, block_weight)
-    found = components(edges)
-    of_class = classes.select("n", "f1", "f2", "rep").join(found, F.col("rep") == F.col("id"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
+    near = written(promising(groups, k, percent, block_rows).join(classes.select("rep", "id", "n", "f1", "f2"), "rep"), "promising")
+    sets = written(_full_sets(docs, near.select("id", "n", "f1", "f2").distinct(), words, id_col, text, broadcast_ids), "sets")
+    edges = linked(near.join(sets, ["id", "n", "f1", "f2"]), percent, block_rows, block_weight)
+    found = components(edges).withColumnRenamed("id", "rep")
+    of_linked = found.join(classes.select("rep", "id", "n", "f1", "f2"), "rep")
+    firsts = of_linked.groupBy("component").agg(F.min(F.struct("id", "n", "f1", "f2")).alias("first"))
+    # nearly all classes are alone; theirs is their own smallest id
+    linked_to = of_linked.join(firsts, "component").select("rep", "first")
+    of_class = classes.select("n", "f1", "f2", "rep", "id").join(linked_to, "rep", "left").select("n", "f1", "f2", F.coalesce("first", F.struct("id", "n", "f1", "f2")).alias("first"))
     own = base.select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
-    component = F.coalesce("component", "id")
+    component = F.coalesce("first.id", "id")
     doc_id = F.when(F.col("id") != _LAST, F.col("id"))
     return own.select(
         doc_id.alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(component != _LAST, component).alias("component_id"),
-        (F.col("id") == component).alias("kept"),
+        F.coalesce(F.struct("id", "n", "f1", "f2") == F.col("first"), F.lit(True)).alias("kept"),
+        "f1",
+        "f2",
     )
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", broadcast_ids: int = 1_000_000, **options) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest id; of rows with one id, one row.
+def _with_fingerprints(docs: DataFrame, words: int, text: str) -> DataFrame:
+    """``docs`` with the columns _n, _f1, _f2 of each text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.num_columns - 1
+            for part in _slices(batch, last) if batch.num_rows else ():
+                sets = shingle_sets([t or b"" for t in part.column(last).to_pylist()], words)
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], *_fingerprints(sets)], [*part.schema.names[:last], "_n", "_f1", "_f2"])
+
+    schema = StructType([*docs.schema.fields, *[StructField(c, LongType()) for c in ("_n", "_f1", "_f2")]])
+    return docs.withColumn("_bytes", F.encode(F.col(text), "UTF-8")).mapInArrow(run, schema)
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", broadcast_ids: int = 1_000_000, k: int = 48, block_rows: int = 1024, block_weight: int = 2_000_000) -> DataFrame:
+    """``docs`` with one row of each component, the document of the smallest id; of rows with one id and one set, the first by text.
 
-    Rows without an id stay unless the component has an id.
+    A row without an id goes only if its own text is linked; without words, it stays.
     """
-    found = written(near_duplicates(docs, words, percent, id_col=id_col, text=text, broadcast_ids=broadcast_ids, **options), "near-duplicates")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_twice"))
+    found = written(_judged(docs, words, percent, k, id_col, text, block_rows, block_weight, broadcast_ids), "near-duplicates")
+    several = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_several")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_several")
+    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
 
     def sized(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= broadcast_ids else ids
 
-    left = docs.join(sized(gone), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = twice.count()
-    if repeated:
-        side = F.broadcast(twice) if repeated <= broadcast_ids else twice
-        once = left.join(side, F.col(id_col).eqNullSafe(F.col("_twice")), "left_anti")
-        left = once.unionByName(left.join(side, F.col(id_col).eqNullSafe(F.col("_twice")), "left_semi").dropDuplicates([id_col]))
-    return left
+    key = F.col(id_col).cast("long")
+    named, nameless = docs.where(key.isNotNull()), docs.where(key.isNull())
+    shared, without_id = bool(several.take(1)), bool(found.where("doc_id IS NULL").take(1))
+    if not shared:
+        left = named.join(sized(gone), key == F.col("_gone"), "left_anti")
+    else:
+        # ids of several rows are judged row by row, all others by the id
+        several = sized(several)
+        once = named.join(several, key == F.col("_several"), "left_anti")
+        left = once.join(sized(gone), key == F.col("_gone"), "left_anti")
+    if not shared and not without_id:
+        return left
+    unsure = nameless if not shared else nameless.unionByName(named.join(several, key == F.col("_several"), "left_semi"))
+    marked = _with_fingerprints(unsure, words, text).withColumn("_id", F.coalesce(key, F.lit(_LAST)))
+    bad = found.where("NOT kept").select(F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.col("n_shingles").alias("_n"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2")).distinct()
+    rows = marked.join(bad, ["_id", "_n", "_f1", "_f2"], "left_anti")
+    empty = F.col("_id").eqNullSafe(_LAST) & (F.col("_n") == 0)
+    order = F.row_number().over(Window.partitionBy("_id", "_n", "_f1", "_f2").orderBy(F.col(text), F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t and t != "variant"])))
+    first = rows.where(~empty).withColumn("_rank", order).where("_rank = 1")
+    return left.unionByName(first.select(*docs.columns)).unionByName(rows.where(empty).select(*docs.columns))

@@ -141,6 +141,18 @@ def test_near_duplicates_with_unlucky_sketches(spark, percent, few):
     assert {r["component_id"] for r in minhash_dedup.near_duplicates(df, 1, percent).collect()} == {0}
 
 
+def test_rows_without_id_are_judged_by_their_text(spark):
+    t, u, v = (" ".join(f"{c}{i}" for i in range(60)) for c in "tuv")
+    near = t + " t60"
+    rows = [(7, t), (None, near), (None, u), (None, u), (None, u.upper()), (None, "alone with more words"), (None, None), (None, ""), (3, v), (8, v + " v60"), (8, "another text of this id"), (8, "another text of this id"), (9, None), (9, None)]
+    df = spark.createDataFrame([(i, x, "en", "s", None, "c", "r", "n") for i, x in rows], DOCS).repartition(3)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(df).collect())
+    assert got == {(7, 56, 7, True): 1, (None, 57, 7, False): 1, (None, 56, None, True): 3, (None, 1, None, True): 1, (None, 0, None, True): 2, (3, 56, 3, True): 1, (8, 57, 3, False): 1, (8, 1, 8, True): 2, (9, 0, 9, True): 2}
+    left = minhash_dedup.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == {(7, t): 1, (None, u.upper()): 1, (None, "alone with more words"): 1, (None, None): 1, (None, ""): 1, (3, v): 1, (8, "another text of this id"): 1, (9, None): 1}
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(i, i + 1) for i in range(300, 360)] + [(5, 5)]
