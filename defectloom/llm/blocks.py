@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,15 @@ def streamed(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[t
         yield key, pa.Table.from_batches(held).combine_chunks()
 
 
+def slices_of_bytes(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes each in column ``text``, a longer value alone or last."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.arange(most, sizes[-1], most) if len(sizes) else []
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(sizes, ends) + 1, [batch.num_rows]])).astype(np.int64)
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        yield batch.slice(a, b - a)
+
+
 def column(t: pa.Table, name: str) -> pa.Array:
     c = t.column(name)
     return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks)

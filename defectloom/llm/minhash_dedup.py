@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from defectloom.llm.blocks import Forest, block_pairs, column, lists, streamed
+from defectloom.llm.blocks import Forest, block_pairs, column, lists, slices_of_bytes, streamed
 from defectloom.llm.common import written
 from defectloom.llm.components import components
 
@@ -99,16 +99,6 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def _slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text each."""
-    import pyarrow.compute as pc
-
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    cuts = np.unique(np.concatenate([[0], np.searchsorted(sizes, np.arange(most, sizes[-1] if len(sizes) else 0, most)) + 1, [batch.num_rows]]))
-    for a, b in zip(cuts, cuts[1:]):
-        yield batch.slice(int(a), int(b - a))
-
-
 def _fingerprints(sets: list[np.ndarray]) -> list[pa.Array]:
     """The columns n, f1, f2: set sizes and two fingerprints of each set."""
     n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -122,7 +112,7 @@ def sketches(docs: DataFrame, words: int, k: int, id_col: str, text: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 1) if batch.num_rows else ():
+            for part in slices_of_bytes(batch, 1):
                 sets = shingle_sets([t or b"" for t in part.column(1).to_pylist()], words)
                 kept = [s[:k] for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
@@ -289,7 +279,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 1) if batch.num_rows else ():
+            for part in slices_of_bytes(batch, 1):
                 sets = shingle_sets([t or b"" for t in part.column(1).to_pylist()], words)
                 yield pa.RecordBatch.from_arrays([part.column(0), *_fingerprints(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "f1", "f2", "set"])
 
@@ -366,7 +356,7 @@ def _with_fingerprints(docs: DataFrame, words: int, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             last = batch.num_columns - 1
-            for part in _slices(batch, last) if batch.num_rows else ():
+            for part in slices_of_bytes(batch, last):
                 sets = shingle_sets([t or b"" for t in part.column(last).to_pylist()], words)
                 yield pa.RecordBatch.from_arrays([*part.columns[:last], *_fingerprints(sets)], [*part.schema.names[:last], "_n", "_f1", "_f2"])
 

@@ -8,6 +8,8 @@ import pytest
 
 pytest.importorskip("defectloom.llm")
 
+from pyspark.sql import functions as F
+
 from defectloom.llm import bpe, language_id, mpeg_audio, packing, sstable, token_counts
 from defectloom.llm.queries import op10_language_id
 
@@ -201,25 +203,53 @@ def test_audio_parser(spark):
     assert {r["id"]: r["audio"]["n_frames"] for r in mpeg_audio.with_audio(df, "k", "m").collect()} == {1: found["n_frames"], None: 0, 2: 0}
 
 
-def plain_phrases(text: bytes, sample: bytes, block: int) -> int:
-    n = 0
-    for at in range(0, len(text), block):
-        part, i = text[at : at + block], 0
-        while i < len(part):
-            k = 1
-            while i + k < len(part) and part[i : i + k + 1] in sample:
-                k += 1
-            n, i = n + 1, i + k
+def plain_phrases(text: bytes, sample: bytes) -> int:
+    n = i = 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and text[i : i + k + 1] in sample:
+            k += 1
+        n, i = n + 1, i + k
     return n
 
 
 def test_phrases_equal_a_plain_parse():
     samples = {"a": b"banana bandana cabana", "b": b"der die das und der hund"}
     m = language_id.Model(samples)
-    texts = [b"banana", b"der hund und die banane", b"zzz", b"", b"q banana q", b"ab" * 40]
+    texts = [b"banana", b"der hund und die banane", b"zzz", b"", b"q banana q", b"ab" * 40, b"aqa", b"abab", b"banana bandana cabana" * 3]
     for block in (4, 16, 1000):
-        got = m.phrases(texts, block, lanes=3)
-        assert got.tolist() == [[plain_phrases(t, samples[x], block) for x in m.languages] for t in texts]
+        got = m.phrases(texts, block, warm_up=block // 2, lanes=3)
+        assert got.tolist() == [[plain_phrases(t, samples[x]) for x in m.languages] for t in texts]
+
+
+def test_phrases_of_random_texts():
+    rng = np.random.default_rng(7)
+
+    def string(letters, most):
+        return bytes(rng.choice(list(letters), int(rng.integers(0, most))).astype(np.uint8))
+
+    for _ in range(100):
+        samples = {x: string(b"abc ", 60) + b"a" for x in "pqr"} | {"s": b"a" * 50}
+        m = language_id.Model(samples)
+        texts = [string(b"abcz ", 120) for _ in range(8)] + [samples["q"] * 4, b"a" * 130]
+        expect = [[plain_phrases(t, samples[x]) for x in m.languages] for t in texts]
+        assert m.phrases(texts, 8, 4, lanes=7).tolist() == m.phrases(texts).tolist() == expect
+
+
+def test_samples_are_whole_documents_of_any_number_of_languages(spark):
+    data = [(i, f"word{chr(97 + x) * 3} is said in {chr(97 + x) * 4}tongue often " * (1 + i % 5), f"l{x:02d}", None, None, "", "") for x in range(12) for i in range(x * 40, x * 40 + 40)]
+    data += [(9000 + i, "giant document " * 3000, "zz", None, None, "", "") for i in range(3)]
+    df = spark.createDataFrame(data, DOCS).repartition(4)
+    models = language_id.train(df, "text", "lang", F.col("doc_id"), sample_bytes=1000, languages_at_once=5)
+    assert [len(m.languages) for m in models] == [5, 5, 3]
+    sizes = {x: 2**b for m in models for x, b in zip(m.languages, m.bits)}
+    assert len(sizes) == 13 and all(700 < n < 2200 for n in sizes.values())
+    one = language_id.identify(df, sample_bytes=1000)
+    several = language_id.identify(df, sample_bytes=1000, languages_at_once=5)
+    assert one.columns == several.columns
+    parts = [sorted(map(tuple, df.select("doc_id", "held_out", "lang_pred", F.round("score", 9), F.round("bits", 9)).collect())) for df in (one, several)]
+    assert parts[0] == parts[1]
+    assert one.where("lang_pred = 'l03'").count() == 40
 
 
 def test_language_edges(spark):
@@ -231,6 +261,8 @@ def test_language_edges(spark):
     assert [got[k]["lang_pred"] for k in (100, 101, 102, 103, None)] == ["und", "und", "und", "de", "en"]
     assert all(got[i]["lang_pred"] == ("en" if i % 2 else "de") for i in range(60))
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in got.values())
+    tied = [(i, "same text", x, None, None, "", "") for i in range(8) for x in "bac"]
+    assert {r["lang_pred"] for r in language_id.identify(spark.createDataFrame(tied, DOCS)).collect()} == {"a"}
     none = language_id.identify(spark.createDataFrame([(1, "abc", None, None, None, "", "")], DOCS)).first()
     assert none["lang_pred"] == "und" and none["score"] == 0
     assert language_id.identify(spark.createDataFrame([], DOCS)).count() == 0
