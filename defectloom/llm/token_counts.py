@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from defectloom.llm import bpe
+from defectloom.llm.common import written
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str, text: str = "text", cache_entries: int = 1_000_000) -> DataFrame:
@@ -99,5 +100,5 @@ def length_quantile(report: DataFrame, q: float) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, text: str = "text") -> DataFrame:
-    """The report of :func:`length_report` over the whole texts of ``docs``."""
-    return length_report(encoded_lengths(docs, tokenizer or bpe.default_tokenizer(), text))
+    """The report of :func:`length_report` over the whole texts of ``docs``; each is encoded once, as the histogram is stored."""
+    return length_report(written(encoded_lengths(docs, tokenizer or bpe.default_tokenizer(), text), "histogram"))
