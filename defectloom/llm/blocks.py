@@ -13,24 +13,40 @@ from pyspark.sql import functions as F
 from defectloom.llm.common import checkpointed
 
 
-def block_pairs(members: DataFrame, group: list[str], member: Column, weight: Column, max_rows: int, max_weight: int, broadcast_groups: int = 100_000) -> DataFrame:
+def block_pairs(members: DataFrame, group: list[str], member: Column, weight: Column, max_rows: int, max_weight: int, broadcast_groups: int = 100_000, alone: int = 1, star: str | None = None) -> DataFrame:
     """``members`` with bi and bj added: each pair of a group's members meets in exactly one (group, bi, bj), or in its own block.
 
     A group is dealt into as few blocks as hold ``max_rows`` rows and
-    ``max_weight`` each on average; a member goes to every pair that its block
+    ``max_weight`` each on average, or into one if it has at most ``alone``
+    times as much; a member goes to every pair that its block
     is in, so groups of one block, nearly all, are not repeated. ``own`` is the
     member's block. Groups of several blocks, of which there is at most one for
     ``max_rows`` rows or ``max_weight``, are broadcast up to ``broadcast_groups``
     and joined by a shuffle beyond that; so members are not shuffled by group.
+
+    Members of a group with equal numbers in the column ``star``, from 0 on, need
+    not meet: their blocks are their own and pairs of such blocks are left out.
+    Members with -1 meet all others. So a group that is one star but for a few
+    members costs its size times these, not its square.
     """
-    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w"))
-    blocks = F.greatest(F.ceil(F.col("_n") / max_rows), F.ceil(F.col("_w") / max_weight)).cast("int")
-    large = checkpointed(sizes.select(*group, blocks.alias("_k")).where("_k > 1"))
+    kind = F.lit(-1) if star is None else F.col(star)
+    sizes = members.groupBy(*group, kind.alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w"))
+
+    def blocks(n: Column, w: Column) -> Column:
+        return F.greatest(F.ceil(n / max_rows), F.ceil(w / max_weight)).cast("int")
+
+    whole = sizes.groupBy(*group).agg(F.sum("_n").alias("_n"), F.sum("_w").alias("_w"), F.sort_array(F.collect_list(F.struct("_s", blocks(F.col("_n"), F.col("_w")).alias("k")))).alias("_stars"))
+    # the block's star by block; several members are few stars, and blocks of one star lie side by side
+    large = checkpointed(whole.where(blocks(F.col("_n"), F.col("_w")) > alone).select(*group, F.flatten(F.transform("_stars", lambda x: F.array_repeat(x["_s"], x["k"]))).alias("_b")))
     few = large.count() <= broadcast_groups
-    joined = members.join(F.broadcast(large) if few else large, group, "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
-    dealt = joined.withColumn("own", F.pmod(F.xxhash64(F.lit(3), member), F.col("_k")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda o: F.struct(F.least(o, "own").alias("bi"), F.greatest(o, "own").alias("bj")))
-    return dealt.withColumn("_p", F.explode(pairs)).withColumns({"bi": F.col("_p.bi"), "bj": F.col("_p.bj")}).drop("_p", "_k")
+    joined = members.join(F.broadcast(large) if few else large, group, "left").withColumn("_s", kind)
+    mine = F.size(F.filter("_b", lambda x: x == F.col("_s")))
+    own = F.array_position("_b", F.col("_s")).cast("int") - 1 + F.pmod(F.xxhash64(F.lit(3), member), mine).cast("int")
+    dealt = joined.withColumn("own", F.when(F.col("_b").isNull(), 0).otherwise(own))
+    every = F.filter(F.transform("_b", lambda x, o: F.when((F.col("_s") < 0) | (x != F.col("_s")), o)), lambda o: o.isNotNull())
+    others = F.coalesce(every, F.array(F.lit(0)))
+    pairs = F.transform(others, lambda o: F.struct(F.least(o, "own").alias("bi"), F.greatest(o, "own").alias("bj")))
+    return dealt.withColumn("_p", F.explode(pairs)).withColumns({"bi": F.col("_p.bi"), "bj": F.col("_p.bj")}).drop("_p", "_b", "_s")
 
 
 def streamed(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:

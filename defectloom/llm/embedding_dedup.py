@@ -1,24 +1,26 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-Each tree splits recursively along random directions at a sample's medians; a
-vector near a split goes both ways (spill). Vectors of one label that share a
-leaf are compared by exact cosine in double precision. With several trees a
-near pair that one tree parts is met in another.
-
-Equal vectors of a label are one class, so a vector that repeats a million
-times is compared once. A pair of classes is counted only in the first leaf
-they share, so counts add up without any list of pairs; leaves return counts
-and a spanning forest. Large leaves are compared in blocks.
+Trees split recursively along random directions at medians; a vector near a
+split goes both ways (spill). The forest has two levels. Coarse trees, fitted on
+a bounded sample, deal large groups into cells that one task can hold; a vector
+is shipped once for each of its cells, and a group that is small enough is one
+cell. In a cell many thin trees split its own members down to leaves, and
+vectors that share a leaf are compared by exact cosine in double precision.
+
+Vectors are compared only within a group: one label and one dimension. Equal
+vectors of a group are one class, so a vector that repeats a million times is
+compared once. A pair of classes is counted only in the first cell they share,
+so counts add up without any list of pairs; cells return counts and a spanning
+forest. Cells that the trees cannot split are compared in blocks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectloom.llm.blocks import Forest, block_pairs, column, lists, streamed
@@ -26,132 +28,223 @@ from defectloom.llm.common import written
 from defectloom.llm.components import components
 
 _LAST = (1 << 63) - 1
+#: A split that would send more than this part of its vectors both ways is not made.
+_MOST_SPILT = 0.3
+
 
+class ProjectionTree:
+    """Splits of a sample, down to nodes of at most ``least`` vectors or those that no direction splits well.
 
-class RandomTree:
-    """A complete tree of ``depth`` splits, node 1 at its top; thresholds are medians of the sample that reaches a node."""
+    Node i sends x left if ``x @ direction[i] <= threshold[i] + spill`` and
+    right if it is above ``threshold[i] - spill``; children are nodes, or
+    leaves as the complements of their numbers.
+    """
 
-    def __init__(self, sample: np.ndarray, depth: int, spill: float, seed: int):
+    def __init__(self, sample: np.ndarray, least: int, spill: float, seed: int, tries: int = 3):
         rng = np.random.default_rng(seed)
-        self.depth, self.spill = depth, spill
-        self.direction = rng.standard_normal((1 << depth, sample.shape[1]))
-        self.direction /= np.linalg.norm(self.direction, axis=1, keepdims=True)
-        self.threshold = np.zeros(1 << depth)
-        here = {1: np.arange(len(sample))}
-        for node in range(1, 1 << depth):
-            rows = here.pop(node, np.empty(0, dtype=np.int64))
-            along = sample[rows] @ self.direction[node]
-            if len(rows):
-                self.threshold[node] = np.median(along)
-            here[2 * node] = rows[along <= self.threshold[node] + spill]
-            here[2 * node + 1] = rows[along > self.threshold[node] - spill]
+        self.spill = spill
+        direction, threshold, child, self.leaf_rows = [], [], [], []
+        work = [(np.arange(len(sample)), -1, 0)]
+        self.start = -1
+        while work:
+            rows, parent, side = work.pop()
+            best = None
+            for _ in range(tries if len(rows) > least else 0):
+                d = rng.standard_normal(sample.shape[1])
+                d /= np.linalg.norm(d)
+                along = sample[rows] @ d
+                middle = float(np.median(along))
+                spilt = float(np.mean(np.abs(along - middle) <= spill))
+                if best is None or spilt < best[0]:
+                    best = spilt, d, along, middle
+            if best is None or best[0] > _MOST_SPILT:
+                me = ~len(self.leaf_rows)
+                self.leaf_rows.append(rows)
+            else:
+                me = len(direction)
+                direction.append(best[1])
+                threshold.append(best[3])
+                child.append([0, 0])
+                work += [(rows[best[2] > best[3] - spill], me, 1), (rows[best[2] <= best[3] + spill], me, 0)]
+            if parent >= 0:
+                child[parent][side] = me
+            else:
+                self.start = me
+        self.direction, self.threshold, self.child = np.array(direction), np.array(threshold), np.array(child, dtype=np.int64)
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and leaves, a row once for each of its leaves."""
-        row, node = np.arange(len(x)), np.ones(len(x), dtype=np.int64)
-        for _ in range(self.depth):
+        """Rows and leaf numbers, a row once for each of its leaves."""
+        row, node = np.arange(len(x)), np.full(len(x), self.start)
+        rows, leaves = [row[node < 0]], [~node[node < 0]]
+        row, node = row[node >= 0], node[node >= 0]
+        while len(row):
             off = np.einsum("ij,ij->i", x[row], self.direction[node]) - self.threshold[node]
             left, right = off <= self.spill, off > -self.spill
-            row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
-        return row, node - (1 << self.depth)
+            row, node = np.concatenate([row[left], row[right]]), np.concatenate([self.child[node[left], 0], self.child[node[right], 1]])
+            rows.append(row[node < 0])
+            leaves.append(~node[node < 0])
+            row, node = row[node >= 0], node[node >= 0]
+        return np.concatenate(rows), np.concatenate(leaves)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component is divided off first, so that no square over- or underflows."""
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _depth(largest: int, leaf: int, most: int) -> int:
-    """Splits after which the largest label's leaves have about ``leaf`` vectors, when a split keeps six tenths."""
-    return min(most, max(0, math.ceil(math.log(max(1, largest / leaf)) / math.log(1 / 0.6))))
+def spill_width(threshold: float, dim: int, share: float) -> float:
+    """``share`` of the standard deviation with which two unit vectors at the threshold differ along a random direction."""
+    return share * float(np.sqrt(2 * (1 - threshold) / dim))
+
 
+def _cell_rows(dim: int, cell_rows: int, cell_values: int) -> int:
+    return max(2, min(cell_rows, cell_values // max(1, dim)))
+
+
+def coarse_forest(classes: DataFrame, threshold: float, coarse: int, spill: float, cell_rows: int, cell_values: int, sample: int, seed: int) -> dict[tuple[int, int], list[ProjectionTree]]:
+    """Trees of the groups with more classes than a cell holds, fitted on ``sample`` classes of all of them in expectation.
+
+    Groups of which fewer than 32 classes fall into the sample get no tree; so
+    at most ``sample / 32`` groups have one.
+    """
+    most = F.greatest(F.lit(2), F.least(F.lit(cell_rows), F.floor(F.lit(cell_values) / F.greatest(F.lit(1), F.col("dim")))))
+    large = classes.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).where(F.col("n") > most)
+    total, dim = large.agg(F.sum("n"), F.max("dim")).first()
+    if not total:
+        return {}
+    share = min(1.0, min(sample, 64 * sample // dim) / total)
+    fitted = {(r["g1"], r["g2"]): r["dim"] for r in large.where(F.col("n") * share >= 32).collect()}
+    if not fitted:
+        return {}
+    wanted = classes.sparkSession.createDataFrame(sorted(fitted), "g1 long, g2 long")
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "h1", "h2"), 11) / float(1 << 53)
+    got = classes.where(u < share).join(F.broadcast(wanted), ["g1", "g2"]).select("g1", "g2", "h1", "h2", "embedding").toArrow().sort_by([("h1", "ascending"), ("h2", "ascending")])
+    key = np.stack([got.column(0).to_numpy(), got.column(1).to_numpy()])
+    out = {}
+    for (g1, g2), d in sorted(fitted.items()):
+        mine = np.flatnonzero((key[0] == g1) & (key[1] == g2))
+        values, _ = lists(column(got.select(["embedding"]).take(pa.array(mine)), "embedding"))
+        x = _unit(values.reshape(len(mine), d))
+        least = max(16, int(share * _cell_rows(d, cell_rows, cell_values)))
+        out[g1, g2] = [ProjectionTree(x, least, spill_width(threshold, d, spill), seed + i) for i in range(coarse)]
+    return out
 
-def _indexed(classes: DataFrame, trees: list[RandomTree], dim: int) -> DataFrame:
-    """Rows (leaf, label, rep, size, codes, embedding): a class once for each leaf; ``codes`` are all its leaves in order."""
-    shared = classes.sparkSession.sparkContext.broadcast(trees)
+
+def _dealt(classes: DataFrame, forest: dict[tuple[int, int], list[ProjectionTree]]) -> DataFrame:
+    """Rows (cell, g1, g2, rep, size, cells, embedding): a class once for each cell; ``cells`` are all its cells in order."""
+    rows = classes.select("g1", "g2", "rep", "size", "embedding")
+    if not forest:
+        return rows.select(F.lit(0).cast("long").alias("cell"), "g1", "g2", "rep", "size", F.array(F.lit(0).cast("long")).alias("cells"), "embedding")
+    shared = classes.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                values, offsets = lists(part.column(3))
-                x = _unit(values.reshape(part.num_rows, dim))
-                found = [t.leaves(x) for t in shared.value]
-                row = np.concatenate([r for r, _ in found])
-                code = np.concatenate([leaf + (i << 32) for i, (_, leaf) in enumerate(found)])
+                g1, g2 = part.column(0).to_numpy(), part.column(1).to_numpy()
+                row, code = [], []
+                alone = np.ones(part.num_rows, dtype=bool)
+                for key in set(zip(g1.tolist(), g2.tolist())) & trees.keys():
+                    mine = np.flatnonzero((g1 == key[0]) & (g2 == key[1]))
+                    alone[mine] = False
+                    values, _ = lists(part.column(4).take(pa.array(mine)))
+                    x = _unit(values.reshape(len(mine), -1))
+                    for i, t in enumerate(trees[key]):
+                        r, leaf = t.leaves(x)
+                        row.append(mine[r])
+                        code.append(leaf + (i << 32))
+                row.append(np.flatnonzero(alone))
+                code.append(np.zeros(len(row[-1]), dtype=np.int64))
+                row, code = np.concatenate(row), np.concatenate(code)
                 order = np.lexsort((code, row))
                 row, code = row[order], code[order]
-                counts = np.bincount(row, minlength=part.num_rows)
-                ends = np.cumsum(counts)
+                ends = np.cumsum(np.bincount(row, minlength=part.num_rows))
                 take = pa.array(row)
-                codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(code))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(code), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), codes.take(take), part.column(3).take(take)],
-                    ["leaf", "label", "rep", "size", "codes", "embedding"],
-                )
+                cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(code))
+                yield pa.RecordBatch.from_arrays([pa.array(code), *[part.column(i).take(take) for i in range(4)], cells.take(take), part.column(4).take(take)], ["cell", "g1", "g2", "rep", "size", "cells", "embedding"])
+
+    return rows.mapInArrow(run, "cell long, g1 long, g2 long, rep long, size long, cells array<long>, embedding " + dict(rows.dtypes)["embedding"])
 
-    return classes.select("label", "rep", "size", "embedding").mapInArrow(run, "leaf long, label long, rep long, size long, codes array<long>, embedding array<float>")
+
+def near_matrix(x: np.ndarray, threshold: float, trees: int, leaf: int, spill: float, seed: int) -> np.ndarray:
+    """Which of the unit vectors share a leaf of some tree and have the wanted cosine."""
+    m = len(x)
+    near = np.zeros((m, m), dtype=bool)
+    for i in range(trees if m > 2 * leaf else 1):
+        found = ProjectionTree(x, leaf, spill, seed + i).leaf_rows if m > 2 * leaf else [np.arange(m)]
+        for rows in found:
+            mine = x[rows]
+            for at in range(0, len(rows), 1024):
+                near[np.ix_(rows[at : at + 1024], rows)] |= mine[at : at + 1024] @ mine.T >= threshold
+        if len(found) == 1:  # all with all: other trees add nothing
+            break
+    np.fill_diagonal(near, False)
+    return near | near.T
 
 
-def _leaf_links(t: pa.Table, leaf: int, bi: int, bj: int, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def _cell_links(t: pa.Table, cell: int, bi: int, bj: int, threshold: float, trees: int, leaf: int, spill: float, seed: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Of each member the vectors newly linked to it, and a spanning forest of the links."""
     m = t.num_rows
     values, _ = lists(column(t, "embedding"))
     x = _unit(values.reshape(m, -1))
-    near = x @ x.T >= threshold
-    np.fill_diagonal(near, False)
+    near = near_matrix(x, threshold, trees, leaf, spill_width(threshold, x.shape[1], spill), seed)
     if bi != bj:
         own = column(t, "own").to_numpy()
-        near &= own[:, None] != own[None, :]
-    reps, size = column(t, "rep").to_numpy(), column(t, "size").to_numpy()
-    if not near.any():
-        return reps[:0], size[:0], []
-    codes, offsets = lists(column(t, "codes"))
-    row, earlier = np.repeat(np.arange(m), np.diff(offsets)), codes < leaf
+        for b in (bi, bj):
+            rows = np.flatnonzero(own == b)
+            near[np.ix_(rows, rows)] = False
+    codes, offsets = lists(column(t, "cells"))
+    row, earlier = np.repeat(np.arange(m), np.diff(offsets)), codes < cell
     if earlier.any():
-        _, place = np.unique(codes[earlier], return_inverse=True)
-        for at in range(0, int(place.max()) + 1, 2048):
-            mine = (place >= at) & (place < at + 2048)
-            met = np.zeros((m, 2048), dtype=np.float32)
-            met[row[earlier][mine], place[mine] - at] = 1
-            near &= (met @ met.T) == 0
+        order = np.argsort(codes[earlier], kind="stable")
+        for rows in np.split(row[earlier][order], np.flatnonzero(np.diff(codes[earlier][order])) + 1):
+            near[np.ix_(rows, rows)] = False
+    reps, size = column(t, "rep").to_numpy(), column(t, "size").to_numpy().astype(np.float64)
+    linked = np.flatnonzero(near.any(axis=1))
+    counts = np.concatenate([near[linked[at : at + 256]].astype(np.float64) @ size for at in range(0, len(linked), 256)] or [size[:0]])
     forest, links = Forest(m), []
-    for i in np.flatnonzero(near.any(axis=1)).tolist():
+    for i in linked.tolist():
         links += [(int(reps[i]), int(reps[j])) for j in forest.join(i, np.flatnonzero(near[i])).tolist()]
-    return reps, near @ size, links
+    return reps[linked], counts.astype(np.int64), links
 
 
-def _compared(members: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+def _compared(members: DataFrame, threshold: float, trees: int, leaf: int, spill: float, block_rows: int, block_values: int, seed: int) -> DataFrame:
     """Rows (rep, other, links): counts of new links (other null) and edges (links null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (leaf, _, bi, bj), t in streamed(batches, 4):
+        for (cell, _, _, bi, bj), t in streamed(batches, 5):
             if t.num_rows < 2:
                 continue
-            reps, counts, links = _leaf_links(t, leaf, bi, bj, threshold)
-            hit = counts > 0
-            if hit.any():
-                n = int(hit.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(reps[hit]), pa.nulls(n, pa.int64()), pa.array(counts[hit], pa.int64())], ["rep", "other", "links"])
+            reps, counts, links = _cell_links(t, cell, bi, bj, threshold, trees, leaf, spill, seed)
+            if len(reps):
+                yield pa.RecordBatch.from_arrays([pa.array(reps), pa.nulls(len(reps), pa.int64()), pa.array(counts)], ["rep", "other", "links"])
             if links:
                 a, b = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], ["rep", "other", "links"])
 
-    dealt = block_pairs(members, ["leaf", "label"], F.col("rep"), F.lit(1), block_rows, block_rows)
-    keys = ["leaf", "label", "bi", "bj"]
-    rows = dealt.select(*keys, "own", "rep", "size", "codes", "embedding").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = block_pairs(members, ["cell", "g1", "g2"], F.col("rep"), F.size("embedding"), block_rows, block_values, alone=2)
+    keys = ["cell", "g1", "g2", "bi", "bj"]
+    rows = dealt.select(*keys, "own", "rep", "size", "cells", "embedding").repartition(*keys).sortWithinPartitions(*keys)
     return rows.mapInArrow(run, "rep long, other long, links long")
 
 
+def _usable(e: Column) -> Column:
+    return F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
+
+
 def near_duplicate_vectors(
     vectors: DataFrame,
     threshold: float = 0.98,
-    trees: int = 5,
-    spill: float = 0.03,
-    leaf: int = 256,
-    max_depth: int = 12,
-    sample: int = 20_000,
-    block_rows: int = 1024,
+    trees: int = 8,
+    leaf: int = 128,
+    spill: float = 0.4,
+    coarse: int = 3,
+    cell_rows: int = 8192,
+    cell_values: int = 1 << 23,
+    sample: int = 65_536,
     seed: int = 7,
     id_col: str = "vec_id",
     embedding: str = "embedding",
@@ -159,40 +252,44 @@ def near_duplicate_vectors(
 ) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of ``vectors``.
 
-    Vectors are linked where their labels are equal and not null and their
-    cosine is at least ``threshold``. Vectors that are null, zero, of another
-    dimension than most, or with null or non-finite components link with nothing. ``n_links`` counts
-    the other rows linked directly, ``component_id`` is the smallest id
-    reachable, ``kept`` tells whether it is the row's own. Null ids count as
-    the largest; an empty table gives no rows.
+    Vectors are linked where their labels, of any type that Spark can hash, are
+    equal and not null, their dimensions are equal, and their cosine is at least
+    ``threshold``. Vectors that are null, zero, or with null or non-finite
+    components link with nothing. Arrays of floats are kept as they are, all
+    others are doubles. ``n_links`` counts the other rows linked directly,
+    ``component_id`` is the smallest id reachable, ``kept`` tells whether it is
+    the row's own. Null ids count as the largest; rows of one id with different
+    vectors are different vectors; an empty table gives no rows. Labels and
+    vectors are told apart by 128-bit hashes.
 
-    Splits are fitted on ``sample`` classes, the first by hash; all rows are
-    indexed. Pairs are met but for a chance that falls with ``trees`` and
-    ``spill``; the defaults miss fewer than one in a thousand at 0.98.
+    A cell holds at most ``cell_rows`` vectors and ``cell_values`` numbers.
+    Coarse trees are fitted on ``sample`` classes at most (in expectation, of 64
+    dimensions, fewer of more); all rows are indexed. A cell that stays larger
+    is compared in blocks, so that nothing is left out. ``spill`` is in units of
+    the deviation of a pair at the threshold along a random direction.
     """
-    e = F.col(embedding)
-    usable = e.isNotNull() & F.col(label).isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
-    rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<float>").alias("embedding"), F.coalesce(usable, F.lit(False)).alias("usable"))
-    dims = rows.where("usable").groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "d").first()
-    if dims is None:
-        return rows.select(F.when(F.col("id") != _LAST, F.col("id")).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.when(F.col("id") != _LAST, F.col("id")).alias("component_id"), F.lit(True).alias("kept"))
-    dim = dims["d"]
-    keyed = written(rows.withColumn("usable", F.col("usable") & (F.size("embedding") == dim)).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(5), "embedding")}), "vectors")
-    key = ["label", "h1", "h2"]
-    classes = written(keyed.where("usable").groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("embedding").alias("embedding")), "vector-classes")
-    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    picked = classes.orderBy(F.xxhash64(F.lit(seed), "rep"), "rep").limit(sample).select("embedding").toArrow()
-    points = _unit(np.array(picked.column(0).to_pylist(), dtype=np.float32))
-    depth = _depth(largest, leaf, max_depth)
-    forest = [RandomTree(points, depth, spill, seed + i) for i in range(trees)]
-    met = written(_compared(_indexed(classes, forest, dim), threshold, block_rows), "vector-links")
+    kind = dict(vectors.dtypes)[embedding]
+    e = F.col(embedding) if kind == "array<float>" else F.col(embedding).cast("array<double>")
+    usable = F.coalesce(F.col(label).isNotNull() & _usable(e), F.lit(False))
+    rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(label).alias("label"), e.alias("embedding"), usable.alias("usable"))
+    hashes = {f"{k}{i}": F.xxhash64(F.lit(s), *c) for k, c in (("g", ["label", F.size("embedding")]), ("h", ["embedding"])) for i, s in ((1, 3), (2, 5))}
+    keyed = written(rows.withColumns(hashes).drop("label"), "vectors")
+    key = ["g1", "g2", "h1", "h2"]
+    whole = keyed.where("usable").groupBy(*key).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("embedding").alias("embedding"))
+    classes = written(whole.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
+    forest = coarse_forest(classes, threshold, coarse, spill, cell_rows, cell_values, sample, seed)
+    # a pair of blocks is as large as a cell
+    met = written(_compared(_dealt(classes, forest), threshold, trees, leaf, spill, max(1, cell_rows // 2), max(1, cell_values // 2), seed), "vector-links")
     counts = met.where("other IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))
-    found = components(met.where("links IS NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    found = components(met.where("links IS NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "rep")
+    ids = classes.select("rep", "id")
+    firsts = found.join(ids, "rep").groupBy("component").agg(F.min("id").alias("first"))
+    of_linked = found.join(firsts, "component").select("rep", "first")
     named = (
-        classes.select(*key, "rep", "size")
+        classes.select(*key, "rep", "id", "size")
         .join(counts, "rep", "left")
-        .join(found.withColumnRenamed("id", "_id"), F.col("rep") == F.col("_id"), "left")
-        .select(*key, (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+        .join(of_linked, "rep", "left")
+        .select(*key, (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("first", "id").alias("component"))
     )
     linked = keyed.where("usable").select("id", *key).join(named, key).select("id", "n_links", "component")
     alone = keyed.where("NOT usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))

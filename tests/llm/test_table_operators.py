@@ -177,17 +177,21 @@ def vectors():
     return rows + [(n, None, 0), (n + 1, [0.0] * 16, 0), (n + 2, [float("nan")] * 16, 0), (n + 3, [None] + [1.0] * 15, 0), (n + 4, [float("inf")] * 16, 0), (n + 5, [1.0], 0), (n + 6, [], 0)]
 
 
-@pytest.mark.parametrize(("leaf", "block_rows"), [(256, 1024), (8, 6)])
-def test_vectors(spark, leaf, block_rows):
+def brute_links(rows):
+    """Links among (id, vector, label) with usable vectors of equal label and dimension."""
+    good = [(i, np.array(v, dtype=np.float64), lab) for i, v, lab in rows if lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    unit = {i: v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()) for i, v, _ in good}
+    return [(a, b) for a, va, la in good for b, vb, lb in good if a < b and la == lb and len(va) == len(vb) and unit[a] @ unit[b] >= 0.98]
+
+
+@pytest.mark.parametrize(("leaf", "cell_rows"), [(128, 8192), (8, 16)])
+def test_vectors(spark, leaf, cell_rows):
     rows = vectors()
-    good = {i: np.array(v, dtype=np.float64) for i, v, lab in rows if lab is not None and v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
-    label = {i: lab for i, _, lab in rows}
-    edges = [(a, b) for a in good for b in good if a < b and label[a] == label[b] and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= 0.98]
+    edges = brute_links(rows)
     links = Counter(x for e in edges for x in e)
     expect = smallest_reachable([i for i, _, _ in rows], edges)
     df = spark.createDataFrame([(i, v, lab, "x", "y") for i, v, lab in rows], "vec_id long, embedding array<float>, label int, rep string, size string").repartition(3)
-    # in 16 dimensions the angle moves a projection more than in 64, hence the wider spill
-    got = embedding_dedup.near_duplicate_vectors(df, leaf=leaf, block_rows=block_rows, spill=0.08).collect()
+    got = embedding_dedup.near_duplicate_vectors(df, leaf=leaf, cell_rows=cell_rows).collect()
     assert len(got) == len(rows) and len(edges) > 50
     assert {r["vec_id"]: r["n_links"] for r in got} == {i: links[i] for i, _, _ in rows}
     assert {r["vec_id"]: r["component_id"] for r in got} == expect
@@ -196,19 +200,51 @@ def test_vectors(spark, leaf, block_rows):
     assert {r["n_links"] for r in embedding_dedup.near_duplicate_vectors(df.where("embedding is null")).collect()} == {0}
 
 
-def test_recall_in_64_dimensions(spark):
-    rng = np.random.default_rng(8)
-    base = rng.standard_normal((400, 64))
-    base /= np.linalg.norm(base, axis=1, keepdims=True)
+def test_vectors_of_any_dimension_and_label(spark):
+    """Every dimension is compared, doubles stay doubles, huge and tiny components keep their direction, labels may be text."""
+    rows = [(0, [1.0, 2.0], "a"), (1, [1.0, 2.001], "a"), (2, [2.0, 1.0], "a"), (3, [1.0, 2.0, 3.0], "a"), (4, [1.0, 2.0, 3.0], "a"), (5, [1.0, 2.0, 3.0], "b"), (6, [1e300, 5e300], "a"), (7, [1e300, 1e300], "a"), (8, [1e-310, 5e-310], "a"), (9, [1.0, 2.0, 3.0], None), (10, [1.0, 2.0, 3.0], ""), (11, [-1.0, -2.0], "a")]
+    edges = brute_links(rows)
+    links = Counter(x for e in edges for x in e)
+    assert {(0, 1), (3, 4), (6, 8)} <= set(edges) and (6, 7) not in edges
+    got = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == {i: links[i] for i, _, _ in rows}
+    assert {r["vec_id"]: r["component_id"] for r in got} == smallest_reachable([i for i, _, _ in rows], edges)
+
+
+def test_vectors_without_id_or_of_one_id(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (7, [0.0, 1.0], 1), (None, [1.0, 0.01], 1), (None, [1.0, 1.0], 1), (None, None, 1)]
+    got = Counter(tuple(r) for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == {(5, 1, 5, True): 2, (7, 1, 5, False): 1, (None, 1, 5, False): 1, (None, 0, None, True): 2}
+
+
+def hard_pairs(n, dim, seed):
+    """Pairs with cosine 0.9805, just above the threshold."""
+    rng = np.random.default_rng(seed)
     data = []
-    for i, b in enumerate(base):
-        d = rng.standard_normal(64)
+    for i, b in enumerate(rng.standard_normal((n, dim))):
+        b /= np.linalg.norm(b)
+        d = rng.standard_normal(dim)
         d -= (d @ b) * b
-        d *= np.sqrt(1 - 0.9805**2) / np.linalg.norm(d)  # cosine 0.9805, the hardest case
+        d *= np.sqrt(1 - 0.9805**2) / np.linalg.norm(d)
         data += [(2 * i, b.astype(np.float32).tolist(), 1), (2 * i + 1, (0.9805 * b + d).astype(np.float32).tolist(), 1)]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
-    got = embedding_dedup.near_duplicate_vectors(df, leaf=16).collect()
-    assert sum(r["n_links"] >= 1 for r in got) >= 0.99 * len(data)
+    return data
+
+
+@pytest.mark.parametrize(("n", "dim", "options", "least"), [(400, 64, {"leaf": 16}, 0.99), (3000, 64, {"leaf": 16, "cell_rows": 64}, 0.99), (3000, 8, {"leaf": 16, "cell_rows": 64}, 0.95)])
+def test_recall_at_the_threshold(spark, n, dim, options, least):
+    """Of trees within cells only, and of coarse trees with some seven levels of splits above them."""
+    df = spark.createDataFrame(hard_pairs(n, dim, 8), "vec_id long, embedding array<float>, label int")
+    got = embedding_dedup.near_duplicate_vectors(df, **options).collect()
+    assert sum(r["n_links"] >= 1 for r in got) >= least * 2 * n
+
+
+def test_a_dense_cluster_is_compared_in_blocks(spark):
+    """No direction splits it, so trees must not send it both ways again and again."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(32)
+    data = [(i, (base + rng.standard_normal(32) * 0.01).astype(np.float32).tolist(), 1) for i in range(700)]
+    got = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"), leaf=8, cell_rows=64).collect()
+    assert {r["n_links"] for r in got} == {699} and {r["component_id"] for r in got} == {0}
 
 
 # ---- mixing
@@ -258,7 +294,10 @@ def test_mixing(spark):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     clashing = df.withColumns({"id": F.lit(1), "fingerprint": F.lit(1), "copies": F.lit(1)})
     out = mixing.mixed(clashing)
-    assert out.columns == clashing.columns and out.count() == sum(r["copies"] for r in got)
+    words = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert out.columns == clashing.columns
+    for s in sizes:
+        assert abs(words.get(s, 0) - target[s]) <= max(size[r[1]] for r in rows if r[3] == s) + 1
     assert mixing.mix(df.limit(0)).count() == 0
     assert sum(r["copies"] for r in mixing.mix(df.where("text is null")).collect()) == 0
 
