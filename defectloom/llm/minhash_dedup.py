@@ -7,9 +7,11 @@
    the wanted similarity share most of their retained values, so each document
    is listed under its rarest ones only, as many as it takes for two such
    documents to meet; passages that many documents share make no lists.
-3. Documents that share a list meet under that list's first document. In such
-   a group, the similarity estimated from union sketches drops documents that
-   are near to no other; large groups are compared in blocks.
+3. Documents that share a list meet under that list's first document. In a
+   group of several blocks all are first compared with eight of its members;
+   what is linked to the same ones is one star, whose members need not meet.
+   The similarity estimated from union sketches then drops documents that are
+   near to no other; large groups are compared in blocks.
 4. For those left the full sets are read again, and exact similarity links
    them. A block returns a spanning forest of its links, not its pairs.
 5. Links make components; the smallest id names each.
@@ -26,14 +28,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from defectloom.llm.blocks import Forest, block_pairs, column, lists, slices_of_bytes, streamed
-from defectloom.llm.common import written
+from defectloom.llm.common import numbered, written
 from defectloom.llm.components import components
 
 _LAST = (1 << 63) - 1
@@ -201,11 +204,14 @@ def _across(own: np.ndarray, bi: int, bj: int) -> np.ndarray | None:
 
 
 def promising(groups: DataFrame, k: int, percent: int, block_rows: int) -> DataFrame:
-    """The rows (pivot, rep) of ``groups`` (pivot, rep, n, sketch) that some other member may be similar to."""
+    """The rows (pivot, rep, star) of ``groups`` (pivot, rep, star, n, sketch) that some other member may be similar to."""
+
+    names = ["pivot", "rep", "star"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots: list[int] = []
         reps: list[np.ndarray] = []
+        stars: list[np.ndarray] = []
         for (pivot, bi, bj), t in streamed(batches, 3):
             if t.num_rows > 1:
                 values, offsets = lists(column(t, "sketch"))
@@ -214,28 +220,27 @@ def promising(groups: DataFrame, k: int, percent: int, block_rows: int) -> DataF
                 hit = (ok if across is None else ok & across).any(axis=1)
                 if hit.any():
                     reps.append(column(t, "rep").to_numpy()[hit])
+                    stars.append(column(t, "star").to_numpy()[hit])
                     pivots += [pivot] * int(hit.sum())
             if len(pivots) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(pivots, pa.int64()), pa.array(np.concatenate(reps))], ["pivot", "rep"])
-                pivots, reps = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(pivots, pa.int64()), pa.array(np.concatenate(reps)), pa.array(np.concatenate(stars))], names)
+                pivots, reps, stars = [], [], []
         if pivots:
-            yield pa.RecordBatch.from_arrays([pa.array(pivots, pa.int64()), pa.array(np.concatenate(reps))], ["pivot", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(pivots, pa.int64()), pa.array(np.concatenate(reps)), pa.array(np.concatenate(stars))], names)
 
-    dealt = block_pairs(groups, ["pivot"], F.col("rep"), F.lit(1), block_rows, block_rows)
-    rows = dealt.select("pivot", "bi", "bj", "own", "rep", "n", "sketch").repartition("pivot", "bi", "bj").sortWithinPartitions("pivot", "bi", "bj")
-    return rows.mapInArrow(run, "pivot long, rep long").distinct()
+    dealt = block_pairs(groups, ["pivot"], F.col("rep"), F.lit(1), block_rows, block_rows, star="star")
+    rows = dealt.select("pivot", "bi", "bj", "own", "rep", "star", "n", "sketch").repartition("pivot", "bi", "bj").sortWithinPartitions("pivot", "bi", "bj")
+    return rows.mapInArrow(run, "pivot long, rep long, star int").distinct()
 
 
 def _exact_links(t: pa.Table, across: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose full sets are similar enough."""
-    sets = [np.frombuffer(b, dtype=np.int64) for b in column(t, "set").to_pylist()]
-    n = np.array([len(s) for s in sets])
-    reps = column(t, "rep").to_numpy()
-    offsets = np.concatenate([[0], np.cumsum(n)])
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    values, offsets = lists(column(t, "set"))
+    n, reps = np.diff(offsets), column(t, "rep").to_numpy()
+    _, code = np.unique(values, return_inverse=True)
     mark = np.zeros(int(code.max()) + 1 if len(code) else 0, dtype=np.int32)
-    forest, links = Forest(len(sets)), []
-    for i in range(len(sets) - 1):
+    forest, links = Forest(len(n)), []
+    for i in range(len(n) - 1):
         may = forest.root != forest.root[i]
         may[: i + 1] = False
         may &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
@@ -246,7 +251,7 @@ def _exact_links(t: pa.Table, across: np.ndarray | None, percent: int) -> list[t
             continue
         own = code[offsets[i] : offsets[i + 1]]
         mark[own] = 1
-        if len(others) * 4 > len(sets):
+        if len(others) * 4 > len(n):
             running = np.concatenate([[0], np.cumsum(mark[code])])
             both = running[offsets[others + 1]] - running[offsets[others]]
         else:
@@ -259,14 +264,14 @@ def _exact_links(t: pa.Table, across: np.ndarray | None, percent: int) -> list[t
 
 
 def linked(members: DataFrame, percent: int, block_rows: int, block_weight: int) -> DataFrame:
-    """Edges (a, b) that span the links among rows (pivot, rep, n, set) of each group."""
+    """Edges (a, b) that span the links among rows (pivot, rep, star, n, set) of each group, but those within a star."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, bi, bj), t in streamed(batches, 3):
             if t.num_rows > 1 and (links := _exact_links(t, _across(column(t, "own").to_numpy(), bi, bj), percent)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
-    dealt = block_pairs(members, ["pivot"], F.col("rep"), F.col("n"), block_rows, block_weight)
+    dealt = block_pairs(members, ["pivot"], F.col("rep"), F.col("n"), block_rows, block_weight, star="star")
     rows = dealt.select("pivot", "bi", "bj", "own", "rep", "set").repartition("pivot", "bi", "bj").sortWithinPartitions("pivot", "bi", "bj")
     return rows.mapInArrow(run, "a long, b long")
 
@@ -281,13 +286,15 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
         for batch in batches:
             for part in slices_of_bytes(batch, 1):
                 sets = shingle_sets([t or b"" for t in part.column(1).to_pylist()], words)
-                yield pa.RecordBatch.from_arrays([part.column(0), *_fingerprints(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "f1", "f2", "set"])
+                ends = np.cumsum([len(s) for s in sets])
+                full = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *_fingerprints(sets), full], ["id", "n", "f1", "f2", "set"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.encode(F.col(text), "UTF-8").alias("t"))
 
     def read(ids: DataFrame) -> DataFrame:
         few = ids.count() <= broadcast_ids
-        return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, n long, f1 long, f2 long, set binary").where("n > 0")
+        return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, n long, f1 long, f2 long, set array<long>").where("n > 0")
 
     found = read(wanted.select("id").where(F.col("id") != _LAST).distinct())
     nameless = wanted.where(F.col("id") == _LAST).drop("id")
@@ -297,6 +304,61 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
     return found
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _classes(hits: pd.Series) -> pd.Series:
+    """Of lists of numbers that belong together, the smallest number that each number's leads to, by number."""
+
+    def joined(lists_: list[list[int]]) -> list[int]:
+        root = list(range(1 + max((x for h in lists_ for x in h), default=-1)))
+        for h in lists_:
+            old = {root[x] for x in h}
+            root = [min(old) if r in old else r for r in root]
+        return root
+
+    return hits.map(joined)
+
+
+def stars(docs: DataFrame, groups: DataFrame, classes: DataFrame, words: int, percent: int, block_rows: int, id_col: str, text: str, broadcast_ids: int, leaders: int = 8, broadcast_hashes: int = 4_000_000) -> tuple[DataFrame, DataFrame | None]:
+    """``groups`` (pivot, rep) with a column star, and the edges (a, b) that were found; star is -1 where nothing is known.
+
+    In groups of more than ``block_rows`` members, all members' full sets are
+    compared with those of ``leaders`` members, the first by hash. A member
+    belongs to the star of the leaders that it is linked to; leaders with a
+    common member are one star. A star's members are in one component, so they
+    need not be compared with each other, and a group of a million near copies
+    is linked by a million comparisons instead of a million squared.
+
+    Leaders' sets are broadcast up to ``broadcast_hashes`` values in all, and
+    joined by a shuffle that can split groups beyond that.
+    """
+    none = F.lit(-1).alias("star")
+    sizes = groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("_n"), *[F.min(F.struct(F.xxhash64(F.lit(i), "rep"), "rep")).getField("rep").alias(f"_l{i}") for i in range(leaders)])
+    large = written(sizes.where(F.col("_n") > block_rows).select("pivot", F.array_distinct(F.array(*[f"_l{i}" for i in range(leaders)])).alias("first")), "large-groups")
+    n = large.count()
+    if not n:
+        return groups.select("pivot", "rep", none), None
+    side = F.broadcast(large.select("pivot")) if n <= 100_000 else large.select("pivot")
+    members = groups.join(side, "pivot")
+    wanted = members.select("rep").distinct().join(classes.select("rep", "id", "n", "f1", "f2"), "rep")
+    sets = written(_full_sets(docs, wanted.drop("rep"), words, id_col, text, broadcast_ids).join(wanted, ["id", "n", "f1", "f2"]).select("rep", "n", "set"), "group-sets")
+    of_leader = large.select("pivot", F.explode("first").alias("rep")).join(sets, "rep")
+    total = of_leader.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lead = of_leader.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("rep", "set"))).alias("lead"))  # at most ``leaders`` of each
+    compared = members.join(sets, "rep").join(F.broadcast(lead) if total <= broadcast_hashes else lead, "pivot")
+
+    def close(x, i):
+        both = F.size(F.array_intersect(x["set"], F.col("set")))
+        return F.when(100 * both >= percent * (F.size(x["set"]) + F.col("n") - both), i)
+
+    hits = F.filter(F.transform("lead", close), lambda i: i.isNotNull())
+    seen = written(compared.select("pivot", "rep", hits.alias("hits"), F.transform("lead", lambda x: x["rep"]).alias("lead")), "stars")
+    class_of = seen.where(F.size("hits") > 0).groupBy("pivot").agg(F.collect_set("hits").alias("hits")).select("pivot", _classes("hits").alias("class"))
+    edges = seen.select("rep", F.explode(F.transform("hits", lambda i: F.get("lead", i))).alias("b")).where("rep <> b").select(F.col("rep").alias("a"), "b")
+    named = seen.join(F.broadcast(class_of) if n <= 100_000 else class_of, "pivot", "left").select("pivot", "rep", F.coalesce(F.get("class", F.get("hits", F.lit(0))), F.lit(-1)).alias("star"))
+    rest = groups.join(side, "pivot", "left_anti").select("pivot", "rep", none)
+    return rest.unionByName(named), edges
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -327,11 +389,11 @@ def _judged(docs: DataFrame, words: int, percent: int, k: int, id_col: str, text
     base = written(sketches(docs, words, k, id_col, text), "sketches")
     whole = base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
     classes = written(whole.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    groups = meeting_groups(classes, k, percent).join(classes.select("rep", "n", "sketch"), "rep")
-    near = written(promising(groups, k, percent, block_rows).join(classes.select("rep", "id", "n", "f1", "f2"), "rep"), "promising")
+    met, known = stars(docs, written(meeting_groups(classes, k, percent), "groups"), classes, words, percent, block_rows, id_col, text, broadcast_ids)
+    near = written(promising(met.join(classes.select("rep", "n", "sketch"), "rep"), k, percent, block_rows).join(classes.select("rep", "id", "n", "f1", "f2"), "rep"), "promising")
     sets = written(_full_sets(docs, near.select("id", "n", "f1", "f2").distinct(), words, id_col, text, broadcast_ids), "sets")
     edges = linked(near.join(sets, ["id", "n", "f1", "f2"]), percent, block_rows, block_weight)
-    found = components(edges).withColumnRenamed("id", "rep")
+    found = components(edges if known is None else edges.unionByName(known)).withColumnRenamed("id", "rep")
     of_linked = found.join(classes.select("rep", "id", "n", "f1", "f2"), "rep")
     firsts = of_linked.groupBy("component").agg(F.min(F.struct("id", "n", "f1", "f2")).alias("first"))
     # nearly all classes are alone; theirs is their own smallest id
@@ -369,6 +431,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_
 
     A row without an id goes only if its own text is linked; without words, it stays.
     """
+    names = docs.columns
+    docs, (id_col, text) = numbered(docs, id_col, text)
     found = written(_judged(docs, words, percent, k, id_col, text, block_rows, block_weight, broadcast_ids), "near-duplicates")
     several = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_several")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_several")
     gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
@@ -387,7 +451,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_
         once = named.join(several, key == F.col("_several"), "left_anti")
         left = once.join(sized(gone), key == F.col("_gone"), "left_anti")
     if not shared and not without_id:
-        return left
+        return left.toDF(*names)
     unsure = nameless if not shared else nameless.unionByName(named.join(several, key == F.col("_several"), "left_semi"))
     marked = _with_fingerprints(unsure, words, text).withColumn("_id", F.coalesce(key, F.lit(_LAST)))
     bad = found.where("NOT kept").select(F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.col("n_shingles").alias("_n"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2")).distinct()
@@ -395,4 +459,4 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_
     empty = F.col("_id").eqNullSafe(_LAST) & (F.col("_n") == 0)
     order = F.row_number().over(Window.partitionBy("_id", "_n", "_f1", "_f2").orderBy(F.col(text), F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t and t != "variant"])))
     first = rows.where(~empty).withColumn("_rank", order).where("_rank = 1")
-    return left.unionByName(first.select(*docs.columns)).unionByName(rows.where(empty).select(*docs.columns))
+    return left.unionByName(first.select(*docs.columns)).unionByName(rows.where(empty).select(*docs.columns)).toDF(*names)
