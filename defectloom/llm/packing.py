@@ -29,12 +29,15 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class SumOfSquares:
     """Windows of ``size`` tokens, filled online.
 
-    ``emit(window, pieces)`` gets each closed window's pieces, of the form
-    (doc, start, ids, doc_tokens) with ``ids`` as bytes.
+    ``emit(pieces)`` gets each closed window's pieces, of the form
+    (doc, start, ids, doc_tokens) with ``ids`` as bytes. Of levels that change
+    the sum alike the lowest is taken. Where more than ``most`` windows are
+    open, as when every document has just over half a window, half of them are
+    closed as at the end, so memory holds ``most * size`` ids.
     """
 
-    def __init__(self, size: int, emit: Callable[[list[tuple]], None]):
-        self.size, self.emit = size, emit
+    def __init__(self, size: int, emit: Callable[[list[tuple]], None], most: int = 4096):
+        self.size, self.emit, self.most, self.n_open = size, emit, most, 0
         self.count = np.zeros(size + 1, dtype=np.int64)
         self.open: list[list[list[tuple]]] = [[] for _ in range(size + 1)]
 
@@ -59,19 +62,29 @@ class SumOfSquares:
         pieces = self.open[level].pop() if level else []
         if level:
             count[level] -= 1
+            self.n_open -= 1
         pieces.append(piece)
         if level + n == size:
             self.emit(pieces)
-        else:
-            count[level + n] += 1
-            self.open[level + n].append(pieces)
-
-    def close(self) -> None:
-        """Fills the fuller windows with pieces cut off the emptier ones, then splits the last into powers of two."""
+            return
+        self._keep(level + n, pieces)
+        if self.n_open > self.most:
+            for level, pieces in self._fill(self.most // 2):
+                self._keep(level, pieces)
+
+    def _keep(self, level: int, pieces: list[tuple]) -> None:
+        self.count[level] += 1
+        self.open[level].append(pieces)
+        self.n_open += 1
+
+    def _fill(self, keep: int) -> list[tuple[int, list[tuple]]]:
+        """Fills and closes the fullest windows with pieces cut off the emptiest ones; the at most ``keep`` windows (level, pieces) that stay."""
         windows = [(level, pieces) for level in range(self.size - 1, 0, -1) for pieces in self.open[level]]
+        self.open, self.n_open = [[] for _ in range(self.size + 1)], 0
+        self.count[:] = 0
         loose: list[tuple] = []
         first, last = 0, len(windows) - 1
-        while first < last or (first == last and loose):
+        while first <= last and last - first + 1 + bool(loose) > keep:
             level, pieces = windows[first]
             while level < self.size:
                 if not loose:
@@ -90,9 +103,13 @@ class SumOfSquares:
                 break
             self.emit(pieces)
             first += 1
-        rest = loose[::-1] if loose else windows[first][1] if first <= last and first < len(windows) else []
+        left = windows[first : last + 1]
+        return [*left, (sum(len(p[2]) // 4 for p in loose), loose[::-1])] if loose else left
+
+    def close(self) -> None:
+        """Closes all windows; the last one is split into powers of two."""
+        rest = [piece for _, pieces in self._fill(1) for piece in pieces][::-1]
         left = sum(len(p[2]) // 4 for p in rest)
-        rest = rest[::-1]
         while left:
             room, out = 1 << (left.bit_length() - 1), []
             left -= room
@@ -114,7 +131,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id
     at least one piece, repeated rows each their own. Sequences have ``size``
     tokens, or a power of two; ``offset`` runs without gaps from 0. Sequence ids
     hold the partition in their upper bits, and depend on how the input is
-    split. Memory is bounded by one document, one batch, and the windows open.
+    split, as does which level wins a tie. Memory is bounded by one document, one
+    batch, and 4096 open windows. An empty table gives no rows.
     """
     path = tokenizer or bpe.default_tokenizer()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
