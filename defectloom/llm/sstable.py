@@ -217,9 +217,11 @@ def _open(path: str):
 def write_tables(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text: str = "text", cache_entries: int = 1_000_000) -> list[tuple[str, int, int]]:
     """Writes the shards under ``folder`` and returns (file, records, tokens) of each, in key order.
 
-    Texts are dealt by id range and sorted before they are encoded, so ids are
-    never shuffled. Null texts are empty, null ids come first, rows of equal id
-    are in the order of their texts' hashes. The list has one entry per shard.
+    Texts are dealt by ranges of id and text hash and sorted before they are
+    encoded, so ids are never shuffled and an id of very many rows, such as
+    null, takes several shards (equal texts of one id lie in one). Null texts
+    are empty, null ids come first, rows of equal id are in the order of their
+    texts' hashes. The list has one entry per shard.
     """
     path = tokenizer or bpe.default_tokenizer()
     folder = folder.rstrip("/")
@@ -247,8 +249,9 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int64()), (name, pa.string()), (writer.records, pa.int64()), (writer.tokens, pa.int64()))], ["shard", "file", "records", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    dealt = rows.repartitionByRange("id").sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("t"))
-    shards = dealt.mapInArrow(run, "shard long, file string, records long, tokens long").collect()  # one row per shard
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    dealt = rows.repartitionByRange("id", "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
+    shards = dealt.select("id", "t").mapInArrow(run, "shard long, file string, records long, tokens long").collect()  # one row per shard
     return [(r["file"], r["records"], r["tokens"]) for r in sorted(shards, key=lambda r: r["shard"])]
 
 
@@ -258,11 +261,10 @@ def read_tables(spark, folder: str, shards: list[tuple[str, int, int]]) -> DataF
     for name, _, tokens in shards:
         starts.append((name, total))
         total += tokens
-    files = spark.createDataFrame(starts, "file string, start long").repartition(max(1, len(starts)), "file") if starts else spark.createDataFrame([], "file string, start long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, start in (starts[i] for i in batch.column(0).to_pylist()):
                 fs, at = _open(folder)
                 with fs.open_input_file(f"{at}/{name}") as file:
                     reader, out = TableReader(file), []
@@ -275,7 +277,7 @@ def read_tables(spark, folder: str, shards: list[tuple[str, int, int]]) -> DataF
                             out = []
                     yield _batch(out)
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.range(0, len(starts), 1, max(1, len(starts))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -283,7 +285,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def lookup(folder: str, shards: list[tuple[str, int, int]], doc_id: int | None) -> list[bytes]:
-    """Ids of the documents with this id: binary search over the shards' first keys, then in one shard."""
+    """Ids of the documents with this id: binary search over the shards' first keys, then in the shards that may hold it."""
     key, found = key_of(doc_id), []
     fs, at = _open(folder.rstrip("/"))
     lo, hi = 0, len(shards) - 1
@@ -294,7 +296,7 @@ def lookup(folder: str, shards: list[tuple[str, int, int]], doc_id: int | None)
     while lo < hi:
         mid = (lo + hi + 1) // 2
         first = next((reader(j).first_keys[0] for j in range(mid, hi + 1) if shards[j][1]), None)
-        if first is not None and first <= key:
+        if first is not None and first < key:  # a key may begin in the shard before one that it fills
             lo = mid
         else:
             hi = mid - 1
