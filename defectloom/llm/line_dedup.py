@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from defectloom.llm.common import ascii_lower, written
+from defectloom.llm.common import ascii_lower, numbered, written
 
 _SPACE = " \t\n\x0b\x0c\r"
 _LAST = (1 << 63) - 1
@@ -69,7 +69,7 @@ def drop_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_c
     return runs.groupBy("_d", "_t").agg(F.sort_array(F.collect_list(F.struct("start", "len"))).cast(_RUNS).alias("_runs"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 10, hot_share: float = 0.001) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 10, hot_share: float = 0.001, broadcast_docs: int = 20_000) -> DataFrame:
     """``docs`` with columns n_lines, n_dropped, drop_runs (the compressed bitmap) and kept_text added, in place of any of these names.
 
     A line's key has no ASCII white space at its ends and A to Z in lower case.
@@ -79,10 +79,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     every line keeps its row with an empty text. Null ids count as one document
     after all others; rows alike in id and text are treated alike. An empty
     table gives no rows.
+
+    Bitmaps of at most ``broadcast_docs`` documents are broadcast, so that no
+    text is shuffled; beyond that texts and bitmaps meet in a sort-merge join,
+    which can spill and splits skewed keys.
     """
     docs = docs.drop("n_lines", "n_dropped", "drop_runs", "kept_text")
-    runs = drop_runs(docs, id_col, text, min_chars, hot_share).hint("shuffle_hash")
-    joined = docs.withColumns(_named(docs, id_col, text)).join(runs, ["_d", "_t"], "left").drop("_d", "_t")
+    names = docs.columns
+    docs, (id_col, text) = numbered(docs, id_col, text)
+    runs = written(drop_runs(docs, id_col, text, min_chars, hot_share), "runs")
+    n_docs, n_runs = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_runs")), F.lit(0))).first()
+    few = n_docs <= broadcast_docs and n_runs <= 32 * broadcast_docs
+    joined = docs.withColumns(_named(docs, id_col, text)).join(F.broadcast(runs) if few else runs.hint("merge"), ["_d", "_t"], "left").drop("_d", "_t")
     out = joined.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).withColumn("drop_runs", F.coalesce("_runs", F.array().cast(_RUNS)))
     n = F.size("_lines")
     starts = F.concat(F.array(F.lit(0)), F.transform("drop_runs", lambda r: r["start"] + r["len"]))
@@ -91,4 +99,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     kept = F.array_join(F.transform(keep, lambda r: F.array_join(F.slice("_lines", r["a"] + 1, r["n"]), "\n")), "\n")
     lost = F.aggregate("drop_runs", F.lit(0), lambda s, r: s + r["len"])
     kept = F.when(F.size("drop_runs") == 0, F.coalesce(F.col(text), F.lit(""))).otherwise(kept)
-    return out.select(*docs.columns, n.cast("long").alias("n_lines"), lost.cast("long").alias("n_dropped"), "drop_runs", kept.alias("kept_text"))
+    out = out.select(*docs.columns, n.cast("long"), lost.cast("long"), "drop_runs", kept)
+    return out.toDF(*names, "n_lines", "n_dropped", "drop_runs", "kept_text")
