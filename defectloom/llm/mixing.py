@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from defectloom.llm.common import checkpointed, written
+from defectloom.llm.common import checkpointed, numbered, written
 
 
 def word_count(text: Column) -> Column:
@@ -144,11 +144,13 @@ def mix(
     id_col: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    fingerprint: Column | None = None,
 ) -> DataFrame:
     """Rows (id, fingerprint, source, size, source_size, target, copies), one for each row of ``docs``.
 
-    ``size`` counts words. ``fingerprint`` hashes text and source: with the id
-    it names the row, and rows alike in all three are interchangeable. Null
+    ``size`` counts words. ``fingerprint`` hashes text and source, if it is not
+    given: with the id it names the row, and rows alike in both are
+    interchangeable. Null
     texts have no words; null sources are one source, last in order; null ids
     are kept. A document without words, or of a source whose target is 0, has
     no fractional part. Ties and repeated rows are rounded one by one. An empty
@@ -160,7 +162,7 @@ def mix(
     sized = written(
         docs.select(
             F.col(id_col).cast("long").alias("id"),
-            F.xxhash64(F.col(text), F.col(source)).alias("fingerprint"),
+            (F.xxhash64(F.col(text), F.col(source)) if fingerprint is None else fingerprint).alias("fingerprint"),
             F.col(source).cast("string").alias("source"),
             word_count(F.col(text)).alias("size"),
         ),
@@ -184,14 +186,28 @@ def mix(
     )
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """``docs`` with each row as often as :func:`mix` says, in the same columns.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", broadcast_rows: int = 100_000, **options) -> DataFrame:
+    """``docs`` with each row as often as :func:`mix` says, in the same columns of any names.
 
-    Rows alike in id, text and source share their copies: one of them is taken
-    as often as all of them together.
+    Rows are told apart by a hash of all their columns, so rows alike in id and
+    text keep their other columns. Rows alike in everything share their copies:
+    one of them is taken as often as all of them together. Those are thinned
+    out before the join; where there are none, texts are shuffled once. Their
+    list is broadcast up to ``broadcast_rows`` rows.
     """
-    copies = mix(docs, id_col=id_col, text=text, source=source, **options)
-    total = copies.groupBy(F.col("id").alias("_i"), F.col("fingerprint").alias("_f")).agg(F.sum("copies").alias("_copies")).where(F.col("_copies") > 0)
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_fingerprint": F.xxhash64(F.col(text), F.col(source))})
-    joined = keyed.join(total, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_fingerprint") == F.col("_f"))).dropDuplicates(["_id", "_fingerprint"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(c) for c in docs.columns])
+    names = docs.columns
+    docs, (id_col, text, source) = numbered(docs, id_col, text, source)
+    plain = [F.to_json(F.struct(c)) if "map<" in t or "variant" in t else F.col(c) for c, t in docs.dtypes]
+    # nulls leave a hash as it is, so their places are hashed too
+    fingerprint = F.xxhash64(*plain, *[c.isNull() for c in plain])
+    name = {"_mix_i": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_mix_f": fingerprint}
+    copies = mix(docs, id_col=id_col, text=text, source=source, fingerprint=fingerprint, **options)
+    total = written(copies.groupBy(F.coalesce("id", F.lit(0)).alias("_mix_i"), F.col("fingerprint").alias("_mix_f")).agg(F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows")), "copies")
+    keyed = docs.withColumns(name)
+    repeated = total.where("_mix_rows > 1").select(*name)
+    n = repeated.count()
+    if n:
+        side = F.broadcast(repeated) if n <= broadcast_rows else repeated
+        keyed = keyed.join(side, list(name), "left_anti").unionByName(keyed.join(side, list(name), "left_semi").dropDuplicates(list(name)))
+    joined = keyed.join(total.where("_mix_copies > 0"), list(name))
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns).toDF(*names)
