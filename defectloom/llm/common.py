@@ -16,12 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, one machine) a temporary folder
-    takes its place and becomes the session's checkpoint folder.
+    Only where the session has none and all runs on one machine (tests) a
+    temporary folder takes its place and becomes the session's checkpoint folder.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         folder = "file://" + tempfile.mkdtemp(prefix="defectloom-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -53,6 +55,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named c0, c1, ... in order, and the new names of ``names``.
+
+    No column of the operators has such a name, so columns of any names pass
+    through them; ``toDF`` with the old names ends it.
+    """
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), [f"c{docs.columns.index(n)}" for n in names]
+
+
 def ascii_lower(c: Column) -> Column:
     """A to Z in lower case, all else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

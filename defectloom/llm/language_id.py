@@ -199,10 +199,10 @@ class Model:
         return at, self.phrases(data, block) * np.array(self.bits), sizes
 
 
-def train(labelled: DataFrame, text: str, lang: str, key, sample_bytes: int = 40_000, languages_at_once: int = 64) -> list[Model]:
-    """Models of the rows whose language is not null, of at most ``languages_at_once`` languages each.
+def samples(labelled: DataFrame, text: str, lang: str, key, sample_bytes: int = 40_000) -> dict[str, bytes]:
+    """A sample of each language's labelled text, folded.
 
-    The sample of a language is made of whole documents, the first by a hash of
+    It is made of whole documents, the first by a hash of
     ``key`` and text, until it has ``sample_bytes`` bytes; longer documents are
     passed over, and only where a language has no shorter one its first
     document is cut. So a sample has less than twice ``sample_bytes`` bytes.
@@ -228,18 +228,24 @@ def train(labelled: DataFrame, text: str, lang: str, key, sample_bytes: int = 40
                 break
         depth[x] = (use, z)
     if not depth:
-        return []
+        return {}
     spark = labelled.sparkSession
     wanted = spark.createDataFrame([(x, f, z) for x, (f, z) in sorted(depth.items())], "lang string, fits boolean, least int")
     near = rows.join(F.broadcast(wanted), ["lang", "fits"]).where(F.col("z") >= F.col("least"))
     alike = near.groupBy("lang", "h").agg(F.first(F.substring("t", 1, sample_bytes)).alias("t"))
     before = F.sum(F.octet_length("t")).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
     picked = alike.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < sample_bytes).select("lang", "h", "t").collect()
-    samples: dict[str, bytes] = {}
+    found: dict[str, bytes] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["h"])):
-        samples[r["lang"]] = samples.get(r["lang"], b"") + b" " + folded(r["t"])
-    names = sorted(x for x, s in samples.items() if s.strip())
-    return [Model({x: samples[x] for x in names[i : i + languages_at_once]}) for i in range(0, len(names), languages_at_once)]
+        found[r["lang"]] = found.get(r["lang"], b"") + b" " + folded(r["t"])
+    return {x: found[x] for x in sorted(found) if found[x].strip()}
+
+
+def train(labelled: DataFrame, text: str, lang: str, key, sample_bytes: int = 40_000, languages_at_once: int = 64) -> list[Model]:
+    """Models of the languages in :func:`samples`, of at most ``languages_at_once`` languages each."""
+    found = samples(labelled, text, lang, key, sample_bytes)
+    names = list(found)
+    return [Model({x: found[x] for x in names[i : i + languages_at_once]}) for i in range(0, len(names), languages_at_once)]
 
 
 _SUMS = "_first string, _least double, _sum double, _languages int, _bytes long, _bits double"
