@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ast
 import re
+import warnings
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,11 +22,20 @@ _KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "function"}
 _BRANCH_WORDS = re.compile(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?")
 
 
+def parsed(source: str) -> ast.AST | None:
+    """The syntax tree of Python source; None where it does not parse or is nested too deeply for the parser, which reports that as MemoryError."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            return ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
 def nesting_depth(source: str) -> int:
     """The deepest nesting of branches, loops, try, with and match in Python source; 0 where it does not parse."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    tree = parsed(source)
+    if tree is None:
         return 0
     most, work = 0, [(tree, 0)]
     while work:
@@ -36,12 +47,9 @@ def nesting_depth(source: str) -> int:
 
 
 def _python_functions(source: str) -> list[tuple[str, int, int, int]]:
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
+    tree = parsed(source)
     out = []
-    for f in ast.walk(tree):
+    for f in ast.walk(tree) if tree is not None else ():
         if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef):
             cx = 1 + sum(isinstance(n, _BRANCHES) + (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0) for n in ast.walk(f))
             a = f.args
@@ -49,23 +57,37 @@ def _python_functions(source: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def _closing(source: str) -> tuple[list[int], list[int]]:
+    """Places of all opening braces and of what closes each, one pass for all; -1 where nothing does."""
+    opens, closes, stack = [], [], []
+    for m in re.finditer("[{}]", source):
+        if m[0] == "{":
+            stack.append(len(opens))
+            opens.append(m.start())
+            closes.append(-1)
+        elif stack:
+            closes[stack.pop()] = m.start()
+    return opens, closes
+
+
 def _brace_functions(source: str) -> list[tuple[str, int, int, int]]:
-    """Functions of languages with braces, by pattern; a body runs to the brace that closes it."""
+    """Functions of languages with braces, by pattern; a body runs to the brace that closes it, without any brace to the end."""
     out = []
+    opens, closes = _closing(source)
+    branches = [m.start() for m in _BRANCH_WORDS.finditer(source)]
+    lines = [m.start() for m in re.finditer("\n", source)]
     for m in _FUNCTION.finditer(source):
         name = m[1] or m[3] or m[5] or "(anonymous)"
         if name in _KEYWORDS:
             continue
         params = next((p for p in (m[2], m[4], m[6]) if p is not None), "")
-        at = source.find("{", m.end() - 1)
-        depth, end = 0, len(source)
-        for i in range(at if at >= 0 else len(source), len(source)):
-            depth += (source[i] == "{") - (source[i] == "}")
-            if depth == 0:
-                end = i + 1
-                break
-        body = source[m.start() : end]
-        out.append((name, 1 + len(_BRANCH_WORDS.findall(body)), body.count("\n") + 1, len([p for p in params.split(",") if p.strip()])))
+        at = bisect_left(opens, m.end() - 1)
+        end = closes[at] + 1 if at < len(opens) and closes[at] >= 0 else len(source)
+
+        def within(places: list[int]) -> int:
+            return bisect_left(places, end) - bisect_left(places, m.start())  # noqa: B023
+
+        out.append((name, 1 + within(branches), within(lines) + 1, len([p for p in params.split(",") if p.strip()])))
     return out
 
 
@@ -91,8 +113,32 @@ def measure(path: str, source: str) -> dict:
     }
 
 
+def write_tree(files: DataFrame, root: str) -> int:
+    """Writes rows (path, content) as files under ``root`` from the executors, and returns their number.
+
+    Paths are relative; one that is absolute or steps out of its folder is refused.
+    """
+    import posixpath
+
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root.rstrip("/"))
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if path.startswith("/") or posixpath.normpath(path).split("/")[0] in ("..", "."):
+                    raise ValueError(f"not a path within the tree: {path}")
+                fs.create_dir(posixpath.dirname(f"{base}/{path}"), recursive=True)
+                with fs.open_output_stream(f"{base}/{path}") as out:
+                    out.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def scan_source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Rows (path, length) of files under ``root`` that pass the extension, directory and name filters; contents are not read."""
+    """Rows (path, rel_path, length) of files under ``root`` that pass the extension, directory and name filters; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").removeprefix("file://")) + "/", "")
     named = files.select("path", rel.alias("rel_path"), "length")
