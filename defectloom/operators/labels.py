@@ -11,77 +11,158 @@ from pyspark.sql.window import Window
 from defectloom.functions import paths as P
 
 
-def substantive(lines: Column, changed: Column, comment_marks: Sequence[str] = ("#", "//", "/*", "*"), n: int | None = None) -> Column:
-    """At least three lines changed, and one code line (up to five changed) or two among the first n old lines."""
-    head = F.slice(lines, 1, n) if n else F.slice(lines, F.lit(1), changed)
+# How comment lines begin, by the language's name; other languages have none.
+COMMENT_MARKS = {"python": ("#", '"""', "'''"), "javascript": ("//", "/*", "*"), "typescript": ("//", "/*", "*"), "java": ("//", "/*", "*"), "go": ("//", "/*", "*"), "cpp": ("//", "/*", "*"), "csharp": ("//", "/*", "*")}
+
+
+def substantive_line(line: Column, language: Column, marks: dict[str, Sequence[str]] | None = None) -> Column:
+    """Neither blank nor a comment line of its language."""
+    marks = COMMENT_MARKS if marks is None else marks
+    bare = F.btrim(line, F.lit(" \t\n\r\x0b\x0c"))
+    keep = bare != ""
+    for begins in dict.fromkeys(marks.values()):
+        names = [k for k, v in marks.items() if v == begins]
+        comment = bare.startswith(begins[0])
+        for m in begins[1:]:
+            comment = comment | bare.startswith(m)
+        keep = keep & ~(F.coalesce(language.isin(*names), F.lit(False)) & comment)
+    return keep
+
+
+def substantive(changed: Column, before: Column, after: Column, language: Column, has_diff: Column | None = None, min_churn_ratio: float = 0.01, marks: dict[str, Sequence[str]] | None = None) -> Column:
+    """Whether a change of ``changed`` lines is more than an incidental edit of the file.
+
+    At least three lines change, and ``min_churn_ratio`` of the lines there were
+    (or are, where the text before is null or empty), and of the first
+    ``changed`` lines before at least one (up to five changed) or two are code.
+    Where both texts are missing, five changed lines do.
+    """
+    before, after = F.nullif(before, F.lit("")), F.nullif(after, F.lit(""))
+    n = F.coalesce(changed, F.lit(0))
+    lines = F.size(F.split(F.coalesce(before, after), "\n", -1))
+    code = F.size(F.filter(F.slice(F.split(before, "\n", -1), F.lit(1), F.greatest(n, F.lit(0)).cast("int")), lambda x: substantive_line(x, language, marks)))
+    large = (n >= 3) & (F.coalesce(code, F.lit(0)) >= F.when(n <= 5, 1).otherwise(2)) & (n / lines >= min_churn_ratio)
+    out = F.when(n == 0, False).when(before.isNull() & after.isNull(), n >= 5).otherwise(large)
+    return out if has_diff is None else F.coalesce(has_diff, F.lit(False)) & out
 
-    def code(x: Column) -> Column:
-        bare = F.trim(x)
-        keep = bare != ""
-        for m in comment_marks:
-            keep = keep & ~bare.startswith(m)
-        return keep
 
-    return (changed >= 3) & (F.size(F.filter(head, code)) >= F.when(changed <= 5, 1).otherwise(2))
+def szz_inline(cf: DataFrame, max_files: int = 15, confidence: str = "confidence") -> DataFrame:
+    """Per path of fix commits with at most ``max_files`` files: highest confidence, number of fixes, their messages.
 
+    Files of a commit are counted by an aggregate, so that a vast commit is never one task's rows.
+    """
+    small = cf.groupBy("repo", "commit_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_files).select("repo", "commit_id")
+    return szz_labels(cf.where(F.col(confidence) > 0).join(small, ["repo", "commit_id"], "left_semi"), confidence)
 
-def szz_inline(cf: DataFrame, max_files: int = 15, confidence: str = "confidence") -> DataFrame:
-    """Per path of fix commits with at most ``max_files`` files: highest confidence, number of fixes, their messages."""
-    sized = cf.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("repo", "commit_id"))).where((F.col("_n") <= max_files) & (F.col(confidence) > 0))
+
+def szz_labels(rows: DataFrame, confidence: str = "confidence", path: str = "file") -> DataFrame:
+    """Labels of the rows that a chain has kept: highest confidence, number of fixes and their messages by path."""
     aggs = [F.max(confidence).alias("confidence"), F.count(F.lit(1)).alias("bug_count")]
-    if "msg" in cf.columns:
+    if "msg" in rows.columns:
         aggs.append(F.array_sort(F.collect_set("msg")).alias("messages"))
-    return sized.groupBy("repo", "file").agg(*aggs)
+    return rows.groupBy("repo", path).agg(*aggs)
 
 
-def szz_filter_chain(commits: DataFrame, max_files: int = 20, window_days: int = 2555, min_confidence: float = 0.4) -> DataFrame:
-    """Commits (repo, is_merge, confidence, age_days, n_files) with the first reason to skip each, or ``kept``."""
-    reason = (
+def szz_filter_chain(commits: DataFrame, max_files: int = 20, window_days: float = 2555, min_confidence: float = 0.4) -> DataFrame:
+    """Commits (repo, is_merge, confidence, age_days, n_files) with the first reason to skip each, or ``kept``; ages may have fractions."""
+    return commits.withColumn("reason", _commit_reason(max_files, window_days, min_confidence).otherwise("kept"))
+
+
+def _commit_reason(max_files: int, window_days: float, min_confidence: float) -> Column:
+    return (
         F.when(F.col("is_merge"), "merge")
         .when(F.col("confidence") <= 0, "not_fix")
         .when(F.col("age_days") > window_days, "window")
         .when(F.col("n_files") > max_files, "files")
         .when(F.col("confidence") < min_confidence, "confidence")
+    )
+
+
+def szz_file_chain(rows: DataFrame, substantive_change: Column, blamed: Column, max_files: int = 20, window_days: float = 2555, min_confidence: float = 0.4) -> DataFrame:
+    """Commit files (is_merge, confidence, age_days, n_files, old_path, new_path) with ``path`` and the first reason to skip each, or ``kept``.
+
+    The commit's reasons come first; then the path is the old one, else the new
+    one, in normal form, and files without a path, of tests, generated, of other
+    extensions, with trivial changes only, and those whose changed lines
+    nobody wrote before (not ``blamed``) go.
+    """
+    path = P.norm_path(F.coalesce(F.nullif("old_path", F.lit("")), "new_path"))
+    extension = F.lit(False)
+    for e in P.SUPPORTED_EXTENSIONS:
+        extension = extension | F.col("path").endswith(e)
+    reason = (
+        _commit_reason(max_files, window_days, min_confidence)
+        .when(F.col("path") == "", "path")
+        .when(P.is_test_file(F.col("path")), "test")
+        .when(P.is_generated_file(F.col("path")), "generated")
+        .when(~extension, "extension")
+        .when(~F.coalesce(substantive_change, F.lit(False)), "trivial")
+        .when(~F.coalesce(blamed, F.lit(False)), "blame")
         .otherwise("kept")
     )
-    return commits.withColumn("reason", reason)
+    return rows.withColumn("path", path).withColumn("reason", reason)
 
 
 def label_match(files: DataFrame, labels: DataFrame) -> DataFrame:
     """Joins labels (repo, norm_path, confidence, bug_count) to files (repo, file, norm_path) in five stages.
 
-    1 the exact path; 2 the cleaned two-part path; 3 and 4 a label path that
-    ends with the file's last two or three parts, the shortest first; 5 the same name, more
-    common directories first, then shorter paths. Only the best stage counts; ties go to
-    the smaller label path. Stages 2 to 5 need the same name, so every stage is
-    an equi-join. A label may match several files.
+    1 the exact path; 2 the cleaned two-part path; 3 a label path that ends with
+    the file's last two parts (what would end with three, stage 4, is found
+    here); 5 the same name, more common directories first. Only the first
+    stage that holds counts; ties go to the shorter and then the smaller label
+    path. A label may match several files.
+
+    Each stage is an equi-join with one label for each key, the best one, so
+    files are never multiplied. For stage 3 a label is listed under every ending
+    of its last directory. Stage 5 compares distinct sets of directories of one
+    name that share a directory, but for those that all labels of the name have.
     """
-    f = files.select("repo", "file", "norm_path", P.clean_path(F.col("norm_path")).alias("clean"), P.basename(F.col("norm_path")).alias("name"))
-    k = labels.select("repo", F.col("norm_path").alias("key"), "confidence", "bug_count", P.clean_path(F.col("norm_path")).alias("k_clean"), P.basename(F.col("norm_path")).alias("name"))
-    j = f.join(k, ["repo", "name"])
-    depth = F.size(F.split("norm_path", "/"))
-
-    def ends(n: int) -> Column:
-        return (depth >= n) & (F.col("key").endswith(P.last_parts(F.col("norm_path"), n)))
-
-    stage = F.when(F.col("key") == F.col("norm_path"), 1).when(F.col("k_clean") == F.col("clean"), 2).when(ends(2), 3).when(ends(3), 4).otherwise(5)
-    overlap = F.when(stage == 5, -P.dir_similarity(F.col("norm_path"), F.col("key"))).otherwise(0)
-    best = Window.partitionBy("repo", "file").orderBy(stage, overlap, F.length("key"), "key")
-    matched = j.withColumn("stage", stage).withColumn("_r", F.row_number().over(best)).where("_r = 1")
-    out = f.select("repo", "file").join(matched.select("repo", "file", "stage", "key", "confidence", "bug_count"), ["repo", "file"], "left")
-    hit = F.col("key").isNotNull()
+    best = F.min(F.struct(F.length("key").alias("len"), "key", "confidence", "bug_count"))
+    k = labels.select("repo", F.col("norm_path").alias("key"), "confidence", "bug_count")
+    parts = F.split("key", "/")
+    folder = F.try_element_at(parts, F.lit(-2))
+    endings = F.transform(F.sequence(F.lit(1), F.length(folder) + 1), lambda i: F.concat(F.substr(folder, i), F.lit("/"), F.element_at(parts, -1)))
+    exact = k.groupBy("repo", F.col("key").alias("norm_path")).agg(best.alias("m1"))
+    cleaned = k.groupBy("repo", P.clean_path(F.col("key")).alias("clean")).agg(best.alias("m2"))
+    ended = k.where(F.size(parts) >= 2).withColumn("tail", F.explode(endings)).groupBy("repo", "tail").agg(best.alias("m3"))
+    named = k.groupBy("repo", P.basename(F.col("key")).alias("name")).agg(best.alias("m0"))
+
+    f = files.select("repo", "file", "norm_path", P.clean_path(F.col("norm_path")).alias("clean"), P.basename(F.col("norm_path")).alias("name"), P.dirname(F.col("norm_path")).alias("dir"))
+    f = f.withColumn("tail", F.when(F.size(F.split("norm_path", "/")) >= 2, P.last_parts(F.col("norm_path"), 2)))
+    j = f.join(exact, ["repo", "norm_path"], "left").join(cleaned, ["repo", "clean"], "left").join(ended, ["repo", "tail"], "left").join(named, ["repo", "name"], "left").join(_nearest(f, k, best), ["repo", "name", "dir"], "left")
+    stage = F.when(F.col("m1").isNotNull(), 1).when(F.col("m2").isNotNull(), 2).when(F.col("m3").isNotNull(), 3).when(F.col("m0").isNotNull(), 5).otherwise(0)
+    hit = F.coalesce("m1", "m2", "m3", "m5", "m0")
+    out = j.select("repo", "file", stage.alias("stage"), hit.alias("m"))
+    found = F.col("m").isNotNull()
     return out.select(
         "repo",
         "file",
-        F.coalesce("stage", F.lit(0)).alias("stage"),
-        F.col("key").alias("matched"),
-        hit.cast("int").alias("buggy"),
-        F.coalesce("confidence", F.lit(0.3)).alias("confidence"),
-        F.when(hit, "szz").otherwise("clean").alias("source"),
-        F.when(hit, F.least(F.col("bug_count") * F.col("confidence"), F.lit(5.0))).otherwise(0.0).alias("bug_score"),
+        "stage",
+        F.col("m.key").alias("matched"),
+        found.cast("int").alias("buggy"),
+        F.coalesce("m.confidence", F.lit(0.3)).alias("confidence"),
+        F.when(found, "szz").otherwise("clean").alias("source"),
+        F.when(found, F.least(F.col("m.bug_count") * F.col("m.confidence"), F.lit(5.0))).otherwise(0.0).alias("bug_score"),
     )
 
 
+def _nearest(f: DataFrame, k: DataFrame, best: Column) -> DataFrame:
+    """Rows (repo, name, dir, m5): of the labels of a file's name, the one with the most directories in common, where one has any that tells them apart."""
+    key = ["repo", "name"]
+
+    def folders(c: Column) -> Column:
+        return F.array_distinct(F.split(c, "/"))
+
+    l_dirs = k.withColumns({"name": P.basename(F.col("key")), "l_dir": P.dirname(F.col("key"))}).groupBy(*key, "l_dir").agg(best.alias("m"))
+    l_parts = l_dirs.select(*key, "l_dir", "m", F.explode(folders(F.col("l_dir"))).alias("part"))
+    counts = l_dirs.groupBy(*key).agg(F.count(F.lit(1)).alias("n_dirs"))
+    everywhere = l_parts.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n")).join(counts, key).where("n = n_dirs").select(*key, "part")
+    telling = l_parts.join(everywhere, [*key, "part"], "left_anti")
+    f_parts = f.select(*key, "dir").distinct().withColumn("part", F.explode(folders(F.col("dir"))))
+    shared = f_parts.join(telling, [*key, "part"]).groupBy(*key, "dir", "l_dir").agg(F.count(F.lit(1)).alias("common"), F.first("m").alias("m"))
+    return shared.groupBy(*key, "dir").agg(F.min(F.struct((-F.col("common")).alias("c"), "m"))["m"].alias("m5"))
+
+
 def two_stage_match(files: DataFrame, labels: DataFrame) -> DataFrame:
     """The exact path, else the first label of the same name."""
     f = files.select("repo", "file", "norm_path", P.basename(F.col("norm_path")).alias("name"))
@@ -139,11 +220,14 @@ def shared_filename(files: DataFrame) -> DataFrame:
     return named.join(shared, "name", "left").withColumn("has_shared_filename", F.coalesce("_s", F.lit(False))).drop("_s")
 
 
-def name_lookup_first(files: DataFrame, terms: DataFrame) -> DataFrame:
+def name_lookup_first(files: DataFrame, terms: DataFrame, most_terms: int = 10_000) -> DataFrame:
     """For each term the first file, by file, whose path holds it in any case.
 
-    The terms are a request's few, so they are broadcast; each file keeps its
-    terms, and the least file of each is an aggregate.
+    The terms are a request's few, at most ``most_terms`` (more are refused), so
+    they are broadcast; each file keeps its terms, and the least file of each is
+    an aggregate.
     """
+    if terms.limit(most_terms + 1).count() > most_terms:
+        raise ValueError(f"more than {most_terms} terms")
     hit = F.contains(F.lower("path"), F.lower("term"))
     return files.join(F.broadcast(terms), hit).groupBy("term").agg(F.min_by("path", "file").alias("path"), F.min("file").alias("file"))

@@ -49,7 +49,7 @@ lbl AS (SELECT key, CASE WHEN k > 3 THEN 1.0::DOUBLE ELSE 0.7 END AS confidence,
 k AS (SELECT *, {_CLEAN.format(p='key')} AS k_clean, {_BASE.format(p='key')} AS name FROM lbl),
 j AS (SELECT f.file, key, confidence, bug_count, norm_path,
   CASE WHEN key = norm_path THEN 1 WHEN k_clean = clean THEN 2 WHEN len(ps) >= 2 AND ends_with(key, array_to_string(ps[-2:], '/')) THEN 3
-       WHEN len(ps) >= 3 AND ends_with(key, array_to_string(ps[-3:], '/')) THEN 4 ELSE 5 END AS stage FROM f JOIN k USING (name)),
+       WHEN len(ps) >= 3 AND ends_with(key, array_to_string(ps[-3:], '/')) THEN 4 ELSE 5 END AS stage FROM f JOIN k ON f.name = k.name OR clean = k_clean),
 o AS (SELECT *, CASE WHEN stage = 5 THEN -len(list_intersect(list_distinct(string_split(regexp_replace(norm_path, '/?[^/]*$', ''), '/')), list_distinct(string_split(regexp_replace(key, '/?[^/]*$', ''), '/')))) ELSE 0 END AS overlap FROM j),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY stage, overlap, length(key), key) AS r FROM o) WHERE r = 1)
 SELECT 'web' AS repo, fl.file, coalesce(stage, 0) AS stage, key AS matched, CASE WHEN key IS NULL THEN 0 ELSE 1 END AS buggy, coalesce(confidence, 0.3) AS confidence,
@@ -93,6 +93,54 @@ def szz_filter_chain(spark, d):
     return _r(RP.drop_rate(L.szz_filter_chain(x, max_files=6, window_days=1500)), "drop_rate")
 
 
+_MARKS = {"en": ("The", "Of"), "de": ("Der",)}
+_CHAIN = """ch AS (SELECT doc_id AS commit_id, source AS repo, text, lang, doc_id % 13 = 0 AS is_merge, CASE doc_id % 7 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.3 WHEN 2 THEN 1.0 ELSE 0.7 END AS confidence,
+    (doc_id % 400) * 7.5::DOUBLE AS age_days, doc_id % 23 AS n_files, doc_id % 9 AS changed,
+    CASE doc_id % 6 WHEN 0 THEN 'tests/' WHEN 1 THEN 'build/' WHEN 2 THEN '' ELSE 'Src/' END || lang || '/f' || doc_id % 50 || CASE doc_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '_test.py' WHEN 2 THEN '.js' ELSE '.py' END AS new_path FROM documents),
+  pa AS (SELECT *, lower(new_path) AS path, string_split(text, chr(10)) AS ls, lag(commit_id) OVER (PARTITION BY repo, new_path ORDER BY commit_id) AS intro FROM ch),
+  re AS (SELECT *, len(list_filter(ls[:changed], lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
+      AND NOT (lang = 'en' AND (starts_with(ltrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'The') OR starts_with(ltrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'Of')))
+      AND NOT (lang = 'de' AND starts_with(ltrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'Der')))) AS code FROM pa),
+  fi AS (SELECT *, CASE WHEN is_merge THEN 'merge' WHEN confidence <= 0 THEN 'not_fix' WHEN age_days > 2555 THEN 'window' WHEN n_files > 20 THEN 'files' WHEN confidence < 0.4 THEN 'confidence'
+    WHEN starts_with(path, 'tests/') OR contains(path, '_test') THEN 'test' WHEN starts_with(path, 'build/') THEN 'generated' WHEN ends_with(path, '.md') THEN 'extension'
+    WHEN NOT (changed >= 3 AND code >= CASE WHEN changed <= 5 THEN 1 ELSE 2 END AND changed / len(ls)::DOUBLE >= 0.3) THEN 'trivial' WHEN intro IS NULL THEN 'blame' ELSE 'kept' END AS reason FROM re)"""
+
+
+def _file_chain(spark, d):
+    """Documents as files that commits of known ages, sizes and confidences change; an earlier change of a file stands for who wrote its lines."""
+    from pyspark.sql.window import Window
+
+    i = F.col("doc_id")
+    name = F.concat(F.when(i % 6 == 0, "tests/").when(i % 6 == 1, "build/").when(i % 6 == 2, "").otherwise("Src/"), F.col("lang"), F.lit("/f"), (i % 50).cast("string"), F.when(i % 5 == 0, ".md").when(i % 5 == 1, "_test.py").when(i % 5 == 2, ".js").otherwise(".py"))
+    x = table(spark, d, "documents").select(
+        i.alias("commit_id"),
+        F.col("source").alias("repo"),
+        "text",
+        "lang",
+        (i % 13 == 0).alias("is_merge"),
+        F.when(i % 7 == 0, 0.0).when(i % 7 == 1, 0.3).when(i % 7 == 2, 1.0).otherwise(0.7).alias("confidence"),
+        ((i % 400) * 7.5).alias("age_days"),
+        (i % 23).alias("n_files"),
+        (i % 9).alias("changed"),
+        F.lit(None).cast("string").alias("old_path"),
+        name.alias("new_path"),
+    )
+    x = x.withColumn("intro", F.lag("commit_id").over(Window.partitionBy("repo", "new_path").orderBy("commit_id")))
+    real = L.substantive(F.col("changed"), F.col("text"), F.lit(None).cast("string"), F.col("lang"), min_churn_ratio=0.3, marks=_MARKS)
+    return L.szz_file_chain(x, real, F.col("intro").isNotNull())
+
+
+@query(f"WITH {_CHAIN} SELECT reason, count(*) AS files, round((SELECT count(*) FILTER (WHERE reason <> 'kept') / count(*)::DOUBLE FROM fi), 6) AS drop_rate FROM fi GROUP BY reason")
+def szz_file_chain(spark, d):
+    """Skip counts of the whole chain, of commits and of their files."""
+    return _r(RP.drop_rate(_file_chain(spark, d)), "drop_rate")
+
+
+@query(f"WITH {_CHAIN} SELECT repo, path, max(confidence) AS confidence, count(*) AS bug_count FROM fi WHERE reason = 'kept' GROUP BY repo, path")
+def szz_chain_labels(spark, d):
+    return L.szz_labels(_file_chain(spark, d).where("reason = 'kept'"), path="path")
+
+
 def _two_sources(spark, d):
     labels = table(spark, d, "labels")
     szz = labels.where("quality = 0").select(F.col("doc_id").alias("path"), F.lit(0.7).alias("confidence"))
@@ -301,7 +349,13 @@ def leakage_screen(spark, d):
     return _r(Q.leakage_screen(FT.correlations(labelled(spark, d), _COLS, "buggy"), "buggy"), "r")
 
 
-@query()
+_PAIRS = [(a, b) for i, a in enumerate(_COLS) for b in _COLS[i + 1 :]]
+
+
+@query(f"""{_LB.replace('WITH', 'WITH RECURSIVE', 1)}, p AS ({' UNION ALL '.join(f"SELECT {k} AS k, '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS r, coalesce(abs(corr({a}, buggy)), 0) AS ra, coalesce(abs(corr({b}, buggy)), 0) AS rb FROM lb" for k, (a, b) in enumerate(_PAIRS, 1))}),
+s(k, gone) AS (SELECT 0, []::VARCHAR[] UNION ALL SELECT p.k, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) OR r <= 0.9 THEN gone WHEN ra >= rb THEN list_append(gone, b) ELSE list_append(gone, a) END FROM s JOIN p ON p.k = s.k + 1),
+c AS (SELECT unnest({_COLS}) AS feature, unnest(range({len(_COLS)})) AS i)
+SELECT (row_number() OVER (ORDER BY i) - 1)::INTEGER AS position, feature FROM c WHERE NOT list_contains((SELECT gone FROM s WHERE k = {len(_PAIRS)}), feature)""")
 def correlation_prune(spark, d):
     left = FT.correlation_prune(labelled(spark, d), _COLS, "buggy", 0.9)
     return spark.createDataFrame([(i, c) for i, c in enumerate(left)], "position int, feature string")
@@ -319,7 +373,9 @@ def training_stats(spark, d):
 
 @query(f"{_SC} SELECT repo, round(median(loc), 6) AS loc, round(median(avg_complexity), 6) AS avg_complexity FROM sc GROUP BY repo")
 def repo_medians(spark, d):
-    return _r(scored(spark, d).groupBy("repo").agg(F.median("loc").alias("loc"), F.median("avg_complexity").alias("avg_complexity")), "loc", "avg_complexity")
+    x = scored(spark, d)
+    loc, complexity = (M.group_percentile(x, c, 0.5, ["repo"]).withColumnRenamed("value", c) for c in ("loc", "avg_complexity"))
+    return _r(loc.join(complexity, "repo"), "loc", "avg_complexity")
 
 
 @query(f"{_SC}, x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, coalesce(var_samp({c}), 0) AS v, avg(({c} IS NULL)::INTEGER) AS m FROM sc" for c in [*_COLS, "quality"]) + ") SELECT feature, round(v, 4) AS variance, round(m, 6) AS missing, CASE WHEN m > 0.1 THEN 'missing' WHEN v = 0 THEN 'constant' WHEN v < 1e-6 THEN 'low' WHEN v > 1e6 THEN 'high' ELSE 'ok' END AS status FROM x")

@@ -216,16 +216,21 @@ def merge_filter(spark, d):
     return messages(spark, d).where(F.size(F.split(F.coalesce(F.col("msg"), F.lit("")), "\n")) - 1 > 1).select("commit_id")
 
 
-_LINES = "string_split(coalesce(text, ''), chr(10))"
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-@query(f"""WITH l AS (SELECT doc_id AS commit_id, {_LINES} AS ls FROM documents),
-c AS (SELECT commit_id, len(ls) AS n, len(list_filter(ls[:10], lambda x: trim(x) <> '' AND NOT starts_with(trim(x), 'The'))) AS code FROM l)
-SELECT commit_id, n >= 3 AND code >= CASE WHEN n <= 5 THEN 1 ELSE 2 END AS substantive FROM c""")
+@query(f"""WITH c AS (SELECT doc_id AS commit_id, doc_id % 12 AS n, lang, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE nullif(text, '') END AS b FROM documents),
+l AS (SELECT *, string_split(b, chr(10)) AS ls FROM c),
+m AS (SELECT *, coalesce(len(list_filter(ls[:n], lambda x: trim(x, {_WS}) <> '' AND NOT (lang = 'en' AND (starts_with(ltrim(x, {_WS}), 'The') OR starts_with(ltrim(x, {_WS}), 'An'))))), 0) AS code FROM l)
+SELECT commit_id, CASE WHEN n = 0 THEN false WHEN b IS NULL THEN n >= 5 ELSE n >= 3 AND code >= CASE WHEN n <= 5 THEN 1 ELSE 2 END AND n / len(ls)::DOUBLE >= 0.5 END AS substantive FROM m""")
 def substantive_change(spark, d):
+    """Texts as files before a change of some lines; in one language, lines with certain words first are comments."""
     from defectloom.operators.labels import substantive
 
-    return messages(spark, d).select("commit_id", substantive(F.split(F.coalesce(F.col("msg"), F.lit("")), "\n"), F.size(F.split(F.coalesce(F.col("msg"), F.lit("")), "\n")), ("The",), 10).alias("substantive"))
+    i = F.col("doc_id")
+    before = F.when(i % 17 != 0, F.col("text"))
+    real = substantive(i % 12, before, F.lit(None).cast("string"), F.col("lang"), min_churn_ratio=0.5, marks={"en": ("The", "An")})
+    return spark.read.parquet(f"{d}/documents.parquet").select(i.alias("commit_id"), real.alias("substantive"))
 
 
 @query("SELECT page_id AS file_id, md5(url) AS cache_key, CASE WHEN length(url) > 45 THEN concat(substr(url, 1, 42), '...') ELSE url END AS short FROM pages")
