@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from defectloom.functions import paths as P
 from defectloom.functions.core import ratio
-from defectloom.operators.risk import risk_level_abs
+from defectloom.operators.ranking import top_per_group
+from defectloom.operators.risk import priority_score, risk_level_abs
 
 ACTIONS = {"CRITICAL": "Review immediately", "HIGH": "Review this sprint", "MODERATE": "Monitor", "LOW": "No action"}
 
@@ -27,15 +29,13 @@ def repo_trend(df: DataFrame) -> DataFrame:
 def module_rollup(df: DataFrame, path: str = "path", n: int = 5, key: str = "file_id") -> DataFrame:
     """The n riskiest top-level directories by mean, with their three riskiest files; files in no directory are left out."""
     m = df.where(F.col(path).contains("/")).withColumn("module", F.split(path, "/")[0])
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("risk")).alias("r"), F.col(key)))), 1, 3)
     per = m.groupBy("module").agg(F.count(F.lit(1)).alias("files"), F.avg("risk").alias("avg_risk"), F.sum("risk").alias("total_risk"))
     best = per.orderBy(F.round("avg_risk", 9).desc(), "module").limit(n)
-    # only the reported modules' files are gathered, three to a module
+    # only the reported modules' files are ranked, and three of each module gathered
     ranked = m.join(F.broadcast(best.select("module")), "module", "left_semi")
-    from pyspark.sql.window import Window
-
-    three = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("module").orderBy(F.col("risk").desc(), key))).where("_r <= 3")
-    return best.join(three.groupBy("module").agg(F.array_join(F.transform(top, lambda x: x[key].cast("string")), ",").alias("top_files")), "module")
+    three = top_per_group(ranked, ["module"], [F.col("risk").desc(), F.col(key)], 3, "_r")
+    names = F.array_sort(F.collect_list(F.struct("_r", F.col(key).cast("string").alias("name"))))
+    return best.join(three.groupBy("module").agg(F.array_join(F.transform(names, lambda x: x["name"]), ",").alias("top_files")), "module")
 
 
 def quality_indicators(df: DataFrame) -> DataFrame:
@@ -107,8 +107,120 @@ def prediction_audit(df: DataFrame) -> DataFrame:
     return one.withColumn("collapsed", F.col("distinct_scores") <= 2)
 
 
-def scan_json(df: DataFrame, key: str = "file", top: int = 10) -> DataFrame:
-    """One JSON document of a scan: counts, bands and the riskiest files."""
-    head = df.orderBy(F.col("risk").desc(), key).limit(top).agg(F.array_sort(F.collect_list(F.struct((-F.round("risk", 6)).alias("neg_risk"), F.col(key).alias("file")))).alias("t"))
-    one = df.agg(F.count(F.lit(1)).alias("total_files"), F.count_if(F.col("risk") >= 0.8).alias("critical"), F.count_if((F.col("risk") >= 0.6) & (F.col("risk") < 0.8)).alias("high"))
-    return one.crossJoin(head).select(F.to_json(F.struct("total_files", "critical", "high", F.transform("t", lambda x: x["file"]).alias("top_files"))).alias("document"))
+def _rounded(c: Column, n: int) -> Column:
+    """Rounded half up as a decimal, so that every engine gives the same digits."""
+    return F.round(c.cast("decimal(28,9)"), n).cast("double")
+
+
+def _percent(c: Column) -> Column:
+    return F.concat(F.format_number(_rounded(c * 100, 1), 1), F.lit("%"))
+
+
+def _tier(risk: Column) -> Column:
+    return F.initcap(F.lower(risk_level_abs(risk)))
+
+
+def _churn() -> Column:
+    return F.when(F.col("loc") > 0, (F.col("lines_added") + F.col("lines_deleted")) / F.col("loc")).otherwise(0.0)
+
+
+def scan_rows(df: DataFrame) -> DataFrame:
+    """The 21 columns of the table export, one row for each file; a missing measure is 0 and a missing language ``unknown``."""
+    x = df.fillna(0, [c for c, t in df.dtypes if t in ("int", "bigint", "double", "float")])
+    score = priority_score(F.col("risk"), _churn(), F.col("commits"), F.col("coupling_risk"))
+    return x.select(
+        F.coalesce(F.col("file").cast("string"), F.lit("")).alias("filename"),
+        _rounded(F.col("risk"), 4).alias("risk_score"),
+        _percent(F.col("risk")).alias("risk_percentage"),
+        _tier(F.col("risk")).alias("risk_tier"),
+        F.col("loc").alias("lines_of_code"),
+        _rounded(F.col("avg_complexity"), 2).alias("avg_complexity"),
+        "max_complexity",
+        "functions",
+        "commits",
+        "lines_added",
+        "lines_deleted",
+        _rounded(_churn(), 3).alias("churn_ratio"),
+        "days_since_last_change",
+        "author_count",
+        _rounded(F.col("minor_contributor_ratio"), 2).alias("minor_contributor_ratio"),
+        _rounded(F.col("coupling_risk"), 2).alias("coupling_risk"),
+        "max_coupling_strength",
+        "coupled_file_count",
+        F.coalesce("language", F.lit("unknown")).alias("language"),
+        F.col("buggy").alias("buggy_label"),
+        _rounded(score, 3).alias("priority_score"),
+    )
+
+
+def _bands(df: DataFrame) -> DataFrame:
+    """One row: files, the files of the four absolute bands, the sum of risks."""
+    r = F.col("risk")
+    tests = {"critical": r >= 0.8, "high": (r >= 0.6) & (r < 0.8), "moderate": (r >= 0.4) & (r < 0.6), "low": r < 0.4}
+    return df.agg(F.count(F.lit(1)).alias("files"), *[F.count_if(t).alias(k) for k, t in tests.items()], F.sum("risk").alias("total_risk"))
+
+
+def _riskiest(df: DataFrame, n: int) -> DataFrame:
+    """The n rows of highest risk, of equals the smaller file, with their rank; n rows, so one task."""
+    order = [F.col("risk").desc(), F.col("file").asc()]
+    return df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def scan_insights(df: DataFrame, repo: str, top: int = 10) -> DataFrame:
+    """The blocks that follow the table in the export: rows (section, position, label, value, share, commits, lines)."""
+    one = _bands(df)
+    empty = F.lit("").alias
+
+    def line(section: str, position: int, label: str, value: Column, share: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.lit(position).alias("position"), F.lit(label).alias("label"), value.cast("string").alias("value"), share.alias("share"), empty("commits"), empty("lines"))
+
+    lines = [line("SCAN INSIGHTS", 1, "Repository", F.lit(repo), F.lit("")), line("SCAN INSIGHTS", 2, "Total Files", F.col("files"), F.lit(""))]
+    for i, (label, c) in enumerate((("Critical Files", "critical"), ("High Risk Files", "high"), ("Moderate Risk Files", "moderate"), ("Low Risk Files", "low"))):
+        lines.append(line("RISK DISTRIBUTION", i + 1, label, F.col(c), F.when(F.col("files") > 0, _percent(F.col(c) / F.col("files"))).otherwise("")))
+    head = one.select(F.explode(F.array(*lines)).alias("x")).select("x.*")
+    best = _riskiest(df, top).select(
+        F.lit(f"TOP {top} HIGH RISK FILES").alias("section"),
+        F.col("rank").alias("position"),
+        F.concat(F.lit("#"), F.col("rank").cast("string")).alias("label"),
+        P.basename(F.col("file").cast("string")).alias("value"),
+        _percent(F.col("risk")).alias("share"),
+        F.concat(F.lit("Commits: "), F.col("commits").cast("string")).alias("commits"),
+        F.concat(F.lit("LOC: "), F.col("loc").cast("string")).alias("lines"),
+    )
+    return head.unionByName(best)
+
+
+def scan_document(df: DataFrame, repo: str, path: str = "path", top: int = 10, metrics: DataFrame | None = None) -> DataFrame:
+    """One row with one JSON document of a scan: metadata, summary, insights (riskiest files and modules, recommendations, indicators), model metrics.
+
+    Everything in it has a fixed size; the files themselves are rows of their
+    own, see :func:`scan_rows`.
+    """
+    def share(c: str) -> Column:
+        return F.struct(F.col(c).alias("count"), _rounded(100 * F.col(c) / F.col("files"), 1).alias("percentage"))
+
+    bands = _bands(df).select(
+        F.struct(
+            F.col("files").alias("total_files"),
+            F.struct(*[share(c).alias(c) for c in ("critical", "high", "moderate", "low")]).alias("risk_distribution"),
+            _rounded(F.col("total_risk") / F.col("files"), 3).alias("average_risk_score"),
+            _rounded(100 * (F.col("critical") + F.col("high")) / F.col("files"), 1).alias("high_risk_percentage"),
+        ).alias("summary_metrics")
+    )
+    first = _riskiest(df, top)
+    shown = ["risk_score", "risk_percentage", "risk_tier", "priority_score", "commits", F.col("lines_of_code").alias("loc"), "avg_complexity", "churn_ratio", "days_since_last_change", "coupling_risk", "language"]
+    ranks = first.select(F.col("file").cast("string").alias("filename"), "rank", P.basename(F.col("file").cast("string")).alias("_base"))
+    files = scan_rows(first).join(ranks, "filename").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("_base").alias("filename"), F.col("filename").alias("filepath"), *shown))).alias("f"))
+    files = files.select(F.transform("f", lambda x: x.dropFields("rank")).alias("top_risk_files"))
+    modules = module_rollup(df, path, 5, "file").agg(F.array_sort(F.collect_list(F.struct((-F.round("avg_risk", 9)).alias("order"), "module", F.col("files").alias("file_count"), _rounded(F.col("avg_risk"), 3).alias("average_risk"), _rounded(F.col("total_risk"), 3).alias("total_risk"), F.split("top_files", ",").alias("top_files")))).alias("m"))
+    modules = modules.select(F.transform("m", lambda x: x.dropFields("order")).alias("riskiest_modules"))
+    order = F.array_position(F.array(*[F.lit(x) for x in ("CRITICAL", "HIGH", "MEDIUM", "LOW")]), F.col("priority"))
+    advice = recommendations(df).agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), "priority", "category", "affected", "files"))).alias("a"))
+    advice = advice.select(F.transform("a", lambda x: x.dropFields("order")).alias("recommendations"))
+    quality = quality_indicators(df)
+    quality = quality.select(F.struct(*quality.columns).alias("quality_indicators"))
+    one = bands.crossJoin(files).crossJoin(modules).crossJoin(advice).crossJoin(quality)  # one row each
+    model = F.struct(F.lit(None).cast("double").alias("pr_auc")) if metrics is None else F.struct(*metrics.columns)
+    one = one if metrics is None else one.crossJoin(metrics)
+    meta = F.struct(F.lit(repo).alias("repository"), F.lit("comprehensive_json").alias("export_format"))
+    return one.select(F.to_json(F.struct(meta.alias("scan_metadata"), "summary_metrics", F.struct("top_risk_files", "riskiest_modules", "recommendations", "quality_indicators").alias("insights"), model.alias("model_metrics"))).alias("document"))

@@ -12,6 +12,8 @@ from defectloom.operators import reports as RP
 from defectloom.operators import risk as K
 from defectloom.plans.bindings import LABELLED, PART_FILES, PATHS, SCORED, labelled, part_files, scored, table, url_paths
 from defectloom.plans.registry import query
+from defectloom.session import work_folder
+from defectloom.sources import caches as C
 
 _SC, _LB, _CS, _PT = (f"WITH {x}" for x in (SCORED, LABELLED, PART_FILES, PATHS))
 
@@ -313,12 +315,12 @@ def module_rollup(spark, d):
     return _r(RP.module_rollup(x), "avg_risk", "total_risk")
 
 
-_FULL = f"{_SC}, fu AS (SELECT *, (file % 60)::BIGINT AS commits, (file % 97)::BIGINT AS lines_added, (file % 13)::BIGINT AS lines_deleted, (file % 11) / 10.0::DOUBLE AS coupling_risk FROM sc)"
+_FULL = f"{_SC}, fu AS (SELECT *, (file % 60)::BIGINT AS commits, (file % 97)::BIGINT AS lines_added, (file % 13)::BIGINT AS lines_deleted, (file % 11) / 10.0::DOUBLE AS coupling_risk, (file % 300)::BIGINT AS days_since_last_change, (file % 5 + 1)::BIGINT AS author_count, (file % 4) / 4.0::DOUBLE AS minor_contributor_ratio, (file % 9) / 9.0::DOUBLE AS max_coupling_strength, (file % 8)::BIGINT AS coupled_file_count, repo || '/f' || file AS path FROM sc)"
 
 
 def _full(spark, d):
     f = F.col("file")
-    return scored(spark, d).withColumns({"commits": f % 60, "lines_added": f % 97, "lines_deleted": f % 13, "coupling_risk": (f % 11) / 10.0})
+    return scored(spark, d).withColumns({"commits": f % 60, "lines_added": f % 97, "lines_deleted": f % 13, "coupling_risk": (f % 11) / 10.0, "days_since_last_change": f % 300, "author_count": f % 5 + 1, "minor_contributor_ratio": (f % 4) / 4.0, "max_coupling_strength": (f % 9) / 9.0, "coupled_file_count": f % 8, "path": F.concat("repo", F.lit("/f"), f.cast("string"))})
 
 
 @query(f"""{_FULL}, q AS (SELECT count(*) AS files, avg(risk) AS r, avg((risk >= 0.6)::INTEGER) AS h, avg(avg_complexity) AS c, count(*) FILTER (WHERE max_complexity > 10) AS hc, sum(commits)::BIGINT AS tc, avg(commits) AS ac, sum(lines_added + lines_deleted)::BIGINT AS tch, avg(lines_added + lines_deleted) AS ach FROM fu)
@@ -352,17 +354,99 @@ def priority_score(spark, d):
     return _r(_full(spark, d).select("file", K.priority_score(F.col("risk"), (F.col("lines_added") + F.col("lines_deleted")) / F.col("loc"), F.col("commits"), F.col("coupling_risk")).alias("priority_score")), "priority_score")
 
 
-@query(f"{_FULL} SELECT file, repo, round(risk, 6) AS risk, {_LEVEL} AS risk_level, loc, commits, round((lines_added + lines_deleted) / loc::DOUBLE, 6) AS churn_ratio, round(0.4 * risk + 0.3 * least(10 * ((lines_added + lines_deleted) / loc::DOUBLE), 1) + 0.2 * least(commits / 50.0::DOUBLE, 1) + 0.1 * least(coupling_risk, 1), 6) AS priority_score FROM fu")
+def _dec(c: str, n: int) -> str:
+    return f"round(({c})::DECIMAL(28, 9), {n})::DOUBLE"
+
+
+def _pct(c: str) -> str:
+    return f"printf('%.1f%%', {_dec(f'({c}) * 100', 1)})"
+
+
+_CH = "CASE WHEN loc > 0 THEN (lines_added + lines_deleted) / loc::DOUBLE ELSE 0 END"
+_SCORE = f"(0.4 * risk + 0.3 * least(10 * ({_CH}), 1) + 0.2 * least(commits / 50.0::DOUBLE, 1) + 0.1 * least(coupling_risk, 1))"
+_TIER = "CASE WHEN risk >= 0.8 THEN 'Critical' WHEN risk >= 0.6 THEN 'High' WHEN risk >= 0.4 THEN 'Moderate' ELSE 'Low' END"
+_ROWS = f"""SELECT file::VARCHAR AS filename, {_dec('risk', 4)} AS risk_score, {_pct('risk')} AS risk_percentage, {_TIER} AS risk_tier, loc AS lines_of_code, {_dec('avg_complexity', 2)} AS avg_complexity, max_complexity, functions,
+  commits, lines_added, lines_deleted, {_dec(_CH, 3)} AS churn_ratio, days_since_last_change, author_count, {_dec('minor_contributor_ratio', 2)} AS minor_contributor_ratio, {_dec('coupling_risk', 2)} AS coupling_risk,
+  max_coupling_strength, coupled_file_count, coalesce(language, 'unknown') AS language, buggy AS buggy_label, {_dec(_SCORE, 3)} AS priority_score FROM fu"""
+
+
+def _exported(spark, d):
+    """Writes a scan's files, and gives their folder and the schema of the table."""
+    folder, x = work_folder(spark), _full(spark, d)
+    rows = RP.scan_rows(x)
+    C.write_scan(rows, RP.scan_insights(x, "scan"), RP.scan_document(x, "scan", metrics=M.pr_auc(x)), folder)
+    return folder, rows.schema
+
+
+@query(f"{_FULL} {_ROWS}")
 def export_scan_csv(spark, d):
-    """The rows that the CSV export writes."""
-    churn = (F.col("lines_added") + F.col("lines_deleted")) / F.col("loc")
-    x = _full(spark, d).select("file", "repo", "risk", K.risk_level_abs(F.col("risk")).alias("risk_level"), "loc", "commits", churn.alias("churn_ratio"), K.priority_score(F.col("risk"), churn, F.col("commits"), F.col("coupling_risk")).alias("priority_score"))
-    return _r(x, "risk", "churn_ratio", "priority_score")
+    """The table of the CSV export, read back from its files: 21 columns for each file."""
+    folder, schema = _exported(spark, d)
+    return spark.read.option("header", "true").schema(schema).csv(f"{folder}/files_csv")
+
+
+@query(f"{_FULL} {_ROWS}")
+def export_scan_files(spark, d):
+    """The files of the JSON export, read back from its lines."""
+    folder, schema = _exported(spark, d)
+    return spark.read.schema(schema).json(f"{folder}/detailed_files")
+
+
+_COUNTS = "bc AS (SELECT count(*) AS n, count(*) FILTER (WHERE risk >= 0.8) AS c, count(*) FILTER (WHERE risk >= 0.6 AND risk < 0.8) AS h, count(*) FILTER (WHERE risk >= 0.4 AND risk < 0.6) AS m, count(*) FILTER (WHERE risk < 0.4) AS l, sum(risk) AS t FROM fu)"
+_TOP10 = "tp AS (SELECT *, row_number() OVER (ORDER BY risk DESC, file)::INTEGER AS rank FROM (SELECT * FROM fu ORDER BY risk DESC, file LIMIT 10))"
+
+
+@query(f"""{_FULL}, {_COUNTS}, {_TOP10}
+SELECT 'SCAN INSIGHTS' AS section, 1 AS position, 'Repository' AS label, 'scan' AS value, '' AS share, '' AS commits, '' AS lines UNION ALL SELECT 'SCAN INSIGHTS', 2, 'Total Files', n::VARCHAR, '', '', '' FROM bc
+""" + "".join(f" UNION ALL SELECT 'RISK DISTRIBUTION', {i}, '{label}', {c}::VARCHAR, {_pct(f'{c} / n::DOUBLE')}, '', '' FROM bc" for i, (label, c) in enumerate((("Critical Files", "c"), ("High Risk Files", "h"), ("Moderate Risk Files", "m"), ("Low Risk Files", "l")), 1)) + f"""
+ UNION ALL SELECT 'TOP 10 HIGH RISK FILES', rank, '#' || rank, file::VARCHAR, {_pct('risk')}, 'Commits: ' || commits, 'LOC: ' || loc FROM tp""")
+def export_scan_insights(spark, d):
+    """The blocks after the CSV export's table, read back; empty cells come back as empty."""
+    folder, _ = _exported(spark, d)
+    x = spark.read.option("header", "true").schema("section string, position int, label string, value string, share string, commits string, lines string").csv(f"{folder}/insights_csv")
+    return x.fillna("")
+
+
+_MODULES = "md AS (SELECT repo AS module, count(*) AS k, avg(risk) AS a FROM fu GROUP BY repo ORDER BY round(avg(risk), 9) DESC, repo LIMIT 5)"
 
 
-@query()
+@query(f"""{_FULL}, {_COUNTS}, {_TOP10}, {_MODULES}, q AS (SELECT round(greatest(0, 100 - avg(risk) * 50 - avg((risk >= 0.6)::INTEGER) * 30 - avg(avg_complexity) * 2), 6) AS s FROM fu),
+g AS (SELECT risk, sum(buggy)::DOUBLE AS pos, (count(*) - sum(buggy))::DOUBLE AS neg FROM fu GROUP BY risk), cu AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p FROM g WINDOW w AS (ORDER BY risk DESC ROWS UNBOUNDED PRECEDING))
+SELECT 'scan' AS repository, n AS total_files, c AS critical, {_dec('100 * c / n::DOUBLE', 1)} AS critical_percentage, h AS high, m AS moderate, l AS low, {_dec('100 * l / n::DOUBLE', 1)} AS low_percentage,
+ {_dec('t / n', 3)} AS average_risk_score, {_dec('100 * (c + h) / n::DOUBLE', 1)} AS high_risk_percentage, (SELECT string_agg(file, ',' ORDER BY rank) FROM tp) AS top_files, (SELECT string_agg({_TIER}, ',' ORDER BY rank) FROM tp) AS top_tiers,
+ (SELECT round(sum({_dec(_SCORE, 3)}), 6) FROM tp) AS top_priority, (SELECT string_agg(module, ',' ORDER BY round(a, 9) DESC, module) FROM md) AS modules, (SELECT sum(k)::BIGINT FROM md) AS module_files,
+ (SELECT count(*) FILTER (WHERE risk >= 0.8) > 0 FROM fu) AS advises_action, q.s AS quality_score, (SELECT round(sum(pos * tp / (tp + fp)) / max(p), 6) FROM cu) AS pr_auc FROM bc, q""")
 def export_scan_json(spark, d):
-    return RP.scan_json(scored(spark, d))
+    """The JSON document of a scan, read back and taken apart."""
+    folder, _ = _exported(spark, d)
+    doc = spark.read.text(f"{folder}/document").select(F.col("value").alias("doc"))
+
+    def at(path: str, kind: str = "string"):
+        return F.get_json_object("doc", f"$.{path}").cast(kind)
+
+    def names(path: str, field: str):
+        return F.transform(F.from_json(at(path), "array<map<string,string>>"), lambda x: x[field])
+
+    share = "summary_metrics.risk_distribution"
+    top, modules = "insights.top_risk_files", "insights.riskiest_modules"
+    return doc.select(
+        at("scan_metadata.repository").alias("repository"),
+        at("summary_metrics.total_files", "long").alias("total_files"),
+        at(f"{share}.critical.count", "long").alias("critical"),
+        at(f"{share}.critical.percentage", "double").alias("critical_percentage"),
+        *[at(f"{share}.{x}.count", "long").alias(x) for x in ("high", "moderate", "low")],
+        at(f"{share}.low.percentage", "double").alias("low_percentage"),
+        at("summary_metrics.average_risk_score", "double").alias("average_risk_score"),
+        at("summary_metrics.high_risk_percentage", "double").alias("high_risk_percentage"),
+        F.array_join(names(top, "filepath"), ",").alias("top_files"),
+        F.array_join(names(top, "risk_tier"), ",").alias("top_tiers"),
+        r6(F.aggregate(names(top, "priority_score"), F.lit(0.0), lambda s, x: s + x.cast("double"))).alias("top_priority"),
+        F.array_join(names(modules, "module"), ",").alias("modules"),
+        F.aggregate(names(modules, "file_count"), F.lit(0).cast("long"), lambda s, x: s + x.cast("long")).alias("module_files"),
+        F.array_contains(names("insights.recommendations", "priority"), "CRITICAL").alias("advises_action"),
+        r6(at("insights.quality_indicators.quality_score", "double")).alias("quality_score"),
+        r6(at("model_metrics.pr_auc", "double")).alias("pr_auc"),
+    )
 
 
 @query(f"{_PT}, t AS (SELECT contains(path, 'blog.') AS tst, contains(path, '/es/') AS gen FROM pt) SELECT count(*) FILTER (WHERE NOT tst AND NOT gen) AS included, count(*) FILTER (WHERE tst) AS excluded_test, count(*) FILTER (WHERE NOT tst AND gen) AS excluded_generated FROM t")
