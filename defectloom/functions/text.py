@@ -53,14 +53,35 @@ def is_bug_issue(labels: Column, title: Column, body: Column, words: Sequence[st
     return tagged | any_of(F.lower(F.coalesce(title, F.lit(""))), words) | any_of(F.lower(F.coalesce(body, F.lit(""))), words)
 
 
+def keywords_in(text: Column, words: Sequence[str]) -> Column:
+    """The distinct words of ``words``, in any order, that stand in the text as whole words; one pass over the text for all of them.
+
+    At each place the longest word is found; words that it begins with, up to a
+    border between words, stand there too.
+    """
+    words = list(dict.fromkeys(words))
+    edge = r"[\p{L}\p{N}_]"
+    by_length = sorted(words, key=lambda w: (-len(w), w))
+    pattern = rf"(?<!{edge})(?=({'|'.join(f'\\Q{w}\\E' for w in by_length)})(?!{edge}))"
+    hits = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))
+    within = {w: [v for v in words if v != w and w.startswith(v) and not (w[len(v)].isalnum() or w[len(v)] == "_")] for w in words}
+    if not any(within.values()):
+        return hits
+    shorter = F.create_map(*[x for w, vs in within.items() if vs for x in (F.lit(w), F.array(*[F.lit(v) for v in vs]))])
+    return F.array_distinct(F.concat(hits, F.flatten(F.transform(hits, lambda w: F.coalesce(F.try_element_at(shorter, w), F.array().cast("array<string>"))))))
+
+
 def bug_type(c: Column, keywords: dict[str, Sequence[str]]) -> Column:
     """The class whose keywords, as whole words, have the most letters in all; of equals the first, null without any."""
-    text = F.lower(F.coalesce(c, F.lit("")))
-    best: Column | None = None
-    for i, (name, words) in enumerate(keywords.items()):
-        score = F.lit(0)
-        for w in words:
-            score = score + F.when(text.rlike(rf"(^|[^\p{{L}}\p{{N}}_])\Q{w}\E([^\p{{L}}\p{{N}}_]|$)"), len(w)).otherwise(0)
-        item = F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name"))
-        best = item if best is None else F.greatest(best, item)
-    return F.when(best["score"] > 0, best["name"])
+    every = [w for words in keywords.values() for w in words]
+
+    def best(hits: Column) -> Column:
+        items = []
+        for i, (name, words) in enumerate(keywords.items()):
+            score = F.aggregate(hits, F.lit(0), lambda s, w: s + F.when(w.isin(*words), F.char_length(w)).otherwise(0))  # noqa: B023
+            items.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")))
+        return F.greatest(*items) if len(items) > 1 else items[0]
+
+    # the hits are named once, so that the text is searched once
+    found = F.transform(F.array(keywords_in(F.lower(F.coalesce(c, F.lit(""))), every)), best)[0]
+    return F.when(found["score"] > 0, found["name"])

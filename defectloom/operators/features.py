@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectloom.functions.core import ratio
+from defectloom.operators.ranking import top_per_group
 
 # Results depend on these very numbers.
 LANGUAGE_IDS = {"python": 0, "javascript": 1, "typescript": 2, "java": 3, "go": 4, "ruby": 5, "php": 6, "csharp": 7, "cpp": 8, "rust": 9, "other": 10}
@@ -77,10 +80,26 @@ def function_rollup(fns: DataFrame, key: list[str]) -> DataFrame:
 
 
 def top_functions(fns: DataFrame, key: list[str], n: int = 5) -> DataFrame:
-    """The n most complex functions of each file, longer then smaller names first on ties."""
-    item = F.struct((-F.col("cx")).alias("c"), (-F.col("length")).alias("l"), F.col("name"))
-    top = F.slice(F.array_sort(F.collect_list(item)), 1, n)
-    return fns.groupBy(*key).agg(F.array_join(F.transform(top, lambda x: x["name"].cast("string")), ",").alias("top_functions"))
+    """The n most complex functions of each file, longer then smaller names first on ties; only n rows of a file are gathered."""
+    top = top_per_group(fns, key, [F.col("cx").desc(), F.col("length").desc(), F.col("name").asc()], n, "_r")
+    names = F.array_sort(F.collect_list(F.struct("_r", F.col("name").cast("string").alias("name"))))
+    return top.groupBy(*key).agg(F.array_join(F.transform(names, lambda x: x["name"]), ",").alias("top_functions"))
+
+
+# The groups of features that an ablation compares.
+STATIC_FEATURES = ("loc", "avg_complexity", "max_complexity", "functions", "avg_params", "max_function_length", "complexity_vs_baseline", "complexity_density", "complexity_per_function", "loc_per_function")
+GIT_FEATURES = ("commits", "lines_added", "lines_deleted", "max_added", "churn_ratio", "recent_churn_ratio", "recent_activity_score", "instability_score", "avg_commit_size", "max_commit_ratio")
+DEVELOPER_FEATURES = ("author_count", "ownership", "low_history_flag", "minor_contributor_ratio", "author_entropy", "experience_score")
+TEMPORAL_FEATURES = ("file_age_bucket", "days_since_last_change", "recency_ratio")
+COUPLING_FEATURES = ("max_coupling_strength", "coupled_file_count", "coupled_recent_missing", "coupling_risk")
+BURST_FEATURES = ("commit_burst_score", "recent_commit_burst", "burst_ratio", "burst_risk")
+
+
+def feature_sets(df: DataFrame, exclude: Sequence[str] = ("buggy", "repo", "file", "confidence")) -> dict[str, list[str]]:
+    """The eight sets of an ablation, each with the numeric features that ``df`` has."""
+    have = numeric_features(df, exclude)
+    sets = {name: [c for c in group if c in have] for name, group in (("Static-only", STATIC_FEATURES), ("Git-only", GIT_FEATURES), ("Developer-only", DEVELOPER_FEATURES), ("Temporal-only", TEMPORAL_FEATURES), ("Coupling-only", COUPLING_FEATURES), ("Burst-only", BURST_FEATURES))}
+    return sets | {"Static+Git": sets["Static-only"] + sets["Git-only"], "All-Combined": have}
 
 
 def numeric_features(df: DataFrame, exclude) -> list[str]:

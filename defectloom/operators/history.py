@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from defectloom.functions.core import days
+from defectloom.session import stored
 
 KEY = ["repo", "file"]
 
@@ -108,8 +109,10 @@ def co_change(cf: DataFrame, min_files: int = 2, max_files: int = 30) -> DataFra
     The bound on files is part of the measure and holds before the join, so a
     commit makes at most ``max_files * (max_files - 1)`` pairs.
     """
-    sized = cf.select("repo", "commit_id", "file").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("repo", "commit_id")))
-    small = sized.where(F.col("n").between(min_files, max_files)).groupBy("repo", "commit_id").agg(F.collect_list("file").alias("files"))
+    changed = cf.select("repo", "commit_id", "file").distinct()
+    # files are counted by an aggregate: a vast commit is never one task's buffer
+    sizes = changed.groupBy("repo", "commit_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(min_files, max_files))
+    small = changed.join(sizes, ["repo", "commit_id"], "left_semi").groupBy("repo", "commit_id").agg(F.collect_list("file").alias("files"))
     src = small.select("repo", F.explode("files").alias("src"), "files")
     pairs = src.select("repo", "src", F.explode("files").alias("dst")).where("src <> dst")
     return pairs.groupBy("repo", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
@@ -160,7 +163,11 @@ def file_history(cf: DataFrame) -> DataFrame:
 
 
 def history_features(cf: DataFrame, max_files: int = 30) -> DataFrame:
-    """All of a file's history in one row: one pass for what one pass can tell, then authors, gaps and coupling by the same key."""
+    """All of a file's history in one row: one pass for what one pass can tell, then authors, gaps and coupling by the same key.
+
+    Commit rows are stored once in the shared folder, as seven branches read them.
+    """
+    cf = stored(cf.select("repo", "commit_id", "author", "commit_time", "file", "added", "deleted", "is_fix"))
     out = file_history(cf).join(author_stats(cf), KEY).join(gap_stats(cf), KEY, "left")
     out = out.withColumns(burst_columns()).drop("avg_gap", "min_gap")
     return out.join(coupling(cf, max_files), KEY)

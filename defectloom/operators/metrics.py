@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from defectloom.functions.core import ratio
-from defectloom.operators.ranking import running_by_risk
+from defectloom.operators.ranking import exact_percentiles, running_by_risk
 
 
 def confusion_matrix(df: DataFrame, flag: Column, group: list[str] | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def recall_at_k_rank(df: DataFrame, share: float = 0.2, tie: str = "file") -> Da
 
 def recall_at_k_threshold(df: DataFrame, q: float = 0.8, group: list[str] | None = None) -> DataFrame:
     """Share of defects with a risk at or above the q-quantile; ties at it count."""
-    cut = df.groupBy(*(group or [])).agg(F.percentile("risk", F.lit(float(q))).alias("threshold"))
+    cut = group_percentile(df, "risk", q, group).withColumnRenamed("value", "threshold") if group else exact_percentiles(df, "risk", [q]).select(F.col("p")[0].alias("threshold"))
     x = df.join(cut, group) if group else df.crossJoin(F.broadcast(cut))
     per = x.groupBy(*(group or [])).agg(F.max("threshold").alias("threshold"), F.sum(F.when(F.col("risk") >= F.col("threshold"), F.col("buggy")).otherwise(0)).alias("found"), F.sum("buggy").alias("bugs"))
     return per.select(*(group or []), "threshold", ratio(F.col("found"), F.col("bugs")).alias("recall"))
@@ -82,7 +82,7 @@ def optimal_threshold(df: DataFrame) -> DataFrame:
 
 def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
     """Brier score, calibration error over quantile bins, spread, range and the gap of the means."""
-    edges = df.agg(F.percentile("risk", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e"))
+    edges = exact_percentiles(df, "risk", [i / bins for i in range(1, bins)]).withColumnRenamed("p", "e")
     binned = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("e", lambda q: q < F.col("risk"))))
     per = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("risk").alias("p"), F.avg("buggy").alias("y"))
     ece = per.agg(F.avg(F.abs(F.col("y") - F.col("p"))).alias("ece"))
@@ -90,10 +90,37 @@ def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
     return one.crossJoin(F.broadcast(ece))
 
 
-def training_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows (feature, mean, std, median, p99, p01); the deviation divides by n."""
+def group_percentile(df: DataFrame, column: str, q: float, group: list[str]) -> DataFrame:
+    """Rows (group, value): the exact q-quantile of each group with linear interpolation.
+
+    Equal values are added up before they are sorted, and a group's values pass
+    a sort that can spill, not a map that must fit into memory.
+    """
+    per = df.where(F.col(column).isNotNull()).groupBy(*group, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy(*group)
+    x = per.withColumns({"_last": F.sum("_k").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1, "_at": F.lit(float(q)) * (F.sum("_k").over(w) - 1)})
+
+    def value(rank: Column) -> Column:
+        return F.max(F.when((F.col("_last") - F.col("_k") < rank) & (rank <= F.col("_last")), F.col("_v")))
+
+    both = x.groupBy(*group).agg(value(F.floor("_at")).alias("_a"), value(F.ceil("_at")).alias("_b"), F.max(F.col("_at") - F.floor("_at")).alias("_f"))
+    return both.select(*group, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("value"))
+
+
+def training_stats(df: DataFrame, columns: list[str], most_values: int = 1_000_000) -> DataFrame:
+    """Rows (feature, mean, std, median, p99, p01); the deviation divides by n. Beyond ``most_values`` rows the percentiles of each column are closed in one by one."""
+    points = (0.5, 0.99, 0.01)
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("s")).select("s.*")
-    return long.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.percentile("x", F.array(F.lit(0.5), F.lit(0.99), F.lit(0.01))).alias("q")).select("feature", "mean", "std", F.col("q")[0].alias("median"), F.col("q")[1].alias("p99"), F.col("q")[2].alias("p01"))
+    aggs = [F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")]
+    if df.limit(most_values + 1).count() <= most_values:
+        per = long.groupBy("feature").agg(*aggs, F.percentile("x", F.array(*[F.lit(p) for p in points])).alias("q"))
+    else:
+        cuts = [exact_percentiles(df, c, points, most_values).select(F.lit(c).alias("feature"), F.col("p").alias("q")) for c in columns]
+        q = cuts[0]
+        for other in cuts[1:]:
+            q = q.unionByName(other)
+        per = long.groupBy("feature").agg(*aggs).join(q, "feature")
+    return per.select("feature", "mean", "std", F.col("q")[0].alias("median"), F.col("q")[1].alias("p99"), F.col("q")[2].alias("p01"))
 
 
 def fold_summary(folds: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,9 +26,9 @@ def tier_by_repo_rank(df: DataFrame, risk: str = "risk", tie: str = "file") -> D
 
 
 def risk_percentiles(df: DataFrame, risk: str = "risk", points=(0.10, 0.25, 0.50, 0.75, 0.90)) -> DataFrame:
-    """One row of exact percentiles with linear interpolation; equal values are added up before they are sorted."""
+    """One row of exact percentiles with linear interpolation."""
     names = [f"p{round(100 * p)}" for p in points]
-    cut = df.agg(F.percentile(risk, F.array(*[F.lit(float(p)) for p in points])).alias("p"))
+    cut = exact_percentiles(df, risk, points)
     return cut.select(*[F.col("p")[i].alias(n) for i, n in enumerate(names)])
 
 
@@ -45,28 +48,105 @@ def average_rank(df: DataFrame, group: list[str], value: str, name: str) -> Data
     return df.withColumn(name, rank / F.count(F.lit(1)).over(w))
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, Column], group: list[str] | None = None) -> DataFrame:
-    """Adds running sums in the given order within each group; without a group all rows pass one task, after aggregation only."""
-    w = Window.partitionBy(*(group or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({k: F.sum(c).over(w) for k, c in sums.items()})
+def _band_of(risk: str, buckets: int) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(buckets), F.coalesce(F.floor((1 - F.col(risk)) * buckets), F.lit(buckets)))).cast("int")
+
 
+def _cuts(df: DataFrame, risk: str, tie: str, buckets: int, most_rows: int) -> DataFrame | None:
+    """Bands with more than ``most_rows`` rows, each with cuts (in order of rank) that part it into pieces of about that many; None if there are none.
 
-def running_by_risk(df: DataFrame, sums: dict[str, Column], risk: str = "risk", tie: str = "file", buckets: int = 1024) -> DataFrame:
+    Cuts come from a sample by hash, of some 64 rows for each piece. They are
+    rows (_b, cuts), cuts being lists of lists.
+    """
+    x = df.select(_band_of(risk, buckets).alias("_b"), _rank_key(risk, tie).alias("_k"), F.xxhash64(F.lit(11), risk, tie).alias("_h"))
+    hot = {r["_b"]: r["n"] for r in x.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_rows).collect()}  # a band's row each
+    if not hot:
+        return None
+    share = F.create_map(*[F.lit(v) for b, n in hot.items() for v in (b, min(1.0, 64 / most_rows))])
+    u = F.shiftrightunsigned("_h", 11) / float(1 << 53)
+    sample = x.where(F.col("_b").isin(*hot) & (u < share[F.col("_b")])).groupBy("_b", "_k").agg(F.first("_h").alias("_h"))
+    at = Window.partitionBy("_b").orderBy("_k")
+    picked = sample.withColumn("_r", F.row_number().over(at)).where(F.col("_r") % 64 == 0)
+    step = Window.partitionBy("_b")
+    root = F.ceil(F.sqrt(F.count(F.lit(1)).over(step))).cast("int")
+    blocks = picked.withColumn("_g", F.floor((F.col("_r") / 64 - 1) / root).cast("int")).groupBy("_b", "_g").agg(F.sort_array(F.collect_list("_k")).alias("c"))
+    return blocks.groupBy("_b").agg(F.transform(F.sort_array(F.collect_list(F.struct("_g", "c"))), lambda x: x["c"]).alias("cuts"))
+
+
+def _rank_key(risk: str, tie: str) -> Column:
+    """Ascending where rows are ranked by falling risk and rising tie, nulls last."""
+    return F.struct(F.coalesce(-F.col(risk).cast("double"), F.lit(float("inf"))).alias("r"), F.col(tie).alias("t"))
+
+
+def running_by_risk(df: DataFrame, sums: dict[str, Column], risk: str = "risk", tie: str = "file", buckets: int = 1024, most_rows: int = 1_000_000) -> DataFrame:
     """Adds ``position`` and running sums over all rows, highest risk first.
 
     Rows are dealt into ``buckets`` bands of risk, which are summed side by
     side; only the bands' totals, at most one row each, meet in one task.
     Risks lie between 0 and 1; others and nulls share the outermost bands.
+    A band of more than ``most_rows`` rows, as where half of all files have one
+    risk, is parted further by risk and tie, at cuts that a sample gives; so no
+    task gets many more rows than that, but for rows alike in both.
     """
-    band = F.greatest(F.lit(0), F.least(F.lit(buckets), F.coalesce(F.floor((1 - F.col(risk)) * buckets), F.lit(buckets)))).cast("int")
     names = {**sums, "position": F.lit(1).cast("long")}
-    x = df.withColumn("_band", band)
-    totals = x.groupBy("_band").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in names.items()])
-    before = Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col("_band").alias("_b"), *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_s_{k}") for k in names])
-    inner = Window.partitionBy("_band").orderBy(F.col(risk).desc(), F.col(tie).asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = x.join(F.broadcast(starts), F.col("_band") == F.col("_b"))
-    return joined.withColumns({k: F.sum(c).over(inner) + F.col(f"_s_{k}") for k, c in names.items()}).drop("_band", "_b", *[f"_s_{k}" for k in names])
+    x, cuts = df.withColumn("_band", _band_of(risk, buckets)), _cuts(df, risk, tie, buckets, most_rows)
+    part = F.lit(0)
+    if cuts is not None:  # at most one cut for every ``most_rows`` rows
+        x = x.join(F.broadcast(cuts), F.col("_band") == F.col("_b"), "left").drop("_b")
+        key = _rank_key(risk, tie)
+        # a cut's block first, then the place in it
+        block = F.size(F.filter("cuts", lambda c: c[0] <= key))
+        before = F.when(block > 0, F.size(F.filter(F.get("cuts", block - 1), lambda c: c <= key)) + F.coalesce(F.aggregate(F.slice("cuts", F.lit(1), block - 1), F.lit(0), lambda s, c: s + F.size(c)), F.lit(0))).otherwise(0)
+        part = F.when(F.col("cuts").isNull(), 0).otherwise(before)
+    x = x.withColumn("_part", part).drop("cuts")
+    totals = x.groupBy("_band", "_part").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in names.items()])
+    before = Window.orderBy("_band", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("_band").alias("_b"), F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_s_{k}") for k in names])
+    inner = Window.partitionBy("_band", "_part").orderBy(F.col(risk).desc(), F.col(tie).asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = x.join(F.broadcast(starts), (F.col("_band") == F.col("_b")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumns({k: F.sum(c).over(inner) + F.col(f"_s_{k}") for k, c in names.items()}).drop("_band", "_part", "_b", "_p", *[f"_s_{k}" for k in names])
+
+
+def exact_percentiles(df: DataFrame, column: str, points: Sequence[float], most_values: int = 1_000_000, bands: int = 4096) -> DataFrame:
+    """One row with ``p``, the exact percentiles with linear interpolation, null on no values.
+
+    Up to ``most_values`` rows Spark's own aggregate gives them. Beyond, each
+    order statistic is closed in: values between two bounds are counted in
+    ``bands`` bands, and the band that holds it gives the next bounds, until
+    few values are left (or one value alone); so no task holds all of them.
+    """
+    v = F.col(column).cast("double")
+    values = df.select(v.alias("v")).where("v IS NOT NULL")
+    one = values.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in points])).alias("p"))
+    n, low, high = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if n <= most_values:
+        return one
+    ranks = sorted({r for p in points for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+    found: dict[int, float] = {}
+    work = [(low, high, 0, ranks)]
+    while work:
+        a, b, before, wanted = work.pop()
+        inside = values.where(F.col("v").between(a, b))
+        width = (b - a) / bands
+        if a == b or width == 0 or a + width == a:
+            # one value, or neighbours that no band can part
+            rows = inside.groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()
+        else:
+            band = F.least(F.lit(bands - 1), F.floor((F.col("v") - a) / width)).cast("int").alias("b")
+            rows = inside.groupBy(band).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("v")).orderBy("b").collect()
+        for r in rows:
+            mine = [w for w in wanted if before <= w < before + r["n"]]
+            if mine and ("low" not in r or r["low"] == r["v"]):
+                found |= dict.fromkeys(mine, r["v"])
+            elif mine:
+                work.append((r["low"], r["v"], before, mine))
+            before += r["n"]
+    out = []
+    for p in points:
+        at = p * (n - 1)
+        i, j = math.floor(at), math.ceil(at)
+        out.append(found[i] + (found[j] - found[i]) * (at - i) if i != j else found[i])
+    return df.sparkSession.createDataFrame([(out,)], "p array<double>")
 
 
 def within_budget(df: DataFrame, cost: str, share: float, risk: str = "risk", tie: str = "file") -> DataFrame:
@@ -127,5 +207,5 @@ def seeded_sample(df: DataFrame, n: int, seed: int, key: str = "file") -> DataFr
 def attribution_sample(df: DataFrame, n: int, seed: int, risk: str = "risk", key: str = "file") -> DataFrame:
     """The riskiest half of the sample, and a seeded choice of the rest."""
     top = df.orderBy(F.col(risk).desc(), F.col(key).asc()).limit(n // 2)
-    rest = df.join(F.broadcast(top.select(key)), key, "left_anti")
+    rest = df.join(F.broadcast(top.select(key)) if n <= 100_000 else top.select(key), key, "left_anti")
     return top.withColumn("part", F.lit("top")).unionByName(seeded_sample(rest, n - n // 2, seed, key).withColumn("part", F.lit("random")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectloom.functions.core import clip
+from defectloom.operators.ranking import top_per_group
 
 
 def risk_level_abs(r: Column) -> Column:
@@ -87,10 +88,10 @@ def commit_validation(risks: DataFrame) -> DataFrame:
 
 
 def top_contributors(cs: DataFrame, k: int = 3, key: str = "commit_id") -> DataFrame:
-    """The k riskiest files of each change set, in one line of text."""
-    item = F.struct((-F.col("risk")).alias("r"), F.col("file"))
-    top = F.slice(F.array_sort(F.collect_list(item)), 1, k)
-    return cs.groupBy(key).agg(F.array_join(F.transform(top, lambda x: x["file"].cast("string")), " | ").alias("top_files"))
+    """The k riskiest files of each change set, in one line of text; only k rows of a set are gathered."""
+    top = top_per_group(cs, [key], [F.col("risk").desc(), F.col("file").asc()], k, "_r")
+    names = F.array_sort(F.collect_list(F.struct("_r", F.col("file").cast("string").alias("name"))))
+    return top.groupBy(key).agg(F.array_join(F.transform(names, lambda x: x["name"]), " | ").alias("top_files"))
 
 
 CODE_ENDINGS = (".py", ".js", ".ts", ".java", ".go", ".rb", ".php", ".cs", ".cpp", ".c", ".rs", ".swift")
