@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+import random
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -37,26 +40,36 @@ def rebalance(df: DataFrame, rate: float = 0.2, low: float = 0.15, high: float =
     """
     stats = df.agg(F.count(F.lit(1)).alias("_n"), F.sum("buggy").alias("_p"))
     keep = F.when(F.col("_p") < low * F.col("_n"), F.col("_p") * (1 - rate) / rate / (F.col("_n") - F.col("_p"))).otherwise(1.0)
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30)
-    return df.crossJoin(F.broadcast(stats)).where((F.col("buggy") == 1) | (u < keep)).drop("_n", "_p")
+    # eight hexadecimal digits of the hash, below the threshold's
+    least = F.lpad(F.lower(F.hex(F.floor(F.least(keep, F.lit(1.0)) * float((1 << 32) - 1)).cast("long"))), 8, "0")
+    u = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8)
+    return df.crossJoin(F.broadcast(stats)).where((F.col("buggy") == 1) | (F.col("_p") >= low * F.col("_n")) | (u < least)).drop("_n", "_p")
 
 
-def classifier(kind: str, seed: int = 42):
-    common = {"featuresCol": "features", "labelCol": "buggy"}
+# The final sizes of the models.
+FINAL_SIZES = {"lr": {"maxIter": 50, "regParam": 0.01}, "rf": {"numTrees": 300, "maxDepth": 8}, "gbt": {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05}}
+#: What a quick run takes; the registered queries do, as their tables are small.
+QUICK_SIZES = {"lr": {"maxIter": 50, "regParam": 0.01}, "rf": {"numTrees": 40, "maxDepth": 6}, "gbt": {"maxIter": 20, "maxDepth": 4}}
+#: The choices of a random search.
+SEARCH = {"lr": {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}, "rf": {"numTrees": [100, 200, 300], "maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 2, 5]}, "gbt": {"maxIter": [50, 100, 200], "maxDepth": [3, 4, 6], "stepSize": [0.01, 0.05, 0.1]}}
+
+
+def classifier(kind: str, seed: int = 42, sizes: dict | None = None):
+    common = {"featuresCol": "features", "labelCol": "buggy", "weightCol": "weight"} | (FINAL_SIZES[kind] if sizes is None else sizes)
     if kind == "lr":
-        return LogisticRegression(**common, weightCol="weight", maxIter=50, regParam=0.01)
+        return LogisticRegression(**common)
     if kind == "rf":
-        return RandomForestClassifier(**common, weightCol="weight", numTrees=40, maxDepth=6, seed=seed)
+        return RandomForestClassifier(**common, seed=seed)
     if kind == "gbt":
-        return GBTClassifier(**common, weightCol="weight", maxIter=20, maxDepth=4, seed=seed)
+        return GBTClassifier(**common, seed=seed)
     raise ValueError(kind)
 
 
-def fit(train: DataFrame, columns: list[str], kind: str = "lr", seed: int = 42) -> PipelineModel:
-    """Assembler (with the scaler's statistics inside the pipeline) and classifier; nulls count as 0."""
+def fit(train: DataFrame, columns: list[str], kind: str = "lr", seed: int = 42, sizes: dict | None = None) -> PipelineModel:
+    """Assembler (with the scaler's statistics inside the pipeline) and classifier of the final sizes or the given ones; nulls count as 0."""
     stats = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     scaled = ", ".join(f"(coalesce(cast({c} AS double), 0D) - {float(stats[f'm{i}'] or 0)!r}D) / {float(stats[f's{i}'] or 0) or 1.0!r}D AS z_{c}" for i, c in enumerate(columns))
-    stages = [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"), VectorAssembler(inputCols=[f"z_{c}" for c in columns], outputCol="features"), classifier(kind, seed)]
+    stages = [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"), VectorAssembler(inputCols=[f"z_{c}" for c in columns], outputCol="features"), classifier(kind, seed, sizes)]
     return Pipeline(stages=stages).fit(class_weights(train))
 
 
@@ -67,30 +80,64 @@ def score(model: PipelineModel, df: DataFrame, columns: list[str], excluded: Col
     return out.drop("features", "rawPrediction", "probability", "prediction", *[f"z_{c}" for c in columns])
 
 
-def select_features(train: DataFrame, columns: list[str], core: tuple[str, ...] = (), least: int = 5) -> list[str]:
+def select_features(train: DataFrame, columns: list[str], core: tuple[str, ...] = (), least: int = 5, sizes: dict | None = None) -> list[str]:
     """Features at or above the median importance of a forest, and the core ones; the ten best if fewer than ``least``."""
-    importances = fit(train, columns, "rf").stages[-1].featureImportances.toArray()
+    importances = fit(train, columns, "rf", sizes=sizes).stages[-1].featureImportances.toArray()
     order = sorted(zip(columns, importances), key=lambda x: (-x[1], x[0]))
     middle = sorted(importances)[len(importances) // 2]
     chosen = [c for c, v in order if v >= middle or c in core]
     return chosen if len(chosen) >= least else [c for c, _ in order[:10]]
 
 
-def leave_one_out(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("lr",), repo: str = "repo", least_train: int = 10, least_test: int = 5, threads: int = 4) -> DataFrame:
-    """Rows (repo, model, n_test, n_buggy, f1, pr_auc, roc_auc, recall_20, composite) of a fold for each repository.
+def time_folds(df: DataFrame, time: str, folds: int = 5, key: str = "file") -> list[tuple[DataFrame, DataFrame]]:
+    """Pairs (train, test) in time order: the first part against the second, the first two against the third, and so on.
+
+    Times are cut at quantiles, so rows of one time stay together.
+    """
+    cuts = df.agg(F.percentile(F.unix_micros(F.col(time).cast("timestamp")) if dict(df.dtypes)[time].startswith(("timestamp", "date")) else F.col(time), F.array(*[F.lit(i / (folds + 1)) for i in range(1, folds + 1)]))).first()[0]
+    t = F.unix_micros(F.col(time).cast("timestamp")) if dict(df.dtypes)[time].startswith(("timestamp", "date")) else F.col(time)
+    edges = [*cuts, None]
+    return [(df.where(t <= edges[i]), df.where((t > edges[i]) & (t <= edges[i + 1]) if edges[i + 1] is not None else t > edges[i])) for i in range(folds)]
+
+
+def random_search(df: DataFrame, columns: list[str], kind: str, time: str, n: int = 8, folds: int = 5, seed: int = 42, choices: dict | None = None, threads: int = 4) -> tuple[dict, DataFrame]:
+    """The best of ``n`` random settings by mean average precision over folds in time order, and rows (setting, folds, pr_auc) of all.
 
-    The loop is over repositories, a bounded list; the folds of one call run side by side on the cluster.
+    Folds without both classes are passed over. Settings are drawn without
+    repeats; ties go to the one drawn first.
+    """
+    choices = SEARCH[kind] if choices is None else choices
+    every = [dict(zip(choices, x)) for x in itertools.product(*choices.values())]
+    drawn = random.Random(seed).sample(every, min(n, len(every)))
+    parts = [(a, b) for a, b in time_folds(df, time, folds) if all(x.select(F.count_distinct("buggy")).first()[0] == 2 for x in (a, b))]
+
+    def one(setting: dict) -> list[float]:
+        return [M.pr_auc(score(fit(a, columns, kind, seed, setting), b, columns).select("file", "risk", "buggy")).first()["pr_auc"] for a, b in parts]
+
+    with ThreadPoolExecutor(threads) as pool:
+        found = list(pool.map(one, drawn))
+    means = [sum(x) / len(x) if x else 0.0 for x in found]
+    best = drawn[max(range(len(drawn)), key=lambda i: (means[i], -i))]
+    return best, df.sparkSession.createDataFrame([(json.dumps(s, sort_keys=True), len(x), m) for s, x, m in zip(drawn, found, means)], "setting string, folds long, pr_auc double")
+
+
+def leave_one_out(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("lr",), repo: str = "repo", least_train: int = 10, least_test: int = 5, threads: int = 8, sizes: dict[str, dict] | None = None) -> DataFrame:
+    """Rows (repo, model, n_test, n_buggy, f1, pr_auc, roc_auc, recall_20, composite) of a fold for each repository and kind.
+
+    Folds with fewer rows than the least, or without a defect to learn from, are
+    passed over. The loop is over repositories, a bounded list; the folds of one
+    call run side by side on the cluster.
     """
     spark = df.sparkSession
     counts = {r[repo]: (r["n"], r["b"]) for r in df.groupBy(repo).agg(F.count(F.lit(1)).alias("n"), F.sum("buggy").alias("b")).collect()}
-    total = sum(n for n, _ in counts.values())
+    total, bugs = sum(n for n, _ in counts.values()), sum(b for _, b in counts.values())
 
     def fold(name: str, kind: str):
         n, b = counts[name]
-        train, test = df.where(F.col(repo) != name), df.where(F.col(repo) == name)
-        if total - n < least_train or n < least_test or not train.where("buggy = 1").take(1):
+        if total - n < least_train or n < least_test or bugs == b:
             return None
-        scored = score(fit(train, columns, kind), test, columns).select("file", "risk", "buggy")
+        train, test = df.where(F.col(repo) != name), df.where(F.col(repo) == name)
+        scored = score(fit(train, columns, kind, sizes=(sizes or {}).get(kind)), test, columns).select("file", "risk", "buggy")
         one = M.classification_metrics(scored, F.col("risk") >= 0.5).crossJoin(M.pr_auc(scored)).crossJoin(M.roc_auc(scored)).crossJoin(M.recall_at_k_rank(scored).select(F.col("recall").alias("recall_20"))).first()
         auc = one["pr_auc"]
         return name, kind, n, int(b), one["f1"], auc, one["roc_auc"], one["recall_20"], 0.4 * auc + 0.4 * one["recall_20"] + 0.2 * one["f1"]
@@ -100,6 +147,31 @@ def leave_one_out(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("
     return spark.createDataFrame(found, "repo string, model string, n_test long, n_buggy long, f1 double, pr_auc double, roc_auc double, recall_20 double, composite double")
 
 
+def best_architecture(folds: DataFrame, least_test: int = 30) -> DataFrame:
+    """Rows (model, folds, composite, avg_f1, best): mean composite over the folds of at least ``least_test`` files (of all where none is), the highest marked; ties go to the smaller name."""
+    large = F.col("n_test") >= least_test
+    any_large = folds.agg(F.coalesce(F.max(large), F.lit(False)).alias("_any"))
+    per = folds.crossJoin(F.broadcast(any_large)).groupBy("model").agg(F.count_if(large | ~F.col("_any")).alias("folds"), F.avg(F.when(large | ~F.col("_any"), F.col("composite"))).alias("composite"), F.avg("f1").alias("avg_f1"))
+    top = per.agg(F.min(F.struct((-F.col("composite")).alias("c"), "model"))["model"].alias("_best"))
+    return per.crossJoin(F.broadcast(top)).select("model", "folds", "composite", "avg_f1", (F.col("model") == F.col("_best")).alias("best"))
+
+
+def holdout(df: DataFrame, share: float = 0.15, key: str = "file", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(the rest, held out): ``share`` of the rows of each class, the first by a hash of the key."""
+    x = df.withColumn("_u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) / float(1 << 53))
+    cuts = M.group_percentile(x, "_u", share, ["buggy"]).select(F.col("buggy").alias("_class"), F.col("value").alias("_cut"))  # a row for each class
+    x = x.join(F.broadcast(cuts), F.col("buggy") == F.col("_class"), "left")
+    held = F.coalesce(F.col("_u") < F.col("_cut"), F.lit(False))
+    return x.where(~held).select(*df.columns), x.where(held).select(*df.columns)
+
+
+def fit_calibrated(df: DataFrame, columns: list[str], kind: str = "lr", share: float = 0.15, seed: int = 42, sizes: dict | None = None):
+    """A model of all rows but a stratified holdout, and the calibrator fitted on the holdout, which the model has not seen."""
+    rest, held = holdout(df, share, seed=seed)
+    model = fit(rest, columns, kind, seed, sizes)
+    return model, calibrate(score(model, held, columns).select("file", "risk", "buggy"))
+
+
 def calibrate(scored: DataFrame, least_rows: int = 50, least_positive: int = 5):
     """A transformer of ``risk`` into ``calibrated``: isotonic with enough rows and defects, else logistic."""
     n = scored.agg(F.count(F.lit(1)).alias("n"), F.sum("buggy").alias("p")).first()

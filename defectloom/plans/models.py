@@ -6,19 +6,32 @@ from pyspark.sql import functions as F
 
 from defectloom.functions.core import r6
 from defectloom.ml import models as ML
-from defectloom.plans.bindings import LABELLED, labelled, messages, table
+from defectloom.operators import features as FT
+from defectloom.operators import history as H
+from defectloom.plans.bindings import LABELLED, commit_files, labelled, messages, static_metrics, table
 from defectloom.plans.registry import query
+from defectloom.session import stored
 from defectloom.sources import caches as C
 
 _LB = f"WITH {LABELLED}"
 _COLS = ["loc", "functions", "avg_complexity", "max_complexity"]
-_REGIONS = {"north": ("src1", "src10", "src11", "src12", "src13"), "south": ("src2", "src3", "src4")}
+_SIZES = ML.QUICK_SIZES
 
 
 def _projects(spark, d):
-    """Three projects of several sources each, so that folds have both classes."""
-    repo = F.when(F.col("repo").isin(*_REGIONS["north"]), "north").when(F.col("repo").isin(*_REGIONS["south"]), "south").otherwise("rest")
-    return labelled(spark, d).withColumn("repo", repo).select("repo", "file", "buggy", *_COLS).cache()
+    """The labelled documents, a project for each source; stored, as a model reads them many times."""
+    return stored(labelled(spark, d).select("repo", "file", "buggy", *_COLS))
+
+
+def _with_history(spark, d):
+    """The labelled documents with the history of the part of the same number, in all groups of features."""
+    cf = commit_files(spark, d)
+    hist = H.history_features(cf).drop("repo")
+    zero = [c for c in hist.columns if c != "file"]
+    x = FT.build_features(FT.static_left_history(static_metrics(spark, d), hist, ["file"], zero))
+    x = x.join(labelled(spark, d).select("file", "buggy"), "file")
+    groups = (FT.STATIC_FEATURES, FT.GIT_FEATURES, FT.DEVELOPER_FEATURES, FT.TEMPORAL_FEATURES, FT.COUPLING_FEATURES, FT.BURST_FEATURES)
+    return stored(x.select("repo", "file", "buggy", *[c for g in groups for c in g if c in x.columns]))
 
 
 @query(f"{_LB}, s AS (SELECT avg(loc) AS m1, stddev_pop(loc) AS s1, avg(functions) AS m2, stddev_pop(functions) AS s2 FROM lb WHERE file % 2 = 0) SELECT file, round((loc - m1) / s1, 6) AS loc, round((functions - m2) / s2, 6) AS functions FROM lb, s WHERE file % 2 = 1")
@@ -32,20 +45,23 @@ def resample(spark, d):
     return ML.class_weights(labelled(spark, d)).select("file", r6(F.col("weight")).alias("weight"))
 
 
-@query()
+@query(f"{_LB}, c AS (SELECT count(*) AS n, sum(buggy) AS p FROM lb) SELECT file, buggy FROM lb, c WHERE buggy = 1 OR p >= 0.15 * n OR substr(md5('42:' || file), 1, 8) < printf('%08x', floor(least(p * (1 - 0.2::DOUBLE) / 0.2::DOUBLE / (n - p), 1.0) * 4294967295.0)::BIGINT)")
 def rebalance_target_rate(spark, d):
     return ML.rebalance(labelled(spark, d)).select("file", "buggy")
 
 
 @query()
 def select_features(spark, d):
-    return spark.createDataFrame([(c,) for c in ML.select_features(_projects(spark, d), _COLS, ("loc",), 2)], "feature string")
+    return spark.createDataFrame([(c,) for c in ML.select_features(_projects(spark, d), _COLS, ("loc",), 2, _SIZES["rf"])], "feature string")
 
 
 def _scored_by(kind):
     def f(spark, d):
+        """Scores of the first project's files by a model of all others."""
         x = _projects(spark, d)
-        return ML.score(ML.fit(x.where("repo <> 'north'"), _COLS, kind), x.where("repo = 'north'"), _COLS, F.col("loc") <= 1).select("file", "buggy", "risk")
+        first = x.agg(F.min("repo")).first()[0]
+        model = ML.fit(x.where(F.col("repo") != first), _COLS, kind, sizes=_SIZES[kind])
+        return ML.score(model, x.where(F.col("repo") == first), _COLS, F.col("loc") <= 1).select("file", "buggy", "risk")
 
     return f
 
@@ -60,21 +76,37 @@ def score(spark, d):
     return ML.score(ML.fit(x, _COLS), x, _COLS, F.col("loc") <= 1).select("file", "risk")
 
 
+@query()
+def random_search(spark, d):
+    """Average precision of random settings over folds in the order of ids, which stand for time."""
+    return ML.random_search(_projects(spark, d), _COLS, "lr", "file", 4, 3)[1]
+
+
 @query()
 def lopo_cv(spark, d):
-    return ML.leave_one_out(_projects(spark, d), _COLS)
+    """A fold for each source and architecture."""
+    return ML.leave_one_out(_projects(spark, d), _COLS, ("lr", "rf"), sizes=_SIZES)
+
+
+@query()
+def best_architecture(spark, d):
+    """The architecture whose folds are best."""
+    return ML.best_architecture(ML.leave_one_out(_projects(spark, d), _COLS, ("lr", "rf"), sizes=_SIZES))
 
 
 @query()
 def ablation(spark, d):
-    return ML.ablation(_projects(spark, d), {"size": ["loc"], "complexity": ["avg_complexity", "max_complexity"], "combined": _COLS})
+    """Eight sets of features, two architectures, a fold for each source with at least as many files as a mean tells something of."""
+    x = _with_history(spark, d)
+    return ML.ablation(x, FT.feature_sets(x), ("lr", "rf"), least_test=30, sizes=_SIZES)
 
 
 @query()
 def calibrate(spark, d):
+    """Risks of all files, calibrated on a holdout that the model has not seen."""
     x = _projects(spark, d)
-    s = ML.score(ML.fit(x, _COLS), x, _COLS).select("file", "risk", "buggy").cache()
-    return ML.calibrate(s)(s).select("file", "risk", "calibrated")
+    model, calibrated = ML.fit_calibrated(x, _COLS, sizes=_SIZES["lr"])
+    return calibrated(ML.score(model, x, _COLS).select("file", "risk")).select("file", "risk", "calibrated")
 
 
 @query()
@@ -87,7 +119,7 @@ def shap(spark, d):
 def counterfactual(spark, d):
     x = _projects(spark, d)
     means = x.agg(*[F.avg(c).alias(c) for c in _COLS]).first().asDict()
-    return ML.counterfactual(ML.occlusion_attribution(ML.fit(x, _COLS, "rf"), x, _COLS, means))
+    return ML.counterfactual(ML.occlusion_attribution(ML.fit(x, _COLS, "rf", sizes=_SIZES["rf"]), x, _COLS, means))
 
 
 @query()
@@ -137,9 +169,10 @@ def fetch_author_history(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("author")).agg(F.least(F.count(F.lit(1)), F.lit(100).cast("long")).alias("repo_commits"))
 
 
-@query()
+@query("SELECT 'doc' || doc_id || '.py' AS path, 'py' AS language, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[\r\x0b\x0c]', chr(10), 'g'), chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#')))::BIGINT AS loc, 0::BIGINT AS functions, 0.0::DOUBLE AS avg_complexity, 0::BIGINT AS max_complexity, 0::INTEGER AS max_nesting_depth, 0::BIGINT AS n_top FROM documents")
 def static_metrics_of_source(spark, d):
-    """Static metrics of source text; documents stand for files, so only their lines count."""
+    """Static metrics of source text; documents stand for files, and prose has lines but no functions."""
     from defectloom.sources.source_tree import measured
 
-    return measured(table(spark, d, "documents").select(F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".py")).alias("path"), F.col("text").alias("source"))).drop("top_functions")
+    x = measured(table(spark, d, "documents").select(F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".py")).alias("path"), F.col("text").alias("source")))
+    return x.select("path", "language", "loc", "functions", "avg_complexity", "max_complexity", "max_nesting_depth", F.size("top_functions").cast("long").alias("n_top"))
