@@ -15,8 +15,10 @@ from defectloom.operators import metrics as M
 from defectloom.operators import risk as K
 from defectloom.plans.bindings import COMMIT_FILES, LABELLED, SCORED, commit_files, labelled, scored, table
 from defectloom.plans.registry import query
+from defectloom.session import work_folder
 from defectloom.sources import caches as C
-from defectloom.streaming.incremental import work_folder
+from defectloom.sources import clones as CL
+from defectloom.sources import source_tree as T
 
 _SC, _LB, _CF = (f"WITH {x}" for x in (SCORED, LABELLED, COMMIT_FILES))
 _COLS = ["loc", "functions", "avg_complexity", "max_complexity"]
@@ -43,13 +45,14 @@ def save_validation_report(spark, d):
     return spark.read.schema("repo string, files long, bugs long").json(folder)
 
 
-@query(f"{_CF} SELECT file, count(*) AS commits FROM cf WHERE repo = 'Brand#11' GROUP BY file")
+@query(f"{_CF} SELECT repo, file, count(*) AS commits FROM cf GROUP BY repo, file")
 def read_miner_cache(spark, d):
-    """Aggregates of one repository at its current head; those of an older head are there and stay unread."""
-    folder, cf = work_folder(spark), commit_files(spark, d).where("repo = 'Brand#11'")
-    C.write_cache(cf.where("commit_id < 100").groupBy("file").agg(F.count(F.lit(1)).alias("commits")), folder, repo="Brand#11", head_hash="old")
-    C.write_cache(cf.groupBy("file").agg(F.count(F.lit(1)).alias("commits")), folder, repo="Brand#11", head_hash="now")
-    return C.read_cache(spark, folder, repo="Brand#11", head_hash="now")
+    """Aggregates of every repository at its current head; those of an older head are there and stay unread."""
+    folder, per = work_folder(spark), commit_files(spark, d).groupBy("repo", "file").agg(F.count(F.lit(1)).alias("commits"))
+    C.write_heads(per.select("file", F.lit(0).cast("long").alias("commits"), "repo", F.lit("old").alias("head")), folder, ["repo", "head"])
+    C.write_heads(per.select("file", "commits", "repo", F.lit("now").alias("head")), folder, ["repo", "head"])
+    heads = per.select("repo", F.lit("now").alias("head")).distinct()
+    return C.read_heads(spark, folder, heads, "file long, commits long, repo string, head string").select("repo", "file", "commits")
 
 
 @query("SELECT doc_id, toxic::INTEGER AS buggy FROM labels WHERE toxic = 1")
@@ -71,7 +74,7 @@ def checkpoint_resume(spark, d):
 @query()
 def load_model(spark, d):
     """Scores of a model that was saved with its statistics and read again by its version."""
-    x, folder = labelled(spark, d).cache(), work_folder(spark)
+    x, folder = labelled(spark, d), work_folder(spark)
     C.save_model(spark, ML.fit(x, _COLS), folder, M.training_stats(x, _COLS), _COLS, "v1")
     model, stats, _ = C.load_model(spark, folder)
     return ML.score(model, x, _COLS).select("file", "risk").crossJoin(stats.agg(F.count(F.lit(1)).alias("features")))
@@ -127,17 +130,106 @@ def list_prs(spark, d):
     return table(spark, d, "orders").where("o_orderstatus = 'O'").orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(20).select(F.col("o_orderkey").alias("pr"))
 
 
-@query()
+@query("SELECT doc_id, 0::INTEGER AS depth FROM documents")
 def nesting_depth(spark, d):
-    """Depth of nesting of source text; prose does not parse and has 0."""
+    """Depth of nesting of all texts as Python source; prose does not parse or nests nothing, and has 0."""
     from defectloom.sources.source_tree import nesting_depth as depth
 
     @F.pandas_udf("int")
     def f(s: pd.Series) -> pd.Series:
         return s.map(lambda x: depth(x or ""))
 
-    code = F.when(F.col("doc_id") % 2 == 0, F.lit("for x in y:\n  if x:\n    pass\n")).otherwise(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", f(code).alias("depth"))
+    return table(spark, d, "documents").select("doc_id", f("text").alias("depth"))
+
+
+_TREE = """tr AS (SELECT page_id, html, CASE page_id % 6 WHEN 0 THEN 'src/p' || page_id || '.py' WHEN 1 THEN 'tests/p' || page_id || '.py' WHEN 2 THEN 'web/p' || page_id || '.js' WHEN 3 THEN 'docs/p' || page_id || '.md' WHEN 4 THEN 'web/test_p' || page_id || '.ts' ELSE 'core/p' || page_id || '.css' END AS path FROM pages)"""
+_SCANNED = "page_id % 6 IN (0, 2, 5)"
+
+
+def _tree(spark, d):
+    """Pages as files of a source tree, written by the executors; the folder."""
+    i, folder = F.col("page_id"), work_folder(spark)
+    n = i.cast("string")
+    path = F.when(i % 6 == 0, F.concat(F.lit("src/p"), n, F.lit(".py"))).when(i % 6 == 1, F.concat(F.lit("tests/p"), n, F.lit(".py"))).when(i % 6 == 2, F.concat(F.lit("web/p"), n, F.lit(".js")))
+    path = path.when(i % 6 == 3, F.concat(F.lit("docs/p"), n, F.lit(".md"))).when(i % 6 == 4, F.concat(F.lit("web/test_p"), n, F.lit(".ts"))).otherwise(F.concat(F.lit("core/p"), n, F.lit(".css")))
+    T.write_tree(table(spark, d, "pages").select(path.alias("path"), F.col("html").alias("content")).repartition(8), folder)
+    return folder
+
+
+@query(f"WITH {_TREE} SELECT path AS rel_path, strlen(coalesce(html, ''))::BIGINT AS length FROM tr WHERE {_SCANNED}")
+def scan_source_tree(spark, d):
+    """The files of a tree that pass the extension, directory and name filters."""
+    return T.scan_source_tree(spark, _tree(spark, d)).select("rel_path", "length")
+
+
+@query(f"""WITH {_TREE}, l AS (SELECT path, unnest(string_split(replace(coalesce(html, ''), chr(13), ''), chr(10))) AS line FROM tr WHERE {_SCANNED}),
+c AS (SELECT path, count(*) FILTER (WHERE trim(line, ' ' || chr(9)) <> '' AND NOT starts_with(ltrim(line, ' ' || chr(9)), CASE WHEN ends_with(path, '.py') THEN '#' ELSE '//' END)) AS loc FROM l GROUP BY path)
+SELECT path, regexp_extract(path, '[a-z]+$') AS language, loc, 0::INTEGER AS max_nesting_depth FROM c""")
+def scan_static_metrics(spark, d):
+    """Lines and nesting of the files of a tree; markup has lines only."""
+    return T.scan_static_metrics(spark, _tree(spark, d)).select("path", "language", "loc", "max_nesting_depth")
+
+
+@query("""SELECT page_id, CASE WHEN NOT starts_with(lower(coalesce(url, '')), 'https://') THEN 'scheme' WHEN NOT regexp_extract(url, '^https://([^/:?#]*)', 1) IN ('example.com', 'shop.example.net', 'example.org') THEN 'host'
+ WHEN list_contains(string_split(regexp_extract(url, '^https://[^/?#]*/([^?#]*)', 1), '/'), '..') THEN 'traversal' WHEN NOT regexp_matches(regexp_extract(url, '^https://[^/?#]*/([^?#]*)', 1), '^[A-Za-z0-9_][A-Za-z0-9_.-]*/[A-Za-z0-9_][A-Za-z0-9_.-]*/?$') THEN 'name' ELSE 'ok' END AS verdict FROM pages""")
+def clone_or_local(spark, d):
+    """Whether each address may be cloned, and if not, why."""
+    return table(spark, d, "pages").select("page_id", CL.remote_verdict(F.col("url"), ("example.com", "shop.example.net", "example.org")).alias("verdict"))
+
+
+@query("SELECT count(*) AS total_files, count(*) FILTER (WHERE toxic = 1) AS buggy_files, count(*) FILTER (WHERE toxic = 1) AS issue, count(*) FILTER (WHERE toxic <> 1) AS szz FROM labels WHERE quality = 0 OR toxic = 1")
+def save_labels_json(spark, d):
+    """The summary that stands before a JSON file of labels, read back."""
+    folder, t = work_folder(spark), table(spark, d, "labels").where("quality = 0 OR toxic = 1")
+    source = F.when(F.col("toxic") == 1, "issue").otherwise("szz")
+    C.write_labels_json(t.select(F.col("doc_id").alias("path"), (F.col("toxic") == 1).alias("is_buggy"), F.lit(0.7).alias("confidence"), source.alias("source")), "web", folder)
+    x = spark.read.schema("total_files long, buggy_files long, source_breakdown map<string,long>").json(f"{folder}/summary")
+    by = {k: F.coalesce(F.try_element_at("source_breakdown", F.lit(k)), F.lit(0)).alias(k) for k in ("issue", "szz")}
+    return x.select("total_files", "buggy_files", *by.values())
+
+
+@query("SELECT doc_id AS path, toxic = 1 AS is_buggy, CASE WHEN toxic = 1 THEN 'issue' ELSE 'szz' END AS source FROM labels WHERE quality = 0 OR toxic = 1")
+def save_label_json_rows(spark, d):
+    """The labels of a JSON file of labels, read back."""
+    folder, t = work_folder(spark), table(spark, d, "labels").where("quality = 0 OR toxic = 1")
+    C.write_labels_json(t.select(F.col("doc_id").alias("path"), (F.col("toxic") == 1).alias("is_buggy"), F.lit(0.7).alias("confidence"), F.when(F.col("toxic") == 1, "issue").otherwise("szz").alias("source")), "web", folder)
+    return spark.read.schema("path long, is_buggy boolean, source string").json(f"{folder}/labels")
+
+
+_FOLDS = f"{_LB}, f AS (SELECT repo, count(*) AS n, sum(buggy) AS b, count(*) FILTER (WHERE risk >= 0.7 AND buggy = 1)::DOUBLE AS tp, count(*) FILTER (WHERE risk >= 0.7 AND buggy = 0)::DOUBLE AS fp, count(*) FILTER (WHERE risk < 0.7 AND buggy = 1)::DOUBLE AS fn FROM lb GROUP BY repo), g AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM f)"
+
+
+@query(f"{_FOLDS} SELECT count(*) AS full_repos, round(avg(f1), 6) AS full_macro_f1, count(*) FILTER (WHERE n >= 20) AS reliable_repos, round(avg(f1) FILTER (WHERE n >= 20), 6) AS reliable_f1 FROM g")
+def write_benchmarks(spark, d):
+    """Summaries of all folds and of those with enough files, as one JSON document that is read back."""
+    folder, x = work_folder(spark), labelled(spark, d)
+    n = x.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    folds = M.classification_metrics(x, F.col("risk") >= 0.7, ["repo"]).join(n, "repo")
+    C.write_benchmarks(folds.agg(F.count(F.lit(1)).alias("repos"), F.avg("f1").alias("macro_f1")), folds.where("n >= 20").agg(F.count(F.lit(1)).alias("repos"), F.avg("f1").alias("honest_f1")), folder)
+    y = spark.read.schema("full struct<repos:long,macro_f1:double>, reliable struct<repos:long,honest_f1:double>").json(folder)
+    return y.select(F.col("full.repos").alias("full_repos"), r6(F.col("full.macro_f1")).alias("full_macro_f1"), F.col("reliable.repos").alias("reliable_repos"), r6(F.col("reliable.honest_f1")).alias("reliable_f1"))
+
+
+@query("SELECT 'miner/version=' || v AS name FROM (VALUES ('a'), ('b')) t(v) UNION ALL SELECT 'szz/version=c'")
+def clear_caches(spark, d):
+    """What clearing the caches deletes: every version in each folder; a folder that is not there is passed over."""
+    folder, t = work_folder(spark), table(spark, d, "labels")
+    for name, version in (("miner", "a"), ("miner", "b"), ("szz", "c")):
+        C.write_cache(t, f"{folder}/{name}", version=version)
+    gone = C.clear_caches(spark, [f"{folder}/{x}" for x in ("miner", "szz", "none")])
+    return spark.createDataFrame([(x,) for x in gone if "version=" in x], "name string")
+
+
+@query("SELECT 'v2' AS version, 'loc,functions,avg_complexity,max_complexity' AS features, 4::BIGINT AS stats, 2::BIGINT AS versions")
+def save_model(spark, d):
+    """What is stored of a model: manifest, features and statistics of the latest of two versions."""
+    x, folder = labelled(spark, d), work_folder(spark)
+    model = ML.fit(x, _COLS)
+    for v in ("v1", "v2"):
+        C.save_model(spark, model, folder, M.training_stats(x, _COLS), _COLS, v)
+    _, stats, manifest = C.load_model(spark, folder)
+    versions = spark.read.json(f"{folder}/log").select(F.count_distinct("version").alias("versions"))
+    return stats.agg(F.count(F.lit(1)).alias("stats")).crossJoin(versions).select(F.lit(manifest["version"]).alias("version"), F.lit(",".join(manifest["features"])).alias("features"), "stats", "versions")
 
 
 @query(f"{_LB} SELECT file, CASE WHEN loc <= 200 THEN 'Low' WHEN loc <= 1000 THEN 'Medium' ELSE 'High' END AS review_effort, CASE WHEN risk >= 0.7 THEN 'HIGH' WHEN risk >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM lb")

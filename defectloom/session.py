@@ -1,13 +1,14 @@
-"""Sessions: the settings that results depend on, and shipping the package to executors."""
+"""Sessions: the settings that results depend on, the shared folder, and shipping the package to executors."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
@@ -36,3 +37,21 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(f.name)
     _SHIPPED.add(app)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder; a temporary one takes its place only where all runs on one machine."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        base = "file://" + tempfile.mkdtemp(prefix="defectloom-")
+    return f"{base.rstrip('/')}/defectloom/work-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the shared folder, read again: what several branches of a plan read is computed once, and lost executors cost a reread."""
+    spark, folder = df.sparkSession, work_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, or a temporary one where the session has none."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="defectloom-")
-    return f"{base.rstrip('/')}/defectloom/stream-{uuid.uuid4().hex}"
-
-
 def commit_stream(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
     """New files under ``path`` as a stream, with the time as a timestamp; the schema is that of the files there.
 
@@ -45,6 +36,13 @@ def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def drain_told(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs the stream as :func:`drain` does, and returns its progress, rows (batch, rows), in place of what it wrote."""
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start()
+    query.awaitTermination()
+    return stream.sparkSession.createDataFrame([(x["batch"], x["rows"]) for x in progress(query)], "batch long, rows long")
+
+
 def new_commits(stream: DataFrame, key: str = "event_id") -> DataFrame:
     """Each commit once, by a state of keys seen."""
     return stream.dropDuplicates([key])
@@ -82,3 +80,8 @@ class Progress(StreamingQueryListener):
 
     def onQueryTerminated(self, event):  # noqa: N802
         self._tell({"id": str(event.id), "state": "ended", "error": event.exception})
+
+
+def progress(query) -> list[dict]:
+    """What a finished or running query tells of its batches: rows (batch, rows) of the batches that had any."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"]} for p in query.recentProgress if p["numInputRows"]]
