@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectloom.llm.common import ascii_lower, checkpointed
+from defectloom.llm.common import ascii_lower, checkpointed, numbered, written
 
 #: Seeds of the two hashes from which a level's bit places are made.
 _SEEDS = (11, 23)
@@ -46,7 +46,8 @@ def host_suffixes(host: Column) -> Column:
 
 def candidate_keys(host: Column, path: Column, lengths: Sequence[int]) -> Column:
     """Every key (host suffix followed by path prefix) that could be a rule for the url, once each."""
-    prefixes = F.filter(F.array(*[F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
+    fitting = F.filter(F.lit(list(lengths)).cast("array<int>"), lambda n: n <= F.char_length(path))
+    prefixes = F.transform(fitting, lambda n: F.substr(path, F.lit(1), n))
     return F.array_distinct(F.flatten(F.transform(host_suffixes(host), lambda h: F.transform(prefixes, lambda p: F.concat(h, p)))))
 
 
@@ -136,9 +137,10 @@ def build_cascade(universe: DataFrame, listed: DataFrame, first_mistakes: float
     """A cascade for distinct keys, given as rows (a, b) of :func:`key_hashes`; ``listed`` is a part of ``universe``.
 
     Later levels halve their input, as filter cascades do, so their sizes add
-    up to a few bits for each listed key. The whole is refused above
-    ``max_bytes``: it goes to the driver and every executor. No listed keys
-    give no levels, and no key is then listed.
+    up to a few bits for each listed key. The whole goes to the driver and
+    every executor and is refused above ``max_bytes``; :func:`parts_for` tells
+    into how many cascades to part the keys. No listed keys give no levels, and
+    no key is then listed.
     """
     levels: list[Level] = []
     inside, outside = listed.select("a", "b"), None
@@ -159,60 +161,76 @@ def build_cascade(universe: DataFrame, listed: DataFrame, first_mistakes: float
     return Cascade(levels)
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str]], url: str = "url", max_bytes: int = 256 << 20, max_lengths: int = 512) -> DataFrame:
+def parts_for(listed: int, max_bytes: int) -> int:
+    """Cascades that so many listed keys take, with a quarter to spare: some 16 bits for each key."""
+    return max(1, -(-listed * 5 // (2 * max_bytes)))
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str]], url: str = "url", max_bytes: int = 256 << 20) -> DataFrame:
     """``pages`` with host, path, rule and verdict added (columns of these names are replaced).
 
     ``rules`` are rows (action, host, path) with the action ``allow`` or
-    ``block``; paths have at most ``max_lengths`` different lengths. A rule fits
-    its host and all subdomains where the url's path starts with the rule's. The
-    longest fitting key (host and path together) wins, of equally long ones the
-    one with the longer host; a key both allowed and blocked is blocked. A url
-    that no rule fits is in neither cascade and is allowed. Null urls and urls
-    without ``://`` have empty host and path and fit no rule. Repeated rows
-    keep their rows; an empty table gives none.
+    ``block``. A rule fits its host and all subdomains where the url's path
+    starts with the rule's. The longest fitting key (host and path together)
+    wins, of equally long ones the one with the longer host; a key both allowed
+    and blocked is blocked. A url that no rule fits is in neither cascade and is
+    allowed. Null urls and urls without ``://`` have empty host and path and fit
+    no rule. Repeated rows keep their rows; an empty table gives none; other
+    columns may have any names.
+
+    A task holds cascades of at most ``max_bytes``. Longer lists are parted by
+    the hash of the key into several pairs of cascades, which are asked one
+    after another; answers between them are stored in the shared folder.
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(list(rules), "action string, host string, path string")
     listed = rules.select("action", F.concat("host", "path").alias("key"), F.char_length("path").alias("n"))
-    lengths = sorted((r[0] for r in listed.select("n").distinct().limit(max_lengths + 1).collect()), reverse=True)
-    if len(lengths) > max_lengths:
-        raise ValueError(f"paths of rules have more than {max_lengths} lengths")
-    seen = pages.drop("rule", "verdict").withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
+    lengths = sorted((r[0] for r in listed.select("n").distinct().collect()), reverse=True)  # at most as many as a path has characters
+    pages = pages.drop("host", "path", "rule", "verdict") if url not in ("host", "path", "rule", "verdict") else pages.withColumnRenamed(url, "url").drop("host", "path", "rule", "verdict")
+    names = pages.columns
+    pages, (url,) = numbered(pages, url if url in names else "url")
+    seen = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     if not lengths:
-        return seen.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
+        return seen.select(*pages.columns, "host", "path", F.lit(None).cast("string"), F.lit("allow")).toDF(*names, "host", "path", "rule", "verdict")
     keys = seen.select("host", "path").distinct().select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key")).distinct()
     universe = checkpointed(keys.select("key", key_hashes(F.col("key")).alias("h")).select("key", "h.a", "h.b"))
-    cascades = []
-    for action in ("block", "allow"):
-        mine = listed.where(F.col("action") == action).select("key").distinct().join(universe, "key").select("a", "b")
-        cascades.append(build_cascade(universe.select("a", "b"), checkpointed(mine), max_bytes=max_bytes))
-    return _judged(spark, seen, lengths, cascades)
+    mine = {x: checkpointed(listed.where(F.col("action") == x).select("key").distinct().join(universe, "key").select("a", "b")) for x in ("block", "allow")}
+    parts = max(parts_for(x.count(), max_bytes // 2) for x in mine.values())
+    asked = seen.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths))
+    asked = asked.withColumn("_hashes", F.transform("_keys", key_hashes)).withColumn("_said", F.transform("_keys", lambda k: F.lit(0)))
+    for i in range(parts):
+        def part(x: DataFrame) -> DataFrame:
+            return x.select("a", "b") if parts == 1 else x.select("a", "b").where(F.pmod("a", F.lit(parts)) == i)  # noqa: B023
+
+        cascades = [build_cascade(part(universe), part(mine[x]), max_bytes=max_bytes) for x in ("block", "allow")]
+        asked = asked.withColumn("_said", _answers(spark, cascades, parts, i)("_hashes.a", "_hashes.b", "_said"))
+        if i < parts - 1:
+            asked = written(asked, "urls")
+    # candidates come with longer hosts and prefixes first, so of equally long ones the earliest wins
+    fits = F.filter(
+        F.transform("_keys", lambda k, i: F.struct(F.char_length(k).alias("n"), (-i).alias("i"), k.alias("key"), F.get("_said", i).alias("said"))),
+        lambda c: c["said"] != 0,
+    )
+    best = asked.withColumn("_best", F.array_max(fits))
+    verdict = F.when(F.col("_best.said") == 1, "block").otherwise("allow")
+    return best.select(*pages.columns, "host", "path", F.col("_best.key"), verdict).toDF(*names, "host", "path", "rule", "verdict")
 
 
-def _judged(spark: SparkSession, seen: DataFrame, lengths: list[int], cascades: list[Cascade]) -> DataFrame:
+def _answers(spark: SparkSession, cascades: list[Cascade], parts: int, part: int):
+    """A function of the candidates' hashes and answers so far: 1 blocked, 2 allowed, 0 neither; only keys of this part are asked about."""
     shared = spark.sparkContext.broadcast(cascades)
 
     @F.pandas_udf("array<int>")
-    def said(first: pd.Series, second: pd.Series) -> pd.Series:
-        """Of each candidate: 1 blocked, 2 allowed, 0 neither."""
+    def said(first: pd.Series, second: pd.Series, before: pd.Series) -> pd.Series:
         if not first.map(len).sum():
             return pd.Series([[]] * len(first), dtype=object)
         a, b = np.concatenate(first.tolist()).astype(np.int64), np.concatenate(second.tolist()).astype(np.int64)
-        out = np.zeros(len(a), dtype=np.int32)
+        out = np.concatenate(before.tolist()).astype(np.int32)
+        mine = np.flatnonzero(a % parts == part)
         block, allow = shared.value
-        out[allow.listed(a, b)] = 2
-        out[block.listed(a, b)] = 1
+        out[mine[allow.listed(a[mine], b[mine])]] = 2
+        out[mine[block.listed(a[mine], b[mine])]] = 1
         return pd.Series(np.split(out, np.cumsum(first.map(len))[:-1]), index=first.index)
 
-    asked = seen.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths))
-    hashes = F.transform("_keys", key_hashes)  # a lambda of one argument
-    asked = asked.withColumn("_hashes", hashes).withColumn("_said", said("_hashes.a", "_hashes.b"))
-    # candidates come with longer hosts and prefixes first, so of equally long ones the earliest wins
-    fits = F.filter(
-        F.transform("_keys", lambda k, i: F.struct(F.char_length(k).alias("n"), (-i).alias("i"), k.alias("key"), F.get("_said", i).alias("said"))),
-        lambda c: c["said"] != 0,
-    )
-    best = asked.withColumn("_best", F.array_max(fits))
-    verdict = F.when(F.col("_best.said") == 1, "block").otherwise("allow")
-    return best.withColumns({"rule": F.col("_best.key"), "verdict": verdict}).drop("_keys", "_hashes", "_said", "_best")
+    return said
