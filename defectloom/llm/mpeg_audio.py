@@ -1,8 +1,9 @@
 """MPEG audio (versions 1, 2 and 2.5, layers I to III): a reader for binary columns, and a carrier of bytes.
 
 The reader resynchronises on frame headers, parses ID3v2 and ID3v1 tags and
-Xing/Info/VBRI tables, verifies frame checksums, and gives exact durations in
-samples and the byte offset of every frame.
+Xing/Info/VBRI tables, verifies frame checksums of all layers, and gives exact
+durations in samples and the byte offset of every frame. Frames of free format,
+whose size no header states, are passed over like other bytes between frames.
 
 The carrier stores any payload losslessly as the main data of variable-bitrate
 MPEG-1 layer III frames (48 kHz, two channels, with checksums), behind an ID3v2
@@ -52,6 +53,50 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The same over the first ``bits`` bits of the data."""
+    crc = crc16(data[: bits >> 3])
+    for i in range(bits & ~7, bits):
+        top = crc >> 15 ^ data[i >> 3] >> (7 - (i & 7)) & 1
+        crc = crc << 1 & 0xFFFF ^ (0x8005 if top else 0)
+    return crc
+
+
+# Fixed values of the standard: bits of a subband's allocation in layer II, by table.
+ALLOCATION_BITS = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "low": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
+
+def allocation_table(version: float, rate: int, kbit_per_channel: int) -> tuple[int, ...]:
+    """The layer II table that a header calls for."""
+    if version != 1:
+        return ALLOCATION_BITS["low"]
+    if kbit_per_channel <= 48:
+        return ALLOCATION_BITS["d" if rate == 32000 else "c"]
+    return ALLOCATION_BITS["a" if rate == 48000 or kbit_per_channel <= 80 else "b"]
+
+
+def protected_bits(b: bytes, at: int, h: Header) -> int:
+    """Bits after the checksum of a layer I or II frame that it covers: allocations, and in layer II the scale factor selections."""
+    bound = (b[at + 3] >> 4 & 3) * 4 + 4 if h.mode == 1 else 32
+    if h.layer == 1:
+        return 4 * (bound * h.channels + 32 - bound) if h.channels == 2 else 128
+    value, left = int.from_bytes(b[at + 6 : at + 6 + 64].ljust(64, b"\0"), "big"), 512
+    chosen = 0
+    for subband, n in enumerate(allocation_table(h.version, h.rate, h.bitrate // h.channels)):
+        shared = h.channels == 2 and subband >= bound
+        for _ in range(1 if shared else h.channels):
+            left -= n
+            if value >> left & (1 << n) - 1:
+                chosen += 2 if shared else 1
+    return 512 - left + 2 * chosen
+
+
 class Header:
     """One frame header; ``parse`` gives None where the four bytes are none."""
 
@@ -143,7 +188,7 @@ def parse(b: bytes | None) -> dict:
     out = {"n_frames": 0, "samples": 0, "rate": 0, "duration_us": 0, "channels": 0, "version": 0.0, "layer": 0, "vbr": False, "table": None, "table_frames": None, "table_bytes": None, "crc_frames": 0, "crc_bad": 0, "resyncs": 0, "skipped": 0, "tag_crc_ok": tag_crc, "tags": tags, "offsets": []}
     first: Header | None = None
     rates: set[int] = set()
-    checks: list[int] = []
+    checks: list[tuple[int, Header]] = []
     gap, in_step = False, False
     while at + 4 <= end:
         h = Header.parse(b, at)
@@ -164,8 +209,8 @@ def parse(b: bytes | None) -> dict:
                 out["offsets"].append(at)
                 rates.add(h.bitrate)
                 out["samples"] += h.samples
-                if h.crc and h.layer == 3:
-                    checks.append(at)
+                if h.crc:
+                    checks.append((at, h))
                 at += h.size
                 continue
         gap, in_step = True, False
@@ -177,12 +222,17 @@ def parse(b: bytes | None) -> dict:
     if first:
         out["duration_us"] = out["samples"] * 1_000_000 // out["rate"]
         out["crc_frames"] = len(checks)
-        out["crc_bad"] = _bad(b, np.array(checks, dtype=np.int64), first.side)
+        for side in {h.side for _, h in checks if h.layer == 3}:
+            out["crc_bad"] += _bad(b, np.array([at for at, h in checks if h.layer == 3 and h.side == side], dtype=np.int64), side)
+        for at, h in checks:
+            if h.layer < 3:
+                bits = protected_bits(b, at, h)
+                out["crc_bad"] += crc16_bits(b[at + 2 : at + 4] + b[at + 6 : at + 6 + (bits + 7 >> 3)].ljust(bits + 7 >> 3, b"\0"), 16 + bits) != int.from_bytes(b[at + 4 : at + 6], "big")
     return out
 
 
 def _bad(b: bytes, at: np.ndarray, side: int) -> int:
-    """Frames whose checksum over the last two header bytes and the side information fails, all at once."""
+    """Layer III frames whose checksum over the last two header bytes and the side information of ``side`` bytes fails, all at once."""
     if not at.size:
         return 0
     data = np.frombuffer(b, dtype=np.uint8).astype(np.uint32)

@@ -203,6 +203,46 @@ def test_audio_parser(spark):
     assert {r["id"]: r["audio"]["n_frames"] for r in mpeg_audio.with_audio(df, "k", "m").collect()} == {1: found["n_frames"], None: 0, 2: 0}
 
 
+def plain_crc(bits: str) -> int:
+    crc = 0xFFFF
+    for x in bits:
+        top = crc >> 15 ^ int(x)
+        crc = crc << 1 & 0xFFFF
+        crc ^= 0x8005 if top else 0
+    return crc
+
+
+def test_checksums_of_layers_one_and_two():
+    rng = np.random.default_rng(6)
+
+    def bits_of(b: bytes) -> str:
+        return "".join(f"{x:08b}" for x in b)
+
+    # layer I at 32 kbit/s and 48 kHz, one channel: 16 bytes of allocations
+    head, body = bytes((0xFF, 0xFE, 1 << 4 | 1 << 2, 0xC0)), bytes(rng.integers(0, 256, 26).astype(np.uint8))
+    ok = head + plain_crc(bits_of(head[2:] + body[:16])).to_bytes(2, "big") + body
+    assert len(ok) == 32 == mpeg_audio.Header.parse(ok, 0).size
+    # layer II at 64 kbit/s and 48 kHz, one channel: 27 subbands, then two bits for each that is used
+    head2, body2 = bytes((0xFF, 0xFC, 4 << 4 | 1 << 2, 0xC0)), bytes(rng.integers(0, 256, 186).astype(np.uint8))
+    widths = [4] * 11 + [3] * 12 + [2] * 4
+    stream, at, used = bits_of(body2), 0, 0
+    for n in widths:
+        used += "1" in stream[at : at + n]
+        at += n
+    ok2 = head2 + plain_crc(bits_of(head2[2:]) + stream[: at + 2 * used]).to_bytes(2, "big") + body2
+    assert len(ok2) == 192 == mpeg_audio.Header.parse(ok2, 0).size
+    for good, inside in ((ok, 10), (ok2, 12)):
+        bad = good[:inside] + bytes((good[inside] ^ 0x10,)) + good[inside + 1 :]
+        found = mpeg_audio.parse(good * 2 + bad + good)
+        assert (found["n_frames"], found["crc_frames"], found["crc_bad"]) == (4, 4, 1)
+    # one channel and two in one recording, each with its own side information
+    frames = []
+    for mode, side in ((0, 32), (0xC0, 17)):
+        h, s = bytes((0xFF, 0xFA, 5 << 4 | 1 << 2, mode)), bytes(rng.integers(0, 256, side).astype(np.uint8))
+        frames.append((h + plain_crc(bits_of(h[2:] + s)).to_bytes(2, "big") + s).ljust(3 * 64, b"\0"))
+    assert mpeg_audio.parse(b"".join(frames) * 2)["crc_bad"] == 0
+
+
 def plain_phrases(text: bytes, sample: bytes) -> int:
     n = i = 0
     while i < len(text):
