@@ -102,3 +102,42 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+ORACLE_SQL["op4_minhash_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END AS s
+  FROM w
+), sizes AS (
+  SELECT doc_id, len(s)::BIGINT AS n FROM sets
+), one AS (
+  SELECT doc_id, unnest(s) AS shingle FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM one a JOIN one b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(id, c) AS (
+  SELECT doc_id, doc_id FROM sizes UNION SELECT b, c FROM reach JOIN ways ON a = id WHERE c < b
+)
+SELECT doc_id, n AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM sizes JOIN reach ON id = doc_id GROUP BY doc_id, n
+"""
+
+ORACLE_SQL["op9_embedding_dedup"] = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), ways AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), counts AS (
+  SELECT a, count(*) AS n FROM ways GROUP BY a
+), reach(id, c) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT b, c FROM reach JOIN ways ON a = id WHERE c < b
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, min(c) AS component_id, vec_id = min(c) AS kept
+FROM embeddings JOIN reach ON id = vec_id LEFT JOIN counts ON a = vec_id GROUP BY vec_id, n
+"""

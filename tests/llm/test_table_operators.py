@@ -12,6 +12,7 @@ pytest.importorskip("defectloom.llm")
 from pyspark.sql import functions as F
 
 from defectloom.llm import embedding_dedup, line_dedup, minhash_dedup, mixing, queries, url_filter
+from defectloom.llm.blocks import block_pairs
 from defectloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,6 +61,23 @@ def test_urls(spark):
     assert {r["verdict"] for r in both if r["rule"]} == {"block"}
 
 
+def test_long_lists_take_several_cascades(spark):
+    rng = np.random.default_rng(9)
+    hosts = [f"h{i}.example" for i in range(300)]
+    rules = [(str(rng.choice(["block", "allow"])), str(h), "/" + "p" * int(rng.integers(0, 700))) for h in rng.choice(hosts, 900)]
+    urls = [f"http://www.{h}/{'p' * int(rng.integers(0, 800))}" for h in rng.choice(hosts, 600)]
+    fits = {}
+    for i, u in enumerate(urls):
+        host, path = u[7:].split("/", 1)
+        hits = [(len(h + p), len(h), h + p, a == "block") for a, h, p in rules if host.endswith("." + h) and ("/" + path).startswith(p)]
+        fits[i] = (max(hits)[2], "block" if max(hits)[3] else "allow") if hits else (None, "allow")
+    df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, _keys string, c0 string")
+    for most in (1 << 28, 1024):
+        out = url_filter.judge_urls(df, rules, max_bytes=most)
+        assert out.columns == [*df.columns, "host", "path", "rule", "verdict"]
+        assert {r["page_id"]: (r["rule"], r["verdict"]) for r in out.collect()} == fits
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(4000).select(F.col("id").cast("string").alias("key")).select("key", url_filter.key_hashes(F.col("key")).alias("h")).select("key", "h.a", "h.b").cache()
     listed = keys.where("cast(key as int) % 7 = 0").select("a", "b")
@@ -153,6 +171,44 @@ def test_rows_without_id_are_judged_by_their_text(spark):
     assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == {(7, t): 1, (None, u.upper()): 1, (None, "alone with more words"): 1, (None, None): 1, (None, ""): 1, (3, v): 1, (8, "another text of this id"): 1, (9, None): 1}
 
 
+def near_copies(spark, m):
+    """Copies of one text with a word changed in each, and some texts that are near to a few of them only."""
+    rng = np.random.default_rng(13)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(m):
+        w = list(base)
+        w[int(rng.integers(0, 150))] = f"x{i}"
+        if i % 100 == 0:  # further off
+            for at in range(0, 16, 8):
+                w[at] = f"y{i}_{at}"
+        texts.append((i, " ".join(w)))
+    return spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+
+
+def test_a_large_group_costs_its_size(spark):
+    """Rows dealt to pairs of blocks grow with a group of near copies, not with its square."""
+    dealt = {}
+    for m in (600, 1200):
+        docs = near_copies(spark, m)
+        base = minhash_dedup.sketches(docs, 3, 48, "doc_id", "text")
+        classes = minhash_dedup.written(base.withColumn("rep", F.monotonically_increasing_id()), "classes")
+        groups = minhash_dedup.written(minhash_dedup.meeting_groups(classes, 48, 85), "groups")
+        met, known = minhash_dedup.stars(docs, groups, classes, 3, 85, 64, "doc_id", "text", 10**6)
+        assert known.count() > 0 and met.count() == groups.count()
+        rows = {x: block_pairs(y, ["pivot"], F.col("rep"), F.lit(1), 64, 64, star="star").count() for x, y in (("stars", met), ("none", met.withColumn("star", F.lit(-1))))}
+        dealt[m] = rows["stars"] / groups.count(), rows["none"] / groups.count()
+    assert dealt[1200][1] > 1.7 * dealt[600][1] and dealt[1200][0] < 1.3 * dealt[600][0] and dealt[1200][0] < 0.3 * dealt[1200][1]
+
+
+def test_stars_lose_no_link(spark):
+    docs = near_copies(spark, 300)
+    sets = {r["doc_id"]: plain_sets(r["text"], 3) for r in docs.collect()}
+    edges = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs, 3, 90, block_rows=32).collect()}
+    assert got == smallest_reachable(sets, edges)
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(i, i + 1) for i in range(300, 360)] + [(5, 5)]
