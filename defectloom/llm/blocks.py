@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from defectloom.llm.common import checkpointed
 
 
+def _total(items: Column, field: str) -> Column:
+    return F.aggregate(items, F.lit(0).cast("long"), lambda s, x: s + x[field].cast("long"))
+
+
 def block_pairs(members: DataFrame, group: list[str], member: Column, weight: Column, max_rows: int, max_weight: int, broadcast_groups: int = 100_000, alone: int = 1, star: str | None = None) -> DataFrame:
     """``members`` with bi and bj added: each pair of a group's members meets in exactly one (group, bi, bj), or in its own block.
 
@@ -25,8 +29,8 @@ def block_pairs(members: DataFrame, group: list[str], member: Column, weight: Co
     and joined by a shuffle beyond that; so members are not shuffled by group.
 
     Members of a group with equal numbers in the column ``star``, from 0 on, need
-    not meet: their blocks are their own and pairs of such blocks are left out.
-    Members with -1 meet all others. So a group that is one star but for a few
+    not meet: if they fill a block, their blocks are their own and pairs of such
+    blocks are left out. Members of smaller stars, and those with -1, meet all others. So a group that is one star but for a few
     members costs its size times these, not its square.
     """
     kind = F.lit(-1) if star is None else F.col(star)
@@ -35,11 +39,18 @@ def block_pairs(members: DataFrame, group: list[str], member: Column, weight: Co
     def blocks(n: Column, w: Column) -> Column:
         return F.greatest(F.ceil(n / max_rows), F.ceil(w / max_weight)).cast("int")
 
-    whole = sizes.groupBy(*group).agg(F.sum("_n").alias("_n"), F.sum("_w").alias("_w"), F.sort_array(F.collect_list(F.struct("_s", blocks(F.col("_n"), F.col("_w")).alias("k")))).alias("_stars"))
-    # the block's star by block; several members are few stars, and blocks of one star lie side by side
-    large = checkpointed(whole.where(blocks(F.col("_n"), F.col("_w")) > alone).select(*group, F.flatten(F.transform("_stars", lambda x: F.array_repeat(x["_s"], x["k"]))).alias("_b")))
+    whole = sizes.groupBy(*group).agg(F.sum("_n").alias("_n"), F.sum("_w").alias("_w"), F.collect_list(F.struct("_s", "_n", "_w")).alias("_stars"))  # a group has few stars
+
+    def own_blocks(x: Column) -> Column:
+        return (x["_s"] >= 0) & ((x["_n"] >= max_rows) | (x["_w"] >= max_weight))
+
+    rest = F.filter("_stars", lambda x: ~own_blocks(x))
+    n, w = (_total(rest, c) for c in ("_n", "_w"))
+    stars = F.flatten(F.transform(F.filter("_stars", own_blocks), lambda x: F.array_repeat(x["_s"], blocks(x["_n"], x["_w"]))))
+    # the block's star by block; blocks of one star lie side by side
+    large = checkpointed(whole.where(blocks(F.col("_n"), F.col("_w")) > alone).select(*group, F.concat(F.array_repeat(F.lit(-1), blocks(n, w)), stars).alias("_b")))
     few = large.count() <= broadcast_groups
-    joined = members.join(F.broadcast(large) if few else large, group, "left").withColumn("_s", kind)
+    joined = members.join(F.broadcast(large) if few else large, group, "left").withColumn("_s", kind).withColumn("_s", F.when(F.array_contains("_b", F.col("_s")), F.col("_s")).otherwise(-1))
     mine = F.size(F.filter("_b", lambda x: x == F.col("_s")))
     own = F.array_position("_b", F.col("_s")).cast("int") - 1 + F.pmod(F.xxhash64(F.lit(3), member), mine).cast("int")
     dealt = joined.withColumn("own", F.when(F.col("_b").isNull(), 0).otherwise(own))
