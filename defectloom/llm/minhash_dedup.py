@@ -40,6 +40,8 @@ from defectloom.llm.common import numbered, written
 from defectloom.llm.components import components
 
 _LAST = (1 << 63) - 1
+#: Bytes of text that are hashed together; some forty bytes of memory for each.
+_SLICE = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -115,7 +117,7 @@ def sketches(docs: DataFrame, words: int, k: int, id_col: str, text: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices_of_bytes(batch, 1):
+            for part in slices_of_bytes(batch, 1, _SLICE):
                 sets = shingle_sets([t or b"" for t in part.column(1).to_pylist()], words)
                 kept = [s[:k] for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
@@ -284,7 +286,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices_of_bytes(batch, 1):
+            for part in slices_of_bytes(batch, 1, _SLICE):
                 sets = shingle_sets([t or b"" for t in part.column(1).to_pylist()], words)
                 ends = np.cumsum([len(s) for s in sets])
                 full = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
@@ -318,12 +320,13 @@ def _classes(hits: pd.Series) -> pd.Series:
     return hits.map(joined)
 
 
-def stars(docs: DataFrame, groups: DataFrame, classes: DataFrame, words: int, percent: int, block_rows: int, id_col: str, text: str, broadcast_ids: int, leaders: int = 8, broadcast_hashes: int = 4_000_000) -> tuple[DataFrame, DataFrame | None]:
+def stars(docs: DataFrame, groups: DataFrame, classes: DataFrame, words: int, percent: int, block_rows: int, id_col: str, text: str, broadcast_ids: int, leaders: int = 4, broadcast_hashes: int = 4_000_000) -> tuple[DataFrame, DataFrame | None]:
     """``groups`` (pivot, rep) with a column star, and the edges (a, b) that were found; star is -1 where nothing is known.
 
     In groups of more than ``block_rows`` members, all members' full sets are
-    compared with those of ``leaders`` members, the first by hash. A member
-    belongs to the star of the leaders that it is linked to; leaders with a
+    compared with those of a few members: the sets with the most copies, one of
+    each of ``leaders`` parts by hash, as what others were made from is often
+    copied whole too, and ``leaders`` more by hash. A member belongs to the star of the leaders that it is linked to; leaders with a
     common member are one star. A star's members are in one component, so they
     need not be compared with each other, and a group of a million near copies
     is linked by a million comparisons instead of a million squared.
@@ -332,18 +335,21 @@ def stars(docs: DataFrame, groups: DataFrame, classes: DataFrame, words: int, pe
     joined by a shuffle that can split groups beyond that.
     """
     none = F.lit(-1).alias("star")
-    sizes = groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("_n"), *[F.min(F.struct(F.xxhash64(F.lit(i), "rep"), "rep")).getField("rep").alias(f"_l{i}") for i in range(leaders)])
-    large = written(sizes.where(F.col("_n") > block_rows).select("pivot", F.array_distinct(F.array(*[f"_l{i}" for i in range(leaders)])).alias("first")), "large-groups")
+    large = written(groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).select("pivot"), "large-groups")
     n = large.count()
     if not n:
         return groups.select("pivot", "rep", none), None
-    side = F.broadcast(large.select("pivot")) if n <= 100_000 else large.select("pivot")
-    members = groups.join(side, "pivot")
+    side = F.broadcast(large) if n <= 100_000 else large
+    members = written(groups.join(side, "pivot"), "members")
+    by_copies = [F.max(F.when(F.pmod(F.xxhash64(F.lit(-1), "rep"), F.lit(leaders)) == i, F.struct("copies", (-F.col("rep")).alias("r")))) for i in range(leaders)]
+    by_hash = [F.min(F.struct(F.xxhash64(F.lit(i), "rep"), "rep")) for i in range(leaders)]
+    first = members.join(classes.select("rep", "copies"), "rep").groupBy("pivot").agg(F.array(*[-x["r"] for x in by_copies], *[x["rep"] for x in by_hash]).alias("first"))
+    first = first.select("pivot", F.array_distinct(F.array_compact("first")).alias("first"))
     wanted = members.select("rep").distinct().join(classes.select("rep", "id", "n", "f1", "f2"), "rep")
     sets = written(_full_sets(docs, wanted.drop("rep"), words, id_col, text, broadcast_ids).join(wanted, ["id", "n", "f1", "f2"]).select("rep", "n", "set"), "group-sets")
-    of_leader = large.select("pivot", F.explode("first").alias("rep")).join(sets, "rep")
+    of_leader = written(first.select("pivot", F.explode("first").alias("rep")).join(sets, "rep"), "leaders")
     total = of_leader.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    lead = of_leader.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("rep", "set"))).alias("lead"))  # at most ``leaders`` of each
+    lead = of_leader.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("rep", "set"))).alias("lead"))  # at most twice ``leaders`` of each
     compared = members.join(sets, "rep").join(F.broadcast(lead) if total <= broadcast_hashes else lead, "pivot")
 
     def close(x, i):
@@ -387,7 +393,7 @@ def near_duplicates(
 def _judged(docs: DataFrame, words: int, percent: int, k: int, id_col: str, text: str, block_rows: int, block_weight: int, broadcast_ids: int) -> DataFrame:
     """The rows of ``near_duplicates`` with the sets' fingerprints f1 and f2."""
     base = written(sketches(docs, words, k, id_col, text), "sketches")
-    whole = base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
+    whole = base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
     classes = written(whole.withColumn("rep", F.monotonically_increasing_id()), "classes")
     met, known = stars(docs, written(meeting_groups(classes, k, percent), "groups"), classes, words, percent, block_rows, id_col, text, broadcast_ids)
     near = written(promising(met.join(classes.select("rep", "n", "sketch"), "rep"), k, percent, block_rows).join(classes.select("rep", "id", "n", "f1", "f2"), "rep"), "promising")
@@ -418,7 +424,7 @@ def _with_fingerprints(docs: DataFrame, words: int, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             last = batch.num_columns - 1
-            for part in slices_of_bytes(batch, last):
+            for part in slices_of_bytes(batch, last, _SLICE):
                 sets = shingle_sets([t or b"" for t in part.column(last).to_pylist()], words)
                 yield pa.RecordBatch.from_arrays([*part.columns[:last], *_fingerprints(sets)], [*part.schema.names[:last], "_n", "_f1", "_f2"])
 

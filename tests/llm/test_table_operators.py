@@ -192,7 +192,7 @@ def test_a_large_group_costs_its_size(spark):
     for m in (600, 1200):
         docs = near_copies(spark, m)
         base = minhash_dedup.sketches(docs, 3, 48, "doc_id", "text")
-        classes = minhash_dedup.written(base.withColumn("rep", F.monotonically_increasing_id()), "classes")
+        classes = minhash_dedup.written(base.withColumns({"rep": F.monotonically_increasing_id(), "copies": F.lit(1)}), "classes")
         groups = minhash_dedup.written(minhash_dedup.meeting_groups(classes, 48, 85), "groups")
         met, known = minhash_dedup.stars(docs, groups, classes, 3, 85, 64, "doc_id", "text", 10**6)
         assert known.count() > 0 and met.count() == groups.count()
