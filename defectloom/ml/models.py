@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import json
 import random
+import uuid
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,8 +16,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from defectloom.functions.core import ratio
 from defectloom.operators import metrics as M
+from defectloom.session import work_folder
 
 
 def scale(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
@@ -121,30 +126,57 @@ def random_search(df: DataFrame, columns: list[str], kind: str, time: str, n: in
     return best, df.sparkSession.createDataFrame([(json.dumps(s, sort_keys=True), len(x), m) for s, x, m in zip(drawn, found, means)], "setting string, folds long, pr_auc double")
 
 
+def fold_metrics(scored: DataFrame, keys: Sequence[str] = ("repo", "model"), threshold: float = 0.5, share: float = 0.2, tie: str = "file") -> DataFrame:
+    """Rows (keys, n_test, n_buggy, f1, pr_auc, roc_auc, recall_20, composite) of scored rows (keys, file, risk, buggy), all folds in one plan.
+
+    Measures are those of the single-table operators; a fold's rows pass a sort
+    that can spill.
+    """
+    keys = list(keys)
+    by_rank = Window.partitionBy(*keys).orderBy(F.col("risk").desc(), F.col(tie).asc())
+    whole = Window.partitionBy(*keys)
+    cut = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(whole) * F.lit(share)))
+    ranked = scored.withColumn("_first", F.row_number().over(by_rank) <= cut)
+    flag, bug = F.col("risk") >= threshold, F.col("buggy") == 1
+    plain = ranked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_test"), F.sum("buggy").cast("long").alias("n_buggy"), F.count_if(flag & bug).alias("_tp"), F.count_if(flag & ~bug).alias("_fp"), F.count_if(~flag & bug).alias("_fn"), F.count_if(F.col("_first") & bug).alias("_found")
+    )
+    down = Window.partitionBy(*keys).orderBy(F.col("risk").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = scored.groupBy(*keys, "risk").agg(F.sum("buggy").alias("pos"), (F.count(F.lit(1)) - F.sum("buggy")).alias("neg"))
+    steps = steps.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "p": F.sum("pos").over(whole), "n": F.sum("neg").over(whole)})
+    curves = steps.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_pr"), F.sum(F.col("pos") * ((F.col("n") - F.col("fp")) + F.col("neg") / 2.0)).alias("_roc"), F.max("n").alias("_neg"))
+    x = plain.join(curves, keys)
+    pr_auc, recall = ratio(F.col("_pr"), F.col("n_buggy")), ratio(F.col("_found"), F.col("n_buggy"))
+    f1 = ratio(2 * F.col("_tp"), 2 * F.col("_tp") + F.col("_fp") + F.col("_fn"))
+    roc = F.when((F.col("n_buggy") > 0) & (F.col("_neg") > 0), F.col("_roc") / (F.col("n_buggy") * F.col("_neg")))
+    return x.select(*keys, "n_test", "n_buggy", f1.alias("f1"), pr_auc.alias("pr_auc"), roc.alias("roc_auc"), recall.alias("recall_20"), (0.4 * pr_auc + 0.4 * recall + 0.2 * f1).alias("composite"))
+
+
 def leave_one_out(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("lr",), repo: str = "repo", least_train: int = 10, least_test: int = 5, threads: int = 8, sizes: dict[str, dict] | None = None) -> DataFrame:
     """Rows (repo, model, n_test, n_buggy, f1, pr_auc, roc_auc, recall_20, composite) of a fold for each repository and kind.
 
     Folds with fewer rows than the least, or without a defect to learn from, are
     passed over. The loop is over repositories, a bounded list; the folds of one
-    call run side by side on the cluster.
+    call run side by side on the cluster, leave their scores in the shared
+    folder, and are measured together.
     """
-    spark = df.sparkSession
+    spark, folder = df.sparkSession, work_folder(df.sparkSession)
     counts = {r[repo]: (r["n"], r["b"]) for r in df.groupBy(repo).agg(F.count(F.lit(1)).alias("n"), F.sum("buggy").alias("b")).collect()}
     total, bugs = sum(n for n, _ in counts.values()), sum(b for _, b in counts.values())
+    schema = f"repo string, model string, file {dict(df.dtypes)['file']}, risk double, buggy int"
+    spark.createDataFrame([], schema).write.parquet(folder)
 
-    def fold(name: str, kind: str):
+    def fold(name: str, kind: str) -> None:
         n, b = counts[name]
         if total - n < least_train or n < least_test or bugs == b:
-            return None
+            return
         train, test = df.where(F.col(repo) != name), df.where(F.col(repo) == name)
-        scored = score(fit(train, columns, kind, sizes=(sizes or {}).get(kind)), test, columns).select("file", "risk", "buggy")
-        one = M.classification_metrics(scored, F.col("risk") >= 0.5).crossJoin(M.pr_auc(scored)).crossJoin(M.roc_auc(scored)).crossJoin(M.recall_at_k_rank(scored).select(F.col("recall").alias("recall_20"))).first()
-        auc = one["pr_auc"]
-        return name, kind, n, int(b), one["f1"], auc, one["roc_auc"], one["recall_20"], 0.4 * auc + 0.4 * one["recall_20"] + 0.2 * one["f1"]
+        scored = score(fit(train, columns, kind, sizes=(sizes or {}).get(kind)), test, columns)
+        scored.select(F.lit(str(name)).alias("repo"), F.lit(kind).alias("model"), "file", "risk", F.col("buggy").cast("int").alias("buggy")).write.parquet(f"{folder}/{uuid.uuid4().hex}")
 
     with ThreadPoolExecutor(threads) as pool:
-        found = [r for r in pool.map(lambda x: fold(*x), [(name, kind) for name in sorted(counts) for kind in kinds]) if r]
-    return spark.createDataFrame(found, "repo string, model string, n_test long, n_buggy long, f1 double, pr_auc double, roc_auc double, recall_20 double, composite double")
+        list(pool.map(lambda x: fold(*x), [(name, kind) for name in sorted(counts) for kind in kinds]))
+    return fold_metrics(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder))
 
 
 def best_architecture(folds: DataFrame, least_test: int = 30) -> DataFrame:
