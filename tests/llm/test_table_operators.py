@@ -171,6 +171,14 @@ def test_rows_without_id_are_judged_by_their_text(spark):
     assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == {(7, t): 1, (None, u.upper()): 1, (None, "alone with more words"): 1, (None, None): 1, (None, ""): 1, (3, v): 1, (8, "another text of this id"): 1, (9, None): 1}
 
 
+def test_patterned_words_do_not_collide():
+    """Strings by the parity of the bits of their places are equal under any polynomial modulo a power of two."""
+    parity = [bin(i).count("1") & 1 for i in range(4096)]
+    a, b = bytes(97 + p for p in parity), bytes(98 - p for p in parity)
+    sets = minhash_dedup.shingle_sets([a, b, a + b" x", b + b" x"], 1)
+    assert sets[0][0] != sets[1][0] and len(np.intersect1d(sets[2], sets[3])) == 1 and sets[0][0] in sets[2]
+
+
 def near_copies(spark, m):
     """Copies of one text with a word changed in each, and some texts that are near to a few of them only."""
     rng = np.random.default_rng(13)
