@@ -251,8 +251,8 @@ def train(labelled: DataFrame, text: str, lang: str, key, sample_bytes: int = 40
 _SUMS = "_first string, _least double, _sum double, _languages int, _bytes long, _bits double"
 
 
-def predict(docs: DataFrame, models: list[Model], id_cols: list, text: str = "text", block: int = 1024) -> DataFrame:
-    """``id_cols`` with lang_pred, score and bits for every row.
+def predict(docs: DataFrame, models: list[Model], id_cols: list, text: str = "text", block: int = 1024, keep_text: bool = False) -> DataFrame:
+    """``id_cols``, with ``keep_text`` the text as ``_text``, and lang_pred, score and bits for every row.
 
     ``score`` tells how much less than the mean of the other languages the
     text's entropy against its own is, from 0 to 1. ``bits`` is that entropy in
@@ -268,13 +268,15 @@ def predict(docs: DataFrame, models: list[Model], id_cols: list, text: str = "te
     n = len(state.columns) - 1
     kept = state.schema
     for i, model in enumerate(models or [Model({})]):
-        state = state.mapInArrow(_with_sums(spark.sparkContext.broadcast(model), n, i == 0, block), _extended(kept))
-        if i < len(models) - 1:
+        last = i >= len(models) - 1
+        passed = n + (keep_text or not last)  # texts go back only where they are needed
+        state = state.mapInArrow(_with_sums(spark.sparkContext.broadcast(model), n, passed, i == 0, block), _extended(kept[:passed]))
+        if not last:
             state = written(state, "languages")
     others = (F.col("_sum") - F.col("_least")) / F.greatest(F.lit(1), F.col("_languages") - 1)
     score = F.when(F.col("_first").isNull(), 0.0).when(F.col("_languages") == 1, 1.0).when(others > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("_least") / others))).otherwise(0.0)
     bits = F.when(F.col("_first").isNotNull(), (F.col("_least") - F.col("_bits")) / F.col("_bytes"))
-    return state.select(*[f"`{c}`" for c in kept.names[:n]], F.coalesce("_first", F.lit("und")).alias("lang_pred"), score.alias("score"), bits.alias("bits"))
+    return state.select(*[f"`{c}`" for c in kept.names[: n + keep_text]], F.coalesce("_first", F.lit("und")).alias("lang_pred"), score.alias("score"), bits.alias("bits"))
 
 
 def _extended(schema):
@@ -283,8 +285,8 @@ def _extended(schema):
     return StructType([*schema.fields, *StructType.fromDDL(_SUMS).fields])
 
 
-def _with_sums(shared, n: int, start: bool, block: int):
-    """A pass over batches that adds one model's languages to the sums in the last six columns."""
+def _with_sums(shared, n: int, passed: int, start: bool, block: int):
+    """A pass over batches that adds one model's languages to the sums in the last six columns; column n is the text, the first ``passed`` columns are passed on."""
     kinds = [pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +306,7 @@ def _with_sums(shared, n: int, start: bool, block: int):
                         total[i] += float(bits[row].sum())
                         languages[i] += len(m.languages)
                         size[i] = int(sizes[row])
-                yield pa.RecordBatch.from_arrays([*part.columns[: n + 1], *[pa.array(c, k) for c, k in zip(was, kinds)]], [*part.schema.names[: n + 1], "_first", "_least", "_sum", "_languages", "_bytes", "_bits"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:passed], *[pa.array(c, k) for c, k in zip(was, kinds)]], [*part.schema.names[:passed], "_first", "_least", "_sum", "_languages", "_bytes", "_bits"])
 
     return run
 
