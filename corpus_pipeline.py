@@ -26,9 +26,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     held = language_id.is_held_out(F.col("doc_id"))
     models = language_id.train(docs.where(~held), "text", "lang", F.col("doc_id"))
-    said = language_id.predict(docs, models, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")])
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    said = language_id.predict(docs, models, [rest], keep_text=True)
     known = said.where((F.col("lang_pred") != "und") & (F.col("bits") < FOREIGN_BITS))
-    return known.select(*[(F.col("lang_pred") if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    found = {"text": F.col("_text"), "lang": F.col("lang_pred")}
+    return known.select(*[found.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
