@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectloom.llm import embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, mpeg_audio, packing, sstable, token_counts, url_filter
+from defectloom.llm import embedding_dedup, fill_in_middle, language_id, line_dedup, minhash_dedup, mixing, mpeg_audio, packing, sstable, token_counts, url_filter
 from defectloom.llm.common import table
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -55,9 +55,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_in_middle.restored(F.col("output"), F.col("form"))
+    lengths = [F.char_length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return out.select("doc_id", F.col("n_units").alias("n"), "form", *lengths, F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_url_filter, op3_mpeg_audio, op4_minhash_dedup, op5_mixing, op6_line_dedup, op7_packing, op8_token_tables, op9_embedding_dedup, op10_language_id)
+    for f in (op1_token_counts, op2_url_filter, op3_mpeg_audio, op4_minhash_dedup, op5_mixing, op6_line_dedup, op7_packing, op8_token_tables, op9_embedding_dedup, op10_language_id, op13_fill_in_middle)
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -141,3 +148,25 @@ WITH RECURSIVE usable AS (
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, min(c) AS component_id, vec_id = min(c) AS kept
 FROM embeddings JOIN reach ON id = vec_id LEFT JOIN counts ON a = vec_id GROUP BY vec_id, n
 """
+
+ORACLE_SQL["op13_fill_in_middle"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents
+), d AS (
+  SELECT *, length(t)::BIGINT AS n,
+         ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM t
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), p AS (
+  SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
