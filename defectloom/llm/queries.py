@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectloom.llm import embedding_dedup, fill_in_middle, language_id, line_dedup, minhash_dedup, mixing, mpeg_audio, packing, sstable, token_counts, url_filter
+from defectloom.llm import embedding_dedup, fill_in_middle, language_id, line_dedup, minhash_dedup, mixing, mpeg_audio, packing, sstable, token_counts, url_filter, word_table
 from defectloom.llm.common import table
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -55,6 +55,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = word_table.encode(table(spark, sf_dir, "documents"))
+    sha = F.sha2(F.array_join("ids", ","), 256)
+    numbered = ids.select(F.struct("doc_id", F.size("ids").cast("long").alias("n"), sha.alias("s")).alias("d"), "ids")
+    text = word_table.decode(numbered, id_col="d")
+    return text.select("doc_id.doc_id", F.col("doc_id.n").alias("n_tokens"), F.col("doc_id.s").alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     restored = fill_in_middle.restored(F.col("output"), F.col("form"))
@@ -64,7 +72,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_url_filter, op3_mpeg_audio, op4_minhash_dedup, op5_mixing, op6_line_dedup, op7_packing, op8_token_tables, op9_embedding_dedup, op10_language_id, op13_fill_in_middle)
+    for f in (op1_token_counts, op2_url_filter, op3_mpeg_audio, op4_minhash_dedup, op5_mixing, op6_line_dedup, op7_packing, op8_token_tables, op9_embedding_dedup, op10_language_id, op12_bpe_codec, op13_fill_in_middle)
 }
 
 ORACLE_SQL: dict[str, str] = {}
