@@ -21,8 +21,10 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
@@ -117,33 +119,62 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = _library(path)
+        tokenize, letters = library.model.tokenize, bpe._byte_letters()
+        added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                ids = [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+            ids = []
+            for word in batch.column(0).to_pylist():
+                own = [added[word]] if word in added else [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
+                ids.append(pack(f"<{len(own)}I", *own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
     return words.mapInArrow(run, "word string, n long, ids binary")
 
 
 class Frequent:
-    """Words with their ids, for looking up in batches."""
-
-    def __init__(self, words: list[str], ids: list[bytes]):
-        self.number = {w: i for i, w in enumerate(words)}
-        self.length = np.array([len(x) // 4 for x in ids] + [0], dtype=np.int64)
-        self.start = np.concatenate(([0], np.cumsum(self.length[:-1]))).astype(np.int64)
-        self.ids = np.frombuffer(b"".join(ids), dtype="<u4")
+    """Words with their ids in flat arrays, some fifty bytes a word, for looking up in batches."""
+
+    def __init__(self, words: pa.ChunkedArray, ids: pa.ChunkedArray):
+        hashes = self.hash(words)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.words = words.combine_chunks().take(pa.array(order))
+        ids = ids.combine_chunks().take(pa.array(order))
+        # words that are not held have the last number, and no ids
+        self.length = np.append(pc.binary_length(ids).to_numpy().astype(np.int32) // 4, np.int32(0))
+        self.start = np.concatenate(([0], np.cumsum(self.length[:-1], dtype=np.int64)))
+        self.ids = np.frombuffer(b"".join(ids.to_pylist()), dtype="<u4").astype(np.int32)
+
+    @staticmethod
+    def hash(words: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        return pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Each word's number, -1 for words that are not held; of words with one hash each is compared."""
+        out = np.full(len(words), -1, dtype=np.int64)
+        if not len(self.hashes) or not len(words):
+            return out
+        hashes = self.hash(words)
+        at, ask = np.searchsorted(self.hashes, hashes), np.arange(len(words))
+        while True:
+            open_ = at < len(self.hashes)
+            at, ask = at[open_], ask[open_]
+            same = self.hashes[at] == hashes[ask]
+            at, ask = at[same], ask[same]
+            if not len(ask):
+                return out
+            equal = pc.equal(self.words.take(pa.array(at)), words.take(pa.array(ask))).to_numpy(zero_copy_only=False)
+            out[ask[equal]] = at[equal]
+            at, ask = at[~equal] + 1, ask[~equal]
 
     def look_up(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """(ids of all rows, where each row's ids begin, each hole's row, each hole's place among its row's ids, each hole's word)."""
+        """(ids of all rows, where each row's ids begin and the last ones end, each hole's row, its place among the row's ids, its word)."""
         ends = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        known = np.array([self.number.get(w, -1) for w in coded.dictionary.to_pylist()], dtype=np.int64)
         at = coded.indices.to_numpy()
-        code = known[at] if len(at) else np.zeros(0, dtype=np.int64)
+        code = self.numbers(coded.dictionary)[at] if len(at) else np.zeros(0, dtype=np.int64)
         length = self.length[code]
-        before = np.concatenate(([0], np.cumsum(length)))
+        before = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
         ids = self.ids[np.repeat(self.start[code] - before[:-1], length) + np.arange(before[-1])]
         begins = before[ends]
         holes = np.flatnonzero(code < 0)
@@ -170,35 +201,40 @@ def frequent_words(table: DataFrame, most_words: int, most_bytes: int, longest:
 
 def _broadcast(frequent: DataFrame) -> Broadcast:
     found = frequent.select("word", "ids").toArrow()  # within the bounds of frequent_words
-    return frequent.sparkSession.sparkContext.broadcast(Frequent(found.column("word").to_pylist(), found.column("ids").to_pylist()))
+    return frequent.sparkSession.sparkContext.broadcast(Frequent(found.column("word"), found.column("ids")))
 
 
 def _packed(ids: np.ndarray) -> bytes:
     return pa.Codec("zstd", 1).compress(ids.astype("<u4").tobytes(), asbytes=True) if ids.size else b""
 
 
-def _with_holes(docs: DataFrame, keys: list[str], shared: Broadcast, holes_only: bool) -> DataFrame:
-    """Rows of ``docs`` (keys, _w): with ``holes_only`` the words of the holes, of rows that have any; else ids, their number and the holes' places."""
+#: What a pass over the texts gives: the ids where no word can be a hole; the words of holes, of rows that have any; ids with holes.
+_SAID = {"ids": "ids array<int>", "holes": "words array<string>", "open": "size long, packed binary, at array<long>"}
+
+
+def _looked_up(docs: DataFrame, keys: list[str], shared: Broadcast, said: str) -> DataFrame:
+    """Rows of ``docs`` (keys, the words of a text) with the columns of ``_SAID[said]`` in place of the words."""
     k = len(keys)
-    types = ", ".join(f"{c} {t}" for c, t in docs.dtypes[:k])
-    names = [*keys, "words"] if holes_only else [*keys, "size", "packed", "at"]
+    names = [*keys, *(c.split()[0] for c in _SAID[said].split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
+            for first in range(0, batch.num_rows, 2048):
+                part = batch.slice(first, 2048)
                 ids, begins, row, at, words = shared.value.look_up(part.column(k))
+                if said == "ids":
+                    yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))], names)
+                    continue
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
                 offsets = pa.array(cuts, pa.int32())
-                if holes_only:
+                if said == "holes":
                     out = [*part.columns[:k], pa.ListArray.from_arrays(offsets, words)]
                     yield pa.RecordBatch.from_arrays(out, names).filter(pa.array(cuts[1:] > cuts[:-1]))
                     continue
                 packed = [_packed(ids[a:b]) for a, b in zip(begins, begins[1:])]
-                out = [*part.columns[:k], pa.array(np.diff(begins)), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int64()))]
-                yield pa.RecordBatch.from_arrays(out, names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(np.diff(begins)), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int64()))], names)
 
-    return docs.mapInArrow(run, f"{types}, " + ("words array<string>" if holes_only else "size long, packed binary, at array<long>"))
+    return docs.mapInArrow(run, ", ".join([f"{c} {t}" for c, t in docs.dtypes[:k]] + [_SAID[said]]))
 
 
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +255,7 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", frequent: int = 1 << 20, frequent_bytes: int = 32 << 20, salts: int = 32, hot_share: float = 0.001) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", frequent: int = 4_000_000, frequent_bytes: int = 96 << 20, salts: int = 32, hot_share: float = 0.001) -> DataFrame:
     """Rows (doc_id, ids): the ids of every whole text as the tokenizers library gives them, without tokens of its own.
 
     A null or empty text has no ids. An added token that stands in a text
@@ -228,7 +264,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     not looked at; an empty table gives no rows.
 
     The broadcast table holds at most ``frequent`` words and ``frequent_bytes``
-    bytes. Texts that are more than ``hot_share`` of all rows, of which there are
+    bytes; where that is all of them, no text has holes and none is shuffled.
+    Texts that are more than ``hot_share`` of all rows, of which there are
     at most ``1 / hot_share``, meet their holes in ``salts`` parts. A row's words
     must fit a task's memory.
     """
@@ -237,10 +274,12 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     x = docs.select(F.col(id_col).try_cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     table = written(encoded_words(distinct_words(x, "t", pattern), path), "words")
     often, rare = frequent_words(table, frequent, frequent_bytes)
-    shared = _broadcast(often)
+    shared, words = _broadcast(often), words_of(F.col("t"), pattern).alias("w")
+    if rare.isEmpty():
+        return _looked_up(x.select(F.col("id").alias("doc_id"), words), ["doc_id"], shared, "ids")
     key = [F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), "t").alias("h2")]
 
-    holes = _with_holes(x.select(*key, words_of(F.col("t"), pattern).alias("_w")), ["h1", "h2"], shared, True)
+    holes = _looked_up(x.select(*key, words), ["h1", "h2"], shared, "holes")
     texts = holes.groupBy("h1", "h2").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))  # equal texts have equal holes
     asked = texts.select("h1", "h2", "copies", F.posexplode("words").alias("k", "word"))
     said = asked.join(rare.select("word", "ids"), "word").groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("f"), F.first("copies").alias("copies"))
@@ -249,7 +288,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     least = hot_share * docs.count()
     hot = fillings.where(F.col("copies") > least).select("h1", "h2", F.lit(True).alias("hot"))  # at most 1 / hot_share rows
     spread = F.explode(F.when(F.col("copies") > least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
-    open_ = _with_holes(x.select("id", *key, words_of(F.col("t"), pattern).alias("_w")), ["id", "h1", "h2"], shared, False)
+    open_ = _looked_up(x.select("id", *key, words), ["id", "h1", "h2"], shared, "open")
     dealt = open_.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("salt", F.when(F.col("hot"), (F.rand(5) * salts).cast("int")).otherwise(0))
     whole = dealt.join(fillings.select("h1", "h2", spread, "found"), ["h1", "h2", "salt"], "left")
     return whole.select("id", "size", "packed", "at", "found").mapInArrow(_filled, "doc_id long, ids array<int>")

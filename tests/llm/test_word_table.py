@@ -68,6 +68,17 @@ def test_every_word_is_encoded_once(docs, spark):
     assert word_table.frequent_words(word_table.encoded_words(words, path), 1 << 20, 10)[0].count() == 0
 
 
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(word_table.Frequent, "hash", staticmethod(lambda words: np.array([len(w) % 2 for w in words.to_pylist()], dtype=np.uint64)))
+    held = ["a", "bb", "c", "dd", "eee"]
+    t = word_table.Frequent(pa.chunked_array([held]), pa.chunked_array([[bytes([i, 0, 0, 0]) * (i + 1) for i in range(5)]]))
+    asked = ["eee", "x", "dd", "a", "yy", "bb"]
+    found = t.numbers(pa.array(asked))
+    assert [t.words[int(i)].as_py() if i >= 0 else None for i in found] == ["eee", None, "dd", "a", None, "bb"]
+
+
 def test_decoding(spark, library):
     rng = np.random.default_rng(8)
     lists = [[], None, [50256], [0, None, 5], [-1, 50257, 1 << 30, 7], *[rng.integers(0, 50257, int(rng.integers(1, 40))).tolist() for _ in range(50)]]
