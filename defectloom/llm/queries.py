@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectloom.llm import embedding_dedup, fill_in_middle, language_id, line_dedup, minhash_dedup, mixing, mpeg_audio, packing, sstable, token_counts, url_filter, word_table
-from defectloom.llm.common import table
+from defectloom.llm import embedding_dedup, fill_in_middle, language_id, line_dedup, merkle, minhash_dedup, mixing, mpeg_audio, packing, sstable, token_counts, url_filter, word_table
+from defectloom.llm.common import ascii_lower, table
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -55,6 +55,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    text = F.when(tampered, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), shown={"text": text})
+
+
 def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = word_table.encode(table(spark, sf_dir, "documents"))
     sha = F.sha2(F.array_join("ids", ","), 256)
@@ -72,7 +78,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_url_filter, op3_mpeg_audio, op4_minhash_dedup, op5_mixing, op6_line_dedup, op7_packing, op8_token_tables, op9_embedding_dedup, op10_language_id, op12_bpe_codec, op13_fill_in_middle)
+    for f in (op1_token_counts, op2_url_filter, op3_mpeg_audio, op4_minhash_dedup, op5_mixing, op6_line_dedup, op7_packing, op8_token_tables, op9_embedding_dedup, op10_language_id, op11_merkle_manifest, op12_bpe_codec, op13_fill_in_middle)
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -178,3 +184,59 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
        sha256(t) AS restored_sha256
 FROM p
 """
+
+ORACLE_SQL["op11_merkle_manifest"] = r"""
+WITH RECURSIVE crcs AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS c FROM range(256) r(i)
+  )
+), keyed AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+                lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1]))) % 3 = 0 AS tampered,
+         concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents, crcs
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || CASE WHEN tampered THEN coalesce(strlen(low) || ':' || low, '-') ELSE coalesce(strlen(text) || ':' || text, '-') END) AS shown
+  FROM keyed
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+), tree(lang, level, i, h, n) AS (
+  SELECT lang, 0, pos, leaf, count(*) OVER (PARTITION BY lang) FROM placed
+  UNION ALL
+  SELECT lang, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), count(*) OVER (PARTITION BY lang) FROM tree WHERE n > 1 GROUP BY lang, level, i // 8
+), subroots AS (
+  SELECT lang, level AS height, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM tree WHERE n = 1
+), crown(level, i, h, n) AS (
+  SELECT 0, g, subroot, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), count(*) OVER () FROM crown WHERE n > 1 GROUP BY level, i // 8
+), whole AS (
+  SELECT subroots.g, tree.level, i, h, i // 8 AS run, tree.n > 1 AS grows FROM tree JOIN subroots ON tree.lang IS NOT DISTINCT FROM subroots.lang
+), runs AS (
+  SELECT g, level, run, list(h ORDER BY i) AS hs FROM whole WHERE grows GROUP BY g, level, run
+), crown_runs AS (
+  SELECT level, i // 8 AS run, list(h ORDER BY i) AS hs FROM crown WHERE n > 1 GROUP BY level, i // 8
+), walk(doc_id, leaf, shown, g, height, level, spot, node, others) AS (
+  SELECT doc_id, leaf, shown, g, height, 0, pos, shown, '' FROM placed JOIN subroots ON placed.lang IS NOT DISTINCT FROM subroots.lang
+  UNION ALL
+  SELECT doc_id, leaf, shown, walk.g, height, walk.level + 1,
+         CASE WHEN walk.level + 1 = height THEN walk.g ELSE spot // 8 END,
+         sha256(array_to_string(list_concat(list_concat(r.hs[:spot % 8], [node]), r.hs[spot % 8 + 2:]), '')),
+         others || array_to_string(list_concat(r.hs[:spot % 8], r.hs[spot % 8 + 2:]), '')
+  FROM walk JOIN runs r ON r.g = walk.g AND r.level = walk.level AND r.run = spot // 8 WHERE walk.level < height
+), climb(doc_id, leaf, shown, g, level, spot, node, others) AS (
+  SELECT doc_id, leaf, shown, g, 0, g, node, others FROM walk WHERE level = height
+  UNION ALL
+  SELECT doc_id, leaf, shown, g, climb.level + 1, spot // 8,
+         sha256(array_to_string(list_concat(list_concat(r.hs[:spot % 8], [node]), r.hs[spot % 8 + 2:]), '')),
+         others || array_to_string(list_concat(r.hs[:spot % 8], r.hs[spot % 8 + 2:]), '')
+  FROM climb JOIN crown_runs r ON r.level = climb.level AND r.run = spot // 8
+), root AS (
+  SELECT h AS root FROM crown WHERE n = 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(others) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM climb JOIN subroots USING (g), root WHERE climb.level = (SELECT max(level) FROM crown)
+"""
