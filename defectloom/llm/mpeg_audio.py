@@ -6,8 +6,9 @@ durations in samples and the byte offset of every frame. Frames of free format,
 whose size no header states, are passed over like other bytes between frames.
 
 The carrier stores any payload losslessly as the main data of variable-bitrate
-MPEG-1 layer III frames (48 kHz, two channels, with checksums), behind an ID3v2
-tag and a Xing table.
+MPEG-1 layer III frames (48 kHz, two channels, with checksums), between an ID3v2
+tag with a Xing table and an ID3v1 tag, so that no byte of a payload stands
+where a reader looks for tags.
 """
 
 from __future__ import annotations
@@ -269,6 +270,8 @@ def _frame(kbit: int, body: bytes) -> bytes:
 
 _HEADS = {k: _frame(k, b"")[:_HEAD] for k in BITRATES[1, 3][1:]}
 _LARGEST = 3 * 320 - _HEAD
+#: The tag at the end of a carrier, without any field.
+_ID3V1 = b"TAG" + bytes(124) + b"\xff"
 
 
 def encode_payload(payload: bytes) -> bytes:
@@ -285,7 +288,7 @@ def encode_payload(payload: bytes) -> bytes:
     body2 = b"\0payload-crc32\0" + str(zlib.crc32(payload)).encode() + b"\0"
     tag = b"".join(b"TXXX" + len(x).to_bytes(4, "big") + b"\0\0" + x for x in (body, body2))
     extended = struct.pack(">IHII", 10, 0x8000, 0, zlib.crc32(tag))
-    return b"ID3\3\0\x40" + _unsync(len(extended + tag)) + extended + tag + xing + audio
+    return b"ID3\3\0\x40" + _unsync(len(extended + tag)) + extended + tag + xing + audio + _ID3V1
 
 
 def decode_payload(media: bytes, found: dict | None = None) -> bytes:
@@ -294,7 +297,7 @@ def decode_payload(media: bytes, found: dict | None = None) -> bytes:
     if found["crc_bad"] or not found["tag_crc_ok"] or found["table_frames"] != found["n_frames"]:
         raise ValueError("a checksum or the frame table does not hold")
     at = found["offsets"]
-    ends = [*at[1:], len(media)]
+    ends = [*at[1:], *(a + Header.parse(media, a).size for a in at[-1:])]
     payload = b"".join(media[a + _HEAD : e] for a, e in zip(at, ends))[: int(found["tags"]["TXXX:payload-bytes"])]
     if zlib.crc32(payload) != int(found["tags"]["TXXX:payload-crc32"]):
         raise ValueError("the payload differs")
@@ -338,7 +341,10 @@ def carried_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k
     def one(doc, raw: bytes) -> tuple:
         media = encode_payload(raw + bytes(-len(raw) % 64 or (0 if raw else 64)))
         found = parse(media)
-        payload = decode_payload(media, found)
+        try:
+            payload = decode_payload(media, found)
+        except ValueError as e:
+            raise ValueError(f"{id_col} {doc}: {e}") from e
         shown = (found["n_frames"], found["samples"], found["rate"], found["channels"], "vbr" if found["vbr"] else "cbr", found["crc_frames"] - found["crc_bad"], found["resyncs"], found["offsets"][0], found["offsets"][-1])
         feature = "frames={} samples={} rate={} channels={} {} crc_ok={} resyncs={} first={} last={}".format(*shown)
         row = (doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, found["n_frames"], found["duration_us"])

@@ -174,6 +174,25 @@ def test_carried_texts(docs):
     assert mpeg_audio.carried_texts(docs.limit(0)).count() == 0
 
 
+def test_texts_that_look_like_tags_and_frames(spark):
+    head = mpeg_audio._frame(320, b"")[:4]
+    signs = [b"TAG", b"ID3\3\0\x40", b"ID3\4\0\0\0\0\0\x10", head, head * 3, b"\xff\xfb\x90\x64", b"Xing", b"TAGTAG" * 20, b"\xff" * 40, b"3DI", b"APETAGEX", b"LYRICS200"]
+    for size in (64, 128, 192, 320, 896, 960, 1024, 1856):
+        for sign in signs:
+            for at in range(max(0, size - 256), size - len(sign) + 1):
+                payload = b"a" * at + sign + b"a" * (size - at - len(sign))
+                assert mpeg_audio.decode_payload(mpeg_audio.encode_payload(payload)) == payload
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        payload = bytes(rng.integers(0, 256, 64 * int(rng.integers(1, 60))).astype(np.uint8))
+        assert mpeg_audio.decode_payload(mpeg_audio.encode_payload(payload)) == payload
+    texts = ["xxTAG" + "a" * 100, *("b" * n + "TAG" + "a" * 300 for n in range(40)), "ID3" * 60, "TAG", "Xing" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in mpeg_audio.carried_texts(df).collect():
+        raw = texts[r["doc_id"]].encode()
+        assert r["payload_sha256"] == hashlib.sha256(raw + bytes(-len(raw) % 64)).hexdigest()
+
+
 def test_audio_parser(spark):
     payload = bytes(range(255)) * 40
     media = mpeg_audio.encode_payload(payload)
@@ -189,7 +208,7 @@ def test_audio_parser(spark):
     assert mpeg_audio.parse(bytes(bad))["crc_bad"] == 1
     with pytest.raises(ValueError):
         mpeg_audio.decode_payload(bytes(bad))
-    tagged = media + b"TAG" + b"Title".ljust(30, b"\0") + bytes(95)
+    tagged = media[:-128] + b"TAG" + b"Title".ljust(30, b"\0") + bytes(95)
     assert mpeg_audio.parse(tagged)["tags"]["ID3v1:title"] == "Title"
     # MPEG-2 layer III at 24 kHz, one channel, no checksum; layer II at 48 kHz
     v2 = (bytes((0xFF, 0xF3, 8 << 4 | 1 << 2, 0xC0)) + bytes(188)) * 3
