@@ -134,19 +134,19 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
 class Frequent:
     """Words with their ids in flat arrays, some fifty bytes a word, for looking up in batches."""
 
-    def __init__(self, words: pa.ChunkedArray, ids: pa.ChunkedArray):
-        hashes = self.hash(words)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.words = words.combine_chunks().take(pa.array(order))
-        ids = ids.combine_chunks().take(pa.array(order))
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        self.words = words
+        hashes = np.concatenate([self.hash(words.slice(at, 1 << 16)) for at in range(0, len(words), 1 << 16)] or [np.zeros(0, dtype=np.uint64)])
+        self.order = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.order]
         # words that are not held have the last number, and no ids
-        self.length = np.append(pc.binary_length(ids).to_numpy().astype(np.int32) // 4, np.int32(0))
+        self.length = np.append(pc.binary_length(ids).to_numpy() // 4, 0).astype(np.int32)
         self.start = np.concatenate(([0], np.cumsum(self.length[:-1], dtype=np.int64)))
-        self.ids = np.frombuffer(b"".join(ids.to_pylist()), dtype="<u4").astype(np.int32)
+        data = ids.buffers()[2] if len(ids) else None
+        self.ids = np.frombuffer(data, dtype="<i4", count=int(self.start[-1])) if data else np.zeros(0, dtype="<i4")
 
     @staticmethod
-    def hash(words: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    def hash(words: pa.Array) -> np.ndarray:
         return pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False)
 
     def numbers(self, words: pa.Array) -> np.ndarray:
@@ -163,8 +163,8 @@ class Frequent:
             at, ask = at[same], ask[same]
             if not len(ask):
                 return out
-            equal = pc.equal(self.words.take(pa.array(at)), words.take(pa.array(ask))).to_numpy(zero_copy_only=False)
-            out[ask[equal]] = at[equal]
+            equal = pc.equal(self.words.take(pa.array(self.order[at])), words.take(pa.array(ask))).to_numpy(zero_copy_only=False)
+            out[ask[equal]] = self.order[at[equal]]
             at, ask = at[~equal] + 1, ask[~equal]
 
     def look_up(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -201,7 +201,9 @@ def frequent_words(table: DataFrame, most_words: int, most_bytes: int, longest:
 
 def _broadcast(frequent: DataFrame) -> Broadcast:
     found = frequent.select("word", "ids").toArrow()  # within the bounds of frequent_words
-    return frequent.sparkSession.sparkContext.broadcast(Frequent(found.column("word"), found.column("ids")))
+    words, ids = (pa.concat_arrays(found.column(c).chunks) if found.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.binary())))
+    del found
+    return frequent.sparkSession.sparkContext.broadcast(Frequent(words, ids))
 
 
 def _packed(ids: np.ndarray) -> bytes:

@@ -73,7 +73,7 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
 
     monkeypatch.setattr(word_table.Frequent, "hash", staticmethod(lambda words: np.array([len(w) % 2 for w in words.to_pylist()], dtype=np.uint64)))
     held = ["a", "bb", "c", "dd", "eee"]
-    t = word_table.Frequent(pa.chunked_array([held]), pa.chunked_array([[bytes([i, 0, 0, 0]) * (i + 1) for i in range(5)]]))
+    t = word_table.Frequent(pa.array(held), pa.array([bytes([i, 0, 0, 0]) * (i + 1) for i in range(5)]))
     asked = ["eee", "x", "dd", "a", "yy", "bb"]
     found = t.numbers(pa.array(asked))
     assert [t.words[int(i)].as_py() if i >= 0 else None for i in found] == ["eee", None, "dd", "a", None, "bb"]
