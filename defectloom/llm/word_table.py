@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from defectloom.llm import bpe
 from defectloom.llm.common import written
 
+#: Texts that are looked up at once; an Arrow batch has more.
+_PART = 256
 #: Code points from here on are letters or digits in no version of Unicode.
 _LAST_LETTER = 0x40000
 
@@ -132,7 +134,7 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
 
 
 class Frequent:
-    """Words with their ids in flat arrays, some fifty bytes a word, for looking up in batches."""
+    """Words with their ids in flat arrays, some forty bytes a word, for looking up in batches."""
 
     def __init__(self, words: pa.Array, ids: pa.Array):
         self.words = words
@@ -141,9 +143,10 @@ class Frequent:
         self.hashes = hashes[self.order]
         # words that are not held have the last number, and no ids
         self.length = np.append(pc.binary_length(ids).to_numpy() // 4, 0).astype(np.int32)
-        self.start = np.concatenate(([0], np.cumsum(self.length[:-1], dtype=np.int64)))
+        self.start = np.concatenate(([0], np.cumsum(self.length[:-1], dtype=np.int64))).astype(np.int32)
         data = ids.buffers()[2] if len(ids) else None
-        self.ids = np.frombuffer(data, dtype="<i4", count=int(self.start[-1])) if data else np.zeros(0, dtype="<i4")
+        ids = np.frombuffer(data, dtype="<i4", count=int(self.start[-1])) if data else np.zeros(0, dtype="<i4")
+        self.ids = ids.astype(np.uint16) if not len(ids) or ids.max() < 65_536 else ids
 
     @staticmethod
     def hash(words: pa.Array) -> np.ndarray:
@@ -175,7 +178,7 @@ class Frequent:
         code = self.numbers(coded.dictionary)[at] if len(at) else np.zeros(0, dtype=np.int64)
         length = self.length[code]
         before = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
-        ids = self.ids[np.repeat(self.start[code] - before[:-1], length) + np.arange(before[-1])]
+        ids = self.ids[np.repeat(self.start[code] - before[:-1], length) + np.arange(before[-1])].astype(np.int32)
         begins = before[ends]
         holes = np.flatnonzero(code < 0)
         row = np.searchsorted(ends, holes, side="right") - 1
@@ -221,8 +224,8 @@ def _looked_up(docs: DataFrame, keys: list[str], shared: Broadcast, said: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 2048):
-                part = batch.slice(first, 2048)
+            for first in range(0, batch.num_rows, _PART):
+                part = batch.slice(first, _PART)
                 ids, begins, row, at, words = shared.value.look_up(part.column(k))
                 if said == "ids":
                     yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))], names)
