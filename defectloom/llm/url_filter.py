@@ -133,37 +133,48 @@ def _filled(keys: DataFrame, n: int, number: int, mistakes: float) -> Level:
     return level
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, first_mistakes: float = 0.01, later_mistakes: float = 0.5, max_bytes: int = 256 << 20, max_levels: int = 64) -> Cascade:
+def first_rate(listed: int, universe: int) -> float:
+    """The first level's share of mistakes that makes a cascade smallest: the second level then holds about as many keys as the first ones that it halves."""
+    return min(0.5, max(1, listed) * 0.5**0.5 / max(1, universe - listed))
+
+
+def cascade_bits(listed: int, universe: int) -> float:
+    """What a cascade takes: for each listed key the first level's hashes, and three and a half bits in all later levels."""
+    return listed * (max(1, round(-np.log2(first_rate(listed, universe)))) / np.log(2) + 3.5)
+
+
+def build_cascade(universe: DataFrame, listed: DataFrame, first_mistakes: float | None = None, later_mistakes: float = 0.5, max_bytes: int = 256 << 20) -> Cascade:
     """A cascade for distinct keys, given as rows (a, b) of :func:`key_hashes`; ``listed`` is a part of ``universe``.
 
-    Later levels halve their input, as filter cascades do, so their sizes add
-    up to a few bits for each listed key. The whole goes to the driver and
-    every executor and is refused above ``max_bytes``; :func:`parts_for` tells
-    into how many cascades to part the keys. No listed keys give no levels, and
-    no key is then listed.
+    The first level's share of mistakes follows from both sizes unless it is
+    given (:func:`first_rate`), so that the second level holds fewer keys than
+    the first, however large the universe is; later levels halve their input.
+    The size is that of :func:`cascade_bits`, by which :func:`parts_for` parts
+    the keys; the whole goes to the driver and every executor. No listed keys
+    give no levels, and no key is then listed.
     """
     levels: list[Level] = []
     inside, outside = listed.select("a", "b"), None
-    n, total = inside.count(), 0
-    mistakes = first_mistakes
-    while n and len(levels) < max_levels:
-        size = Level(len(levels), n, mistakes).words.nbytes
-        total += size
+    n, total, stuck = inside.count(), 0, 0
+    mistakes = first_mistakes or (first_rate(n, universe.count()) if n else 0.5)
+    while n:
+        total += Level(len(levels), n, mistakes).words.nbytes
         if total > max_bytes:
-            raise ValueError(f"the cascade needs more than {max_bytes} bytes")
+            raise RuntimeError(f"the cascade needs more than {max_bytes} bytes, which parts_for rules out")
         level = _filled(inside, n, len(levels), mistakes)
         levels.append(level)
         against = universe.join(listed, ["a", "b"], "left_anti") if outside is None else outside
         wrong = checkpointed(_known(against, level))
-        inside, outside, n, mistakes = wrong, inside, wrong.count(), later_mistakes
-    if n:
-        raise ValueError("the cascade did not end; two keys share both hashes")
+        inside, outside, before, n, mistakes = wrong, inside, n, wrong.count(), later_mistakes
+        stuck = stuck + 1 if n >= before else 0
+        if stuck > 64:
+            raise RuntimeError("two keys share both hashes")  # a chance of 2 ** -128 for each pair
     return Cascade(levels)
 
 
-def parts_for(listed: int, max_bytes: int) -> int:
-    """Cascades that so many listed keys take, with a quarter to spare: some 16 bits for each key."""
-    return max(1, -(-listed * 5 // (2 * max_bytes)))
+def parts_for(listed: int, universe: int, max_bytes: int) -> int:
+    """Cascades that so many listed keys take in so large a universe, with a quarter of their size and 128 bytes (small levels are rounded up) to spare."""
+    return max(1, int(-(-1.25 * cascade_bits(listed, universe) // (8 * max(64, max_bytes - 128)))))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str]], url: str = "url", max_bytes: int = 256 << 20) -> DataFrame:
@@ -178,9 +189,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str
     no rule. Repeated rows keep their rows; an empty table gives none; other
     columns may have any names.
 
-    A task holds cascades of at most ``max_bytes``. Longer lists are parted by
-    the hash of the key into several pairs of cascades, which are asked one
-    after another; answers between them are stored in the shared folder.
+    A task holds cascades of at most ``max_bytes`` (1 KB at least). A listed key
+    takes some 1.44 * log2(universe / listed) + 4 bits, 40 to 60 of them in the
+    largest universes; longer lists are parted by the hash of the key into
+    several pairs of cascades, which are asked one after another; answers
+    between them are stored in the shared folder.
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
@@ -196,14 +209,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str
     keys = seen.select("host", "path").distinct().select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key")).distinct()
     universe = checkpointed(keys.select("key", key_hashes(F.col("key")).alias("h")).select("key", "h.a", "h.b"))
     mine = {x: checkpointed(listed.where(F.col("action") == x).select("key").distinct().join(universe, "key").select("a", "b")) for x in ("block", "allow")}
-    parts = max(parts_for(x.count(), max_bytes // 2) for x in mine.values())
+    asked_for = universe.count()
+    parts = max(parts_for(x.count(), asked_for, max_bytes // 2) for x in mine.values())
     asked = seen.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths))
     asked = asked.withColumn("_hashes", F.transform("_keys", key_hashes)).withColumn("_said", F.transform("_keys", lambda k: F.lit(0)))
     for i in range(parts):
         def part(x: DataFrame) -> DataFrame:
             return x.select("a", "b") if parts == 1 else x.select("a", "b").where(F.pmod("a", F.lit(parts)) == i)  # noqa: B023
 
-        cascades = [build_cascade(part(universe), part(mine[x]), max_bytes=max_bytes) for x in ("block", "allow")]
+        cascades = [build_cascade(part(universe), part(mine[x]), max_bytes=max_bytes // 2) for x in ("block", "allow")]
         asked = asked.withColumn("_said", _answers(spark, cascades, parts, i)("_hashes.a", "_hashes.b", "_said"))
         if i < parts - 1:
             asked = written(asked, "urls")
@@ -233,4 +247,4 @@ def _answers(spark: SparkSession, cascades: list[Cascade], parts: int, part: int
         out[mine[block.listed(a[mine], b[mine])]] = 1
         return pd.Series(np.split(out, np.cumsum(first.map(len))[:-1]), index=first.index)
 
-    return said
+    return said.asNondeterministic()  # it stands for a column: a filter on the verdict must not carry it into a lambda

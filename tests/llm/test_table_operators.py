@@ -86,11 +86,38 @@ def test_cascade_is_exact(spark):
     all_keys = keys.toPandas()
     said = cascade.listed(all_keys["a"].to_numpy(), all_keys["b"].to_numpy())
     assert (said == (all_keys["key"].astype(int) % 7 == 0).to_numpy()).all()
-    with pytest.raises(ValueError):
+    with pytest.raises(RuntimeError):
         url_filter.build_cascade(keys.select("a", "b"), listed, max_bytes=8)
     assert url_filter.build_cascade(keys.select("a", "b"), listed.limit(0)).levels == []
 
 
+def test_short_lists_against_large_universes(spark):
+    hashes = url_filter.key_hashes(F.col("id").cast("string"))
+    for size in (20_000, 1_000_000):
+        keys = spark.range(size).select("id", hashes.alias("h")).select("id", "h.a", "h.b")
+        listed = keys.where(f"id % {size // 50} = 7").select("a", "b")
+        bits = url_filter.cascade_bits(50, size)
+        cascade = url_filter.build_cascade(keys.select("a", "b"), listed, max_bytes=512)
+        assert 8 * cascade.nbytes <= 1.25 * bits + 8 * 128 and url_filter.parts_for(50, size, 512) == 1
+        found = keys.toPandas()
+        assert (cascade.listed(found["a"].to_numpy(), found["b"].to_numpy()) == (found["id"] % (size // 50) == 7).to_numpy()).all()
+    # a bound on the size of lists alone would not hold: the first level grows with the universe's logarithm
+    assert url_filter.parts_for(50, 10**11, 512) == 1 and url_filter.cascade_bits(50, 10**11) < 50 * 60
+    assert url_filter.parts_for(10**9, 10**11, 256 << 20) in range(6, 12)
+
+
+def test_rules_and_many_urls(spark):
+    rules = [("block" if i % 3 else "allow", f"h{i}.example", f"/p{i % 7}") for i in range(50)]
+    urls = spark.range(1_000_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 5000, F.lit(".example/p"), F.col("id") % 11, F.lit("/"), F.col("id")).alias("url"))
+    got = url_filter.judge_urls(urls, rules, max_bytes=1024)
+    i, p = F.col("page_id") % 5000, F.col("page_id") % 11
+    fits = (i < 50) & (p.cast("string").substr(1, 1) == (i % 7).cast("string"))
+    expect = F.when(fits, F.when(i % 3 > 0, "block").otherwise("allow"))
+    # rules are prefixes: /p1 fits /p10 as well
+    assert got.where(F.col("rule").isNotNull() != fits).count() == 0
+    assert got.where(fits & (F.col("verdict") != expect)).count() == 0 and got.count() == 1_000_000
+
+
 # ---- near duplicates
 
 def plain_sets(text, words):
