@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from defectloom.functions.core import r6
 from defectloom.ml import models as ML
+from defectloom.ml import resample as RS
 from defectloom.operators import features as FT
 from defectloom.operators import history as H
 from defectloom.plans.bindings import LABELLED, commit_files, labelled, messages, static_metrics, table
@@ -45,6 +46,34 @@ def resample(spark, d):
     return ML.class_weights(labelled(spark, d)).select("file", r6(F.col("weight")).alias("weight"))
 
 
+_DIST = "pow(a.loc - b.loc, 2) + pow(a.functions - b.functions, 2) + pow(a.avg_complexity - b.avg_complexity, 2) + pow(a.max_complexity - b.max_complexity, 2)"
+_BETWEEN = ", ".join(f"s.{c} + gap * (t.{c} - s.{c}) AS {c}" for c in _COLS)
+
+
+@query(
+    f"""{_LB}, x AS (SELECT file, buggy, {", ".join(f"{c}::DOUBLE AS {c}" for c in _COLS)} FROM lb),
+    c AS (SELECT least(count(*) FILTER (WHERE buggy = 1), count(*) FILTER (WHERE buggy = 0)) AS few, greatest(count(*) FILTER (WHERE buggy = 1), count(*) FILTER (WHERE buggy = 0)) AS many,
+          CASE WHEN count(*) FILTER (WHERE buggy = 1) <= count(*) FILTER (WHERE buggy = 0) THEN 1 ELSE 0 END AS value FROM x),
+    small AS (SELECT x.*, row_number() OVER (ORDER BY md5('42:' || file)) AS rank FROM x, c WHERE buggy = value),
+    pairs AS (SELECT a.file AS base, b.file AS other, row_number() OVER (PARTITION BY a.file ORDER BY {_DIST}, b.file::VARCHAR) AS r FROM small a JOIN small b ON a.file <> b.file),
+    near AS (SELECT base, list(other ORDER BY r) AS ids FROM pairs, c WHERE r <= least(5, few - 1) GROUP BY base),
+    copies AS (SELECT file AS base, unnest(range(1, ((many - few) // few + CASE WHEN rank <= (many - few) % few THEN 1 ELSE 0 END + 1)::BIGINT)) AS copy FROM small, c WHERE few > 1),
+    h AS (SELECT base, copy, md5('42:' || base || ':' || copy) AS h FROM copies),
+    picked AS (SELECT h.base, copy, ids[('0x' || substr(h, 1, 8))::BIGINT % len(ids) + 1] AS other, ('0x' || substr(h, 9, 8))::BIGINT / 4294967296.0::DOUBLE AS gap FROM h JOIN near USING (base)),
+    made AS (SELECT '1:' || picked.base || ':' || copy AS row, s.buggy, true AS synthetic, {_BETWEEN} FROM picked JOIN small s ON s.file = picked.base JOIN small t ON t.file = other),
+    told AS (SELECT '0:' || file AS row, buggy, false AS synthetic, {", ".join(_COLS)} FROM x UNION ALL SELECT * FROM made),
+    one AS (SELECT a.row, a.buggy, b.row AS other, b.buggy AS other_buggy, row_number() OVER (PARTITION BY a.row ORDER BY {_DIST}, b.row) AS r FROM told a JOIN told b ON a.row <> b.row),
+    nearest AS (SELECT row, buggy, other, other_buggy FROM one WHERE r = 1),
+    linked AS (SELECT a.row FROM nearest a JOIN nearest b ON a.other = b.row AND b.other = a.row WHERE a.buggy <> a.other_buggy)
+    SELECT row, buggy, synthetic, {", ".join(f"round({c}, 6) AS {c}" for c in _COLS)} FROM told WHERE row NOT IN (SELECT row FROM linked)"""
+)
+def smote_tomek(spark, d):
+    """Both classes equally large by synthetic rows between neighbours, then without Tomek links."""
+    x = stored(labelled(spark, d).select("file", "buggy", *_COLS))
+    out = RS.smote_tomek(x, _COLS).withColumn("row", RS.row_id())
+    return out.select("row", "buggy", "synthetic", *[r6(F.col(c)).alias(c) for c in _COLS])
+
+
 @query(f"{_LB}, c AS (SELECT count(*) AS n, sum(buggy) AS p FROM lb) SELECT file, buggy FROM lb, c WHERE buggy = 1 OR p >= 0.15 * n OR substr(md5('42:' || file), 1, 8) < printf('%08x', floor(least(p * (1 - 0.2::DOUBLE) / 0.2::DOUBLE / (n - p), 1.0) * 4294967295.0)::BIGINT)")
 def rebalance_target_rate(spark, d):
     return ML.rebalance(labelled(spark, d)).select("file", "buggy")
