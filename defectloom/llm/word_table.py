@@ -7,8 +7,9 @@ counted, and every distinct word is encoded once. The ids then go back to
 where the words stand:
 
 * frequent words, as many as a stated bound allows, are a broadcast table,
-  looked up once for each distinct word of an Arrow batch;
-* the others leave holes in their texts. Holes meet the rest of the table in a
+  looked up once for each distinct word of a batch; if that is every word but
+  those that stand at one place in all texts, these are encoded in that place;
+* otherwise the others leave holes in their texts. Holes meet the rest of the table in a
   join by word, return to their texts in a join by the text's hash, and are
   filled by position. Texts that are equal have their holes looked up once.
 
@@ -116,18 +117,32 @@ def distinct_words(docs: DataFrame, text: str, pattern: str) -> DataFrame:
     return docs.select(F.explode(words_of(F.col(text), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+class WordEncoder:
+    """Ids of single words; a word that is an added token has that token's id."""
+
+    def __init__(self, path: str):
+        library = _library(path)
+        self._tokenize, self._letters = library.model.tokenize, bpe._byte_letters()
+        self._added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+
+    def __call__(self, word: str) -> list[int]:
+        if word in self._added:
+            return [self._added[word]]
+        return [t.id for t in self._tokenize(word.encode().decode("latin-1").translate(self._letters))]
+
+
+@lru_cache(maxsize=4)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
     """Rows (word, n, ids): each word's ids as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = _library(path)
-        tokenize, letters = library.model.tokenize, bpe._byte_letters()
-        added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+        encode = _encoder(path)
         for batch in batches:
-            ids = []
-            for word in batch.column(0).to_pylist():
-                own = [added[word]] if word in added else [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
-                ids.append(pack(f"<{len(own)}I", *own))
+            ids = [pack(f"<{len(own)}I", *own) for own in map(encode, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
     return words.mapInArrow(run, "word string, n long, ids binary")
@@ -141,9 +156,9 @@ class Frequent:
         hashes = np.concatenate([self.hash(words.slice(at, 1 << 16)) for at in range(0, len(words), 1 << 16)] or [np.zeros(0, dtype=np.uint64)])
         self.order = np.argsort(hashes).astype(np.int32)
         self.hashes = hashes[self.order]
-        # words that are not held have the last number, and no ids
-        self.length = np.append(pc.binary_length(ids).to_numpy() // 4, 0).astype(np.int32)
-        self.start = np.concatenate(([0], np.cumsum(self.length[:-1], dtype=np.int64))).astype(np.int32)
+        # the last number, of words that are not held, has no ids
+        self.start = np.concatenate(([0], np.cumsum(pc.binary_length(ids).to_numpy() // 4, dtype=np.int64))).astype(np.int32)
+        self.start = np.append(self.start, self.start[-1])
         data = ids.buffers()[2] if len(ids) else None
         ids = np.frombuffer(data, dtype="<i4", count=int(self.start[-1])) if data else np.zeros(0, dtype="<i4")
         self.ids = ids.astype(np.uint16) if not len(ids) or ids.max() < 65_536 else ids
@@ -176,15 +191,26 @@ class Frequent:
         coded = words.flatten().dictionary_encode()
         at = coded.indices.to_numpy()
         code = self.numbers(coded.dictionary)[at] if len(at) else np.zeros(0, dtype=np.int64)
-        length = self.length[code]
+        placed = np.where(code < 0, len(self.start) - 2, code)
+        length = self.start[placed + 1] - self.start[placed]
         before = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
-        ids = self.ids[np.repeat(self.start[code] - before[:-1], length) + np.arange(before[-1])].astype(np.int32)
+        ids = self.ids[np.repeat(self.start[placed] - before[:-1], length) + np.arange(before[-1])].astype(np.int32)
         begins = before[ends]
         holes = np.flatnonzero(code < 0)
         row = np.searchsorted(ends, holes, side="right") - 1
         return ids, begins, row, before[holes] - begins[row], coded.dictionary.take(pa.array(at[holes]))
 
 
+def _in_place(ids: np.ndarray, begins: np.ndarray, row: np.ndarray, at: np.ndarray, words: pa.Array, encode: WordEncoder) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with holes filled by encoding their words here, and where each row's begin."""
+    if not len(row):
+        return ids, begins
+    own = [encode(w) for w in words.to_pylist()]
+    length = np.array([len(x) for x in own])
+    ids = np.insert(ids, np.repeat(begins[row] + at, length), np.concatenate(own).astype(np.int32))
+    return ids, begins + np.concatenate(([0], np.cumsum(np.bincount(row, length, len(begins) - 1).astype(np.int64))))
+
+
 def frequent_words(table: DataFrame, most_words: int, most_bytes: int, longest: int = 64) -> tuple[DataFrame, DataFrame]:
     """(the most frequent words, the others): the first within both bounds, by whole steps of an eighth of a power of two in count.
 
@@ -213,11 +239,11 @@ def _packed(ids: np.ndarray) -> bytes:
     return pa.Codec("zstd", 1).compress(ids.astype("<u4").tobytes(), asbytes=True) if ids.size else b""
 
 
-#: What a pass over the texts gives: the ids where no word can be a hole; the words of holes, of rows that have any; ids with holes.
+#: What a pass over the texts gives: the ids, where holes are words that stand nowhere else; the words of holes, of rows that have any; ids with holes.
 _SAID = {"ids": "ids array<int>", "holes": "words array<string>", "open": "size long, packed binary, at array<long>"}
 
 
-def _looked_up(docs: DataFrame, keys: list[str], shared: Broadcast, said: str) -> DataFrame:
+def _looked_up(docs: DataFrame, keys: list[str], shared: Broadcast, path: str, said: str) -> DataFrame:
     """Rows of ``docs`` (keys, the words of a text) with the columns of ``_SAID[said]`` in place of the words."""
     k = len(keys)
     names = [*keys, *(c.split()[0] for c in _SAID[said].split(", "))]
@@ -228,6 +254,7 @@ def _looked_up(docs: DataFrame, keys: list[str], shared: Broadcast, said: str) -
                 part = batch.slice(first, _PART)
                 ids, begins, row, at, words = shared.value.look_up(part.column(k))
                 if said == "ids":
+                    ids, begins = _in_place(ids, begins, row, at, words, _encoder(path))
                     yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))], names)
                     continue
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
@@ -238,6 +265,7 @@ def _looked_up(docs: DataFrame, keys: list[str], shared: Broadcast, said: str) -
                     continue
                 packed = [_packed(ids[a:b]) for a, b in zip(begins, begins[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(np.diff(begins)), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int64()))], names)
+            batch = part = words = None  # the next batch is read when this one is let go
 
     return docs.mapInArrow(run, ", ".join([f"{c} {t}" for c, t in docs.dtypes[:k]] + [_SAID[said]]))
 
@@ -260,7 +288,7 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", frequent: int = 4_000_000, frequent_bytes: int = 96 << 20, salts: int = 32, hot_share: float = 0.001) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", frequent: int = 2_000_000, frequent_bytes: int = 48 << 20, salts: int = 32, hot_share: float = 0.001) -> DataFrame:
     """Rows (doc_id, ids): the ids of every whole text as the tokenizers library gives them, without tokens of its own.
 
     A null or empty text has no ids. An added token that stands in a text
@@ -269,22 +297,24 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     not looked at; an empty table gives no rows.
 
     The broadcast table holds at most ``frequent`` words and ``frequent_bytes``
-    bytes; where that is all of them, no text has holes and none is shuffled.
-    Texts that are more than ``hot_share`` of all rows, of which there are
-    at most ``1 / hot_share``, meet their holes in ``salts`` parts. A row's words
-    must fit a task's memory.
+    bytes. Where that is all words that stand at two places or more, a word that
+    it lacks stands at one, where it is encoded, and no text is shuffled. Else
+    all others go by joins; texts that are more than ``hot_share`` of all rows, of which
+    there are at most ``1 / hot_share``, meet their holes in ``salts`` parts. A
+    row's words must fit a task's memory.
     """
     spark, path = docs.sparkSession, tokenizer or bpe.default_tokenizer()
     pattern = word_pattern(spark, path)
     x = docs.select(F.col(id_col).try_cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    table = written(encoded_words(distinct_words(x, "t", pattern), path), "words")
-    often, rare = frequent_words(table, frequent, frequent_bytes)
+    counts = written(distinct_words(x, "t", pattern), "words")
+    often, rare = frequent_words(written(encoded_words(counts.where("n > 1"), path), "repeated-words"), frequent, frequent_bytes)
     shared, words = _broadcast(often), words_of(F.col("t"), pattern).alias("w")
     if rare.isEmpty():
-        return _looked_up(x.select(F.col("id").alias("doc_id"), words), ["doc_id"], shared, "ids")
+        return _looked_up(x.select(F.col("id").alias("doc_id"), words), ["doc_id"], shared, path, "ids")
+    rare = rare.unionByName(encoded_words(counts.where("n = 1"), path))
     key = [F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), "t").alias("h2")]
 
-    holes = _looked_up(x.select(*key, words), ["h1", "h2"], shared, "holes")
+    holes = _looked_up(x.select(*key, words), ["h1", "h2"], shared, path, "holes")
     texts = holes.groupBy("h1", "h2").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))  # equal texts have equal holes
     asked = texts.select("h1", "h2", "copies", F.posexplode("words").alias("k", "word"))
     said = asked.join(rare.select("word", "ids"), "word").groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("f"), F.first("copies").alias("copies"))
@@ -293,7 +323,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     least = hot_share * docs.count()
     hot = fillings.where(F.col("copies") > least).select("h1", "h2", F.lit(True).alias("hot"))  # at most 1 / hot_share rows
     spread = F.explode(F.when(F.col("copies") > least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
-    open_ = _looked_up(x.select("id", *key, words), ["id", "h1", "h2"], shared, "open")
+    open_ = _looked_up(x.select("id", *key, words), ["id", "h1", "h2"], shared, path, "open")
     dealt = open_.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("salt", F.when(F.col("hot"), (F.rand(5) * salts).cast("int")).otherwise(0))
     whole = dealt.join(fillings.select("h1", "h2", spread, "found"), ["h1", "h2", "salt"], "left")
     return whole.select("id", "size", "packed", "at", "found").mapInArrow(_filled, "doc_id long, ids array<int>")
