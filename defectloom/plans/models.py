@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from defectloom.functions.core import r6
 from defectloom.ml import models as ML
 from defectloom.ml import resample as RS
+from defectloom.ml import tree_attribution as TA
 from defectloom.operators import features as FT
 from defectloom.operators import history as H
 from defectloom.plans.bindings import LABELLED, commit_files, labelled, messages, static_metrics, table
@@ -144,6 +145,19 @@ def shap(spark, d):
     return ML.linear_attribution(ML.fit(x, _COLS), x, _COLS)
 
 
+def _tree_shap(kind):
+    def f(spark, d):
+        """Shapley values of the tree model's features for every file, and the base to which they add up."""
+        x = _projects(spark, d)
+        return TA.tree_attribution(ML.fit(x, _COLS, kind, sizes=_SIZES[kind]), x, _COLS)
+
+    return f
+
+
+for _kind in ("rf", "gbt"):
+    query(name=f"tree_shap_{_kind}")(_tree_shap(_kind))
+
+
 @query()
 def counterfactual(spark, d):
     x = _projects(spark, d)
