@@ -25,9 +25,9 @@ from functools import lru_cache
 from struct import pack
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,7 +165,7 @@ class Frequent:
 
     @staticmethod
     def hash(words: pa.Array) -> np.ndarray:
-        return pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False)
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
 
     def numbers(self, words: pa.Array) -> np.ndarray:
         """Each word's number, -1 for words that are not held; of words with one hash each is compared."""
@@ -351,8 +351,8 @@ def decode(rows: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
+            for first in range(0, batch.num_rows, _PART):
+                part = batch.slice(first, _PART)
                 lists = part.column(1)
                 ends = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
                 flat = lists.flatten()
@@ -362,5 +362,6 @@ def decode(rows: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
                 data = memoryview(found.buffers()[2]) if len(found) else memoryview(b"")
                 texts = [str(data[cuts[a] : cuts[b]], "utf-8", "replace") for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            batch = part = lists = flat = known = found = data = texts = None
 
     return rows.select(F.col(id_col).alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, f"doc_id {dict(rows.dtypes)[id_col]}, text string")
