@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from defectloom.plans.registry import query
 from defectloom.session import work_folder
 from defectloom.streaming import incremental as S
+from defectloom.streaming import state as T
 
 
 def _events(spark, d):
@@ -41,3 +42,10 @@ def burst_sessions(spark, d):
 def stream_progress(spark, d):
     """What a stream over all events told while it ran: one batch, as there is one file."""
     return S.drain_told(_events(spark, d), work_folder(spark))
+
+
+@query("SELECT user_id::VARCHAR AS key, 'made' AS event, count(*) AS rows FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def ttl_entries(spark, d):
+    """The entries that a stream over all events makes, one for each user; they end after an hour by the clock, which no run of this query takes."""
+    with T.rocksdb_state(spark):
+        return S.drain(T.entries(_events(spark, d), "user_id", T.RESULT_MINUTES), work_folder(spark), "update").select("key", "event", "rows")

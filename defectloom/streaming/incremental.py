@@ -23,13 +23,18 @@ def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs the stream over all there is, with its offsets and state under ``folder``, and reads what it wrote.
 
     A later call with the same folder takes only what is new. ``append`` adds
-    files; ``complete`` replaces the result after each batch.
+    files; ``complete`` replaces the result after each batch; ``update`` takes
+    all there is as one batch and adds a folder for it, as streams with timers
+    by the clock never rest.
     """
     spark = stream.sparkSession
     out, at = f"{folder}/out", f"{folder}/offsets"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", at)
+    writer = writer.trigger(once=True) if mode == "update" else writer.trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
+    elif mode == "update":  # a batch that is repeated replaces its folder
+        query = writer.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
     else:
         query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
