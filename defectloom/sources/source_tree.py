@@ -9,7 +9,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from defectloom.functions import paths as P
@@ -19,6 +19,20 @@ _NESTING = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.Asy
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.match_case)
 _FUNCTION = re.compile(r"\bfunction\b\s*(\w*)\s*\(([^)]*)\)|(?:^|[\s;{}])(\w+)\s*\(([^;{}()]*)\)\s*(?:throws [\w, .]+)?\{|(\w+)\s*=\s*(?:async\s*)?\(?([\w\s,]*)\)?\s*=>")
 _KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "function"}
+_BRACED = ("js", "jsx", "ts", "tsx", "java")
+# What can begin something other than code; a regular expression only where an operand is due.
+_OPENS = re.compile(r"""//|/\*|\"\"\"|["'`/{}]""")
+_OPERAND_DUE = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%<>~^]|\b(?:return|typeof|case|in|of|delete|void|throw|new|else|do|yield|await))\s*\Z")
+_ENDS = {
+    "//": re.compile(r"\n"),
+    "/*": re.compile(r"\*/"),
+    '"""': re.compile(r"(?:\\.|[^\\])*?\"\"\"", re.DOTALL),
+    '"': re.compile(r'(?:\\.|[^"\\\n])*["\n]?', re.DOTALL),
+    "'": re.compile(r"(?:\\.|[^'\\\n])*['\n]?", re.DOTALL),
+    "/": re.compile(r"(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/\w*"),
+    "`": re.compile(r"(?:\\.|(?!\$\{)[^`\\])*(?:`|\$\{|\Z)", re.DOTALL),
+}
+_NOT_NEWLINE = re.compile(r"[^\n\r\x0b\x0c]")
 _BRANCH_WORDS = re.compile(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?")
 
 
@@ -57,6 +71,67 @@ def _python_functions(source: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def lexed(source: str, language: str) -> tuple[str, str]:
+    """(code alone, code and literals) of a language with braces: in place of comments, and in the first of literals too, there are spaces.
+
+    One pass with a stack: a template may hold code, which may hold templates.
+    Java has text blocks and no templates or regular expressions; a slash
+    begins a regular expression only after what leaves an operand due. A
+    string that is not closed ends with its line, a comment or template with the text.
+    """
+    java, code, both = language == "java", [], []
+    at, depth = 0, 0
+    templates: list[int] = []  # the depth of braces at which each open template goes on
+
+    def put(start: int, end: int, literal: bool | None) -> None:
+        part = source[start:end]
+        blank = _NOT_NEWLINE.sub(" ", part)
+        code.append(part if literal is None else blank)
+        both.append(blank if literal is False else part)
+
+    def template(start: int) -> int:
+        m = _ENDS["`"].match(source, start)
+        put(start, m.end(), True)
+        if m[0].endswith("${"):
+            templates.append(depth)
+        return m.end()
+
+    while m := _OPENS.search(source, at):
+        kind, begin = m[0], m.start()
+        put(at, begin, None)
+        at = begin
+        if kind in "{}":
+            if kind == "}" and templates and templates[-1] == depth:
+                templates.pop()
+                put(at, at + 1, True)
+                at = template(at + 1)
+                continue
+            depth = depth + 1 if kind == "{" else max(0, depth - 1)
+            put(at, at + 1, None)
+            at += 1
+        elif kind == "`" and not java:
+            put(at, at + 1, True)
+            at = template(at + 1)
+        elif kind in ("//", "/*"):
+            end = _ENDS[kind].search(source, m.end())
+            stop = len(source) if end is None else end.start() if kind == "//" else end.end()
+            put(at, stop, False)
+            at = stop
+        else:
+            end = None
+            if kind == '"""' and not java:
+                kind = '"'
+            if kind in ('"""', '"', "'"):
+                end = _ENDS[kind].match(source, begin + len(kind))
+            elif kind == "/" and not java and _OPERAND_DUE.search("".join(code[-3:])[-40:]):
+                end = _ENDS["/"].match(source, begin + 1)
+            stop = begin + 1 if end is None else end.end()
+            put(at, stop, None if end is None else True)
+            at = stop
+    put(at, len(source), None)
+    return "".join(code), "".join(both)
+
+
 def _closing(source: str) -> tuple[list[int], list[int]]:
     """Places of all opening braces and of what closes each, one pass for all; -1 where nothing does."""
     opens, closes, stack = [], [], []
@@ -71,7 +146,7 @@ def _closing(source: str) -> tuple[list[int], list[int]]:
 
 
 def _brace_functions(source: str) -> list[tuple[str, int, int, int]]:
-    """Functions of languages with braces, by pattern; a body runs to the brace that closes it, without any brace to the end."""
+    """Functions in the code of a language with braces, without its comments and literals; a body runs to the brace that closes it, without any brace to the end."""
     out = []
     opens, closes = _closing(source)
     branches = [m.start() for m in _BRANCH_WORDS.finditer(source)]
@@ -94,9 +169,13 @@ def _brace_functions(source: str) -> list[tuple[str, int, int, int]]:
 def measure(path: str, source: str) -> dict:
     """Metrics of one file."""
     language = P.SUPPORTED_EXTENSIONS.get("." + path.rsplit(".", 1)[-1].lower())
-    found = _python_functions(source) if language == "py" else _brace_functions(source) if language in ("js", "jsx", "ts", "tsx", "java") else []
-    mark = "#" if language == "py" else "//"
-    loc = sum(1 for x in source.splitlines() if x.strip() and not x.strip().startswith(mark))
+    if language in _BRACED:
+        code, both = lexed(source, language)
+        found, loc = _brace_functions(code), sum(1 for x in both.splitlines() if x.strip())
+    else:
+        found = _python_functions(source) if language == "py" else []
+        mark = "#" if language == "py" else "//"
+        loc = sum(1 for x in source.splitlines() if x.strip() and not x.strip().startswith(mark))
     cx = [f[1] for f in found]
     top = sorted(found, key=lambda f: (-f[1], -f[2], f[0]))[:5]
     return {
@@ -137,21 +216,31 @@ def write_tree(files: DataFrame, root: str) -> int:
     return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def _wanted(rel: Column) -> Column:
+    return P.ext_filter(rel) & (P.dir_class(rel) != "excluded") & ~P.exclude_pattern(rel)
+
+
+def _tree(spark: SparkSession, root: str) -> DataFrame:
+    """The files under ``root`` that pass the filters, with ``rel_path``.
+
+    The condition is put to the files' metadata too, by which Spark drops files
+    while it lists them; so contents of others are never read.
+    """
+    below = lambda c: F.regexp_replace(c, "^.*?" + re.escape(root.rstrip("/").removeprefix("file://")) + "/", "")
+    listed = F.col("_metadata.file_path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = files.where(_wanted(below(F.coalesce(F.try_url_decode(F.replace(listed, F.lit("+"), F.lit("%2B"))), listed))))
+    return files.withColumn("rel_path", below(F.col("path"))).where(_wanted(F.col("rel_path")))
+
+
 def scan_source_tree(spark: SparkSession, root: str) -> DataFrame:
     """Rows (path, rel_path, length) of files under ``root`` that pass the extension, directory and name filters; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").removeprefix("file://")) + "/", "")
-    named = files.select("path", rel.alias("rel_path"), "length")
-    c = F.col("rel_path")
-    return named.where(P.ext_filter(c) & (P.dir_class(c) != "excluded") & ~P.exclude_pattern(c))
+    return _tree(spark, root).select("path", "rel_path", "length")
 
 
 def scan_static_metrics(spark: SparkSession, root: str) -> DataFrame:
-    """Metrics of the files that :func:`scan_source_tree` lists, one file at a time in each task."""
-    wanted = scan_source_tree(spark, root)
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    rows = wanted.join(contents, "path").select("rel_path", F.decode("content", "UTF-8").alias("source"))
-    return measured(rows)
+    """Metrics of the files that :func:`scan_source_tree` lists, read once and alone, one file at a time in each task."""
+    return measured(_tree(spark, root).select("rel_path", F.decode("content", "UTF-8").alias("source")))
 
 
 def measured(rows: DataFrame) -> DataFrame:
