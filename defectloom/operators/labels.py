@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from defectloom.functions import paths as P
+from defectloom.session import stored
 
 
 # How comment lines begin, by the language's name; other languages have none.
@@ -114,8 +115,8 @@ def label_match(files: DataFrame, labels: DataFrame) -> DataFrame:
 
     Each stage is an equi-join with one label for each key, the best one, so
     files are never multiplied. For stage 3 a label is listed under every ending
-    of its last directory. Stage 5 compares distinct sets of directories of one
-    name that share a directory, but for those that all labels of the name have.
+    of its last directory. Only files without a match so far, and with a label
+    of their name, go on to stage 5 (see :func:`_nearest`).
     """
     best = F.min(F.struct(F.length("key").alias("len"), "key", "confidence", "bug_count"))
     k = labels.select("repo", F.col("norm_path").alias("key"), "confidence", "bug_count")
@@ -129,7 +130,10 @@ def label_match(files: DataFrame, labels: DataFrame) -> DataFrame:
 
     f = files.select("repo", "file", "norm_path", P.clean_path(F.col("norm_path")).alias("clean"), P.basename(F.col("norm_path")).alias("name"), P.dirname(F.col("norm_path")).alias("dir"))
     f = f.withColumn("tail", F.when(F.size(F.split("norm_path", "/")) >= 2, P.last_parts(F.col("norm_path"), 2)))
-    j = f.join(exact, ["repo", "norm_path"], "left").join(cleaned, ["repo", "clean"], "left").join(ended, ["repo", "tail"], "left").join(named, ["repo", "name"], "left").join(_nearest(f, k, best), ["repo", "name", "dir"], "left")
+    j = f.join(exact, ["repo", "norm_path"], "left").join(cleaned, ["repo", "clean"], "left").join(ended, ["repo", "tail"], "left").join(named, ["repo", "name"], "left")
+    j = stored(j.select("repo", "file", "name", "dir", "m1", "m2", "m3", "m0"))
+    left = j.where(F.coalesce("m1", "m2", "m3").isNull() & F.col("m0").isNotNull())
+    j = j.join(_nearest(left, k, best), ["repo", "name", "dir"], "left")
     stage = F.when(F.col("m1").isNotNull(), 1).when(F.col("m2").isNotNull(), 2).when(F.col("m3").isNotNull(), 3).when(F.col("m0").isNotNull(), 5).otherwise(0)
     hit = F.coalesce("m1", "m2", "m3", "m5", "m0")
     out = j.select("repo", "file", stage.alias("stage"), hit.alias("m"))
@@ -146,21 +150,42 @@ def label_match(files: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _nearest(f: DataFrame, k: DataFrame, best: Column) -> DataFrame:
-    """Rows (repo, name, dir, m5): of the labels of a file's name, the one with the most directories in common, where one has any that tells them apart."""
+def _nearest(f: DataFrame, k: DataFrame, best: Column, few: int = 64) -> DataFrame:
+    """Rows (repo, name, dir, m5): of the labels of a file's name, the best of those with the most directories in common.
+
+    A directory that at most ``few`` label folders of a name have is joined as
+    it is: a file meets ``few`` folders for each of its directories, and all
+    that they have in common is counted. Folders that share only directories that more have
+    differ in these alone, so one label stands for each set of them, and files
+    are told apart by their sets of them: what is compared are distinct sets.
+    Folders that share both kinds are counted in full by the first way, and by
+    less in the second, which then does not count.
+    """
     key = ["repo", "name"]
 
     def folders(c: Column) -> Column:
         return F.array_distinct(F.split(c, "/"))
 
     l_dirs = k.withColumns({"name": P.basename(F.col("key")), "l_dir": P.dirname(F.col("key"))}).groupBy(*key, "l_dir").agg(best.alias("m"))
+    f_dirs = f.select(*key, "dir").distinct()
     l_parts = l_dirs.select(*key, "l_dir", "m", F.explode(folders(F.col("l_dir"))).alias("part"))
-    counts = l_dirs.groupBy(*key).agg(F.count(F.lit(1)).alias("n_dirs"))
-    everywhere = l_parts.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n")).join(counts, key).where("n = n_dirs").select(*key, "part")
-    telling = l_parts.join(everywhere, [*key, "part"], "left_anti")
-    f_parts = f.select(*key, "dir").distinct().withColumn("part", F.explode(folders(F.col("dir"))))
-    shared = f_parts.join(telling, [*key, "part"]).groupBy(*key, "dir", "l_dir").agg(F.count(F.lit(1)).alias("common"), F.first("m").alias("m"))
-    return shared.groupBy(*key, "dir").agg(F.min(F.struct((-F.col("common")).alias("c"), "m"))["m"].alias("m5"))
+    held = l_parts.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"))
+    common = held.where(F.col("n") > few).groupBy(*key).agg(F.array_sort(F.collect_list("part")).alias("often"))  # at most a part of the labels' directories
+    rare = l_parts.join(held.where(F.col("n") <= few).select(*key, "part"), [*key, "part"])
+    f_parts = f_dirs.withColumn("part", F.explode(folders(F.col("dir"))))
+    met = f_parts.join(rare, [*key, "part"]).select(*key, "dir", "l_dir", "m").distinct()
+    counted = met.select(*key, "dir", "m", F.size(F.array_intersect(folders(F.col("dir")), folders(F.col("l_dir")))).alias("n"))
+
+    def often(c: str) -> Column:
+        return F.array_sort(F.array_intersect(folders(F.col(c)), F.col("often"))).alias("set")
+
+    l_sets = l_dirs.join(common, key).select(*key, often("l_dir"), "m").groupBy(*key, "set").agg(F.min("m").alias("m"))
+    f_named = f_dirs.join(common, key).select(*key, "dir", often("dir"))
+    pairs = f_named.select(*key, "set").distinct().join(l_sets.withColumnRenamed("set", "l_set"), key)
+    of_set = pairs.select(*key, "set", F.struct((-F.size(F.array_intersect("set", "l_set"))).alias("c"), "m").alias("b")).groupBy(*key, "set").agg(F.min("b").alias("b"))
+    by_set = f_named.join(of_set, [*key, "set"]).select(*key, "dir", "b")
+    every = counted.select(*key, "dir", F.struct((-F.col("n")).alias("c"), "m").alias("b")).unionByName(by_set)
+    return every.groupBy(*key, "dir").agg(F.min("b")["m"].alias("m5"))
 
 
 def two_stage_match(files: DataFrame, labels: DataFrame) -> DataFrame:

@@ -88,6 +88,39 @@ def test_one_file_name_in_ten_thousand_directories(spark):
     assert got == {1: n // 2, 5: n // 2}
 
 
+@pytest.mark.parametrize("few", [0, 1, 3, 64])
+def test_nearest_labels_with_common_and_rare_directories(spark, few, monkeypatch):
+    rng = np.random.default_rng(few)
+    parts = ["src", "lib", "core", "ui", *(f"d{i}" for i in range(25))]
+    weight = np.array([8.0, 5, 3, 2, *[0.5] * 25])
+
+    def path():
+        return "/".join([*rng.choice(parts, int(rng.integers(0, 6)), p=weight / weight.sum()), str(rng.choice(["x.py", "y.py"]))])
+
+    files, labels = [(i, path()) for i in range(250)], sorted({path() for _ in range(90)})
+    f = spark.createDataFrame([("r", i, p) for i, p in files], "repo string, file long, norm_path string")
+    k = spark.createDataFrame([("r", p, 1.0, 2) for p in labels], "repo string, norm_path string, confidence double, bug_count long")
+    nearest = L._nearest
+    monkeypatch.setattr(L, "_nearest", lambda a, b, c: nearest(a, b, c, few))
+    assert {r["file"]: (r["stage"], r["matched"]) for r in L.label_match(f, k).collect()} == plain_match(files, labels)
+
+
+def test_one_label_elsewhere_costs_nothing(spark):
+    import time
+
+    n, path = 4000, lambda a: F.concat(F.lit(a), "id", F.lit("/index.js"))
+    f = spark.range(n).select(F.lit("r").alias("repo"), F.col("id").alias("file"), path("src/d").alias("norm_path"))
+    k = spark.range(n).select(F.lit("r").alias("repo"), path("src/e").alias("norm_path"), F.lit(1.0).alias("confidence"), F.lit(1).cast("long").alias("bug_count"))
+    other = spark.createDataFrame([("r", "web/x/index.js", 1.0, 1)], k.schema)
+    seconds = []
+    for labels in (k, k, k.unionByName(other)):  # the first run warms up
+        began = time.perf_counter()
+        got = L.label_match(f, labels).groupBy("stage", "matched").count().collect()
+        seconds.append(time.perf_counter() - began)
+        assert [(r["stage"], r["matched"], r["count"]) for r in got] == [(5, "src/e0/index.js", n)]
+    assert seconds[2] < 2 * seconds[1] + 2
+
+
 def test_one_commit_of_a_hundred_thousand_files(spark):
     vast = spark.range(100_000).select(F.lit("r").alias("repo"), F.lit(1).alias("commit_id"), F.col("id").alias("file"))
     small = spark.createDataFrame([("r", 2, 7), ("r", 2, 8), ("r", 3, 7), ("r", 3, 8), ("r", 4, 9)], "repo string, commit_id int, file long")
