@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, OneHotEncoder, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from defectloom.functions.core import ratio
+from defectloom.ml.neighbours import hash_ranks
 from defectloom.operators import metrics as M
-from defectloom.session import work_folder
+from defectloom.session import stored, work_folder
 
 
 def scale(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
@@ -59,22 +60,41 @@ QUICK_SIZES = {"lr": {"maxIter": 50, "regParam": 0.01}, "rf": {"numTrees": 40, "
 SEARCH = {"lr": {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}, "rf": {"numTrees": [100, 200, 300], "maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 2, 5]}, "gbt": {"maxIter": [50, 100, 200], "maxDepth": [3, 4, 6], "stepSize": [0.01, 0.05, 0.1]}}
 
 
-def classifier(kind: str, seed: int = 42, sizes: dict | None = None):
+def classifier(kind: str, seed: int = 42, sizes: dict | None = None, categories: int = 0):
+    """The classifier of a kind; trees get as many bins as the largest categorical column has ``categories``."""
     common = {"featuresCol": "features", "labelCol": "buggy", "weightCol": "weight"} | (FINAL_SIZES[kind] if sizes is None else sizes)
     if kind == "lr":
         return LogisticRegression(**common)
+    common |= {"maxBins": max(32, categories), "seed": seed}
     if kind == "rf":
-        return RandomForestClassifier(**common, seed=seed)
+        return RandomForestClassifier(**common)
     if kind == "gbt":
-        return GBTClassifier(**common, seed=seed)
+        return GBTClassifier(**common)
     raise ValueError(kind)
 
 
-def fit(train: DataFrame, columns: list[str], kind: str = "lr", seed: int = 42, sizes: dict | None = None) -> PipelineModel:
-    """Assembler (with the scaler's statistics inside the pipeline) and classifier of the final sizes or the given ones; nulls count as 0."""
-    stats = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+def fit(train: DataFrame, columns: list[str], kind: str = "lr", seed: int = 42, sizes: dict | None = None, categorical: Sequence[str] = (), most_categories: int = 1000) -> PipelineModel:
+    """Assembler (with the scaler's statistics inside the pipeline) and classifier of the final sizes or the given ones; nulls count as 0.
+
+    ``categorical`` columns are indexed, most frequent first; null and what was
+    not seen in training share one index of their own. Trees split them as
+    sets, a linear model takes a column for each. A column of more than
+    ``most_categories`` is refused.
+    """
+    stats = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)], *[F.count_distinct(c).alias(f"n{i}") for i, c in enumerate(categorical)]).first()
     scaled = ", ".join(f"(coalesce(cast({c} AS double), 0D) - {float(stats[f'm{i}'] or 0)!r}D) / {float(stats[f's{i}'] or 0) or 1.0!r}D AS z_{c}" for i, c in enumerate(columns))
-    stages = [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"), VectorAssembler(inputCols=[f"z_{c}" for c in columns], outputCol="features"), classifier(kind, seed, sizes)]
+    most = max((stats[f"n{i}"] for i in range(len(categorical))), default=-1) + 1
+    if most > most_categories:
+        raise ValueError(f"a categorical column has over {most_categories} values")
+    stages: list = [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")]
+    inputs = [f"z_{c}" for c in columns]
+    if categorical:
+        indexed = [f"i_{c}" for c in categorical]
+        stages.append(StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep"))
+        if kind == "lr":
+            stages.append(OneHotEncoder(inputCols=indexed, outputCols=[f"o_{c}" for c in categorical], dropLast=True, handleInvalid="keep"))
+        inputs += [f"o_{c}" if kind == "lr" else f"i_{c}" for c in categorical]
+    stages += [VectorAssembler(inputCols=inputs, outputCol="features"), classifier(kind, seed, sizes, most)]
     return Pipeline(stages=stages).fit(class_weights(train))
 
 
@@ -82,7 +102,7 @@ def score(model: PipelineModel, df: DataFrame, columns: list[str], excluded: Col
     """Adds risk, the model's probability; rows that ``excluded`` names get 0."""
     p = vector_to_array("probability")[1]
     out = model.transform(df).withColumn("risk", p if excluded is None else F.when(excluded, 0.0).otherwise(p))
-    return out.drop("features", "rawPrediction", "probability", "prediction", *[f"z_{c}" for c in columns])
+    return out.drop("features", "rawPrediction", "probability", "prediction", *[f"z_{c}" for c in columns], *[x for x in out.columns if x not in df.columns and x[:2] in ("i_", "o_")])
 
 
 def select_features(train: DataFrame, columns: list[str], core: tuple[str, ...] = (), least: int = 5, sizes: dict | None = None) -> list[str]:
@@ -246,6 +266,32 @@ def explain_text(attributions: DataFrame, phrases: dict[str, str], risks: DataFr
     return risks.join(text, key, "left").select(key, F.when(F.length("t") > 0, F.col("t")).otherwise(general).alias("explanation"))
 
 
+def stratified_split(df: DataFrame, by: str, share: float = 0.2, key: str = "commit_id", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(the rest, held out): of every class exactly ``share`` of its rows, rounded down, the first in hash order; a null class is one."""
+    ranked = stored(hash_ranks(df, key, [by], seed, "_rank"))
+    sizes = ranked.groupBy(F.col(by).alias("_by")).agg(F.floor(F.count(F.lit(1)) * float(share)).alias("_held"))  # a row for each class
+    x = ranked.join(F.broadcast(sizes), F.col(by).eqNullSafe(F.col("_by")))
+    held = F.col("_rank") <= F.col("_held")
+    return x.where(~held).select(*df.columns), x.where(held).select(*df.columns)
+
+
+def class_report(predicted: DataFrame, label: str = "bug_type", said: str = "predicted") -> DataFrame:
+    """Rows (label, n, precision, recall, f1, macro_f1) for each class that is a label or a prediction; a share of nothing is 0, and macro_f1 is the mean over the classes."""
+    cells = predicted.groupBy(F.col(label).alias("_a"), F.col(said).alias("_b")).agg(F.count(F.lit(1)).alias("k"))  # classes by classes
+    each = cells.select(F.explode(F.array(F.struct(F.col("_a").alias("c"), F.col("k").alias("n"), F.lit(0).cast("long").alias("p"), F.when(F.col("_a") == F.col("_b"), F.col("k")).otherwise(0).alias("hit")), F.struct(F.col("_b").alias("c"), F.lit(0).cast("long").alias("n"), F.col("k").alias("p"), F.lit(0).cast("long").alias("hit")))).alias("x")).select("x.*")
+    sums = each.where(F.col("c").isNotNull()).groupBy(F.col("c").alias(label)).agg(*[F.sum(x).alias(x) for x in ("n", "p", "hit")])
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    out = sums.select(label, "n", share(F.col("hit"), F.col("p")).alias("precision"), share(F.col("hit"), F.col("n")).alias("recall"), share(2 * F.col("hit"), F.col("n") + F.col("p")).alias("f1"))
+    return out.withColumn("macro_f1", F.avg("f1").over(Window.partitionBy()))  # a row for each class
+
+
+def predicted_types(model: PipelineModel, messages: DataFrame) -> DataFrame:
+    """``messages`` with the class that a :func:`text_model` predicts, by its name."""
+    names = F.array(*[F.lit(x) for x in model.stages[0].labels])
+    out = PipelineModel(model.stages[1:]).transform(messages)  # without the stage that indexes labels
+    return out.select(*messages.columns, F.get(names, F.col("prediction").cast("int")).alias("predicted"))
+
+
 def text_model(messages: DataFrame, text: str = "msg", label: str = "bug_type", vocabulary: int = 1000) -> PipelineModel:
     """Class of a message from weighted words and word pairs."""
     return Pipeline(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from defectloom.functions import text as X
 from defectloom.functions.core import r6
 from defectloom.ml import models as ML
 from defectloom.ml import resample as RS
@@ -11,7 +12,8 @@ from defectloom.ml import tree_attribution as TA
 from defectloom.operators import features as FT
 from defectloom.operators import history as H
 from defectloom.plans.bindings import LABELLED, commit_files, labelled, messages, static_metrics, table
-from defectloom.plans.registry import query
+from defectloom.plans.predicates import _TYPES
+from defectloom.plans.registry import ORACLE_SQL, query
 from defectloom.session import stored
 from defectloom.sources import caches as C
 
@@ -173,13 +175,40 @@ def explain_text(spark, d):
     return ML.explain_text(ML.linear_attribution(m, x, _COLS), phrases, ML.score(m, x, _COLS).select("file", "risk"))
 
 
+def _typed_messages(spark, d):
+    """The messages that have a class by their words; stored, as a model reads them many times."""
+    x = messages(spark, d).withColumn("bug_type", X.bug_type(F.col("msg"), _TYPES)).where("bug_type IS NOT NULL")
+    return stored(x)
+
+
+def _held_out_types(spark, d):
+    rest, held = ML.stratified_split(_typed_messages(spark, d), "bug_type")
+    return ML.predicted_types(ML.text_model(rest), held)
+
+
 @query()
 def bug_type_model(spark, d):
-    from defectloom.functions import text as X
-    from defectloom.plans.predicates import _TYPES
+    """The classes of held-out messages, a fifth of each class, by a model of the others."""
+    return _held_out_types(spark, d).select("commit_id", "bug_type", "predicted")
 
-    x = messages(spark, d).withColumn("bug_type", X.bug_type(F.col("msg"), _TYPES)).where("bug_type IS NOT NULL")
-    return ML.text_model(x).transform(x).select("commit_id", "bug_type", "prediction")
+
+@query()
+def bug_type_report(spark, d):
+    """Precision, recall and F1 of each class on the held-out messages, and their mean."""
+    return ML.class_report(_held_out_types(spark, d))
+
+
+@query(f"WITH t AS (SELECT commit_id, bug_type FROM ({ORACLE_SQL['bug_type']}) WHERE bug_type IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY bug_type ORDER BY md5('42:' || commit_id)) AS rank, count(*) OVER (PARTITION BY bug_type) AS n FROM t) SELECT commit_id, bug_type FROM r WHERE rank <= floor(n * 0.2::DOUBLE)")
+def text_holdout(spark, d):
+    """A fifth of each class, exactly, in hash order."""
+    return ML.stratified_split(_typed_messages(spark, d), "bug_type")[1].select("commit_id", "bug_type")
+
+
+@query()
+def gbt_categorical(spark, d):
+    """Scores of all files by boosted trees that split their languages as sets."""
+    x = stored(labelled(spark, d).select("repo", "file", "buggy", "language", *_COLS))
+    return ML.score(ML.fit(x, _COLS, "gbt", sizes=_SIZES["gbt"], categorical=["language"]), x, _COLS).select("file", "risk")
 
 
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")

@@ -119,3 +119,51 @@ def test_sizes(table):
     assert ML.classifier("rf").getNumTrees() == 300 and ML.classifier("rf").getMaxDepth() == 8 and ML.classifier("gbt").getMaxIter() == 500
     sets = FT.feature_sets(table.withColumnsRenamed({"a": "loc", "b": "commits"}))
     assert len(sets) == 8 and sets["Static+Git"] == ["loc", "commits"] and sets["All-Combined"] == ["loc", "commits"]
+
+
+def test_languages_are_split_as_sets(spark):
+    rng = np.random.default_rng(9)
+    words = [f"lang{i:02d}" for i in range(40)]
+    bad = set(rng.choice(words, 20, replace=False).tolist())
+    rows = [(i, w, float(rng.standard_normal()), int((w in bad) != (rng.random() < 0.05))) for i, w in enumerate(rng.choice(words, 1200).tolist())]
+    df = spark.createDataFrame(rows, "file long, language string, a double, buggy int").cache()
+    sizes = {"maxIter": 1, "maxDepth": 2}
+    model = ML.fit(df, ["a"], "gbt", sizes=sizes, categorical=["language"])
+    first = model.stages[-1].trees[0].toDebugString
+    assert "in {" in first  # a set of languages, in one split
+    auc = M.roc_auc(ML.score(model, df, ["a"]).select("file", "risk", "buggy")).first()[0]
+    one_hot = df.withColumns({f"is_{w}": (F.col("language") == w).cast("double") for w in words})
+    columns = ["a", *[f"is_{w}" for w in words]]
+    other = M.roc_auc(ML.score(ML.fit(one_hot, columns, "gbt", sizes=sizes), one_hot, columns).select("file", "risk", "buggy")).first()[0]
+    assert auc > 0.9 > other + 0.1
+    new = spark.createDataFrame([(1, "never seen", 0.0), (2, None, 0.0), (3, sorted(bad)[0], 0.0)], "file long, language string, a double")
+    scored = {r["file"]: r["risk"] for r in ML.score(model, new, ["a"]).collect()}
+    assert set(scored) == {1, 2, 3} and scored[1] == scored[2] and ML.score(model, new, ["a"]).columns == ["file", "language", "a", "risk"]
+    linear = ML.fit(df, ["a"], "lr", categorical=["language"])
+    assert M.roc_auc(ML.score(linear, df, ["a"]).select("file", "risk", "buggy")).first()[0] > 0.9
+    with pytest.raises(ValueError):
+        ML.fit(df, ["a"], "rf", categorical=["language"], most_categories=10)
+
+
+def test_stratified_split_and_class_report(spark):
+    rows = [(i, ["x", "y", None][i % 3] if i < 90 else "rare", f"message {i}") for i in range(94)]
+    df = spark.createDataFrame(rows, "commit_id long, bug_type string, msg string").repartition(5)
+    rest, held = ML.stratified_split(df, "bug_type")
+    counts = {r["bug_type"]: r["count"] for r in held.groupBy("bug_type").count().collect()}
+    assert counts == {"x": 6, "y": 6, None: 6} and rest.count() + held.count() == 94 and held.columns == df.columns
+    assert not {r[0] for r in rest.select("commit_id").collect()} & {r[0] for r in held.select("commit_id").collect()}
+    said = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b"), ("c", "a"), ("a", "d")], "bug_type string, predicted string")
+    got = {r["bug_type"]: (r["n"], r["precision"], r["recall"], r["f1"]) for r in ML.class_report(said).collect()}
+    assert got["a"] == (3, 0.5, pytest.approx(1 / 3), pytest.approx(0.4)) and got["b"] == (2, pytest.approx(2 / 3), 1.0, pytest.approx(0.8)) and got["c"] == (1, 0.0, 0.0, 0.0) and got["d"] == (0, 0.0, 0.0, 0.0)
+    assert ML.class_report(said).first()["macro_f1"] == pytest.approx(1.2 / 4)
+
+
+def test_text_model_on_held_out_messages(spark):
+    rng = np.random.default_rng(3)
+    words = {"memory": ["leak", "heap", "alloc"], "ui": ["button", "layout", "color"]}
+    rows = [(i, k, " ".join([*rng.choice(words[k], 3), *rng.choice(["the", "in", "module", "issue"], 4)])) for i, k in enumerate(rng.choice(["memory", "ui"], 200, p=[0.3, 0.7]).tolist())]
+    rest, held = ML.stratified_split(spark.createDataFrame(rows, "commit_id long, bug_type string, msg string"), "bug_type")
+    report = ML.class_report(ML.predicted_types(ML.text_model(rest), held)).collect()
+    assert {r["bug_type"] for r in report} == {"memory", "ui"} and report[0]["macro_f1"] > 0.95 and sum(r["n"] for r in report) == held.count()
+    unlabelled = ML.predicted_types(ML.text_model(rest), held.drop("bug_type"))
+    assert unlabelled.count() == held.count()
