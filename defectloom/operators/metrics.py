@@ -163,3 +163,48 @@ def risk_histogram(df: DataFrame, variant: str) -> DataFrame:
     b = {"right": F.ceil(r * 20) - 1, "left": F.floor(r * 10), "clamped": F.least(F.floor(r * 20), F.lit(19))}[variant].cast("long")
     bins = df.sparkSession.range(n).withColumnRenamed("id", "bin")
     return bins.join(df.select(b.alias("bin")).where(F.col("bin").between(0, n - 1)).groupBy("bin").agg(F.count(F.lit(1)).alias("c")), "bin", "left").select("bin", F.coalesce("c", F.lit(0)).cast("long").alias("files"))
+
+
+# The sets of features that conclusions compare, and the marks to be reached.
+INDIVIDUAL_SETS, COMBINED_SETS = ("Static-only", "Git-only", "Developer-only"), ("Static+Git", "All-Combined")
+PR_AUC_TARGET, MEANINGFUL_RANGE = 0.5, 0.1
+
+
+def ablation_summary(folds: DataFrame, measures: tuple[str, ...] = ("weighted_f1", "pr_auc", "recall_20", "accuracy")) -> DataFrame:
+    """Rows (model, feature_set, folds) with the mean of each measure over the folds."""
+    return folds.groupBy("model", "feature_set").agg(F.count(F.lit(1)).alias("folds"), *[F.avg(m).alias(m) for m in measures])
+
+
+def ablation_conclusions(summary: DataFrame) -> DataFrame:
+    """One row: the best single group of features and the best combination by average precision, and whether the combination is better, reaches the target, and sets differ.
+
+    Ties go to the smaller model and set. A kind of set that is missing has null as its best, and nothing is then concluded.
+    """
+
+    def best(sets: tuple[str, ...]) -> Column:
+        key = F.struct((-F.col("pr_auc")).alias("k"), "model", "feature_set")
+        return F.min(F.when(F.col("feature_set").isin(*sets), key))
+
+    x = summary.agg(best(INDIVIDUAL_SETS).alias("i"), best(COMBINED_SETS).alias("c"), (F.max("pr_auc") - F.min("pr_auc")).alias("range"))
+    both = F.col("i").isNotNull() & F.col("c").isNotNull()
+    said = lambda c: F.concat_ws(" ", F.col(f"{c}.model"), F.col(f"{c}.feature_set"))
+    flag = lambda c: both & F.coalesce(c, F.lit(False))
+    return x.select(
+        F.when(F.col("i").isNotNull(), said("i")).alias("best_individual"),
+        F.when(F.col("c").isNotNull(), said("c")).alias("best_combined"),
+        (-F.col("i.k")).alias("individual_pr_auc"),
+        (-F.col("c.k")).alias("combined_pr_auc"),
+        flag(F.col("c.k") < F.col("i.k")).alias("combined_outperforms"),
+        flag(-F.col("c.k") > PR_AUC_TARGET).alias("target_achieved"),
+        flag(F.col("range") > MEANINGFUL_RANGE).alias("meaningful_differences"),
+    )
+
+
+def loc_baseline(df: DataFrame, share: float = 0.8) -> DataFrame:
+    """One row (pr_auc, f1): files ranked by their lines, and flagged from the percentile ``share`` of lines on."""
+    cut = df.agg(F.percentile("loc", share).alias("_cut"))
+    flagged = df.crossJoin(F.broadcast(cut))  # one row
+    flag, bug = F.col("loc") >= F.col("_cut"), F.col("buggy") == 1
+    counts = flagged.agg(F.count_if(flag & bug).alias("tp"), F.count_if(flag & ~bug).alias("fp"), F.count_if(~flag & bug).alias("fn"))
+    f1 = counts.select(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+    return pr_auc(df.withColumn("risk", F.col("loc").cast("double"))).select("pr_auc").crossJoin(f1)

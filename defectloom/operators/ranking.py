@@ -209,3 +209,16 @@ def attribution_sample(df: DataFrame, n: int, seed: int, risk: str = "risk", key
     top = df.orderBy(F.col(risk).desc(), F.col(key).asc()).limit(n // 2)
     rest = df.join(F.broadcast(top.select(key)) if n <= 100_000 else top.select(key), key, "left_anti")
     return top.withColumn("part", F.lit("top")).unionByName(seeded_sample(rest, n - n // 2, seed, key).withColumn("part", F.lit("random")))
+
+
+#: What a list of files can be sorted by: the value and whether the largest comes first; nulls count as 0.
+SORTS = {"risk": ("risk", True), "commits": ("commits", True), "churn": ("churn", True), "recency": ("days_since_last_change", False)}
+
+
+def sorted_list(files: DataFrame, by: str = "risk", n: int = 500, tie: str = "file") -> DataFrame:
+    """The first page of ``files`` in one of the orders of ``SORTS`` (by risk for any other name), with its position; ties by ``tie``."""
+    c, down = SORTS.get(by, SORTS["risk"])
+    value = F.coalesce(F.col(c), F.lit(0))
+    order = [value.desc() if down else value.asc(), F.col(tie).asc()]
+    page = files.orderBy(*order).limit(n)  # a page of n rows
+    return page.withColumn("position", F.row_number().over(Window.orderBy(*order)))

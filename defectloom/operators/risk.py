@@ -17,6 +17,30 @@ def risk_interpretation(r: Column) -> Column:
     return F.when(r >= 0.8, "Very High").when(r >= 0.6, "High").when(r >= 0.4, "Moderate").when(r >= 0.2, "Low").otherwise("Very Low")
 
 
+def risk_text(r: Column, n: Column, least_samples: int = 10) -> Column:
+    """What a risk means, with the Wilson interval of a share of ``n`` where there are more than ``least_samples``."""
+
+    def percent(c: Column) -> Column:
+        return F.format_string("%.1f%%", F.round(c * 100, 1))
+
+    low, high = wilson(r, n)
+    share = F.concat(percent(r), F.when(n > least_samples, F.concat(F.lit(" ("), percent(low), F.lit("-"), percent(high), F.lit(" range)"))).otherwise(""))
+    said = lambda name, advice: F.concat(F.lit(f"{name} risk: "), share, F.lit(f" - {advice}"))
+    # fixed values: the bands and their advice
+    return (
+        F.when(r >= 0.8, said("Critical", "Immediate review required"))
+        .when(r >= 0.6, said("High", "Prioritize for review"))
+        .when(r >= 0.4, said("Moderate", "Consider for review"))
+        .when(r >= 0.2, said("Low", "Monitor if changes planned"))
+        .otherwise(said("Minimal", "Low priority"))
+    )
+
+
+def recent(last_change: Column, now: Column, days: float | None) -> Column:
+    """Whether a file changed within the last ``days``; all files do where that is None."""
+    return F.lit(True) if days is None else F.unix_micros(last_change) >= F.unix_micros(now) - int(days * 86_400_000_000)
+
+
 def severity_token(r: Column) -> Column:
     return F.when(r >= 0.7, "HIGH").when(r >= 0.4, "MEDIUM").otherwise("LOW")
 

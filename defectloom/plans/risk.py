@@ -10,9 +10,9 @@ from defectloom.operators import quality as Q
 from defectloom.operators import ranking as R
 from defectloom.operators import reports as RP
 from defectloom.operators import risk as K
-from defectloom.plans.bindings import LABELLED, PART_FILES, PATHS, SCORED, labelled, part_files, scored, table, url_paths
+from defectloom.plans.bindings import COMMIT_FILES, LABELLED, PART_FILES, PATHS, SCORED, commit_files, labelled, part_files, scored, table, url_paths
 from defectloom.plans.registry import query
-from defectloom.session import work_folder
+from defectloom.session import stored, work_folder
 from defectloom.sources import caches as C
 
 _SC, _LB, _CS, _PT = (f"WITH {x}" for x in (SCORED, LABELLED, PART_FILES, PATHS))
@@ -32,22 +32,56 @@ def risk_level_abs(spark, d):
     return scored(spark, d).select("file", K.risk_level_abs(F.col("risk")).alias("level"))
 
 
-@query(f"{_SC} SELECT file, CASE WHEN risk >= 0.8 THEN 'Very High' WHEN risk >= 0.6 THEN 'High' WHEN risk >= 0.4 THEN 'Moderate' WHEN risk >= 0.2 THEN 'Low' ELSE 'Very Low' END AS band, CASE WHEN risk >= 0.7 THEN 'HIGH' WHEN risk >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM sc")
+_Z = "1.959964::DOUBLE"
+_HALF = f"{_Z} * sqrt(risk * (1 - risk) / n + {_Z} * {_Z} / (4.0::DOUBLE * n * n)) / (1 + {_Z} * {_Z} / n)"
+_MID = f"(risk + {_Z} * {_Z} / (2.0::DOUBLE * n)) / (1 + {_Z} * {_Z} / n)"
+_PERCENT = "printf('%.1f%%', round({} * 100, 1))"
+_BAND_SQL = "CASE WHEN risk >= 0.8 THEN 'Very High' WHEN risk >= 0.6 THEN 'High' WHEN risk >= 0.4 THEN 'Moderate' WHEN risk >= 0.2 THEN 'Low' ELSE 'Very Low' END AS band, CASE WHEN risk >= 0.7 THEN 'HIGH' WHEN risk >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS severity"
+
+
+@query(
+    f"""{_SC}, x AS (SELECT *, loc::DOUBLE AS n FROM sc), y AS (SELECT *, {_PERCENT.format('risk')} || CASE WHEN n > 10 THEN ' (' || {_PERCENT.format(f'greatest(0.0::DOUBLE, {_MID} - {_HALF})')} || '-' || {_PERCENT.format(f'least(1.0::DOUBLE, {_MID} + {_HALF})')} || ' range)' ELSE '' END AS s FROM x)
+    SELECT file, {_BAND_SQL}, CASE WHEN risk >= 0.8 THEN 'Critical risk: ' || s || ' - Immediate review required' WHEN risk >= 0.6 THEN 'High risk: ' || s || ' - Prioritize for review' WHEN risk >= 0.4 THEN 'Moderate risk: ' || s || ' - Consider for review'
+      WHEN risk >= 0.2 THEN 'Low risk: ' || s || ' - Monitor if changes planned' ELSE 'Minimal risk: ' || s || ' - Low priority' END AS said FROM y"""
+)
 def risk_interpretation(spark, d):
-    return scored(spark, d).select("file", K.risk_interpretation(F.col("risk")).alias("band"), K.severity_token(F.col("risk")).alias("severity"))
+    """The number of lines stands for the size of the sample."""
+    r, n = F.col("risk"), F.col("loc").cast("double")
+    return scored(spark, d).select("file", K.risk_interpretation(r).alias("band"), K.severity_token(r).alias("severity"), K.risk_text(r, n).alias("said"))
+
+
+_LISTED = f"""WITH {COMMIT_FILES}, li AS (SELECT file, count(*) AS commits, sum(added + deleted) AS churn, max(commit_time) AS last, count(*) / (count(*) + 20.0::DOUBLE) AS risk FROM cf GROUP BY file),
+  an AS (SELECT max(last) AS now FROM li), fl AS (SELECT *, floor((epoch_us(now) - epoch_us(last)) / 86400000000.0)::BIGINT AS days_since_last_change FROM li, an)"""
 
 
-@query(f"{_SC} SELECT file FROM sc WHERE contains(lower(repo), 'src1') AND {_LEVEL} = 'HIGH'")
+def _listed(spark, d):
+    """Files with what a list shows of them; the share of commits stands for their risk, the last change of all for now."""
+    from defectloom.functions.core import days
+
+    x = commit_files(spark, d).groupBy("file").agg(F.count(F.lit(1)).alias("commits"), F.sum(F.col("added") + F.col("deleted")).alias("churn"), F.max("commit_time").alias("last"))
+    x = x.withColumn("risk", F.col("commits") / (F.col("commits") + 20.0)).crossJoin(F.broadcast(x.agg(F.max("last").alias("now"))))
+    return x.withColumn("days_since_last_change", days(F.col("last"), F.col("now")))
+
+
+@query(f"{_LISTED} SELECT file FROM fl WHERE last >= now - INTERVAL 90 DAY AND contains(file::VARCHAR, '1') AND {_LEVEL} = 'HIGH'")
 def ui_filters(spark, d):
-    return scored(spark, d).where(F.lower("repo").contains("src1") & (K.risk_level_abs(F.col("risk")) == "HIGH")).select("file")
+    """Files changed within ninety days, with a 1 in their name, of one tier."""
+    hit = K.recent(F.col("last"), F.col("now"), 90) & F.lower(F.col("file").cast("string")).contains("1") & (K.risk_level_abs(F.col("risk")) == "HIGH")
+    return _listed(spark, d).where(hit).select("file")
 
 
-@query(f"{_SC} SELECT file, risk, row_number() OVER (ORDER BY risk DESC, file)::INTEGER AS position FROM sc ORDER BY risk DESC, file LIMIT 500")
+@query(
+    f"""{_LISTED}, ra AS (SELECT file, unnest(['risk', 'commits', 'churn', 'recency']) AS sort, unnest([row_number() OVER (ORDER BY risk DESC, file), row_number() OVER (ORDER BY commits DESC, file),
+    row_number() OVER (ORDER BY churn DESC, file), row_number() OVER (ORDER BY days_since_last_change, file)])::INTEGER AS position FROM fl) SELECT sort, file, position FROM ra WHERE position <= 500"""
+)
 def ui_sort(spark, d):
-    from pyspark.sql.window import Window
-
-    top = scored(spark, d).orderBy(F.col("risk").desc(), "file").limit(500).select("file", "risk")
-    return top.withColumn("position", F.row_number().over(Window.orderBy(F.col("risk").desc(), "file")))
+    """The first page of the list in each of its orders."""
+    x = stored(_listed(spark, d))
+    out = None
+    for by in R.SORTS:
+        page = R.sorted_list(x, by).select(F.lit(by).alias("sort"), "file", "position")
+        out = page if out is None else out.unionByName(page)
+    return out
 
 
 @query(f"{_SC} SELECT file, round(risk, 6) AS risk FROM sc ORDER BY sc.risk DESC, file LIMIT 10")
@@ -232,11 +266,10 @@ def brier_ece(spark, d):
     return _r(M.calibration(labelled(spark, d)), "brier", "std", "range", "gap", "ece")
 
 
-@query(f"{_CURVE.replace('risk, sum', 'loc AS risk, sum').replace('GROUP BY risk', 'GROUP BY loc')} SELECT round(sum(pos * tp / (tp + fp)) / max(p), 6) AS pr_auc FROM cu")
+@query(f"{_CURVE.replace('risk, sum', 'loc AS risk, sum').replace('GROUP BY risk', 'GROUP BY loc')}, q AS (SELECT quantile_cont(loc, 0.8) AS cut FROM lb), k AS (SELECT count(*) FILTER (WHERE loc >= cut AND buggy = 1) AS tp, count(*) FILTER (WHERE loc >= cut AND buggy = 0) AS fp, count(*) FILTER (WHERE loc < cut AND buggy = 1) AS fn FROM lb, q) SELECT round(sum(pos * tp / (tp + fp)) / max(p), 6) AS pr_auc, (SELECT round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 6) FROM k) AS f1 FROM cu")
 def loc_baseline(spark, d):
-    """Average precision when files are ranked by their lines."""
-    x = labelled(spark, d).drop("risk").withColumn("risk", F.col("loc").cast("double"))
-    return _r(M.pr_auc(x), "pr_auc")
+    """Average precision when files are ranked by their lines, and F1 of the fifth with the most."""
+    return _r(M.loc_baseline(labelled(spark, d)), "pr_auc", "f1")
 
 
 _FOLDS = f"{_CM}, fo AS (SELECT repo, (tp + fp + tn + fn)::BIGINT AS n_test, (tp + fn)::BIGINT AS n_buggy, f1 FROM mt)"
@@ -279,9 +312,33 @@ def global_importance(spark, d):
     return _r(M.global_importance(table(spark, d, "events").select(F.col("event_type").alias("feature"), (F.col("value") - 50).alias("value"))), "importance")
 
 
-@query(f"{_FOLDS} SELECT CASE WHEN n_buggy > 5 THEN 'combined' ELSE 'static' END AS feature_set, round(avg(f1), 6) AS f1, count(*) AS projects FROM fo GROUP BY 1")
+_SETS = "CASE substr(repo, 4)::INTEGER % 5 WHEN 0 THEN 'Static-only' WHEN 1 THEN 'Git-only' WHEN 2 THEN 'Developer-only' WHEN 3 THEN 'Static+Git' ELSE 'All-Combined' END"
+_ABLATION = f"""{_CM}, fs AS (SELECT CASE WHEN substr(repo, 4)::INTEGER % 2 = 0 THEN 'lr' ELSE 'rf' END AS model, {_SETS} AS feature_set, ((tp + fn) * f1 + (tn + fp) * f0) / (tp + fp + tn + fn) AS weighted_f1,
+  CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr_auc, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall_20, (tp + tn) / (tp + fp + tn + fn) AS accuracy FROM mt),
+  su AS (SELECT model, feature_set, count(*) AS folds, avg(weighted_f1) AS weighted_f1, avg(pr_auc) AS pr_auc, avg(recall_20) AS recall_20, avg(accuracy) AS accuracy FROM fs GROUP BY 1, 2)"""
+
+
+def _ablation(spark, d):
+    """The sources as folds of models and feature sets; precision and recall stand for the measures by rank, which `ablation` computes."""
+    m = M.classification_metrics(labelled(spark, d), F.col("risk") >= 0.7, ["repo"])
+    i = F.substring("repo", 4, 9).cast("int")
+    names = F.array(*[F.lit(x) for x in (*M.INDIVIDUAL_SETS, *M.COMBINED_SETS)])
+    return m.select(F.when(i % 2 == 0, "lr").otherwise("rf").alias("model"), F.get(names, i % 5).alias("feature_set"), "weighted_f1", F.col("precision").alias("pr_auc"), F.col("recall").alias("recall_20"), "accuracy")
+
+
+@query(f"{_ABLATION} SELECT model, feature_set, folds, round(weighted_f1, 6) AS weighted_f1, round(pr_auc, 6) AS pr_auc, round(recall_20, 6) AS recall_20, round(accuracy, 6) AS accuracy FROM su")
 def ablation_summary(spark, d):
-    return _r(_folds(spark, d).groupBy(F.when(F.col("n_buggy") > 5, "combined").otherwise("static").alias("feature_set")).agg(F.avg("f1").alias("f1"), F.count(F.lit(1)).alias("projects")), "f1")
+    return _r(M.ablation_summary(_ablation(spark, d)), "weighted_f1", "pr_auc", "recall_20", "accuracy")
+
+
+@query(
+    f"""{_ABLATION}, i AS (SELECT * FROM su WHERE feature_set IN ('Static-only', 'Git-only', 'Developer-only') ORDER BY pr_auc DESC, model, feature_set LIMIT 1), c AS (SELECT * FROM su WHERE feature_set IN ('Static+Git', 'All-Combined') ORDER BY pr_auc DESC, model, feature_set LIMIT 1)
+    SELECT i.model || ' ' || i.feature_set AS best_individual, c.model || ' ' || c.feature_set AS best_combined, round(i.pr_auc, 6) AS individual_pr_auc, round(c.pr_auc, 6) AS combined_pr_auc, c.pr_auc > i.pr_auc AS combined_outperforms, c.pr_auc > 0.5 AS target_achieved,
+    (SELECT max(pr_auc) - min(pr_auc) > 0.1 FROM su) AS meaningful_differences FROM i, c"""
+)
+def ablation_conclusions(spark, d):
+    """Whether combined features beat the best single group."""
+    return _r(M.ablation_conclusions(M.ablation_summary(_ablation(spark, d))), "individual_pr_auc", "combined_pr_auc")
 
 
 def _hist_sql(n: int, expr: str) -> str:
