@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -112,3 +112,17 @@ PART_FILES = """cs AS (
   JOIN part ON p_partkey = l.file
   JOIN (SELECT l_partkey AS file, count(*) AS commits FROM lineitem GROUP BY 1) c ON c.file = l.file
 )"""
+
+
+def source_text(functions: Column, depth: Column, text: Column, language: str = "py") -> Column:
+    """Source with so many functions of two parameters, each with ``depth`` nested branches, and then the text as comment lines."""
+    py = language == "py"
+    steps = F.when(depth > 0, F.sequence(F.lit(1), depth.cast("int"))).otherwise(F.array().cast("array<int>"))
+    inner = F.array_join(F.transform(steps, lambda j: F.concat(F.repeat(F.lit("    "), j), F.lit("if a:\n" if py else "if (a) {\n"))), "")
+    ends = F.lit("") if py else F.concat(F.repeat(F.lit("}\n"), depth.cast("int")), F.lit("}\n"))
+    body = F.concat(inner, F.repeat(F.lit("    "), depth.cast("int") + 1), F.lit("return b\n"), ends)
+    each = F.when(functions > 0, F.sequence(F.lit(1), functions.cast("int"))).otherwise(F.array().cast("array<int>"))
+    code = F.array_join(F.transform(each, lambda k: F.concat(F.lit("def f" if py else "function f"), k, F.lit("(a, b):\n" if py else "(a, b) {\n"), body)), "")
+    mark = "# " if py else "// "
+    said = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x00\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]", " ")
+    return F.concat(code, F.lit(mark), F.replace(said, F.lit("\n"), F.lit(f"\n{mark}")), F.lit("\n"))

@@ -11,7 +11,7 @@ from defectloom.ml import resample as RS
 from defectloom.ml import tree_attribution as TA
 from defectloom.operators import features as FT
 from defectloom.operators import history as H
-from defectloom.plans.bindings import LABELLED, commit_files, labelled, messages, static_metrics, table
+from defectloom.plans.bindings import LABELLED, commit_files, labelled, messages, source_text, static_metrics, table
 from defectloom.plans.predicates import _TYPES
 from defectloom.plans.registry import ORACLE_SQL, query
 from defectloom.session import stored
@@ -87,13 +87,16 @@ def select_features(spark, d):
     return spark.createDataFrame([(c,) for c in ML.select_features(_projects(spark, d), _COLS, ("loc",), 2, _SIZES["rf"])], "feature string")
 
 
+def _parted(spark, d):
+    """The labelled files but a quarter of each class, and that quarter, which models score without having seen it."""
+    return ML.stratified_split(_projects(spark, d), "buggy", 0.25, "file")
+
+
 def _scored_by(kind):
     def f(spark, d):
-        """Scores of the first project's files by a model of all others."""
-        x = _projects(spark, d)
-        first = x.agg(F.min("repo")).first()[0]
-        model = ML.fit(x.where(F.col("repo") != first), _COLS, kind, sizes=_SIZES[kind])
-        return ML.score(model, x.where(F.col("repo") == first), _COLS, F.col("loc") <= 1).select("file", "buggy", "risk")
+        """Scores of the held-out files by a model of all others."""
+        rest, held = _parted(spark, d)
+        return ML.score(ML.fit(rest, _COLS, kind, sizes=_SIZES[kind]), held, _COLS, F.col("loc") <= 1).select("file", "buggy", "risk")
 
     return f
 
@@ -104,14 +107,19 @@ for _kind in ("lr", "rf", "gbt"):
 
 @query()
 def score(spark, d):
-    x = _projects(spark, d)
-    return ML.score(ML.fit(x, _COLS), x, _COLS, F.col("loc") <= 1).select("file", "risk")
+    """Scores of the held-out files, those of a single line excluded."""
+    rest, held = _parted(spark, d)
+    return ML.score(ML.fit(rest, _COLS), held, _COLS, F.col("loc") <= 1).select("file", "risk")
+
+
+#: Settings of the search that the registered query makes; the default ones are larger.
+_SEARCH = {"numTrees": [10, 20, 40], "maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 2, 5]}
 
 
 @query()
 def random_search(spark, d):
-    """Average precision of random settings over folds in the order of ids, which stand for time."""
-    return ML.random_search(_projects(spark, d), _COLS, "lr", "file", 4, 3)[1]
+    """Average precision of random forests over folds in the order of ids, which stand for time."""
+    return ML.random_search(_projects(spark, d), _COLS, "rf", "file", 6, 3, choices=_SEARCH)[1]
 
 
 @query()
@@ -241,10 +249,11 @@ def fetch_author_history(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("author")).agg(F.least(F.count(F.lit(1)), F.lit(100).cast("long")).alias("repo_commits"))
 
 
-@query("SELECT 'doc' || doc_id || '.py' AS path, 'py' AS language, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[\r\x0b\x0c]', chr(10), 'g'), chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#')))::BIGINT AS loc, 0::BIGINT AS functions, 0.0::DOUBLE AS avg_complexity, 0::BIGINT AS max_complexity, 0::INTEGER AS max_nesting_depth, 0::BIGINT AS n_top FROM documents")
+@query("WITH x AS (SELECT doc_id, n_chars % 8 AS n, (doc_id + n_chars) % 9 AS d FROM documents) SELECT 'doc' || doc_id || '.py' AS path, 'py' AS language, n * (d + 2) AS loc, n AS functions, CASE WHEN n > 0 THEN d + 1 ELSE 0 END::DOUBLE AS avg_complexity, CASE WHEN n > 0 THEN d + 1 ELSE 0 END AS max_complexity, CASE WHEN n > 0 THEN d ELSE 0 END::INTEGER AS max_nesting_depth, least(n, 5) AS n_top FROM x")
 def static_metrics_of_source(spark, d):
-    """Static metrics of source text; documents stand for files, and prose has lines but no functions."""
+    """Static metrics of sources with functions and branches by the documents' numbers and lengths, and their texts as comments."""
     from defectloom.sources.source_tree import measured
 
-    x = measured(table(spark, d, "documents").select(F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".py")).alias("path"), F.col("text").alias("source")))
+    x = table(spark, d, "documents").withColumns({"_n": F.col("n_chars") % 8, "_d": (F.col("doc_id") + F.col("n_chars")) % 9})
+    x = measured(x.select(F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".py")).alias("path"), source_text(F.col("_n"), F.col("_d"), F.col("text")).alias("source")))
     return x.select("path", "language", "loc", "functions", "avg_complexity", "max_complexity", "max_nesting_depth", F.size("top_functions").cast("long").alias("n_top"))

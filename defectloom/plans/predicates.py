@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from defectloom.functions import paths as P
 from defectloom.functions import text as X
 from defectloom.functions.core import r6
-from defectloom.plans.bindings import PATHS, messages, url_paths
+from defectloom.plans.bindings import PATHS, messages, table, url_paths
 from defectloom.plans.registry import query
 
 _PT = f"WITH {PATHS}"
@@ -183,9 +183,12 @@ def alt_bug_fix(spark, d):
     return messages(spark, d).select("commit_id", X.weighted_bug_fix(F.col("msg"), ("schkeit",), ("ciónue",), ("eaux",)).alias("weight"))
 
 
-@query("""SELECT doc_id AS commit_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '#(\\d{1,9})', 1), lambda x: x::BIGINT))) AS refs FROM documents WHERE regexp_matches(text, '#\\d')""")
+@query("""SELECT doc_id AS commit_id, array_to_string(list_sort(list_distinct(list_concat([doc_id % 97, n_chars % 31], list_transform(regexp_extract_all(coalesce(text, ''), '#(\\d{1,9})', 1), lambda x: x::BIGINT)))), ',') AS refs FROM documents""")
 def issue_refs(spark, d):
-    return messages(spark, d).where(F.col("msg").rlike(r"#\d")).select("commit_id", X.issue_refs(F.col("msg")).alias("refs"))
+    """Documents as messages that name two issues, one of them twice, by numbers that follow from the document."""
+    first = F.concat(F.lit("Fixes #"), F.col("doc_id") % 97)
+    msg = F.concat(first, F.lit(", closes https://github.com/a/b/issues/"), F.col("n_chars") % 31, F.lit(" as well; "), first, F.lit(". "), F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("commit_id"), F.array_join(X.issue_refs(msg), ",").alias("refs"))
 
 
 @query("SELECT conv_id, turn, role = 'user' OR contains(lower(coalesce(text, '')), 'tion') AS is_bug FROM conversations")

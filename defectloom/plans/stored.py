@@ -13,7 +13,7 @@ from defectloom.operators import features as FT
 from defectloom.operators import labels as L
 from defectloom.operators import metrics as M
 from defectloom.operators import risk as K
-from defectloom.plans.bindings import COMMIT_FILES, LABELLED, SCORED, commit_files, labelled, scored, table
+from defectloom.plans.bindings import COMMIT_FILES, LABELLED, SCORED, commit_files, labelled, scored, source_text, table
 from defectloom.plans.registry import query
 from defectloom.session import work_folder
 from defectloom.sources import caches as C
@@ -73,11 +73,12 @@ def checkpoint_resume(spark, d):
 
 @query()
 def load_model(spark, d):
-    """Scores of a model that was saved with its statistics and read again by its version."""
-    x, folder = labelled(spark, d), work_folder(spark)
+    """Scores of files that a model has not seen; it was saved with its statistics and read again by its version."""
+    folder = work_folder(spark)
+    x, held = ML.stratified_split(labelled(spark, d), "buggy", 0.25, "file")
     C.save_model(spark, ML.fit(x, _COLS), folder, M.training_stats(x, _COLS), _COLS, "v1")
     model, stats, _ = C.load_model(spark, folder)
-    return ML.score(model, x, _COLS).select("file", "risk").crossJoin(stats.agg(F.count(F.lit(1)).alias("features")))
+    return ML.score(model, held, _COLS).select("file", "risk").crossJoin(stats.agg(F.count(F.lit(1)).alias("features")))
 
 
 @query("SELECT o_orderkey AS commit_id, o_custkey AS author, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS seq FROM orders WHERE o_orderkey % 10 <> 0")
@@ -130,29 +131,30 @@ def list_prs(spark, d):
     return table(spark, d, "orders").where("o_orderstatus = 'O'").orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(20).select(F.col("o_orderkey").alias("pr"))
 
 
-@query("SELECT doc_id, 0::INTEGER AS depth FROM documents")
+@query("SELECT doc_id, ((doc_id + n_chars) % 9)::INTEGER AS depth FROM documents")
 def nesting_depth(spark, d):
-    """Depth of nesting of all texts as Python source; prose does not parse or nests nothing, and has 0."""
+    """Depth of nesting of Python sources that hold the texts as comments after branches, as deeply nested as id and length say."""
     from defectloom.sources.source_tree import nesting_depth as depth
 
     @F.pandas_udf("int")
     def f(s: pd.Series) -> pd.Series:
         return s.map(lambda x: depth(x or ""))
 
-    return table(spark, d, "documents").select("doc_id", f("text").alias("depth"))
+    source = source_text(F.lit(1), (F.col("doc_id") + F.col("n_chars")) % 9, F.col("text"))
+    return table(spark, d, "documents").select("doc_id", f(source).alias("depth"))
 
 
 _TREE = """tr AS (SELECT page_id, html, CASE page_id % 6 WHEN 0 THEN 'src/p' || page_id || '.py' WHEN 1 THEN 'tests/p' || page_id || '.py' WHEN 2 THEN 'web/p' || page_id || '.js' WHEN 3 THEN 'docs/p' || page_id || '.md' WHEN 4 THEN 'web/test_p' || page_id || '.ts' ELSE 'core/p' || page_id || '.css' END AS path FROM pages)"""
 _SCANNED = "page_id % 6 IN (0, 2, 5)"
 
 
-def _tree(spark, d):
-    """Pages as files of a source tree, written by the executors; the folder."""
+def _tree(spark, d, content=None):
+    """Pages as files of a source tree, written by the executors; the folder. The content of a file is the page, or what ``content`` makes of its path."""
     i, folder = F.col("page_id"), work_folder(spark)
     n = i.cast("string")
     path = F.when(i % 6 == 0, F.concat(F.lit("src/p"), n, F.lit(".py"))).when(i % 6 == 1, F.concat(F.lit("tests/p"), n, F.lit(".py"))).when(i % 6 == 2, F.concat(F.lit("web/p"), n, F.lit(".js")))
     path = path.when(i % 6 == 3, F.concat(F.lit("docs/p"), n, F.lit(".md"))).when(i % 6 == 4, F.concat(F.lit("web/test_p"), n, F.lit(".ts"))).otherwise(F.concat(F.lit("core/p"), n, F.lit(".css")))
-    T.write_tree(table(spark, d, "pages").select(path.alias("path"), F.col("html").alias("content")).repartition(8), folder)
+    T.write_tree(table(spark, d, "pages").withColumn("path", path).select("path", (F.col("html") if content is None else content(F.col("path"))).alias("content")).repartition(8), folder)
     return folder
 
 
@@ -162,12 +164,19 @@ def scan_source_tree(spark, d):
     return T.scan_source_tree(spark, _tree(spark, d)).select("rel_path", "length")
 
 
-@query(f"""WITH {_TREE}, l AS (SELECT path, unnest(string_split(replace(coalesce(html, ''), chr(13), ''), chr(10))) AS line FROM tr WHERE {_SCANNED}),
-c AS (SELECT path, count(*) FILTER (WHERE trim(line, ' ' || chr(9)) <> '' AND NOT starts_with(ltrim(line, ' ' || chr(9)), CASE WHEN ends_with(path, '.py') THEN '#' ELSE '//' END)) AS loc FROM l GROUP BY path)
-SELECT path, regexp_extract(path, '[a-z]+$') AS language, loc, 0::INTEGER AS max_nesting_depth FROM c""")
+def _source(path):
+    """Functions and branches by the page's number, and the page as comments; style sheets are the page."""
+    functions, depth = F.col("page_id") % 5, F.col("page_id") % 7
+    return F.when(path.endswith(".py"), source_text(functions, depth, F.col("html"))).when(path.endswith(".js"), source_text(functions, depth, F.col("html"), "js")).otherwise(F.col("html"))
+
+
+@query(f"""WITH {_TREE}, l AS (SELECT page_id, path, page_id % 5 AS n, page_id % 7 AS d, unnest(string_split(replace(coalesce(html, ''), chr(13), ''), chr(10))) AS line FROM tr WHERE {_SCANNED}),
+c AS (SELECT path, any_value(n) AS n, any_value(d) AS d, count(*) FILTER (WHERE trim(line, ' ' || chr(9)) <> '' AND NOT starts_with(ltrim(line, ' ' || chr(9)), '//')) AS lines FROM l GROUP BY path)
+SELECT path, regexp_extract(path, '[a-z]+$') AS language, CASE regexp_extract(path, '[a-z]+$') WHEN 'py' THEN n * (d + 2) WHEN 'js' THEN n * (2 * d + 3) ELSE lines END AS loc, CASE WHEN ends_with(path, '.css') THEN 0 ELSE n END AS functions,
+  CASE WHEN ends_with(path, '.css') OR n = 0 THEN 0 ELSE d + 1 END AS max_complexity, (CASE WHEN ends_with(path, '.py') AND n > 0 THEN d ELSE 0 END)::INTEGER AS max_nesting_depth FROM c""")
 def scan_static_metrics(spark, d):
-    """Lines and nesting of the files of a tree; markup has lines only."""
-    return T.scan_static_metrics(spark, _tree(spark, d)).select("path", "language", "loc", "max_nesting_depth")
+    """Lines, functions, complexity and nesting of the files of a tree."""
+    return T.scan_static_metrics(spark, _tree(spark, d, _source)).select("path", "language", "loc", "functions", "max_complexity", "max_nesting_depth")
 
 
 @query("""SELECT page_id, CASE WHEN NOT starts_with(lower(coalesce(url, '')), 'https://') THEN 'scheme' WHEN NOT regexp_extract(url, '^https://([^/:?#]*)', 1) IN ('example.com', 'shop.example.net', 'example.org') THEN 'host'
@@ -210,26 +219,29 @@ def write_benchmarks(spark, d):
     return y.select(F.col("full.repos").alias("full_repos"), r6(F.col("full.macro_f1")).alias("full_macro_f1"), F.col("reliable.repos").alias("reliable_repos"), r6(F.col("reliable.honest_f1")).alias("reliable_f1"))
 
 
-@query("SELECT 'miner/version=' || v AS name FROM (VALUES ('a'), ('b')) t(v) UNION ALL SELECT 'szz/version=c'")
+@query("SELECT DISTINCT name FROM (SELECT unnest(['miner/version=' || source, 'szz/version=' || lang]) AS name FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)")
 def clear_caches(spark, d):
-    """What clearing the caches deletes: every version in each folder; a folder that is not there is passed over."""
-    folder, t = work_folder(spark), table(spark, d, "labels")
-    for name, version in (("miner", "a"), ("miner", "b"), ("szz", "c")):
-        C.write_cache(t, f"{folder}/{name}", version=version)
+    """What clearing the caches deletes: a version for each source in one folder and for each language in the other; a folder that is not there is passed over."""
+    folder, t = work_folder(spark), table(spark, d, "documents").select("source", "lang", "n_chars").where("source IS NOT NULL AND lang IS NOT NULL")
+    for name, c in (("miner", "source"), ("szz", "lang")):
+        t.select(F.col(c).alias("version"), "n_chars").write.partitionBy("version").parquet(f"{folder}/{name}")
     gone = C.clear_caches(spark, [f"{folder}/{x}" for x in ("miner", "szz", "none")])
     return spark.createDataFrame([(x,) for x in gone if "version=" in x], "name string")
 
 
-@query("SELECT 'v2' AS version, 'loc,functions,avg_complexity,max_complexity' AS features, 4::BIGINT AS stats, 2::BIGINT AS versions")
+_LB_STATS = f"{_LB}, st2 AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) AS mean FROM lb" for c in _COLS) + ")"
+
+
+@query(f"{_LB_STATS} SELECT 'v2' AS version, 'loc,functions,avg_complexity,max_complexity' AS features, 2::BIGINT AS versions, feature, round(mean, 6) AS mean FROM st2")
 def save_model(spark, d):
-    """What is stored of a model: manifest, features and statistics of the latest of two versions."""
+    """What is stored of a model: manifest and statistics of each feature, of the latest of two versions."""
     x, folder = labelled(spark, d), work_folder(spark)
     model = ML.fit(x, _COLS)
     for v in ("v1", "v2"):
         C.save_model(spark, model, folder, M.training_stats(x, _COLS), _COLS, v)
     _, stats, manifest = C.load_model(spark, folder)
     versions = spark.read.json(f"{folder}/log").select(F.count_distinct("version").alias("versions"))
-    return stats.agg(F.count(F.lit(1)).alias("stats")).crossJoin(versions).select(F.lit(manifest["version"]).alias("version"), F.lit(",".join(manifest["features"])).alias("features"), "stats", "versions")
+    return stats.crossJoin(F.broadcast(versions)).select(F.lit(manifest["version"]).alias("version"), F.lit(",".join(manifest["features"])).alias("features"), "versions", "feature", r6(F.col("mean")).alias("mean"))
 
 
 @query(f"{_LB} SELECT file, CASE WHEN loc <= 200 THEN 'Low' WHEN loc <= 1000 THEN 'Medium' ELSE 'High' END AS review_effort, CASE WHEN risk >= 0.7 THEN 'HIGH' WHEN risk >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM lb")
