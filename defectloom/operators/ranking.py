@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from defectloom.session import input_bytes
+
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each group; Spark cuts each partition to n before it shuffles."""
@@ -48,6 +50,10 @@ def average_rank(df: DataFrame, group: list[str], value: str, name: str) -> Data
     return df.withColumn(name, rank / F.count(F.lit(1)).over(w))
 
 
+#: Bytes of input below which a row is not looked for: inputs that small are not worth a job that counts them.
+_ROW_BYTES = 32
+
+
 def _band_of(risk: str, buckets: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(buckets), F.coalesce(F.floor((1 - F.col(risk)) * buckets), F.lit(buckets)))).cast("int")
 
@@ -56,8 +62,11 @@ def _cuts(df: DataFrame, risk: str, tie: str, buckets: int, most_rows: int) -> D
     """Bands with more than ``most_rows`` rows, each with cuts (in order of rank) that part it into pieces of about that many; None if there are none.
 
     Cuts come from a sample by hash, of some 64 rows for each piece. They are
-    rows (_b, cuts), cuts being lists of lists.
+    rows (_b, cuts), cuts being lists of lists. Inputs of fewer bytes than
+    ``_ROW_BYTES`` for each of ``most_rows`` are not counted first.
     """
+    if input_bytes(df) <= most_rows * _ROW_BYTES:
+        return None
     x = df.select(_band_of(risk, buckets).alias("_b"), _rank_key(risk, tie).alias("_k"), F.xxhash64(F.lit(11), risk, tie).alias("_h"))
     hot = {r["_b"]: r["n"] for r in x.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_rows).collect()}  # a band's row each
     if not hot:
@@ -110,7 +119,8 @@ def running_by_risk(df: DataFrame, sums: dict[str, Column], risk: str = "risk",
 def exact_percentiles(df: DataFrame, column: str, points: Sequence[float], most_values: int = 1_000_000, bands: int = 4096) -> DataFrame:
     """One row with ``p``, the exact percentiles with linear interpolation, null on no values.
 
-    Up to ``most_values`` rows Spark's own aggregate gives them. Beyond, each
+    Up to ``most_values`` rows, or ``_ROW_BYTES`` bytes of input for each of
+    them, Spark's own aggregate gives them. Beyond, each
     order statistic is closed in: values between two bounds are counted in
     ``bands`` bands, and the band that holds it gives the next bounds, until
     few values are left (or one value alone); so no task holds all of them.
@@ -118,6 +128,8 @@ def exact_percentiles(df: DataFrame, column: str, points: Sequence[float], most_
     v = F.col(column).cast("double")
     values = df.select(v.alias("v")).where("v IS NOT NULL")
     one = values.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in points])).alias("p"))
+    if input_bytes(df) <= most_values * _ROW_BYTES:
+        return one
     n, low, high = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
     if n <= most_values:
         return one

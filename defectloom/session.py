@@ -55,3 +55,9 @@ def stored(df: DataFrame) -> DataFrame:
     spark, folder = df.sparkSession, work_folder(df.sparkSession)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The size of all files and tables that the plan reads, as Catalyst knows it; vast where it knows none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
