@@ -62,11 +62,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = word_table.encode(table(spark, sf_dir, "documents"))
-    sha = F.sha2(F.array_join("ids", ","), 256)
-    numbered = ids.select(F.struct("doc_id", F.size("ids").cast("long").alias("n"), sha.alias("s")).alias("d"), "ids")
-    text = word_table.decode(numbered, id_col="d")
-    return text.select("doc_id.doc_id", F.col("doc_id.n").alias("n_tokens"), F.col("doc_id.s").alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    x = word_table.encode(table(spark, sf_dir, "documents"), decoded=True)
+    return x.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

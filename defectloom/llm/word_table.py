@@ -239,11 +239,11 @@ def _packed(ids: np.ndarray) -> bytes:
     return pa.Codec("zstd", 1).compress(ids.astype("<u4").tobytes(), asbytes=True) if ids.size else b""
 
 
-#: What a pass over the texts gives: the ids, where holes are words that stand nowhere else; the words of holes, of rows that have any; ids with holes.
-_SAID = {"ids": "ids array<int>", "holes": "words array<string>", "open": "size long, packed binary, at array<long>"}
+#: What a pass over the texts gives: the ids (and what they decode to), where holes are words that stand nowhere else; the words of holes, of rows that have any; ids with holes.
+_SAID = {"ids": "ids array<int>", "text": "ids array<int>, text string", "holes": "words array<string>", "open": "size long, packed binary, at array<long>"}
 
 
-def _looked_up(docs: DataFrame, keys: list[str], shared: Broadcast, path: str, said: str) -> DataFrame:
+def _looked_up(docs: DataFrame, keys: list[str], shared: Broadcast, path: str, said: str, table: Broadcast | None = None) -> DataFrame:
     """Rows of ``docs`` (keys, the words of a text) with the columns of ``_SAID[said]`` in place of the words."""
     k = len(keys)
     names = [*keys, *(c.split()[0] for c in _SAID[said].split(", "))]
@@ -253,9 +253,11 @@ def _looked_up(docs: DataFrame, keys: list[str], shared: Broadcast, path: str, s
             for first in range(0, batch.num_rows, _PART):
                 part = batch.slice(first, _PART)
                 ids, begins, row, at, words = shared.value.look_up(part.column(k))
-                if said == "ids":
+                if said in ("ids", "text"):
                     ids, begins = _in_place(ids, begins, row, at, words, _encoder(path))
-                    yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))], names)
+                    lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))
+                    texts = [pa.array(_decoded(lists, table.value), pa.string())] if said == "text" else []
+                    yield pa.RecordBatch.from_arrays([*part.columns[:k], lists, *texts], names)
                     continue
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
                 offsets = pa.array(cuts, pa.int32())
@@ -270,8 +272,8 @@ def _looked_up(docs: DataFrame, keys: list[str], shared: Broadcast, path: str, s
     return docs.mapInArrow(run, ", ".join([f"{c} {t}" for c, t in docs.dtypes[:k]] + [_SAID[said]]))
 
 
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, size, packed, at, found) as (id, ids)."""
+def _filled(batches: Iterator[pa.RecordBatch], table: Broadcast | None) -> Iterator[pa.RecordBatch]:
+    """Rows (id, size, packed, at, found) as (id, ids), and what the ids decode to where there is a table of pieces."""
     codec = pa.Codec("zstd")
     for batch in batches:
         for first in range(0, batch.num_rows, 1024):
@@ -285,11 +287,13 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append(ids)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in rows])))
             flat = np.concatenate(rows).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            texts = [pa.array(_decoded(lists, table.value), pa.string())] if table else []
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, *texts], ["doc_id", "ids", "text"][: 2 + len(texts)])
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", frequent: int = 2_000_000, frequent_bytes: int = 48 << 20, salts: int = 32, hot_share: float = 0.001) -> DataFrame:
-    """Rows (doc_id, ids): the ids of every whole text as the tokenizers library gives them, without tokens of its own.
+def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", frequent: int = 2_000_000, frequent_bytes: int = 48 << 20, salts: int = 32, hot_share: float = 0.001, decoded: bool = False) -> DataFrame:
+    """Rows (doc_id, ids): the ids of every whole text as the tokenizers library gives them, without tokens of its own; with ``decoded`` the text that :func:`decode` makes of them as well, in the same pass.
 
     A null or empty text has no ids. An added token that stands in a text
     becomes its id, as in the library. Every row counts, null ids (and what is
@@ -309,8 +313,9 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     counts = written(distinct_words(x, "t", pattern), "words")
     often, rare = frequent_words(written(encoded_words(counts.where("n > 1"), path), "repeated-words"), frequent, frequent_bytes)
     shared, words = _broadcast(often), words_of(F.col("t"), pattern).alias("w")
+    table = _broadcast_pieces(spark, path) if decoded else None
     if rare.isEmpty():
-        return _looked_up(x.select(F.col("id").alias("doc_id"), words), ["doc_id"], shared, path, "ids")
+        return _looked_up(x.select(F.col("id").alias("doc_id"), words), ["doc_id"], shared, path, "text" if decoded else "ids", table)
     rare = rare.unionByName(encoded_words(counts.where("n = 1"), path))
     key = [F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), "t").alias("h2")]
 
@@ -326,7 +331,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     open_ = _looked_up(x.select("id", *key, words), ["id", "h1", "h2"], shared, path, "open")
     dealt = open_.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("salt", F.when(F.col("hot"), (F.rand(5) * salts).cast("int")).otherwise(0))
     whole = dealt.join(fillings.select("h1", "h2", spread, "found"), ["h1", "h2", "salt"], "left")
-    return whole.select("id", "size", "packed", "at", "found").mapInArrow(_filled, "doc_id long, ids array<int>")
+    return whole.select("id", "size", "packed", "at", "found").mapInArrow(lambda batches: _filled(batches, table), "doc_id long, ids array<int>" + (", text string" if decoded else ""))
 
 
 def pieces(path: str) -> list[bytes]:
@@ -339,6 +344,23 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
+def _decoded(lists: pa.ListArray, table: pa.BinaryArray) -> list[str]:
+    """Each row's ids joined to their pieces, in order, as text."""
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    flat = lists.flatten()
+    if not len(flat):
+        return [""] * len(lists)
+    known = pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
+    found = table.take(pc.if_else(known, flat, None)).fill_null(b"")
+    cuts = np.frombuffer(found.buffers()[1], dtype=np.int32)[found.offset : found.offset + len(found) + 1]
+    data = memoryview(found.buffers()[2] or b"")
+    return [str(data[cuts[a] : cuts[b]], "utf-8", "replace") for a, b in zip(ends, ends[1:])]
+
+
+def _broadcast_pieces(spark: SparkSession, path: str) -> Broadcast:
+    return spark.sparkContext.broadcast(pa.array(pieces(path), pa.binary()))
+
+
 def decode(rows: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Rows (doc_id, text): the text of every row's ids as the library decodes them, added tokens included.
 
@@ -346,22 +368,13 @@ def decode(rows: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     ones and a null array have no text, so that such a row is empty; every row
     counts.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(pa.array(pieces(tokenizer or bpe.default_tokenizer()), pa.binary()))
+    shared = _broadcast_pieces(rows.sparkSession, tokenizer or bpe.default_tokenizer())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
             for first in range(0, batch.num_rows, _PART):
                 part = batch.slice(first, _PART)
-                lists = part.column(1)
-                ends = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
-                flat = lists.flatten()
-                known = pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
-                found = table.take(pc.if_else(known, flat, None)).fill_null(b"")
-                cuts = np.frombuffer(found.buffers()[1], dtype=np.int32)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, dtype=np.int32)
-                data = memoryview(found.buffers()[2]) if len(found) else memoryview(b"")
-                texts = [str(data[cuts[a] : cuts[b]], "utf-8", "replace") for a, b in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
-            batch = part = lists = flat = known = found = data = texts = None
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_decoded(part.column(1), shared.value), pa.string())], ["doc_id", "text"])
+            batch = part = None
 
     return rows.select(F.col(id_col).alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, f"doc_id {dict(rows.dtypes)[id_col]}, text string")

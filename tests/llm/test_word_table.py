@@ -53,7 +53,9 @@ def test_words_of_every_character(spark, library):
 
 @pytest.mark.parametrize(("frequent", "hot_share"), [(1 << 20, 0.001), (40, 0.2), (25, 0.0), (0, 0.0)])
 def test_ids_equal_the_library(docs, library, frequent, hot_share):
-    got = sorted(((r["doc_id"], r["ids"]) for r in word_table.encode(docs, frequent=frequent, hot_share=hot_share, salts=3).collect()), key=repr)
+    rows_ = word_table.encode(docs, frequent=frequent, hot_share=hot_share, salts=3, decoded=True).collect()
+    assert all(r["text"] == library.decode(r["ids"], skip_special_tokens=False) for r in rows_)
+    got = sorted(((r["doc_id"], r["ids"]) for r in rows_), key=repr)
     assert got == sorted(((d, library.encode(t or "", add_special_tokens=False).ids) for d, t, *_ in rows()), key=repr)
 
 
