@@ -39,15 +39,31 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one takes its place only where all runs on one machine."""
+_LOCAL: dict[str, str] = {}
+
+
+def application_folder(spark: SparkSession) -> str:
+    """This application's part of the shared checkpoint folder; a temporary folder takes its place only where all runs on one machine."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
-        base = "file://" + tempfile.mkdtemp(prefix="defectloom-")
-    return f"{base.rstrip('/')}/defectloom/work-{uuid.uuid4().hex}"
+        base = _LOCAL.setdefault(sc.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="defectloom-")
+        _LOCAL[sc.applicationId] = base
+    return f"{base.rstrip('/')}/defectloom/{sc.applicationId}"
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder in this application's part of the shared folder."""
+    return f"{application_folder(spark)}/work-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this application stored between its jobs; results that still read it must be stored elsewhere first."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

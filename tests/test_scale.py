@@ -1,6 +1,7 @@
 """Hot keys and deep inputs: what one value, name or commit holds must not meet in one task, and results stay those of a plain version."""
 
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -163,3 +164,14 @@ def test_clones(spark, tmp_path):
     for bad in ("http://github.com/a/b", "https://evil.example/a/b", "https://github.com/../b", "https://github.com/a/b/c", "nowhere"):
         with pytest.raises(ValueError, match="cloned"):
             clones.clone_or_local(bad, str(tmp_path))
+
+
+def test_work_folders_are_cleared_together(spark):
+    from defectloom import session as SE
+
+    folder = SE.application_folder(spark)
+    assert spark.sparkContext.applicationId in folder and SE.work_folder(spark).startswith(folder) and SE.work_folder(spark) != SE.work_folder(spark)
+    kept = SE.stored(spark.range(3))
+    assert kept.count() == 3
+    SE.clean(spark)
+    assert not (Path(folder.removeprefix("file://"))).exists() and SE.stored(spark.range(2)).count() == 2
