@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from defectloom.functions import paths as P
-from defectloom.session import stored
+from defectloom.session import dealt, stored, stored_parts
 
 
 # How comment lines begin, by the language's name; other languages have none.
@@ -52,6 +52,8 @@ def szz_inline(cf: DataFrame, max_files: int = 15, confidence: str = "confidence
 
     Files of a commit are counted by an aggregate, so that a vast commit is never one task's rows.
     """
+    cf, n = stored_parts(cf.select(*[c for c in ("repo", "commit_id", "file", confidence, "msg") if c in cf.columns]))
+    cf = dealt(cf, n, "repo", "commit_id")
     small = cf.groupBy("repo", "commit_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_files).select("repo", "commit_id")
     return szz_labels(cf.where(F.col(confidence) > 0).join(small, ["repo", "commit_id"], "left_semi"), confidence)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from defectloom.session import dealt, parts
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,14 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def commit_files(spark: SparkSession, d: str) -> DataFrame:
     """One row for each commit and file: orders are commits, parts files, brands repositories."""
+    items = table(spark, d, "lineitem")
+    n = parts(items)
     lines = (
-        table(spark, d, "lineitem")
+        dealt(items, n, "l_orderkey")
         .groupBy("l_orderkey", "l_partkey")
         .agg(F.sum(F.col("l_quantity").cast("long")).alias("added"), F.sum(F.col("l_linenumber").cast("long")).alias("deleted"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("is_fix"))
     )
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("author"), F.col("o_orderdate").cast("timestamp").alias("commit_time"))
-    parts = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("repo"))
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    files = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("repo"))
+    changed = lines.join(dealt(orders, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = dealt(changed, n, "l_partkey").join(dealt(files, n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     return joined.select("repo", F.col("l_orderkey").alias("commit_id"), "author", "commit_time", F.col("l_partkey").alias("file"), "added", "deleted", "is_fix")
 
 

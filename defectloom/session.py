@@ -77,3 +77,35 @@ def input_bytes(df: DataFrame) -> int:
     """The size of all files and tables that the plan reads, as Catalyst knows it; vast where it knows none."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+#: So many rows of a plain table are one task's; inputs under so many bytes are not counted for that.
+ROWS_A_TASK, UNCOUNTED_BYTES = 500_000, 32 << 20
+
+
+def parts_of(rows: int | None) -> int:
+    """Into how many parts so many rows are dealt, with at most some ``ROWS_A_TASK`` in each."""
+    return -(-(rows or 0) // ROWS_A_TASK)
+
+
+def parts(df: DataFrame) -> int:
+    """The parts for the rows of a table that is cheap to count; 0 for a small one, which Spark may deal as it likes."""
+    return 0 if input_bytes(df) < UNCOUNTED_BYTES else parts_of(df.count())
+
+
+def stored_parts(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows, stored unless they are few, and the parts for them."""
+    if input_bytes(df) < UNCOUNTED_BYTES:
+        return df, 0
+    df = stored(df)
+    return df, parts_of(df.count())
+
+
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """The rows dealt by their keys into so many parts, 0: as Spark deals them.
+
+    Adaptive execution joins parts up to a size of compressed bytes; rows of a
+    few numbers compress so well that a task would get tens of millions of them,
+    all in its memory where they are sorted or grouped. A given number stays.
+    """
+    return df.repartition(parts, *keys) if parts else df

@@ -175,3 +175,33 @@ def test_work_folders_are_cleared_together(spark):
     assert kept.count() == 3
     SE.clean(spark)
     assert not (Path(folder.removeprefix("file://"))).exists() and SE.stored(spark.range(2)).count() == 2
+
+
+def test_tasks_of_pairs_stay_small(spark, monkeypatch):
+    from defectloom import session as SE
+
+    rng = np.random.default_rng(8)
+    rows = sorted({("r", c, int(f), c) for c in range(600) for f in rng.integers(0, 80, int(rng.integers(1, 9)))})
+    cf = spark.createDataFrame(rows, "repo string, commit_id long, file long, t long").withColumn("commit_time", F.timestamp_seconds("t"))
+    expect = Counter((a[2], b[2]) for a in rows for b in rows if a[1] == b[1] and a[2] != b[2])
+    plain = {strict: sorted(H.coupling(cf, strict_order=strict).collect()) for strict in (False, True)}
+    monkeypatch.setattr(SE, "UNCOUNTED_BYTES", 0)
+    monkeypatch.setattr(SE, "ROWS_A_TASK", 100)
+    got = H.co_change(cf).withColumn("part", F.spark_partition_id()).collect()
+    assert {(r["src"], r["dst"]): r["n"] for r in got} == expect
+    assert max(Counter(r["part"] for r in got).values()) < 4 * 2 * 100 < len(got) / 4
+    assert {strict: sorted(H.coupling(cf, strict_order=strict).collect()) for strict in (False, True)} == plain
+
+
+@pytest.mark.parametrize("name", ["co_change", "coupling", "coupling_partner", "coupling_strict_order", "szz_inline", "file_churn"])
+def test_commit_rows_dealt_by_number(spark, monkeypatch, name):
+    import __spark_entry__
+    from defectloom import session as SE
+
+    run = lambda: __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    plain = Counter(run().collect())
+    monkeypatch.setattr(SE, "UNCOUNTED_BYTES", 0)
+    monkeypatch.setattr(SE, "ROWS_A_TASK", 500)
+    df = run()
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    assert Counter(df.collect()) == plain
