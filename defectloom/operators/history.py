@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from defectloom.functions.core import days
-from defectloom.session import stored
+from defectloom.session import dealt, parts_of, stored, stored_parts
 
 KEY = ["repo", "file"]
 
@@ -106,16 +106,33 @@ def commit_burst(cf: DataFrame, min_commits: int = 3) -> DataFrame:
 def co_change(cf: DataFrame, min_files: int = 2, max_files: int = 30) -> DataFrame:
     """Ordered pairs of files that a commit of ``min_files`` to ``max_files`` files changes, with the number of such commits.
 
-    The bound on files is part of the measure and holds before the join, so a
+    The bound on files is part of the measure and holds before pairs are made, so a
     commit makes at most ``max_files * (max_files - 1)`` pairs.
     """
-    changed = cf.select("repo", "commit_id", "file").distinct()
+    both = _pairs(*stored_parts(cf.select("repo", "commit_id", "file")), min_files, max_files)[0]
+    return both.select("repo", "src", "dst", "n")
+
+
+def _pairs(cf: DataFrame, n: int, min_files: int, max_files: int) -> tuple[DataFrame, int]:
+    """The pairs of :func:`co_change` and the parts for them, from rows and the parts for these.
+
+    Commits are dealt anew by the number of their pairs before these are made,
+    and a pair is counted once for both its orders.
+    """
+    changed = dealt(cf.select("repo", "commit_id", "file"), n, "repo", "commit_id").distinct()
     # files are counted by an aggregate: a vast commit is never one task's buffer
     sizes = changed.groupBy("repo", "commit_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(min_files, max_files))
     small = changed.join(sizes, ["repo", "commit_id"], "left_semi").groupBy("repo", "commit_id").agg(F.collect_list("file").alias("files"))
-    src = small.select("repo", F.explode("files").alias("src"), "files")
-    pairs = src.select("repo", "src", F.explode("files").alias("dst")).where("src <> dst")
-    return pairs.groupBy("repo", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    m = 0
+    if n:
+        small = stored(small)
+        size = F.size("files").cast("long")
+        m = max(n, parts_of(small.agg(F.sum(size * (size - 1) / 2).cast("long")).first()[0]))
+    src = dealt(small, m, "repo", "commit_id").select("repo", F.explode("files").alias("src"), "files")
+    once = src.select("repo", "src", F.explode("files").alias("dst")).where("src < dst")
+    once = dealt(once, m, "repo", "src", "dst").groupBy("repo", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return once.select("repo", F.explode(ways).alias("x"), "n").select("repo", "x.*", "n"), 2 * m
 
 
 def coupling(cf: DataFrame, max_files: int = 30, strict_order: bool = False) -> DataFrame:
@@ -123,11 +140,14 @@ def coupling(cf: DataFrame, max_files: int = 30, strict_order: bool = False) ->
 
     ``strict_order`` also asks that the partner was first changed later.
     """
-    files = cf.groupBy(*KEY).agg(F.count(F.lit(1)).alias("commits"), F.max("commit_time").alias("last"), F.min("commit_time").alias("first"))
-    best = co_change(cf, 2, max_files).groupBy("repo", F.col("src").alias("file")).agg(F.max(F.struct("n", (-F.col("dst")).alias("neg"))).alias("top"), F.count(F.lit(1)).alias("partners"))
+    cf, n = stored_parts(cf.select("repo", "commit_id", "commit_time", "file"))
+    files = dealt(cf, n, *KEY).groupBy(*KEY).agg(F.count(F.lit(1)).alias("commits"), F.max("commit_time").alias("last"), F.min("commit_time").alias("first"))
+    pairs, m = _pairs(cf, n, 2, max_files)
+    # every pair is one row here, so that a file has at most a row for each other file
+    best = dealt(pairs, m, "repo", "src").groupBy("repo", F.col("src").alias("file")).agg(F.max(F.struct("n", (-F.col("dst")).alias("neg"))).alias("top"), F.count(F.lit(1)).alias("partners"))
     partner = files.select(F.col("repo").alias("p_repo"), F.col("file").alias("p_file"), F.col("last").alias("p_last"), F.col("first").alias("p_first"))
     j = files.join(best, KEY, "left").withColumn("partner", -F.col("top.neg"))
-    j = j.join(partner, (F.col("repo") == F.col("p_repo")) & (F.col("partner") == F.col("p_file")), "left")
+    j = dealt(j, n, "repo", "partner").join(partner, (F.col("repo") == F.col("p_repo")) & (F.col("partner") == F.col("p_file")), "left")
     missing = F.col("last") > F.col("p_last")
     if strict_order:
         missing = missing & (F.col("p_first") > F.col("first"))
