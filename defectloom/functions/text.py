@@ -82,6 +82,9 @@ def bug_type(c: Column, keywords: dict[str, Sequence[str]]) -> Column:
             items.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")))
         return F.greatest(*items) if len(items) > 1 else items[0]
 
-    # the hits are named once, so that the text is searched once
-    found = F.transform(F.array(keywords_in(F.lower(F.coalesce(c, F.lit(""))), every)), best)[0]
-    return F.when(found["score"] > 0, found["name"])
+    def name(hits: Column) -> Column:
+        found = best(hits)
+        return F.when(found["score"] > 0, found["name"])
+
+    # the hits are named once and the class follows from them alone, so that the text is searched once
+    return F.transform(F.array(keywords_in(F.lower(F.coalesce(c, F.lit(""))), every)), name)[0]

@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, OneHotEncoder, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, OneHotEncoder, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -293,19 +293,29 @@ def predicted_types(model: PipelineModel, messages: DataFrame) -> DataFrame:
 
 
 def text_model(messages: DataFrame, text: str = "msg", label: str = "bug_type", vocabulary: int = 1000) -> PipelineModel:
-    """Class of a message from weighted words and word pairs."""
-    return Pipeline(
-        stages=[
-            StringIndexer(inputCol=label, outputCol="buggy", handleInvalid="skip"),
-            RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"\W+"),
-            StopWordsRemover(inputCol="_w", outputCol="_k"),
-            NGram(n=2, inputCol="_k", outputCol="_n"),
-            SQLTransformer(statement="SELECT *, concat(_k, _n) AS _t FROM __THIS__"),
-            CountVectorizer(inputCol="_t", outputCol="_c", vocabSize=vocabulary),
-            IDF(inputCol="_c", outputCol="features"),
-            LogisticRegression(featuresCol="features", labelCol="buggy", maxIter=20),
-        ]
-    ).fit(messages)
+    """Class of a message from weighted words and word pairs.
+
+    Texts are cut into words twice, for the vocabulary and for their counts of it; these are stored,
+    and weights and classes are learnt from them.
+    """
+    x, stages = messages, []
+    words = [
+        StringIndexer(inputCol=label, outputCol="buggy", handleInvalid="skip"),
+        RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"\W+"),
+        StopWordsRemover(inputCol="_w", outputCol="_k"),
+        NGram(n=2, inputCol="_k", outputCol="_n"),
+        SQLTransformer(statement="SELECT *, concat(_k, _n) AS _t FROM __THIS__"),
+    ]
+    for stage in words:
+        stages.append(stage.fit(x) if hasattr(stage, "fit") else stage)
+        x = stages[-1].transform(x)
+    # the most frequent ones, counted by an aggregate that can spill; CountVectorizer.fit keeps a map of objects for each text
+    common = x.select(F.explode("_t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "w").limit(vocabulary)
+    stages.append(CountVectorizerModel.from_vocabulary([r["w"] for r in common.collect()], inputCol="_t", outputCol="_c"))
+    x = stages[-1].transform(x)
+    counts = stored(x.select("buggy", "_c"))
+    rest = Pipeline(stages=[IDF(inputCol="_c", outputCol="features"), LogisticRegression(featuresCol="features", labelCol="buggy", maxIter=20)]).fit(counts)
+    return PipelineModel([*stages, *rest.stages])
 
 
 def ablation(df: DataFrame, sets: dict[str, list[str]], kinds: tuple[str, ...] = ("lr",), **options) -> DataFrame:

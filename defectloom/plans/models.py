@@ -185,8 +185,8 @@ def explain_text(spark, d):
 
 def _typed_messages(spark, d):
     """The messages that have a class by their words; stored, as a model reads them many times."""
-    x = messages(spark, d).withColumn("bug_type", X.bug_type(F.col("msg"), _TYPES)).where("bug_type IS NOT NULL")
-    return stored(x)
+    x = messages(spark, d).withColumn("bug_type", X.bug_type(F.col("msg"), _TYPES))
+    return stored(x).where("bug_type IS NOT NULL")  # after storing: a filter before would search the texts once more
 
 
 def _held_out_types(spark, d):

@@ -167,3 +167,13 @@ def test_text_model_on_held_out_messages(spark):
     assert {r["bug_type"] for r in report} == {"memory", "ui"} and report[0]["macro_f1"] > 0.95 and sum(r["n"] for r in report) == held.count()
     unlabelled = ML.predicted_types(ML.text_model(rest), held.drop("bug_type"))
     assert unlabelled.count() == held.count()
+
+
+def test_texts_are_searched_once_and_words_counted_exactly(spark):
+    from defectloom.functions import text as X
+
+    df = spark.createDataFrame([("null here", "a"), ("leak there leak", "b"), ("leak null zebra", "b")], "msg string, bug_type string")
+    plan = df.select(X.bug_type(F.col("msg"), {"m": ("leak",), "o": ("null",)}).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    # of equal counts the smaller word is first
+    assert ML.text_model(df, vocabulary=4).stages[5].vocabulary == ["leak", "null", "leak leak", "leak null"]
