@@ -172,31 +172,48 @@ def fold_metrics(scored: DataFrame, keys: Sequence[str] = ("repo", "model"), thr
     return x.select(*keys, "n_test", "n_buggy", f1.alias("f1"), pr_auc.alias("pr_auc"), roc.alias("roc_auc"), recall.alias("recall_20"), (0.4 * pr_auc + 0.4 * recall + 0.2 * f1).alias("composite"))
 
 
-def leave_one_out(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("lr",), repo: str = "repo", least_train: int = 10, least_test: int = 5, threads: int = 8, sizes: dict[str, dict] | None = None) -> DataFrame:
-    """Rows (repo, model, n_test, n_buggy, f1, pr_auc, roc_auc, recall_20, composite) of a fold for each repository and kind.
+def leave_one_out(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("lr",), **options) -> DataFrame:
+    """Rows (repo, model, n_test, n_buggy, f1, pr_auc, roc_auc, recall_20, composite) of a fold for each repository and kind; options as in :func:`ablation`."""
+    return ablation(df, {"": columns}, kinds, **options).drop("feature_set")
+
+
+def ablation(df: DataFrame, sets: dict[str, list[str]], kinds: tuple[str, ...] = ("lr",), repo: str = "repo", least_train: int = 10, least_test: int = 5, threads: int = 8, sizes: dict[str, dict] | None = None) -> DataFrame:
+    """The rows of :func:`leave_one_out` for each set of features, with its name as ``feature_set``.
 
     Folds with fewer rows than the least, or without a defect to learn from, are
-    passed over. The loop is over repositories, a bounded list; the folds of one
-    call run side by side on the cluster, leave their scores in the shared
+    passed over. The loop is over repositories, a bounded list; all folds
+    run side by side on the cluster, leave their scores in the shared
     folder, and are measured together.
+
+    What folds share is made once: a set's vectors, scaled by all rows (the
+    classifiers' fits do not depend on a column's place and scale, as
+    the linear one standardises by its own training rows and trees go by order), and the
+    counts, from which a fold's class weights follow.
     """
     spark, folder = df.sparkSession, work_folder(df.sparkSession)
     counts = {r[repo]: (r["n"], r["b"]) for r in df.groupBy(repo).agg(F.count(F.lit(1)).alias("n"), F.sum("buggy").alias("b")).collect()}
     total, bugs = sum(n for n, _ in counts.values()), sum(b for _, b in counts.values())
-    schema = f"repo string, model string, file {dict(df.dtypes)['file']}, risk double, buggy int"
+    schema = f"feature_set string, repo string, model string, file {dict(df.dtypes)['file']}, risk double, buggy int"
     spark.createDataFrame([], schema).write.parquet(folder)
+    every = list(dict.fromkeys(c for columns in sets.values() for c in columns))
+    label = F.col("buggy").cast("double").alias("buggy", metadata={"ml_attr": {"type": "nominal", "vals": ["0", "1"], "name": "buggy"}})
+    scaled = stored(scale(df, df, every).select(F.col(repo).alias("_repo"), "file", label, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in every]))
+    vectors = {k: stored(VectorAssembler(inputCols=columns, outputCol="features").transform(scaled).select("_repo", "file", "buggy", "features")) for k, columns in sets.items()}
 
-    def fold(name: str, kind: str) -> None:
+    def fold(part: str, name: str, kind: str) -> None:
         n, b = counts[name]
         if total - n < least_train or n < least_test or bugs == b:
             return
-        train, test = df.where(F.col(repo) != name), df.where(F.col(repo) == name)
-        scored = score(fit(train, columns, kind, sizes=(sizes or {}).get(kind)), test, columns)
-        scored.select(F.lit(str(name)).alias("repo"), F.lit(kind).alias("model"), "file", "risk", F.col("buggy").cast("int").alias("buggy")).write.parquet(f"{folder}/{uuid.uuid4().hex}")
+        x, n, b = vectors[part], total - n, bugs - b
+        weight = F.when(F.col("buggy") == 1, n / (2 * max(b, 1))).otherwise(n / (2 * max(n - b, 1)))
+        model = classifier(kind, sizes=(sizes or {}).get(kind)).fit(x.where(F.col("_repo") != name).withColumn("weight", weight))
+        risk = vector_to_array("probability")[1].alias("risk")
+        scored = model.transform(x.where(F.col("_repo") == name)).select(F.lit(part).alias("feature_set"), F.lit(str(name)).alias("repo"), F.lit(kind).alias("model"), "file", risk, F.col("buggy").cast("int").alias("buggy"))
+        scored.write.parquet(f"{folder}/{uuid.uuid4().hex}")
 
     with ThreadPoolExecutor(threads) as pool:
-        list(pool.map(lambda x: fold(*x), [(name, kind) for name in sorted(counts) for kind in kinds]))
-    return fold_metrics(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder))
+        list(pool.map(lambda x: fold(*x), [(part, name, kind) for part in sets for name in sorted(counts) for kind in kinds]))
+    return fold_metrics(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder), ("repo", "model", "feature_set"))
 
 
 def best_architecture(folds: DataFrame, least_test: int = 30) -> DataFrame:
@@ -316,12 +333,3 @@ def text_model(messages: DataFrame, text: str = "msg", label: str = "bug_type",
     counts = stored(x.select("buggy", "_c"))
     rest = Pipeline(stages=[IDF(inputCol="_c", outputCol="features"), LogisticRegression(featuresCol="features", labelCol="buggy", maxIter=20)]).fit(counts)
     return PipelineModel([*stages, *rest.stages])
-
-
-def ablation(df: DataFrame, sets: dict[str, list[str]], kinds: tuple[str, ...] = ("lr",), **options) -> DataFrame:
-    """The folds of each feature set."""
-    out: DataFrame | None = None
-    for name, columns in sets.items():
-        part = leave_one_out(df, columns, kinds, **options).withColumn("feature_set", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out

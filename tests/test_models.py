@@ -177,3 +177,21 @@ def test_texts_are_searched_once_and_words_counted_exactly(spark):
     assert plan.count("regexp_extract_all") == 1
     # of equal counts the smaller word is first
     assert ML.text_model(df, vocabulary=4).stages[5].vocabulary == ["leak", "null", "leak leak", "leak null"]
+
+
+def test_sets_share_what_folds_need(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"r{i % 3}", i, int(a + 0.3 * b > 0.4), float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(120, 2)))]
+    df = spark.createDataFrame(rows, "repo string, file long, buggy int, a double, b double")
+    sets, sizes = {"A": ["a"], "AB": ["a", "b"]}, ML.QUICK_SIZES
+    expect = {}
+    for name, columns in sets.items():
+        for repo in ("r0", "r1", "r2"):
+            scored = ML.score(ML.fit(df.where(F.col("repo") != repo), columns, "lr", sizes=sizes["lr"]), df.where(F.col("repo") == repo), columns)
+            m = ML.fold_metrics(scored.select(F.lit(repo).alias("repo"), F.lit("lr").alias("model"), "file", "risk", "buggy")).first()
+            expect[name, repo] = m["f1"], m["pr_auc"], m["roc_auc"], m["composite"]
+    scaled = []
+    monkeypatch.setattr(ML, "scale", lambda *a, f=ML.scale: scaled.append(a[2]) or f(*a))
+    got = {(r["feature_set"], r["repo"]): (r["f1"], r["pr_auc"], r["roc_auc"], r["composite"]) for r in ML.ablation(df, sets, ("lr",), sizes=sizes).collect()}
+    assert scaled == [["a", "b"]] and got.keys() == expect.keys()
+    assert all(np.allclose(got[k], expect[k], atol=1e-9) for k in got)
