@@ -100,20 +100,22 @@ class PieceEncoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; an empty text has none."""
         cut = [self._pieces(t) if t else [] for t in texts]
-        new = set().union(*cut) - self._cache.keys()
+        found = [list(map(self._cache.get, pieces)) for pieces in cut]  # one look for each piece, as most are there
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        new = {p for i in lacking for p, ids in zip(cut[i], found[i]) if ids is None}
         if len(self._cache) + len(new) > self._entries:
             self._cache.clear()
-            new = set().union(*cut)
         gc.disable()  # millions of small objects and no cycles
         try:
             self._learn(new)
         finally:
             gc.enable()
-        found = [b"".join(map(self._cache.__getitem__, pieces)) for pieces in cut]
+        for i in lacking:
+            found[i] = [self._cache[p] if ids is None else ids for p, ids in zip(cut[i], found[i])]
         for p in new:
             if len(p) > _LONGEST_KEPT:
                 del self._cache[p]
-        return found
+        return list(map(b"".join, found))
 
 
 _ENCODERS: dict[tuple[str, int], PieceEncoder] = {}

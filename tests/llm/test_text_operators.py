@@ -332,3 +332,16 @@ def test_held_out_accuracy(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     held = [r for r in op10_language_id(spark, sf).collect() if r["held_out"]]
     assert held and sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.98 * len(held)
+
+
+def test_an_emptied_cache_learns_only_what_is_lacking():
+    from defectloom.llm import bpe
+
+    e = bpe.PieceEncoder(bpe.default_tokenizer(), 6)
+    learnt, learn = [], e._learn
+    e._learn = lambda new: (learnt.append(set(new)), learn(new))
+    first = e.encode_many(["one two three four"])
+    again = e.encode_many(["one two three four five six seven"])  # too many: the cache is emptied, known ids stay in hand
+    assert learnt[1] == {"five", "six", "seven"}
+    plain = bpe.PieceEncoder(bpe.default_tokenizer())
+    assert first + again == plain.encode_many(["one two three four", "one two three four five six seven"])
