@@ -103,17 +103,22 @@ def commit_burst(cf: DataFrame, min_commits: int = 3) -> DataFrame:
     return counts.join(gap_stats(cf), KEY, "left").select(*KEY, *[c.alias(k) for k, c in burst.items()])
 
 
-def co_change(cf: DataFrame, min_files: int = 2, max_files: int = 30) -> DataFrame:
+#: So many files of a commit are a block; the pairs of a larger commit are those within its blocks and between any two of them.
+BLOCK = 512
+
+
+def co_change(cf: DataFrame, min_files: int = 2, max_files: int | None = 30) -> DataFrame:
     """Ordered pairs of files that a commit of ``min_files`` to ``max_files`` files changes, with the number of such commits.
 
-    The bound on files is part of the measure and holds before pairs are made, so a
-    commit makes at most ``max_files * (max_files - 1)`` pairs.
+    A bound on files is part of the measure and holds before pairs are made, so a
+    commit makes at most ``max_files * (max_files - 1)`` pairs. With None every
+    commit counts, however many files it has.
     """
     both = _pairs(*stored_parts(cf.select("repo", "commit_id", "file")), min_files, max_files)[0]
     return both.select("repo", "src", "dst", "n")
 
 
-def _pairs(cf: DataFrame, n: int, min_files: int, max_files: int) -> tuple[DataFrame, int]:
+def _pairs(cf: DataFrame, n: int, min_files: int, max_files: int | None) -> tuple[DataFrame, int]:
     """The pairs of :func:`co_change` and the parts for them, from rows and the parts for these.
 
     Commits are dealt anew by the number of their pairs before these are made,
@@ -121,18 +126,52 @@ def _pairs(cf: DataFrame, n: int, min_files: int, max_files: int) -> tuple[DataF
     """
     changed = dealt(cf.select("repo", "commit_id", "file"), n, "repo", "commit_id").distinct()
     # files are counted by an aggregate: a vast commit is never one task's buffer
-    sizes = changed.groupBy("repo", "commit_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(min_files, max_files))
-    small = changed.join(sizes, ["repo", "commit_id"], "left_semi").groupBy("repo", "commit_id").agg(F.collect_list("file").alias("files"))
+    sizes = changed.groupBy("repo", "commit_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_files)
+    if max_files is not None:
+        sizes = sizes.where(F.col("n") <= max_files)
+    if max_files is None or max_files > BLOCK:
+        met, m = _blocks(changed.join(sizes, ["repo", "commit_id"]), n)
+    else:
+        met, m = _whole(changed.join(sizes, ["repo", "commit_id"], "left_semi"), n)
+    src = met.select("repo", F.explode("files").alias("src"), "others", "apart")
+    once = src.select("repo", "src", F.explode("others").alias("dst"), "apart").where("apart OR src < dst")
+    once = once.select("repo", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    once = dealt(once, m, "repo", "src", "dst").groupBy("repo", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return once.select("repo", F.explode(ways).alias("x"), "n").select("repo", "x.*", "n"), 2 * m
+
+
+def _whole(changed: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """The files of each commit as one list that meets itself, and the parts for the pairs."""
+    small = changed.groupBy("repo", "commit_id").agg(F.collect_list("file").alias("files"))
     m = 0
     if n:
         small = stored(small)
         size = F.size("files").cast("long")
         m = max(n, parts_of(small.agg(F.sum(size * (size - 1) / 2).cast("long")).first()[0]))
-    src = dealt(small, m, "repo", "commit_id").select("repo", F.explode("files").alias("src"), "files")
-    once = src.select("repo", "src", F.explode("files").alias("dst")).where("src < dst")
-    once = dealt(once, m, "repo", "src", "dst").groupBy("repo", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return once.select("repo", F.explode(ways).alias("x"), "n").select("repo", "x.*", "n"), 2 * m
+    return dealt(small, m, "repo", "commit_id").select("repo", "files", F.col("files").alias("others"), F.lit(False).alias("apart")), m
+
+
+def _blocks(sized: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Two blocks of a commit's files for each pair of its blocks, and the parts for the pairs; ``n`` in a row is its commit's files.
+
+    A task gathers two blocks at a time, however many files a commit has. A
+    commit of up to ``BLOCK`` files is one block, which meets itself.
+    """
+    m = 0
+    if n:
+        sized = stored(sized)
+        m = max(n, parts_of(sized.agg(F.sum((F.col("n") - 1) / 2).cast("long")).first()[0]))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = sized.withColumn("b", F.pmod(F.xxhash64("file"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    key = ["repo", "commit_id", "lo", "hi"]
+    own = own.select("repo", "commit_id", "file", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), (F.col("b") <= F.col("o")).alias("first"))
+    # rows that lie together by commit would be grouped where they are, so that all blocks of a commit were one task's
+    own = own.repartition(m, *key) if m else own.repartition(*key)
+    first = F.col("first")
+    pairs = own.groupBy(*key).agg(F.collect_list(F.when(first, F.col("file"))).alias("files"), F.collect_list(F.when(~first, F.col("file"))).alias("rest"))
+    apart = F.col("lo") < F.col("hi")
+    return pairs.select("repo", "files", F.when(apart, F.col("rest")).otherwise(F.col("files")).alias("others"), apart.alias("apart")), m
 
 
 def coupling(cf: DataFrame, max_files: int = 30, strict_order: bool = False) -> DataFrame:

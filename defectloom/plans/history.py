@@ -142,9 +142,10 @@ def _orders(spark, d):
     return commit_files(spark, d).withColumn("repo", F.lit("all"))
 
 
-@query(f"{_ORDER_CF}, {_PAIRS.format(cap=6)} SELECT * FROM pairs")
+# every order counts here, whatever its number of parts
+@query(f"{_ORDER_CF} SELECT a.repo, a.file AS src, b.file AS dst, count(*) AS n FROM cf a JOIN cf b ON a.repo = b.repo AND a.commit_id = b.commit_id AND a.file <> b.file GROUP BY 1, 2, 3")
 def co_change(spark, d):
-    return H.co_change(_orders(spark, d), 2, 6)
+    return H.co_change(_orders(spark, d), 2, None)
 
 
 _COUPLING = f"""{_ORDER_CF}, {_PAIRS.format(cap=30)},

@@ -6,6 +6,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from defectloom.functions import text as X
 from defectloom.operators import history as H
@@ -193,6 +194,48 @@ def test_tasks_of_pairs_stay_small(spark, monkeypatch):
     assert {strict: sorted(H.coupling(cf, strict_order=strict).collect()) for strict in (False, True)} == plain
 
 
+def test_co_change_counts_orders_of_any_size(spark):
+    import __spark_entry__
+
+    d = "/root/testdata/sf0.001"
+    kept = [{r[0] for r in spark.read.parquet(f"{d}/{t}.parquet").select(k).collect()} for t, k in (("orders", "o_orderkey"), ("part", "p_partkey"))]
+    parts = {}
+    for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        if r[0] in kept[0] and r[1] in kept[1]:
+            parts.setdefault(r[0], set()).add(r[1])
+    assert max(map(len, parts.values())) > 6
+    expect = Counter((a, b) for files in parts.values() for a in files for b in files if a != b)
+    got = __spark_entry__.queries()["co_change"](spark, d).collect()
+    assert {(r["repo"], r["src"], r["dst"]): r["n"] for r in got} == {("all", *k): n for k, n in expect.items()} and len(got) == len(expect)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_co_change_of_vast_commits_by_blocks(spark, monkeypatch, kind):
+    from defectloom import session as SE
+
+    sizes = {1: 1, 2: 2, 3: 7, 4: 8, 5: 9, 6: 40, 7: 90}
+    rows = [(repo, c, c // 2 + i) for repo in "rs" for c, n in sizes.items() for i in range(n)]
+    cf = spark.createDataFrame(rows + rows[:50], "repo string, commit_id long, file long").withColumn("file", F.col("file").cast(kind))
+    expect = Counter((a[0], a[2], b[2]) for a in rows for b in rows if a[:2] == b[:2] and a[2] != b[2])
+    if kind == "string":
+        expect = {(r, str(a), str(b)): n for (r, a, b), n in expect.items()}
+    monkeypatch.setattr(H, "BLOCK", 8)
+    for task in (None, 100):
+        if task:
+            monkeypatch.setattr(SE, "UNCOUNTED_BYTES", 0)
+            monkeypatch.setattr(SE, "ROWS_A_TASK", task)
+        got = H.co_change(cf, 2, None).collect()
+        assert {(r["repo"], r["src"], r["dst"]): r["n"] for r in got} == expect and len(got) == len(expect)
+    # a task gathers pairs of blocks, never a whole commit
+    sized = cf.distinct().withColumn("n", F.count("*").over(Window.partitionBy("repo", "commit_id")))
+    met = H._blocks(sized, 1)[0].select(F.size("files").alias("x"), F.size("others").alias("y"), F.spark_partition_id().alias("part")).collect()
+    assert max(max(r["x"], r["y"]) for r in met) < 3 * 8
+    tasks = Counter()
+    for r in met:
+        tasks[r["part"]] += r["x"] * r["y"]
+    assert max(tasks.values()) < sum(tasks.values()) / 10
+
+
 @pytest.mark.parametrize("name", ["co_change", "coupling", "coupling_partner", "coupling_strict_order", "szz_inline", "file_churn"])
 def test_commit_rows_dealt_by_number(spark, monkeypatch, name):
     import __spark_entry__
